@@ -2,30 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from voxelry.functions.graph import shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: Shared folders made here for sessions that name none, by application id.
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, local runs), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-corpus-")
-    return _own_dirs[app]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends here, and a lost
-    executor costs a reread instead of a recomputation. The folder's owner clears it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "written"]
