@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, language_id, line_dedup, mixing, ngram_join, pii, token_counts, topk
+from . import decontamination, html_extraction, language_id, line_dedup, mixing, ngram_join, pii, suffix_dedup, token_counts, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_digest(_read(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(_read(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_join, op2_html_extraction, op3_language_id, op5_line_dedup, op6_pii, op7_exact_topk, op8_token_counts, op9_decontamination, op10_mixing)
+    own = (op1_ngram_join, op2_html_extraction, op3_language_id, op4_suffix_dedup, op5_line_dedup, op6_pii, op7_exact_topk, op8_token_counts, op9_decontamination, op10_mixing)
     return {f.__name__: f for f in own}
 
 
