@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-A seed hashes tokens at fixed places of a span and ignores the others, so substituted tokens at ignored
-places don't hide an overlap. Every hit is verified token by token along its diagonal:
-
-* items of 18 tokens or more: 16 equal tokens within 18 consecutive places. Seed places 0 3 6 9 12 15:
-  two substitutions spoil at most two of the three shifts of the seed, so one always hits;
-* items of 10 to 17 tokens: all tokens but one are equal. Seed places 0 2 4 6 8, by the same argument;
+A seed hashes tokens at fixed places of a span (0, 3, 6 and 9) and ignores the others, so substituted tokens
+at ignored places don't hide an overlap; the shifts of the mask by 0, 1 and 2 share no place. Seeds of texts
+are joined to seeds of items first; only documents with a hit are verified, token by token along the hit's
+diagonal:
+
+* items of 18 tokens or more: 16 equal tokens within 18 consecutive places. Two substitutions spoil two of
+  the three shifts at most, so one always hits;
+* items of 11 to 17 tokens: all tokens but one are equal. One substitution spoils one of two shifts;
 * shorter items can't be told from chance and take no part.
 """
 
@@ -16,33 +18,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LONG, LEAST_EQUAL, SHORT = 18, 16, 10
-MASK_LONG, MASK_SHORT = (0, 3, 6, 9, 12, 15), (0, 2, 4, 6, 8)
+from .common import written
+
+LONG, LEAST_EQUAL, SHORT = 18, 16, 11
+MASK = (0, 3, 6, 9)
+SPAN = MASK[-1] + 1
+#: Documents with a hit are broadcast up to this number (8 bytes each); beyond it they are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Benchmark text that is broadcast at once; more is done in so many blocks.
 BLOCK_BYTES = 16 << 20
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; an empty array for null or a text without any."""
-    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    """Hashes of the lower-cased runs of letters and digits. A text that begins or ends otherwise also gets the
+    hash of an empty token there."""
+    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: F.xxhash64(x))
 
 
-def _seed(mask: tuple[int, ...], words: Column, at: Column) -> Column:
-    return F.xxhash64(F.lit(len(mask)), *[F.get(words, at + q) for q in mask])
+def _seed(words: Column, at: Column) -> Column:
+    return F.xxhash64(*[F.get(words, at + q) for q in MASK])
 
 
-def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(k, item_id) of verified overlaps of ``docs`` (k, words) with items that fit a broadcast."""
-    place = lambda words, least: F.explode(F.sequence(F.lit(0), F.size(words) - least))
-    long_ones = items.where(F.col("len") >= LONG).select("item", place(F.col("item_words"), 16).alias("i"), "item_words")
-    short_ones = items.where((F.col("len") >= SHORT) & (F.col("len") < LONG)).select("item", place(F.col("item_words"), 9).alias("i"), "item_words")
-    seeds = long_ones.select("item", "i", _seed(MASK_LONG, F.col("item_words"), F.col("i")).alias("seed")).unionByName(
-        short_ones.select("item", "i", _seed(MASK_SHORT, F.col("item_words"), F.col("i")).alias("seed"))
-    )
-    spots = docs.where(F.size("words") >= SHORT - 1).select("k", "words", place(F.col("words"), SHORT - 1).alias("j"))
-    at = F.array(_seed(MASK_LONG, F.col("words"), F.col("j")), _seed(MASK_SHORT, F.col("words"), F.col("j")))
-    spots = spots.select("k", "words", "j", F.explode(at).alias("seed"))
+def _places(words: Column) -> Column:
+    """Where a seed can begin; 0 alone in a text shorter than its span."""
+    return F.sequence(F.lit(0), F.greatest(F.size(words) - SPAN, F.lit(0)))
+
+
+def _verified(docs: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(k, item_id) of the overlaps of ``docs`` (k, words)."""
+    spots = docs.select("k", "words", F.explode_outer(_places(F.col("words"))).alias("j")).withColumn("seed", _seed(F.col("words"), F.col("j")))
     hits = spots.join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item")
     i, j, n = F.col("i"), F.col("j"), F.col("len")
     same = lambda p, q: F.coalesce((F.get(F.col("item_words"), p) == F.get(F.col("words"), q)).cast("int"), F.lit(0))
@@ -52,19 +56,32 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return hits.where(F.when(n >= LONG, window(0) | window(1) | window(2)).otherwise(whole)).select("k", "item_id").distinct()
 
 
+def _overlaps(source: DataFrame, items: DataFrame) -> DataFrame:
+    """(k, item_id) of the overlaps of ``source`` (k, text) with items that fit a broadcast."""
+    seeds = items.select("item", F.posexplode(F.transform(_places(F.col("item_words")), lambda i: _seed(F.col("item_words"), i))).alias("i", "seed"))
+    words = source.select("k", tokens(F.col("text")).alias("words"))
+    # Arrays stay behind here: of a text, only its seeds are exploded. Outer, as an inferred filter would
+    # tokenise every text once more.
+    all_seeds = words.select("k", F.explode_outer(F.transform(_places(F.col("words")), lambda j: _seed(F.col("words"), j))).alias("seed"))
+    hit = written(all_seeds.join(F.broadcast(seeds.select("seed").distinct()), "seed", "left_semi").select("k").distinct(), "seed-hits")
+    few = hit.count() <= BROADCAST_ROWS
+    near = source.join(F.broadcast(hit) if few else hit, "k", "left_semi")
+    return _verified(near.select("k", tokens(F.col("text")).alias("words")), items, seeds)
+
+
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(k, item_ids) of the rows that overlap an item; k is xxhash64(doc_id, text), item_ids an ascending list."""
     items = (
         benchmark.where(F.col("text").isNotNull())
-        .select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item_words"))
+        .select(F.col("item_id").cast("long").alias("item_id"), F.filter(tokens(F.col("text")), lambda x: x != F.xxhash64(F.lit(""))).alias("item_words"))
         .select("item_id", "item_words", F.size("item_words").alias("len"), F.xxhash64("item_id", "item_words").alias("item"))
         .where(F.col("len") >= SHORT)
         .dropDuplicates(["item"])
     )
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    words = docs.select(F.xxhash64("doc_id", "text").alias("k"), tokens(F.col("text")).alias("words"))
-    parts = [_hits(words, items.where(F.pmod(F.col("item"), F.lit(blocks)) == b) if blocks > 1 else items) for b in range(blocks)]
+    source = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("k"), "text")
+    parts = [_overlaps(source, items.where(F.pmod(F.col("item"), F.lit(blocks)) == b) if blocks > 1 else items) for b in range(blocks)]
     return reduce(DataFrame.unionByName, parts).groupBy("k").agg(F.sort_array(F.collect_set(F.coalesce("item_id", F.lit(-1)))).alias("item_ids"))
 
 
