@@ -1,7 +1,26 @@
-"""What the corpus operators share: the folder all executors see, and written tables that cut lineage."""
+"""What the corpus operators share: the folder all executors see, written tables that cut lineage, and rows kept
+whole beside an operator's own columns."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from voxelry.functions.graph import shared_dir, written
 
-__all__ = ["shared_dir", "written"]
+__all__ = ["packed", "shared_dir", "unpacked", "written"]
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``doc``, so that no name in it clashes with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from ``doc``, those in ``changed`` replaced."""
+    return rows.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+def row_key() -> Column:
+    """Key of a packed row by its id and text."""
+    return F.xxhash64("doc.doc_id", "doc.text")

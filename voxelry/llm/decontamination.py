@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, row_key, unpacked, written
 
 LONG, LEAST_EQUAL, SHORT = 18, 16, 11
 MASK = (0, 3, 6, 9)
@@ -102,8 +102,8 @@ def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, in their own columns."""
-    hit = contaminated_rows(docs, benchmark).select(F.col("k").alias("_k"))
-    return docs.join(hit, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_k"), "left_anti")
+    hit = contaminated_rows(docs, benchmark).select("k")
+    return unpacked(packed(docs).withColumn("k", row_key()).join(hit, "k", "left_anti"), docs)
 
 
 ORACLE = rf"""

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, unpacked, written
 
 UNKNOWN = "und"
 _CHUNK = 1 << 20
@@ -113,7 +113,7 @@ class Model:
 
 
 def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 300) -> DataFrame:
-    """All columns of ``docs`` and, as ``_lang``, ``_score``, the language of the whole text and a score from 0 to 1.
+    """(doc, judged): each row of ``docs`` packed, and the language (lang) of its whole text with a score from 0 to 1.
 
     ``und`` and 0 where the text is null or has no letter, or no language was learned. Ties go to the
     language first by name. Rows are judged one by one, so nulls elsewhere and repeated rows don't matter."""
@@ -123,8 +123,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], size: in
     def judge(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model(t) for t in texts], columns=["lang", "score"])
 
-    out = docs.withColumn("_judged", judge(F.col("text")))
-    return out.select(*docs.columns, F.col("_judged.lang").alias("_lang"), F.col("_judged.score").alias("_score"))
+    return packed(docs).withColumn("judged", judge(F.col("doc.text")))
 
 
 def language_id(docs: DataFrame, size: int = 300, docs_per_language: int = 2000) -> DataFrame:
@@ -132,10 +131,11 @@ def language_id(docs: DataFrame, size: int = 300, docs_per_language: int = 2000)
     documents that aren't held out; see :func:`fit_profiles` and :func:`predict_languages` for the cases."""
     profiles = fit_profiles(docs, size, docs_per_language)
     out = predict_languages(docs.select("doc_id", "text"), profiles, size)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    doc_id = F.col("doc.doc_id")
+    return out.select(doc_id.cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col("judged.lang").alias("lang_pred"), F.col("judged.score").alias("score"))
 
 
 def keep_known(docs: DataFrame, size: int = 300, docs_per_language: int = 2000) -> DataFrame:
     """The documents that have a language, in their own columns; ``und`` is rejected."""
     profiles = fit_profiles(docs, size, docs_per_language)
-    return predict_languages(docs, profiles, size).where(F.col("_lang") != UNKNOWN).select(*docs.columns)
+    return unpacked(predict_languages(docs, profiles, size).where(F.col("judged.lang") != UNKNOWN), docs)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, unpacked, written
 
 _SORT = ("h1", "h2", "d", "pos")
 _LINES = "h1 long, h2 long, d long, pos int"
@@ -175,11 +175,12 @@ def kept_text(text: Column, keep: Column) -> Column:
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with its columns and rows, texts without repeated lines; ``n_chars``, if there, is brought
     up to date. Cases as in :func:`line_keep_bitmaps`; a text that loses all its lines becomes empty."""
-    maps = line_keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_doc"), F.col("keep").alias("_keep"))
-    out = docs.join(maps, F.col("doc_id") == F.col("_doc"), "left").withColumn("text", kept_text(F.col("text"), F.col("_keep")))
+    maps = line_keep_bitmaps(docs, min_chars, min_docs)
+    out = packed(docs).join(maps, F.col("doc.doc_id") == F.col("doc_id"), "left").select("doc", "keep", kept_text(F.col("doc.text"), F.col("keep")).alias("kept"))
+    changed = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_keep").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("keep").isNull(), F.col("doc.n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return unpacked(out, docs, **changed)
 
 
 def line_dedup_digest(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from voxelry.functions.graph import connected_components
 
-from .common import written
+from .common import packed, row_key, unpacked, written
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, BAND = 128, 5
@@ -289,8 +289,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The document with the smallest doc_id of each class, in the columns of ``docs``; of repeated rows, one.
     Rows without doc_id stay, and so do texts without words."""
-    named = docs.where("doc_id IS NOT NULL").withColumn("_k", F.xxhash64("doc_id", "text"))
-    lost = _classes(named, threshold).where("class_id <> doc_id").select(F.col("k").alias("_k")).distinct()
-    rest = named.join(lost, "_k", "left_anti")
-    one = rest.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_k"))).where("_n = 1")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    named = docs.where("doc_id IS NOT NULL")
+    lost = _classes(named, threshold).where("class_id <> doc_id").select("k").distinct()
+    rest = packed(named).withColumn("k", row_key()).join(lost, "k", "left_anti")
+    one = rest.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("k"))).where("n = 1")
+    return unpacked(one, docs).unionByName(docs.where("doc_id IS NULL"))

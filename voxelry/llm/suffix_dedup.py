@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, row_key, unpacked, written
 from .ngram_join import by_group
 
 LENGTH, ANCHOR, CELL = 400, 128, 16
@@ -306,8 +306,8 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    spans = repeated_bytes(docs).groupBy("k").agg(F.collect_set(F.struct("a", "z")).alias("_spans"))
-    return docs.withColumn("k", F.xxhash64("doc_id", "text")).join(spans, "k", "left")
+    spans = repeated_bytes(docs).groupBy("k").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+    return packed(docs).withColumn("k", row_key()).join(spans, "k", "left")
 
 
 def suffix_dedup_digest(docs: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def suffix_dedup_digest(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _marked(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"), "_spans")
+    rows = _marked(docs.select("doc_id", "text")).select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("binary").alias("data"), "spans")
     return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -354,6 +354,5 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    marked = _marked(docs.withColumnRenamed("k", "_own_k") if "k" in docs.columns else docs)
-    out = marked.withColumn("text", cut(F.col("text"), F.col("_spans")))
-    return out.select(*[F.col("_own_k").alias("k") if c == "k" else F.col(c) for c in docs.columns])
+    out = _marked(docs).select("doc", cut(F.col("doc.text"), F.col("spans")).alias("kept"))
+    return unpacked(out, docs, text=F.col("kept"))

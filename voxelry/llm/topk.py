@@ -82,7 +82,7 @@ def _blocks(found: dict, dim: int, k: int) -> Iterator[tuple[np.ndarray, np.ndar
     if found["exact"]:
         score = (q @ x.T).astype(np.int64)
     else:  # beyond doubles: Python's integers
-        score = (q.astype(object).astype(int).astype(object) @ x.astype(object).astype(int).astype(object).T).astype(np.int64)
+        score = (q.astype(np.int64).astype(object) @ x.astype(np.int64).astype(object).T).astype(np.int64)
     own = q_ids[:, None] == ids[None, :]
     for r in range(len(q_ids)):
         s, v = score[r][~own[r]], ids[~own[r]]
