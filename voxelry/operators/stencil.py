@@ -55,6 +55,15 @@ def binary_erode(mask: DataFrame, element: list[Offset], dims: Triple, border: b
     return hits.where(F.col("n") == need).select(*AXES)
 
 
+def boundary_mask(dataset: DataFrame, dims: Triple, element: list[Offset], eroded: bool = True, z_margin: int = 0) -> DataFrame:
+    """The eroded dataset mask, or the dilation of its complement without ``z_margin`` slices at both ends."""
+    if eroded:
+        return binary_erode(dataset, element, dims)
+    from .components import complement
+
+    return binary_dilate(complement(dataset, dims), element, dims).where((F.col("z") >= z_margin) & (F.col("z") < dims[0] - z_margin))
+
+
 def grey_dilate(vol: DataFrame, element: list[Offset], dims: Triple, column: str = "label") -> DataFrame:
     """Maximum over the window."""
     moved = _inside(shifted(vol.select(*AXES, column), [(-a, -b, -c) for a, b, c in element]), dims)

@@ -20,6 +20,21 @@ def _(v):
     return per_slice.crossJoin(F.broadcast(meta.select(F.element_at("elsize", 1).alias("elsize"))))
 
 
+@add("write_volume", "vox", "SELECT z, y, x, CAST(CASE WHEN z < 3 THEN value + 1000 ELSE value END AS INT) AS value FROM vox")
+def _(v):
+    """Writes a volume, replaces a slab of it, reads it back."""
+    import uuid
+
+    from voxelry.functions.graph import shared_dir
+    from voxelry.sources.volumes import metadata, read_volume, write_volume
+
+    path = f"{shared_dir(v.spark)}/volume-{uuid.uuid4().hex}"
+    meta = metadata(v.spark, "vox")
+    write_volume(v.vox, meta, path, (3, 25, 64))
+    write_volume(v.vox.where("z < 3").withColumn("value", F.col("value") + 1000), meta, path, (3, 25, 64))
+    return read_volume(v.spark, path)[0].select("z", "y", "x", "value")
+
+
 @add("tensor_to_voxels", "", "SELECT vec_id, CAST((i - 1) // 16 AS INT) AS r, CAST((i - 1) % 16 AS INT) AS c, embedding[i]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS i FROM embeddings)")
 def _(v):
     from voxelry.sources.volumes import tensor_to_voxels
@@ -27,7 +42,7 @@ def _(v):
     return tensor_to_voxels(v.table("embeddings").select("vec_id", F.col("embedding").alias("data")), {"r": 4, "c": 16}).select("vec_id", "r", "c", F.col("value").cast("double").alias("value"))
 
 
-@add("voxels_to_blocks", "vox", """SELECT z // 5 AS iz, y // 10 AS iy, x // 16 AS ix, CAST(count(*) AS BIGINT) AS n, string_agg(value, ',' ORDER BY z, y, x) AS data
+@add("voxels_to_blocks", "vox", """SELECT CAST(z // 5 AS BIGINT) AS iz, CAST(y // 10 AS BIGINT) AS iy, CAST(x // 16 AS BIGINT) AS ix, CAST(count(*) AS BIGINT) AS n, string_agg(value, ',' ORDER BY z, y, x) AS data
 FROM vox GROUP BY 1, 2, 3""")
 def _(v):
     from voxelry.operators.blocks import voxels_to_blocks

@@ -41,7 +41,7 @@ def _(v):
     return S.expand_blocks(small, (2, 4, 5), v.dims).select("z", "y", "x", "value")
 
 
-@add("resample_inplane", "vox", """WITH o AS (SELECT CAST(a AS INT) AS oy, CAST(b AS INT) AS ox, (a + 0.5) * 4 - 0.5 AS cy, (b + 0.5) * 4 - 0.5 AS cx FROM range(6) r(a), range(16) s(b))
+@add("resample_inplane", "vox", """WITH o AS (SELECT CAST(a AS INT) AS oy, CAST(b AS INT) AS ox, (a + 0.5::DOUBLE) * 4 - 0.5 AS cy, (b + 0.5::DOUBLE) * 4 - 0.5 AS cx FROM range(6) r(a), range(16) s(b))
 SELECT z, oy AS y, ox AS x, round(sum(value * (1 - abs(y - cy)) * (1 - abs(x - cx))), 6) AS value FROM vox JOIN o ON y BETWEEN floor(cy) AND floor(cy) + 1 AND x BETWEEN floor(cx) AND floor(cx) + 1 GROUP BY 1, 2, 3""")
 def _(v):
     return S.resample_inplane(v.vox, v.dims, 4).withColumn("value", F.round("value", 6))

@@ -31,6 +31,14 @@ def _(v):
     return T.binary_erode(v.vox.where("value > 90"), [(0, 0, 0), *T.FACES], v.dims)
 
 
+@add("boundary_mask", "vox mask_ds dims", f"""WITH c AS (SELECT z, y, x FROM vox ANTI JOIN mask_ds USING (z, y, x)), e AS (SELECT m.z, m.y, m.x FROM mask_ds m, (SELECT * FROM {FACE_SQL} WHERE dz = 0) o JOIN mask_ds n ON n.z = m.z AND n.y = m.y + dy AND n.x = m.x + dx GROUP BY 1, 2, 3 HAVING count(*) = 4)
+SELECT 'eroded' AS kind, z, y, x FROM e UNION ALL SELECT DISTINCT 'dilated', v.z, v.y, v.x FROM vox v, (SELECT CAST(0 AS INT) AS dz, CAST(0 AS INT) AS dy, CAST(0 AS INT) AS dx UNION ALL SELECT * FROM {FACE_SQL} WHERE dz = 0) o JOIN c ON c.z = v.z AND c.y = v.y + dy AND c.x = v.x + dx WHERE v.z >= 2 AND v.z < (SELECT dz FROM dims) - 2""")
+def _(v):
+    disk = T.structuring_element("disk", 1)
+    eroded, rim = T.boundary_mask(v.mask_ds, v.dims, disk), T.boundary_mask(v.mask_ds, v.dims, disk, False, 2)
+    return eroded.select(F.lit("eroded").alias("kind"), "z", "y", "x").unionByName(rim.select(F.lit("dilated").alias("kind"), "z", "y", "x"))
+
+
 @add("grey_dilate", "seg_a", f"SELECT a.z, a.y, a.x, max(b.label) AS label FROM seg_a a, {BOX_SQL} o JOIN seg_a b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3")
 def _(v):
     return T.grey_dilate(v.seg_a, BOX, v.dims)
