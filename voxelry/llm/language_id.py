@@ -76,9 +76,11 @@ def fit_profiles(docs: DataFrame, size: int = 300, docs_per_language: int = 2000
     that about ``docs_per_language`` of a language take part (all, if it has fewer)."""
     train = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     train = train.select("doc_id", "lang", "text")
-    share = train.groupBy("lang").agg((F.lit(float(docs_per_language)) / F.count("*")).alias("share"))
+    # A row a label; every task holds a profile a label anyway. Texts are drawn where they are read.
+    sizes = train.groupBy("lang").count().collect()
+    share = docs.sparkSession.createDataFrame([(r.lang, docs_per_language / r["count"]) for r in sizes], "lang string, share double")
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    sample = train.join(share, "lang").where(drawn).select("lang", "text")
+    sample = train.join(F.broadcast(share), "lang").where(drawn).select("lang", "text")
     counts = written(sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not langs:
