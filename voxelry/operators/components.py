@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.functions.graph import written
+from voxelry.functions.ranking import global_rank
 
 from .labels import AXES, forward_map, label_union, shifted
 
@@ -133,7 +134,7 @@ def split_disconnected(vol: DataFrame, dims: tuple[int, int, int], least: int =
     size = size.withColumn("r", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("n"), "piece")))
     top = vol.agg(F.max("label").alias("top"))  # one row
     fresh = size.where((F.col("r") > 1) & (F.col("n") > least)).crossJoin(F.broadcast(top))
-    fresh = fresh.select("own", "piece", (F.col("top") + F.row_number().over(Window.orderBy("own", "r"))).cast("bigint").alias("new"))
+    fresh = global_rank(fresh.select("own", "piece", "r", "top"), "own", "r").select("own", "piece", (F.col("top") + F.col("rank")).alias("new"))
     names = size.join(fresh, ["own", "piece"], "left").select("own", F.col("piece").alias("label"), F.when(F.col("r") == 1, F.col("own")).otherwise(F.coalesce("new", F.lit(0))).cast("bigint").alias("new"))
     out = p.join(names, ["own", "label"]).select(*AXES, F.col("new").alias("label"))
     if labels is None:

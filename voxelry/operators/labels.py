@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.functions.graph import connected_components
+from voxelry.functions.ranking import global_rank
 
 AXES = ["z", "y", "x"]
 
@@ -76,10 +77,11 @@ def split_by_aux_volume(vol: DataFrame, aux: DataFrame, labels: DataFrame) -> Da
     listed = vol.join(labels.select("label").distinct(), "label", "left_semi").select(*AXES, "label")
     inside = listed.select(*AXES).join(aux.where("label <> 0").select(*AXES, F.col("label").alias("_aux")), AXES)
     top = vol.agg(F.max("label").alias("_top"))  # one row
-    taken = vol.select(F.col("label").alias("_aux")).distinct().withColumn("_taken", F.lit(True))
-    names = inside.select("_aux").distinct().join(taken, "_aux", "left").crossJoin(F.broadcast(top))
-    fresh = F.col("_top") + F.row_number().over(Window.partitionBy("_taken").orderBy("_aux"))
-    names = names.select("_aux", F.when(F.col("_taken"), fresh).otherwise(F.col("_aux")).cast("bigint").alias("_new"))
+    taken = vol.select(F.col("label").alias("_aux")).distinct()
+    used = inside.select("_aux").distinct()
+    fresh = global_rank(used.join(taken, "_aux").select("_aux"), "_aux").crossJoin(F.broadcast(top))
+    names = fresh.select("_aux", (F.col("_top") + F.col("rank")).alias("_new"))
+    names = used.join(names, "_aux", "left").select("_aux", F.coalesce("_new", "_aux").alias("_new"))
     return vol.join(inside.join(names, "_aux").select(*AXES, "_new"), AXES, "left").withColumn("label", F.coalesce("_new", "label")).drop("_new").select(*vol.columns)
 
 

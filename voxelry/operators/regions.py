@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelry.functions.graph import written
+from voxelry.functions.ranking import global_rank
+
 from .labels import AXES, forward_map, shifted
 
 PI = float(np.pi)
@@ -170,28 +173,17 @@ def volume_histogram(vol: DataFrame, low: float, high: float, bins: int) -> Data
 
 
 def relabel_sequential(vol: DataFrame, offset: int = 0) -> DataFrame:
-    """Dense renumbering by label order, from offset + 1; 0 stays 0. Labels are ranked in range partitions: a
-    label's rank is its place in its partition after the counts of the partitions before."""
-    labels = _fore(vol).select("label").distinct()
-    n = F.dense_rank().over(Window.partitionBy("_p").orderBy("label"))
-    ranged = labels.repartitionByRange("label").withColumn("_p", F.spark_partition_id())
-    from voxelry.functions.graph import written
-
-    ranged = written(ranged, "label-ranges")  # read twice below: the ranges must be the same
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("n")).select("_p", before.alias("_before"))
-    m = ranged.join(F.broadcast(counts), "_p").select("label", (F.lit(offset) + F.col("_before") + n).cast("bigint").alias("new_label"))
-    return forward_map(vol, m)
+    """Dense renumbering by label order, from offset + 1; 0 stays 0."""
+    ranks = global_rank(_fore(vol).select("label").distinct(), "label")
+    return forward_map(vol, ranks.select("label", (F.col("rank") + offset).alias("new_label")))
 
 
 def shuffle_labels(vol: DataFrame, seed: int = 0) -> DataFrame:
     """A seeded permutation of the labels; the same for every volume with the same label set."""
-    from voxelry.functions.graph import written
-
     labels = written(_fore(vol).select("label").distinct(), "labels")
-    a = labels.select("label", F.row_number().over(Window.orderBy("label")).alias("r"))
-    b = labels.select(F.col("label").alias("new_label"), F.row_number().over(Window.orderBy(F.xxhash64("label", F.lit(seed)), "label")).alias("r"))
-    return forward_map(vol, a.join(b, "r").select("label", "new_label"))
+    a = global_rank(labels, "label")
+    b = global_rank(labels.select(F.col("label").alias("new_label"), F.xxhash64("label", F.lit(seed)).alias("_h")), "_h", "new_label").drop("_h")
+    return forward_map(vol, a.join(b, "rank").select("label", "new_label"))
 
 
 def remove_largest(vol: DataFrame) -> DataFrame:
@@ -204,7 +196,7 @@ def rank_regions(vol: DataFrame, by: str = "size") -> DataFrame:
     """(label, place): by size, largest first, or by first slice; ties by label."""
     g = _fore(vol).groupBy("label").agg(F.count("*").alias("n"), F.min("z").alias("first"))
     order = [F.desc("n"), "label"] if by == "size" else ["first", "label"]
-    return g.select("label", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return global_rank(g, *order, name="place").select("label", F.col("place").cast("int").alias("place"))
 
 
 def border_slice(vol: DataFrame, end: str = "first") -> DataFrame:

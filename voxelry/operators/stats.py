@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelry.functions.graph import written
+from voxelry.functions.ranking import global_rank
+
 from .regions import eccentricity, equivalent_diameter, region_solidity
 
 
@@ -49,12 +52,10 @@ def object_variability(stats: DataFrame, value: str) -> DataFrame:
 
 def permutation_null(stats: DataFrame, value: str, seed: int = 0) -> DataFrame:
     """Variability after a seeded shuffle of the values over all (slice, object) cells."""
-    from voxelry.functions.graph import written
-
-    cells = written(stats.where(F.col(value).isNotNull()).select("z", "label", value), "cells")
-    a = cells.select("z", "label", F.row_number().over(Window.orderBy("z", "label")).alias("r"))
-    b = cells.select(value, F.row_number().over(Window.orderBy(F.xxhash64("z", "label", F.lit(seed)), "z", "label")).alias("r"))
-    return object_variability(a.join(b, "r"), value)
+    cells = written(stats.where(F.col(value).isNotNull()).select("z", "label", value, F.xxhash64("z", "label", F.lit(seed)).alias("_h")), "cells")
+    a = global_rank(cells.select("z", "label"), "z", "label")
+    b = global_rank(cells, "_h", "z", "label").select(value, "rank")
+    return object_variability(a.join(b, "rank"), value)
 
 
 def distribution_summary(stats: DataFrame, value: str) -> DataFrame:
