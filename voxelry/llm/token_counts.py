@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 _CACHE = "version string, digest binary, n_tokens long"
 #: A worker's memo of pieces is emptied when it holds so many.
@@ -133,6 +133,8 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.jso
     misses = rows.select("digest", "text").dropDuplicates(["digest"]).join(stored.select("digest"), "digest", "left_anti")
     misses.mapInArrow(_encode(tokenizer, version), _CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written: behind a plain read, Spark can split the join on a digest that very many rows have.
+    counts = written(counts, "token-counts-now")
     out = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
     return out.join(counts, "digest").select(
         F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
