@@ -61,7 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": topk.ORACLE, "op5_line_dedup": LINE_DEDUP, "op9_decontamination": decontamination.ORACLE}
+    return {"op1_ngram_join": NGRAM_JOIN, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_exact_topk": topk.ORACLE, "op5_line_dedup": LINE_DEDUP, "op9_decontamination": decontamination.ORACLE}
 
 
 LINE_DEDUP = """
@@ -79,3 +79,45 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM r GROUP BY doc_id
 """
+
+NGRAM_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w
+), c AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), h AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM h JOIN c p ON p.doc_id = a JOIN c q ON q.doc_id = b WHERE 5 * h.n >= 4 * (p.n + q.n - h.n)
+), r(a, b) AS (
+  SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+)
+SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM r WHERE a = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM e WHERE a = doc_id) AS n_links
+FROM documents
+"""
+
+SUFFIX_DEDUP = """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), p AS (
+  SELECT doc_id, c + j AS i, md5(substr(y, 2 * j + 1, 800)) AS m FROM (
+    SELECT doc_id, c, substr(x, 2 * c + 1, 998) AS y FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399, 100)) AS c FROM h WHERE length(x) >= 800)
+  ), range(100) AS r(j) WHERE length(y) >= 2 * j + 800
+), r AS (
+  SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM p WHERE m IN (SELECT m FROM p GROUP BY m HAVING count(*) > 1)
+), g AS (
+  SELECT doc_id, i, sum(CASE WHEN step > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM r
+), v AS (
+  SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, g
+), k AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM v
+), t AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS kept FROM k JOIN h USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN t USING (doc_id)
+"""
