@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from voxelry.plans.all import registry
@@ -20,7 +21,8 @@ def sql():
 
 def rows(df):
     cols = sorted(df.columns)
-    return sorted(tuple(None if v != v else round(v, 5) + 0.0 if isinstance(v, float) else v for v in r) for r in df[cols].astype(object).itertuples(index=False)), cols
+    clean = [tuple(None if v is None or v is pd.NA or v != v else round(v, 5) + 0.0 if isinstance(v, float) else v for v in r) for r in df[cols].astype(object).itertuples(index=False)]
+    return sorted(clean, key=lambda r: [(v is None, v if v is not None else 0) for v in r]), cols
 
 
 @pytest.mark.parametrize("name", sorted(registry.sql))
