@@ -131,6 +131,35 @@ def test_watershed_ridge_and_plateau(spark):
     assert K.flood(flat, np.array([[[1, 0, 0, 0, 2]]]), np.ones((1, 1, 5), bool)).ravel().tolist() == [1, 1, 1, 2, 2]
 
 
+def test_flood_across_blocks_is_the_whole_flood(spark):
+    rng = np.random.default_rng(5)
+    for top, invert in ((1, False), (4, True)):  # ties everywhere
+        value = rng.integers(0, top, (4, 9, 10)).astype(float)
+        mask = rng.random(value.shape) > 0.25
+        seeds = np.where((rng.random(value.shape) > 0.97) & mask, rng.integers(1, 9, value.shape), 0)
+        whole = K.flood(-value if invert else value, seeds, mask)
+        vol = frame(spark, np.where(mask, value, np.nan), "value").where("NOT isnan(value)")
+        got = K.whole_watershed(vol, frame(spark, seeds, sparse=True), value.shape, (2, 3, 4), invert)
+        assert (array(got, value.shape) == whole).all()
+
+
+def test_flooding_operators_cross_blocks(spark):
+    a = np.zeros((1, 3, 12), int)
+    a[0, 1, 1] = 1  # an object whose tissue runs on into the next blocks
+    objects, all_ = frame(spark, a, sparse=True), frame(spark, np.ones_like(a), "value")
+    assert W.separate_sheaths(objects, all_, all_, a.shape, 20.0, block=(1, 3, 4)).count() == a.size - 1
+    bright = np.full(a.shape, 10.0)
+    bright[0, 1, 2:7] = [20, 30, 20, 20, 20]
+    assert W.spot_detection(frame(spark, bright, "value"), a.shape, stencil.structuring_element("box", 1), 25, 15, block=(1, 3, 4)).count() == 5
+    walls = np.ones((3, 3, 12), int)
+    walls[1, 1, 1:11] = 0  # a tunnel, at one end of it a label
+    label = np.zeros_like(walls)
+    label[1, 1, 1] = 7
+    outer = np.pad(walls, 1)
+    got = K.fill_holes_unreachable(frame(spark, np.pad(label, 1), sparse=True), outer.shape, [frame(spark, outer, sparse=True)], (2, 2, 4))
+    assert got.where("label = 7").count() == 10
+
+
 def test_distance_transform(spark):
     one = spark.createDataFrame([(1, 2, 3)], "z int, y int, x int")
     step = (0.05, 0.0073, 0.0073)

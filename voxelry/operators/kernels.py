@@ -104,6 +104,89 @@ def seeded_watershed(vol: DataFrame, seeds: DataFrame, dims: Triple, mask: DataF
     return split_blocks(v, dims, block, margin).groupBy("iz", "iy", "ix").applyInPandas(run, "z int, y int, x int, label bigint")
 
 
+def _flood_keys(value: np.ndarray, labels: np.ndarray, index: np.ndarray, mask: np.ndarray, sources: list[tuple]) -> tuple[np.ndarray, dict]:
+    """flood() of one block of a larger volume, with what comes in from outside it, as labels and a key a voxel.
+
+    A voxel's key is its place in the order of the flood of the whole volume: the levels its path rose to, the last
+    one first, each with the number of voxels taken at it, then the seed's linear index. Keys of different seeds never
+    tie, and a longer path never has a smaller key, so blocks agree on keys by exchanging their faces alone.
+    ``sources`` are (place, steps, chain, label) of voxels beside the block, places counted in the block."""
+    label, v = np.zeros(value.shape, np.int64), value
+    key: dict[tuple, tuple] = {}
+    heap = [((float(v[p]), 1.0, -np.inf, float(index[p])), 0, p, int(labels[p])) for p in zip(*(a.tolist() for a in np.nonzero(mask & (labels != 0))))]
+    for chain, steps, p, own in heap:
+        label[p], key[p] = own, (chain, steps)
+    heap += [(chain, steps, p, own) for p, steps, chain, own in sources]
+    heapq.heapify(heap)
+    shape = value.shape
+    while heap:
+        chain, steps, p, own = heapq.heappop(heap)
+        for o in FACES:
+            q = (p[0] + o[0], p[1] + o[1], p[2] + o[2])
+            if all(0 <= a < n for a, n in zip(q, shape)) and mask[q] and not label[q]:
+                level = float(v[q])
+                up = (level, 1.0, *chain) if level > chain[0] else (level, chain[1] + 1, *chain[2:]) if level == chain[0] else chain
+                label[q], key[q] = own, (up, steps + 1)
+                heapq.heappush(heap, (up, steps + 1, q, own))
+    return label, key
+
+
+def whole_watershed(vol: DataFrame, seeds: DataFrame, dims: Triple, block: Triple = (64, 256, 256), invert: bool = False) -> DataFrame:
+    """(z, y, x, label): flood() of the whole volume from seeds, inside the voxels that ``vol`` has; the result does not
+    depend on ``block``. Blocks are flooded again as long as an earlier key reaches them over a face; only faces move."""
+    keys = ["iz", "iy", "ix"]
+    v = vol.select(*AXES, (F.lit(-1.0 if invert else 1.0) * F.col("value").cast("double") + F.lit(0.0)).alias("value"))
+    v = v.join(seeds.where("label <> 0").select(*AXES, F.col("label").alias("_s")), AXES, "left").withColumn("_s", F.coalesce("_s", F.lit(0)).cast("bigint"))
+    v = written(v.select(*[F.expr(f"CAST({a} div {n} AS INT)").alias(f"i{a}") for a, n in zip(AXES, block)], *AXES, "value", "_s"), "flood-blocks")
+    kind = "iz int, iy int, ix int, z int, y int, x int, chain array<double>, steps bigint, label bigint"
+    no_rows = v.sparkSession.createDataFrame([], kind)
+
+    def solve(p: pd.DataFrame, came: pd.DataFrame):
+        lo = np.array([p[a].min() for a in AXES])
+        shape = tuple(np.array([p[a].max() + 1 for a in AXES]) - lo)
+        at = np.stack([p[a].to_numpy() for a in AXES]).astype(np.int64)
+        index = np.zeros(shape, np.int64)
+        index[tuple(at - lo[:, None])] = (at[0] * dims[1] + at[1]) * dims[2] + at[2]
+        mask = np.zeros(shape, bool)
+        mask[tuple(at - lo[:, None])] = True
+        places = zip(*[(came[a] - o).tolist() for a, o in zip(AXES, lo)])
+        sources = [(q, int(n), tuple(map(float, c)), int(own)) for q, n, c, own in zip(places, came.steps, came.chain, came.label)]
+        return lo, *_flood_keys(dense(p, "value", np.inf, lo, shape), dense(p, "_s", 0, lo, shape), index, mask, sources)
+
+    def faces(key: tuple, p: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(p):
+            lo, label, found = solve(p, came)
+            core = [k * s for k, s in zip(key, block)]
+            for q, (chain, steps) in found.items():
+                at = [int(a + o) for a, o in zip(q, lo)]
+                for axis in range(3):
+                    for side, end in ((-1, core[axis]), (1, core[axis] + block[axis] - 1)):
+                        if at[axis] == end:
+                            to = [int(k) + side * (i == axis) for i, k in enumerate(key)]
+                            rows.append((*to, *at, list(chain), steps, int(label[q])))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
+
+    def labels(key: tuple, p: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
+        if not len(p):
+            return pd.DataFrame({"z": [], "y": [], "x": [], "label": []})
+        lo, label, _ = solve(p, came)
+        z, y, x = np.nonzero(label)
+        return pd.DataFrame({"z": z + lo[0], "y": y + lo[1], "x": x + lo[2], "label": label[z, y, x]})
+
+    both = lambda active, came: active.groupBy(*keys).cogroup(came.groupBy(*keys))
+    grid = v.select(*keys).distinct()
+    came, active = no_rows, v
+    while True:
+        sent = both(active, came.join(active.select(*keys).distinct(), keys, "left_semi")).applyInPandas(faces, kind).join(grid, keys, "left_semi")
+        best = F.min(F.struct("chain", "steps", "label")).alias("_k")
+        after = written(came.unionByName(sent).groupBy(*keys, *AXES).agg(best).select(*keys, *AXES, "_k.*"), "flood-faces")
+        changed = after.join(came, after.columns, "left_anti").select(*keys).distinct()
+        if changed.isEmpty():
+            return both(v, after).applyInPandas(labels, "z int, y int, x int, label bigint")
+        came, active = after, v.join(changed, keys, "left_semi")
+
+
 def _shift_any(mask: np.ndarray, element: np.ndarray) -> np.ndarray:
     """Binary dilation of a padded array by offsets."""
     out = np.zeros_like(mask)
@@ -186,7 +269,7 @@ def fill_holes_unreachable(vol: DataFrame, dims: Triple, masks: list[DataFrame],
         free = written(components(complement(blocked, dims), 6, dims), "free")
         top = free.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)
         space = free.join(top, "label", "left_anti").select(*AXES).unionByName(fore.select(*AXES))
-        grown.append(seeded_watershed(space.withColumn("value", F.lit(0.0)), fore, dims, block=block))
+        grown.append(whole_watershed(space.withColumn("value", F.lit(0.0)), fore, dims, block))
     out = grown[0]
     for g in grown[1:]:
         out = out.unionByName(g)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxelry.functions.graph import written
 
 from .components import components
-from .kernels import flood, seeded_watershed
+from .kernels import flood, whole_watershed
 from .labels import AXES, FACES, forward_map, label_union
 from .regions import consecutive_runs, filter_small_labels, region_bbox, relabel_sequential
 from .stencil import binary_dilate, distance_transform, label_rim, local_maxima, near_distance
@@ -131,7 +131,7 @@ def separate_sheaths(objects: DataFrame, tissue: DataFrame, dataset: DataFrame,
     d = written(distance_transform(core, dims, elsize), "distance")
     sheath = sheath_mask(d, tissue, dataset, threshold).join(core.select(*AXES), AXES, "left_anti")
     space = sheath.unionByName(core.select(*AXES))
-    grown = seeded_watershed(d.join(space, AXES, "left_semi"), core, dims, block=block)
+    grown = whole_watershed(d.join(space, AXES, "left_semi"), core, dims, block)
     return grown.join(sheath, AXES, "left_semi")
 
 
@@ -181,7 +181,7 @@ def spot_detection(vol: DataFrame, dims: Triple, element: list[Triple], threshol
     peaks = local_maxima(vol, element, dims, threshold)
     marks = components(peaks, 26, dims)
     space = vol.where(F.col("value") > low)
-    spots = written(seeded_watershed(space, marks, dims, block=block, invert=True), "spots")
+    spots = written(whole_watershed(space, marks, dims, block, invert=True), "spots")
     return filter_small_labels(spots, least).where("label <> 0")
 
 
