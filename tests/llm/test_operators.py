@@ -317,6 +317,21 @@ def test_pii_disclosing_terms(spark):
     assert "zor@blatt" not in clean[0].text and "Zorblatt" not in clean[0].text and "[EMAIL]" in clean[0].text and clean[100].text == rows[6][1]
 
 
+def test_pii_disclosing_terms_far_from_the_entity(spark):
+    rng = random.Random(3)
+    some = lambda n: " ".join(rng.choice("the of and to in is was that for on with as by at".split()) for _ in range(n))
+    near = [(i, f"{some(9)} Zorblatt writes from zor@blatt.org {some(40)} zorblatt, {some(40)}") for i in range(6)]
+    far = [(20 + i, f"{some(9)} writes to quux@corp.org {some(60)} Quuxington {some(9)}") for i in range(6)]
+    df = spark.createDataFrame([*near, *far, *((100 + i, some(60)) for i in range(300))], "doc_id bigint, text string")
+    got = by_id(pii.pii_spans(df))
+    for i, text in near + far:
+        places = {m.span() for m in re.finditer("zorblatt|quuxington", text, re.I)}
+        assert places <= {tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("term")}
+    assert not any(r.spans for i, r in got.items() if i >= 100)
+    clean = by_id(pii.sanitise(df))
+    assert not any(re.search("zorblatt|quuxington", clean[i].text, re.I) for i, _ in near + far)
+
+
 def test_pii_cases(odd):
     assert pii.pii_spans(odd).count() == odd.count() and pii.pii_spans(odd.limit(0)).count() == 0
     assert pii.sanitise(odd).columns == odd.columns
