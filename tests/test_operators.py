@@ -168,6 +168,22 @@ def test_distance_transform(spark):
     assert stencil.distance_transform(one.limit(0), (3, 5, 6)).count() == 0
 
 
+def test_widths_and_sigmoids_have_no_reach(spark):
+    a = np.zeros((2, 3, 14), int)
+    a[0, 1, 0], a[1, 2, 3] = 1, 2
+    objects, width = frame(spark, a, sparse=True), {1: 5.0, 2: 1.0}
+    far = lambda p, label: math.dist(p, np.argwhere(a == label)[0])
+    got = W.sigmoid_distance(objects, spark.createDataFrame(list(width.items()), "label bigint, width double"), a.shape, 0.5).collect()
+    assert len(got) == a.size
+    for r in got:
+        d = {k: far((r.z, r.y, r.x), k) for k in width}
+        assert r.value == pytest.approx(min(2 / (1 + math.exp(-d[k] / (0.5 * w))) - 1 for k, w in width.items()))
+        assert r.near == any(d[k] < 1.5 * w for k, w in width.items())
+    line = np.zeros_like(a)
+    line[0, 1, 1:] = 1  # all of it is rim, and most of it beyond the radius
+    assert W.sheath_width(objects, frame(spark, line, sparse=True), a.shape, 2.5).collect() == [(1, 7.0)]
+
+
 def test_traversing(spark):
     a = np.zeros((4, 6, 6), int)
     a[:, 2, 2] = 1  # bottom and top

@@ -189,27 +189,30 @@ def lower_envelope(f: np.ndarray, step: float) -> np.ndarray:
 LINES = 64
 
 
-def _sweep(axis: str, rest: list[str], n: int, step: float):
+def _sweep(axis: str, rest: list[str], n: int, step: float, by: str | None = None):
     def sweep(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         lines, at = np.unique(p[rest[1]].to_numpy(), return_inverse=True)
         f = np.full((len(lines), n), np.inf)
         f[at, p[axis].to_numpy()] = p.value.to_numpy()
         g = np.concatenate([lower_envelope(row, step) for row in f])
-        return pd.DataFrame({rest[0]: key[0], rest[1]: np.repeat(lines, n), axis: np.tile(np.arange(n), len(lines)), "value": g})[[*AXES, "value"]]
+        out = pd.DataFrame({rest[0]: key[0], rest[1]: np.repeat(lines, n), axis: np.tile(np.arange(n), len(lines)), "value": g})[[*AXES, "value"]]
+        return out.assign(**{by: key[2]}) if by else out
 
     return sweep
 
 
-def distance_transform(mask: DataFrame, dims: Triple, elsize: tuple[float, float, float] = (1, 1, 1)) -> DataFrame:
+def distance_transform(mask: DataFrame, dims: Triple, elsize: tuple[float, float, float] = (1, 1, 1), by: str | None = None) -> DataFrame:
     """(z, y, x, value): Euclidean distance of every voxel to the nearest mask voxel, on an anisotropic grid; null
     if there is none. One pass an axis, a group a bundle of lines; lines without any source have no rows until a
-    later pass reaches them."""
-    d = mask.select(*AXES, F.lit(0.0).alias("value")).distinct()
+    later pass reaches them. ``by`` (a double column) gives one transform for each of its values."""
+    keys = [by] if by else []
+    d = mask.select(*keys, *AXES, F.lit(0.0).alias("value")).distinct()
+    kind = "z int, y int, x int, value double" + (f", {by} double" if by else "")
     for axis, n, e in ((a, dims[i], elsize[i]) for i, a in ((2, "x"), (1, "y"), (0, "z"))):
         rest = [a for a in AXES if a != axis]
 
-        d = d.groupBy(rest[0], F.expr(f"{rest[1]} div {LINES}")).applyInPandas(_sweep(axis, rest, n, e), "z int, y int, x int, value double")
-    return d.select(*AXES, F.sqrt("value").alias("value"))
+        d = d.groupBy(rest[0], F.expr(f"{rest[1]} div {LINES}"), *keys).applyInPandas(_sweep(axis, rest, n, e, by), kind)
+    return d.select(*keys, *AXES, F.sqrt("value").alias("value"))
 
 
 def near_distance(mask: DataFrame, dims: Triple, radius: float, elsize: tuple[float, float, float] = (1, 1, 1)) -> DataFrame:

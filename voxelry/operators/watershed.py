@@ -135,18 +135,46 @@ def separate_sheaths(objects: DataFrame, tissue: DataFrame, dataset: DataFrame,
     return grown.join(sheath, AXES, "left_semi")
 
 
+def _own_distance(points: DataFrame, objects: DataFrame, dims: Triple, reach: float, elsize=(1, 1, 1)) -> DataFrame:
+    """(label, z, y, x, value): exact distance of each point to its label's object, however far; points without an
+    object have no row. Points look in the cells around their own, cells twice as wide in every round."""
+    own = written(label_rim(objects, dims, outer=False), "surface")
+    left = written(points.select("label", *AXES).join(own.select("label").distinct(), "label", "left_semi"), "far")
+    done = []
+    while not left.isEmpty():
+        cell = {a: F.floor(F.col(a) * abs(e) / reach) for a, e in zip(AXES, elsize)}
+        around = [F.explode(F.sequence(cell[a] - 1, cell[a] + 1)).alias(f"c{a}") for a in AXES]
+        near = left
+        for c in around:
+            near = near.select("*", c)
+        cells = own.select("label", *[F.col(a).alias(f"o{a}") for a in AXES], *[cell[a].alias(f"c{a}") for a in AXES])
+        d = F.sqrt(sum(((F.col(a) - F.col(f"o{a}")) * float(e)) ** 2 for a, e in zip(AXES, elsize)))
+        got = near.join(cells, ["label", "cz", "cy", "cx"]).groupBy("label", *AXES).agg(F.min(d).alias("value")).where(F.col("value") <= reach)
+        done.append(written(got, "far-found"))
+        left, reach = written(left.join(done[-1], ["label", *AXES], "left_anti"), "far"), 2 * reach
+    return reduce(DataFrame.unionByName, done) if done else points.select("label", *AXES, F.lit(0.0).alias("value")).limit(0)
+
+
 def sheath_width(objects: DataFrame, sheaths: DataFrame, dims: Triple, radius: float, elsize=(1, 1, 1)) -> DataFrame:
-    """(label, width): exact median, over a sheath's outer rim, of the distance to its object."""
+    """(label, width): exact median, over a sheath's outer rim, of the distance to its object. ``radius`` is where
+    the cheap search ends; the few rim voxels beyond it are searched one by one."""
     rim = label_rim(sheaths, dims, outer=False)
-    d = near_distance(objects.where("label <> 0").select("label", *AXES), dims, radius, elsize)
-    return rim.join(d, ["label", *AXES]).groupBy("label").agg(F.median("value").alias("width"))
+    core = objects.where("label <> 0").select("label", *AXES)
+    d = written(rim.join(near_distance(core, dims, radius, elsize), ["label", *AXES], "left"), "rim")
+    far = _own_distance(d.where("value IS NULL"), core, dims, 2 * max(radius, *map(abs, elsize)), elsize)
+    return d.where("value IS NOT NULL").unionByName(far.select(*d.columns)).groupBy("label").agg(F.median("value").alias("width"))
 
 
 def sigmoid_distance(objects: DataFrame, widths: DataFrame, dims: Triple, weight: float, elsize=(1, 1, 1), reach: float | None = None) -> DataFrame:
-    """(z, y, x, value, near): the least over labels of 2 (sigmoid(d / (weight width)) - 1/2), 1 where no label is
-    in reach; near if any label's d is below 1.5 widths."""
-    far = reach if reach is not None else 5.0
-    d = near_distance(objects.where("label <> 0").select("label", *AXES), dims, far, elsize).join(widths, "label")
+    """(z, y, x, value, near): the least over labels of 2 (sigmoid(d / (weight width)) - 1/2); near if any label's d is
+    below 1.5 widths. For every voxel of the volume, with a distance transform for each width; a ``reach`` leaves
+    out labels beyond it, and voxels that no label reaches."""
+    core = objects.where("label <> 0").select("label", *AXES)
+    if reach is None:
+        sized = core.join(widths, "label").select(F.col("width").cast("double").alias("width"), *AXES)
+        d = distance_transform(sized, dims, elsize, "width")
+    else:
+        d = near_distance(core, dims, reach, elsize).join(widths, "label")
     s = 2 * (1 / (1 + F.exp(-F.col("value") / (F.lit(weight) * F.col("width")))) - 0.5)
     return d.groupBy(*AXES).agg(F.least(F.min(s), F.lit(1.0)).alias("value"), F.max(F.col("value") < 1.5 * F.col("width")).alias("near"))
 
