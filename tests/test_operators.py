@@ -90,6 +90,17 @@ def test_hole_filling(spark):
     assert array(K.fill_holes_capped(frame(spark, b), b.shape), b.shape).sum() == 125
 
 
+def test_large_labels_are_filled_like_small_ones(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    a = np.where(rng.random((5, 7, 8)) > 0.35, np.where(np.arange(8) < 4, 1, 2), 0)
+    cross = stencil.structuring_element("ball", 1)
+    work = [lambda v: K.fill_holes_closing(v, a.shape, cross), lambda v: K.fill_holes_closing(v, a.shape, cross, True), lambda v: K.fill_holes_capped(v, a.shape)]
+    small = [array(f(frame(spark, a)), a.shape) for f in work]
+    monkeypatch.setattr(K, "MOST_VOXELS", 20)  # as the driver sees it: every label is large
+    monkeypatch.setattr(K, "map_labels", lambda v, *_: v)  # and none goes to a kernel
+    assert all((array(f(frame(spark, a)), a.shape) == s).all() and (s > 0).sum() > (a > 0).sum() for f, s in zip(work, small))
+
+
 def test_split_and_merge_blocks(spark):
     a = np.zeros((4, 8, 8), int)
     a[1:3, 2:6, 2:6] = 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.functions.graph import written
@@ -17,7 +17,8 @@ from .components import complement, components
 from .labels import AXES, FACES, forward_map, shifted
 
 Triple = tuple[int, int, int]
-#: The largest bounding box (voxels) that one kernel call gets; labels beyond are refused by name, never cut.
+#: The largest bounding box (voxels) that one kernel call gets. Hole filling takes larger labels through joins;
+#: map_labels, whose kernel is any function, refuses them by name and never cuts them.
 MOST_VOXELS = 1 << 27
 
 
@@ -244,6 +245,44 @@ def _capped(mask: np.ndarray, lo: np.ndarray, dims: Triple, work: Callable[[np.n
     return work(m)[int(low) : int(low) + len(mask)]
 
 
+def _fill_large(fore: DataFrame, box: DataFrame, dims: Triple, element: list[Triple] | None, capped: bool) -> DataFrame:
+    """(z, y, x, label): closing and binary fill of labels of any size, by joins and components(); ``box`` has a row a
+    label. Boxes are stacked along z, so that boxes that overlap do not meet."""
+    tall = dims[0] + 2
+    box = written(box.withColumn("slot", F.row_number().over(Window.orderBy("label")) - 1), "large-boxes")  # a row a large label
+    span = lambda a: F.explode(F.sequence(f"{a}0", F.col(f"{a}1") - 1)).alias(a)
+    flat = box.select("*", span("y")).select("*", span("x"))
+    closed = fore.join(box.select("label"), "label", "left_semi").select(*AXES, "label")
+    if element:
+        if capped:
+            for at, z in (("z0 = 0", -1), (f"z1 = {dims[0]}", dims[0])):
+                closed = closed.unionByName(flat.where(at).select(F.lit(z).alias("z"), "y", "x", "label"))
+        grown = shifted(closed, element).distinct()
+        closed = shifted(grown, [(-dz, -dy, -dx) for dz, dy, dx in element]).groupBy(*AXES, "label").agg(F.count("*").alias("n")).where(F.col("n") == len(element))
+        closed = closed.join(box, "label").where(" AND ".join(f"{c} >= {c}0 AND {c} < {c}1" for c in AXES)).select(*AXES, "label")
+    closed = written(closed, "large-closed")
+    free = flat.select("*", span("z")).join(closed, [*AXES, "label"], "left_anti")
+    stacked = free.select((F.col("z") + F.col("slot") * tall).cast("int").alias("z"), "y", "x")
+    pieces = written(components(stacked, 6, (box.count() * tall, *dims[1:])).withColumnRenamed("label", "piece"), "large-pieces")
+    pieces = pieces.withColumn("slot", F.expr(f"CAST(z div {tall} AS INT)")).withColumn("z", F.col("z") - F.col("slot") * tall).join(box, "slot")
+    ends = "(z = z0 AND z0 > 0) OR (z = z1 - 1 AND z1 < %d)" % dims[0] if capped else "z = z0 OR z = z1 - 1"
+    outside = pieces.where(f"{ends} OR y = y0 OR y = y1 - 1 OR x = x0 OR x = x1 - 1").select("piece").distinct()
+    return closed.unionByName(pieces.join(outside, "piece", "left_anti").select(*AXES, "label"))
+
+
+def _fill_each(vol: DataFrame, dims: Triple, kernel: Callable[[int, np.ndarray, np.ndarray], np.ndarray], margin: int, element: list[Triple] | None, capped: bool) -> DataFrame:
+    """A label whose box one kernel call can hold goes there, a larger one through joins; both give the same."""
+    fore = vol.where("label <> 0").select(*AXES, "label")
+    low = [F.greatest(F.min(a) - margin, F.lit(0)).alias(f"{a}0") for a in AXES]
+    high = [F.least(F.max(a) + 1 + margin, F.lit(d)).alias(f"{a}1") for a, d in zip(AXES, dims)]
+    size = F.expr(" * ".join(f"CAST({a}1 - {a}0 AS BIGINT)" for a in AXES))
+    large = written(fore.groupBy("label").agg(*low, *high).where(size > MOST_VOXELS), "large")
+    if large.isEmpty():
+        return _add_free(vol, map_labels(vol, kernel, margin, dims))
+    small = map_labels(fore.join(large.select("label"), "label", "left_anti"), kernel, margin, dims)
+    return _add_free(vol, small.unionByName(_fill_large(fore, large, dims, element, capped).select(*AXES, F.col("label").cast("bigint").alias("label"))))
+
+
 def fill_holes_closing(vol: DataFrame, dims: Triple, element: list[Triple], capped: bool = False) -> DataFrame:
     """Per label: closing, then binary fill; ``capped`` treats planes beyond the volume's ends as filled."""
 
@@ -251,12 +290,12 @@ def fill_holes_closing(vol: DataFrame, dims: Triple, element: list[Triple], capp
         work = lambda m: fill(closing(m, element))
         return _capped(mask, lo, dims, work) if capped else work(mask)
 
-    return _add_free(vol, map_labels(vol, kernel, max(max(map(abs, o)) for o in element), dims))
+    return _fill_each(vol, dims, kernel, max(max(map(abs, o)) for o in element), element, capped)
 
 
 def fill_holes_capped(vol: DataFrame, dims: Triple) -> DataFrame:
     """Binary fill per label, planes beyond the volume's ends treated as filled."""
-    return _add_free(vol, map_labels(vol, lambda label, mask, lo: _capped(mask, lo, dims, fill), 0, dims))
+    return _fill_each(vol, dims, lambda label, mask, lo: _capped(mask, lo, dims, fill), 0, None, True)
 
 
 def fill_holes_unreachable(vol: DataFrame, dims: Triple, masks: list[DataFrame], block: Triple = (64, 256, 256)) -> DataFrame:
