@@ -10,10 +10,14 @@ with one anchor occurrence, a segment its bytes.
   anchor. It is built by grouping suffixes by their Lyndon prefixes, in descending order and with pointers to
   the previous smaller suffix, and then emitting the groups' order: no recursion and no renaming. Suffixes
   that share 24 cells are neighbours; their windows are equal if the 16 bytes around those cells are.
-* An anchor with more than ``MOST`` unlike segments would make a large task. Its windows are counted one by
-  one instead, by digest, with partial counts before the shuffle.
-
-All of it is exact up to 128-bit hashes.
+* A group of more than ``MOST`` unlike segments would make a large task, so it is refined until its parts are
+  small enough: its windows fall into stretches (``WIDTHS``) by how far they reach to the left of the anchor; all
+  windows of a stretch hold the same, longer string around the anchor, and a segment goes on with each stretch
+  under that string as its new group. Segments that are alike in a stretch are repeated there, and one of them
+  goes on. A stretch narrows to one window in the end, where a group is alike; on the way, a segment stays in
+  the stretches that hold the ends of what it shares, so rows grow with the segments, not with their pairs.
+
+All of it is exact up to 128-bit hashes of texts, segments and groups.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,13 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, row_key, unpacked, written
+from .common import KEY, packed_by_key, row_key, unpacked, written
 from .ngram_join import by_group
 
 LENGTH, ANCHOR, CELL = 400, 128, 16
 SPAN = LENGTH - ANCHOR + 1
 CELLS = LENGTH // CELL - 1
-MOST = 64
+#: Unlike segments that one suffix array takes, at most 672 bytes each; windows of a stretch, round by round.
+MOST, WIDTHS = 1024, (64, 16, 4, 1)
 _CHUNK = 1 << 20
 _rng = np.random.default_rng(9)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,20 +85,35 @@ def runs(data: bytes) -> Iterator[tuple[int, int, int]]:
             yield begin + a, z - a, begin + int(least[a])
 
 
+_RUN = ["g1", "g2", "s1", "s2", *KEY, "p", "n", "back"]
+
+
+def _digests(data: list[bytes]) -> np.ndarray:
+    """Two columns of 64 bits."""
+    return np.frombuffer(b"".join(data), "<i8").reshape(-1, 2)
+
+
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
     for b in batches:
-        out: list[list[int]] = [[] for _ in range(6)]
-        for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        hashes: list[bytes] = []
+        out: list[list[int]] = [[] for _ in range(5)]
+        for k1, k2, data in zip(*(b.column(i).to_pylist() for i in range(3))):
             if data is None or len(data) < LENGTH:
                 continue
             for start, n, anchor in runs(data):
-                row = (digest(data[anchor : anchor + ANCHOR]), digest(data[start : start + n + LENGTH - 1], anchor - start), k, start, n, anchor - start)
-                for v, x in zip(out, row):
+                hashes += (digest(data[anchor : anchor + ANCHOR]), digest(data[start : start + n + LENGTH - 1], anchor - start))
+                for v, x in zip(out, (k1, k2, start, n, anchor - start)):
                     v.append(x)
-        kinds = [pa.int64()] * 6
-        cols = [pa.array(np.array(v, np.uint64).view(np.int64)) if i < 2 else pa.array(v, kinds[i]) for i, v in enumerate(out)]
-        yield pa.RecordBatch.from_arrays(cols, ["ah", "sh", "k", "p", "n", "back"])
+            if len(out[0]) > 50_000:
+                yield _run_batch(hashes, out)
+                hashes, out = [], [[] for _ in range(5)]
+        yield _run_batch(hashes, out)
+
+
+def _run_batch(hashes: list[bytes], out: list[list[int]]) -> pa.RecordBatch:
+    h = _digests(hashes).reshape(-1, 4)
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(h[:, i])) for i in range(4)), *(pa.array(v, pa.int64()) for v in out)], _RUN)
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -218,37 +239,38 @@ def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
 
 
-_MARKS = "k long, a long, z long"
-
-
-def _mark_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["k", "a", "z"])
+_MARK = [*KEY, "a", "z"]
+_MARKS = ", ".join(f"{x} long" for x in _MARK)
+#: A segment, or the part of it in one stretch: its group, its own digest, the rows that are like it (times), its
+#: text, first window, windows, the anchor's place in it, and its bytes.
+_KIND = ["g1", "g2", "s1", "s2"]
+_PIECE = [*_KIND, "times", *KEY, "p", "n", "back"]
+_PIECES = ", ".join(f"{x} long" for x in _PIECE) + ", bytes binary"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor -> (k, a, z): repeated bytes of segments that occur once."""
+    """Unlike pieces sorted by group -> repeated bytes of those that occur once."""
     held: list[tuple[int, bytes, int, int]] = []
-    info: list[tuple[int, int, int]] = []
+    info: list[tuple[int, int, int, int]] = []
     size = 0
 
     def settle() -> pa.RecordBatch:
         marks = []
-        for (k, p, c), flags in zip(info, repeated_windows(held)):
-            if c == 1:
-                marks += [(k, p + a, p + a + n - 1 + LENGTH) for a, n in intervals(flags)]
+        for (k1, k2, p, times), flags in zip(info, repeated_windows(held)):
+            if times == 1:
+                marks += [(k1, k2, p + a, p + a + n - 1 + LENGTH) for a, n in intervals(flags)]
         held.clear()
         info.clear()
-        return _mark_batch(marks)
-
-    for g in by_group(batches, ["ah"]):
-        seen = set()
-        for ah, sh, k, p, c, n, back, data in zip(*(g.column(x).to_pylist() for x in ("ah", "sh", "k", "p", "c", "n", "back", "bytes"))):
-            if sh not in seen:
-                seen.add(sh)
-                held.append((ah, data, n, back))
-                info.append((k, p, c))
-                size += len(data)
-        if size > 1 << 20:
+        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in marks], pa.int64()) for i in range(4)], _MARK)
+
+    number = 0
+    for g in by_group(batches, ["g1", "g2"]):
+        number += 1
+        for times, k1, k2, p, n, back, data in zip(*(g.column(x).to_pylist() for x in ("times", *KEY, "p", "n", "back", "bytes"))):
+            held.append((number, data, n, back))
+            info.append((k1, k2, p, times))
+            size += len(data)
+        if size > 1 << 19:
             yield settle()
             size = 0
     if held:
@@ -256,43 +278,75 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("ah", "sh", "c", "kinds", "p", "n", "back")
+    last = None
     for b in batches:
-        rows = [(w, k, data[w["p"] : w["p"] + w["n"] + LENGTH - 1]) for k, data, wanted in zip(*(b.column(i).to_pylist() for i in range(3))) for w in wanted]
+        rows = []
+        for k1, k2, data, wanted in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if (k1, k2) != last:  # not for every copy of a row
+                last = (k1, k2)
+                rows += [(w, data[w["p"] : w["p"] + w["n"] + LENGTH - 1]) for w in wanted]
         for at in range(0, len(rows), 20_000):
             part = rows[at : at + 20_000]
-            cols = [pa.array([w[x] for w, _, _ in part], pa.int64()) for x in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([k for _, k, _ in part], pa.int64()), pa.array([d for _, _, d in part], pa.binary())], [*names, "k", "bytes"])
+            cols = [pa.array([w[x] for w, _ in part], pa.int64()) for x in _PIECE]
+            bytes_, many = pa.array([d for _, d in part], pa.binary()), pa.array([w["many"] for w, _ in part])
+            yield pa.RecordBatch.from_arrays([*cols, bytes_, many], [*_PIECE, "bytes", "many"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of hot segments, one by one."""
+def _refine(width: int):
+    """Pieces -> their parts in stretches of ``width`` windows, by the windows' reach to the left of the anchor."""
     digest = xxhash.xxh3_128_digest
-    for b in batches:
-        for ah, k, p, n, back, c, data in zip(*(b.column(x).to_pylist() for x in ("ah", "k", "p", "n", "back", "c", "bytes"))):
-            d = np.frombuffer(b"".join(digest(data[w : w + LENGTH]) for w in range(n)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([k] * n, pa.int64()), pa.array(np.arange(p, p + n)), pa.array([c] * n, pa.int64())], ["w1", "w2", "k", "a", "c"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes, rows, cut = [], [], []
+            for times, k1, k2, p, n, back, data in zip(*(b.column(x).to_pylist() for x in ("times", *KEY, "p", "n", "back", "bytes"))):
+                for q in range((back - n + 1) // width, back // width + 1):
+                    near, far = q * width, q * width + width - 1  # reach of the stretch's last and first window
+                    first, last = max(0, back - far), min(n - 1, back - near)
+                    inner = data[back - near : back - far + LENGTH]  # in all windows of the stretch
+                    part = data[first : last + LENGTH]
+                    hashes += (digest(inner, q), digest(part, back - first))
+                    rows.append((times, k1, k2, p + first, last - first + 1, back - first))
+                    cut.append(part)
+            h = _digests(hashes).reshape(-1, 4)
+            cols = [pa.array(np.ascontiguousarray(h[:, i])) for i in range(4)] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.binary())], [*_PIECE, "bytes"])
+
+    return parts
+
+
+def _shared(rows: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose kind occurs again, and a row for each kind of a group of unlike kinds, with ``many``: whether
+    the group has more than one suffix array takes."""
+    one = F.min(F.struct(*KEY, "p", "n", "back", *kept)).alias("one")
+    kinds = rows.groupBy(*_KIND).agg(F.count("*").alias("rows"), F.sum("times").alias("times"), one)
+    groups = kinds.groupBy("g1", "g2").agg(F.count("*").alias("kinds"), F.sum("rows").alias("total")).where("total > 1").drop("total")
+    shared = written(kinds.join(groups, ["g1", "g2"]).select(*_KIND, "rows", "kinds", "times", "one.*"), "suffix-shared")
+    again = rows.join(shared.where("rows > 1").select(*_KIND), _KIND, "left_semi")
+    return again, shared.where("kinds > 1").select(*_PIECE, *kept, (F.col("kinds") > MOST).alias("many"))
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """Marks of rows that are repeated throughout."""
+    return rows.select(*KEY, F.col("p").alias("a"), (F.col("p") + F.col("n") - 1 + LENGTH).alias("z"))
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
-    """(k, a, z): bytes a to z of the text are covered by repeated windows; k is xxhash64(doc_id, text)."""
-    source = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("text").cast("binary").alias("data")).where(F.octet_length("data") >= LENGTH)
-    found = written(source.mapInArrow(_run_rows, "ah long, sh long, k long, p long, n long, back long"), "suffix-runs")
-    by_segment = found.groupBy("ah", "sh").agg(F.count("*").alias("c"), F.min(F.struct("k", "p", "n", "back")).alias("one"))
-    by_anchor = by_segment.groupBy("ah").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("ah", "kinds")
-    shared = written(by_segment.join(by_anchor, "ah").select("ah", "sh", "c", "kinds", "one.*"), "suffix-shared")
-    copies = found.join(shared.where("c > 1").select("ah", "sh"), ["ah", "sh"], "left_semi").select("k", F.col("p").alias("a"), (F.col("p") + F.col("n") - 1 + LENGTH).alias("z"))
-
-    wanted = shared.where("kinds > 1").groupBy("k").agg(F.collect_list(F.struct("ah", "sh", "c", "kinds", "p", "n", "back")).alias("wanted"))
-    names = "ah long, sh long, c long, kinds long, p long, n long, back long, k long, bytes binary"
-    segments = written(source.join(wanted, "k").select("k", "data", "wanted").mapInArrow(_segments, names), "suffix-segments")
-    cool = segments.where(F.col("kinds") <= MOST).repartition("ah").sortWithinPartitions("ah", "sh").mapInArrow(_compare, _MARKS)
-
-    hot = segments.where(F.col("kinds") > MOST)
-    windows = hot.mapInArrow(_windows, "w1 long, w2 long, k long, a long, c long")
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
-    warm = windows.where("c = 1").join(again, ["w1", "w2"], "left_semi").select("k", "a", (F.col("a") + LENGTH).alias("z"))
-    return copies.unionByName(cool).unionByName(warm)
+    """(k1, k2, a, z): bytes a to z of the text are covered by repeated windows."""
+    source = docs.select(*row_key(), F.col("text").cast("binary").alias("data")).where(F.octet_length("data") >= LENGTH)
+    found = written(source.mapInArrow(_run_rows, ", ".join(f"{x} long" for x in _RUN)), "suffix-runs")
+    copies, unlike = _shared(found.withColumn("times", F.lit(1).cast("long")))
+    marks = [_whole(copies)]
+    wanted = unlike.groupBy(*KEY).agg(F.collect_list(F.struct(*_PIECE, "many")).alias("wanted"))
+    pieces = written(source.join(wanted, KEY).select(*KEY, "data", "wanted").mapInArrow(_segments, f"{_PIECES}, many boolean"), "suffix-segments")
+    for width in WIDTHS:
+        marks.append(pieces.where("NOT many").repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_compare, _MARKS))
+        large = pieces.where("many").drop("many")
+        if large.isEmpty():
+            break
+        copies, pieces = _shared(written(large.mapInArrow(_refine(width), _PIECES), "suffix-parts"), "bytes")
+        marks.append(_whole(copies))
+    return reduce(DataFrame.unionByName, marks)
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -306,8 +360,8 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    spans = repeated_bytes(docs).groupBy("k").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
-    return packed(docs).withColumn("k", row_key()).join(spans, "k", "left")
+    spans = repeated_bytes(docs).groupBy(*KEY).agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+    return packed_by_key(docs).join(spans, KEY, "left")
 
 
 def suffix_dedup_digest(docs: DataFrame) -> DataFrame:
