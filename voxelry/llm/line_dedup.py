@@ -5,6 +5,9 @@ The range is over (hash, document descending, position), so a line that a third
 is spread over several neighbouring partitions. Inside a partition a run of equal hashes is decided
 while it streams by. A partition's first run may have begun in the partition before and its last run may
 go on in the next one; their rows are settled by an aggregate over at most two hashes a partition.
+
+A line's row carries its document's number, which decides which copy stays, and the key of its row (id and
+text), to which the verdict goes: rows that repeat a doc_id with another text have verdicts of their own.
 """
 
 from __future__ import annotations
@@ -19,28 +22,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked, written
+from .common import KEY, packed_by_key, row_key, unpacked, written
 
-_SORT = ("h1", "h2", "d", "pos")
-_LINES = "h1 long, h2 long, d long, pos int"
+_SORT = ("h1", "h2", "d", "pos", *KEY)
+_LINES = "h1 long, h2 long, d long, pos int, k1 long, k2 long"
 
 
 def _line_rows(min_chars: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, places, digests = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows, places, digests = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
                 for pos, line in enumerate((text or b"").split(b"\n")):
                     key = line.strip().lower()  # of bytes: ASCII white space and A-Z only
                     if len(key) >= min_chars and (key.isascii() or len(key.decode("utf-8", "replace")) >= min_chars):
-                        docs.append(doc)
+                        rows.append(row)
                         places.append(pos)
                         digests.append(xxhash.xxh3_128_digest(key))
             h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(docs, pa.int64()), pa.array(places, pa.int32())],
-                ["h1", "h2", "d", "pos"],
-            )
+            doc, k1, k2 = (batch.column(i).take(pa.array(rows, pa.int32())) for i in (0, 2, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), doc, pa.array(places, pa.int32()), k1, k2], [*_SORT])
 
     return rows
 
@@ -93,36 +94,33 @@ def _stream(min_docs: int):
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (document, position) of dropped lines -> a bitmap a document; lines past its end are kept."""
+    """Sorted (key, position) of dropped lines -> a bitmap a row; lines past its end are kept."""
 
-    def pack(d: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        ends = np.append(starts[1:], len(d))
+    def pack(k1: np.ndarray, k2: np.ndarray, p: np.ndarray, starts: np.ndarray, end: int) -> pa.RecordBatch:
         maps, counts = [], []
-        for a, b in zip(starts, ends):
+        for a, b in zip(starts, np.append(starts[1:], end)):
             keep = np.ones((p[b - 1] // 8 + 1) * 8, np.uint8)  # whole bytes; what pads them is kept
             keep[p[a:b]] = 0
             maps.append(zlib.compress(np.packbits(keep).tobytes()))
             counts.append(len(keep) - int(keep.sum()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(d[starts]), pa.array(counts, pa.int64()), pa.array(maps, pa.binary())], ["doc_id", "n_dropped", "keep"]
+            [pa.array(k1[starts]), pa.array(k2[starts]), pa.array(counts, pa.int64()), pa.array(maps, pa.binary())], [*KEY, "n_dropped", "keep"]
         )
 
-    d, p = np.empty(0, np.int64), np.empty(0, np.int32)
+    k1, k2, p = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
     for batch in batches:
         if batch.num_rows:
-            d = np.concatenate([d, batch.column(0).to_numpy()])
-            p = np.concatenate([p, batch.column(1).to_numpy()])
-            cut = int(np.searchsorted(d, d[-1]))
-            if cut:
-                yield pack(d[:cut], p[:cut])
-                d, p = d[cut:], p[cut:]
-    if len(d):
-        yield pack(d, p)
+            k1, k2, p = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((k1, k2, p)))
+            starts = np.flatnonzero(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
+            if cut := int(starts[-1]):
+                yield pack(k1, k2, p, starts[:-1], cut)
+                k1, k2, p = k1[cut:], k2[cut:], p[cut:]
+    if len(p):
+        yield pack(k1, k2, p, np.array([0]), len(p))
 
 
 def line_keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(doc_id, n_dropped, keep) for each document that loses lines.
+    """(k1, k2, n_dropped, keep) for each row that loses lines; k1 and k2 are its key by id and text.
 
     A line's key is the line without ASCII white space at both ends and with A-Z lower-cased. Keys of
     ``min_chars`` code points or more found in ``min_docs`` documents lose all their lines except in the
@@ -130,16 +128,14 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     kept line; lines beyond its end are kept.
 
     Null doc_id: takes no part, keeps its lines. Null or empty text: one empty line, always kept. Rows that
-    repeat a doc_id are one document; rows of one doc_id with unlike texts share verdicts by line number.
-    Ties cannot arise: the largest doc_id is one document. Other columns are ignored; an empty table
-    gives an empty table.
+    repeat a doc_id count as one document, but each text has its own verdict; rows that repeat the text too
+    share one. Ties cannot arise: the largest doc_id is one document. Other columns are ignored; an empty
+    table gives an empty table.
     """
-    lines = (
-        docs.where(F.col("doc_id").isNotNull())
-        .select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-        .mapInArrow(_line_rows(min_chars), _LINES)
-    )
-    order = [F.col("h1"), F.col("h2"), F.col("d").desc(), F.col("pos")]
+    named = docs.where(F.col("doc_id").isNotNull())
+    lines = named.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *row_key()).mapInArrow(_line_rows(min_chars), _LINES)
+    lines = written(lines, "lines")  # the ranges are drawn from a first pass; texts are split once
+    order = [F.col("h1"), F.col("h2"), F.col("d").desc(), F.col("pos"), *map(F.col, KEY)]
     streamed = lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), f"{_LINES}, kind int")
     # Read twice below: the cut between partitions must be the same both times.
     rows = written(streamed, "line-dedup")
@@ -150,8 +146,8 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
         .where((F.col("n") >= min_docs) | (F.col("kind") == HEAD))
     )  # at most two hashes a partition, so it may be broadcast
     late = edge.where(F.col("kind") == OPEN).join(F.broadcast(heads.select("h1", "h2", "top")), ["h1", "h2"]).where("d <> top")
-    dropped = rows.where(F.col("kind") == DROPPED).select("d", "pos").unionByName(late.select("d", "pos"))
-    return dropped.repartition("d").sortWithinPartitions("d", "pos").mapInArrow(_bitmaps, "doc_id long, n_dropped long, keep binary")
+    dropped = rows.where(F.col("kind") == DROPPED).select(*KEY, "pos").unionByName(late.select(*KEY, "pos"))
+    return dropped.repartition(*KEY).sortWithinPartitions(*KEY, "pos").mapInArrow(_bitmaps, "k1 long, k2 long, n_dropped long, keep binary")
 
 
 def keep_lines(text: str, keep: bytes | None) -> str:
@@ -176,7 +172,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     """``docs`` with its columns and rows, texts without repeated lines; ``n_chars``, if there, is brought
     up to date. Cases as in :func:`line_keep_bitmaps`; a text that loses all its lines becomes empty."""
     maps = line_keep_bitmaps(docs, min_chars, min_docs)
-    out = packed(docs).join(maps, F.col("doc.doc_id") == F.col("doc_id"), "left").select("doc", "keep", kept_text(F.col("doc.text"), F.col("keep")).alias("kept"))
+    out = packed_by_key(docs).join(maps, KEY, "left").withColumn("keep", F.when(F.col("doc.doc_id").isNotNull(), F.col("keep")))
+    out = out.select("doc", "keep", kept_text(F.col("doc.text"), F.col("keep")).alias("kept"))
     changed = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("keep").isNull(), F.col("doc.n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
@@ -187,8 +184,8 @@ def line_dedup_digest(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     """doc_id, n_lines (before dropping), n_dropped, kept_sha256 of what stays. A null text is one empty line."""
     import hashlib
 
-    maps = line_keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_doc"), F.col("n_dropped").alias("_n"), F.col("keep").alias("_keep"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(maps, F.col("doc_id") == F.col("_doc"), "left")
+    maps = line_keep_bitmaps(docs, min_chars, min_docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key()).join(maps, KEY, "left")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,4 +196,4 @@ def line_dedup_digest(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    return rows.select("doc_id", "text", "_n", "_keep").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return rows.select("doc_id", "text", "n_dropped", "keep").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
