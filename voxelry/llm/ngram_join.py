@@ -1,7 +1,7 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Texts are sets of shingles of five words. Exact copies form one class first; one representative of each
-goes on. Bands of its MinHash values propose candidates; the values of a candidate pair are compared
+Texts are sets of shingles of five words. Texts of the same words form one class first; one representative of
+each goes on, under a number of its own, so that rows which repeat a doc_id with another text stay apart. Bands of its MinHash values propose candidates; the values of a candidate pair are compared
 sixteen at a time, and the pair is dropped as soon as the posterior probability that its similarity reaches
 the threshold is below a tolerance. What survives is verified exactly on the shingle sets.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from voxelry.functions.graph import connected_components
 
-from .common import packed, row_key, unpacked, written
+from .common import KEY, packed_by_key, row_key, unpacked, written
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, BAND = 128, 5
@@ -79,7 +79,7 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys, sigs = [], []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+        for doc, text in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
             words = word_list(text) if doc is not None else []
             if words:
                 keys.append(xxhash.xxh3_128_digest(" ".join(words)))
@@ -89,8 +89,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sigs.append(None)
         h = [np.frombuffer(k, "<i8").tolist() if k else (None, None) for k in keys]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([x[0] for x in h], pa.int64()), pa.array([x[1] for x in h], pa.int64()), pa.array(sigs, pa.binary())],
-            ["doc_id", "k", "h1", "h2", "sig"],
+            [b.column(0), b.column(1), b.column(2), pa.array([x[0] for x in h], pa.int64()), pa.array([x[1] for x in h], pa.int64()), pa.array(sigs, pa.binary())],
+            ["doc_id", *KEY, "h1", "h2", "sig"],
         )
 
 
@@ -160,7 +160,6 @@ def _prune(least: list[int]) -> Callable:
             if x != y and block.min() == block.max():
                 continue
             i, j = candidate_pairs(sig, block, b, x == y, least)
-            i, j = i[rid[i] != rid[j]], j[rid[i] != rid[j]]
             if not len(i):
                 continue
             order = np.argsort(i, kind="stable")
@@ -210,10 +209,7 @@ def _verify(threshold: float) -> Callable:
             return batch
 
         for g in by_group(batches, _TILE):
-            rows: dict[int, tuple[int, str, list[int]]] = {}
-            for rid, n, partners, text in zip(*(g.column(c).to_pylist() for c in ("rid", "n", "partners", "text"))):
-                if rid not in rows or text < rows[rid][1]:  # rows that repeat a doc_id
-                    rows[rid] = (n, text, partners)
+            rows = {rid: (n, text, partners) for rid, n, partners, text in zip(*(g.column(c).to_pylist() for c in ("rid", "n", "partners", "text")))}
             ids = sorted(rows)
             at = {rid: k for k, rid in enumerate(ids)}
             pairs = [(at[a], at[b]) for a in ids for b in rows[a][2] if b in at]
@@ -247,12 +243,12 @@ def _verify(threshold: float) -> Callable:
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, k, class_id, n_links) of every row; k is xxhash64(doc_id, text)."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k"), "text")
-    signed = written(source.mapInArrow(_sign, "doc_id long, k long, h1 long, h2 long, sig binary"), "join-signatures")
-    reps = written(
-        signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rid"), F.count("*").alias("n"), F.first("sig").alias("sig")), "join-representatives"
-    )
+    """(doc_id, k1, k2, head, n_links) of every row. ``head`` is the row of its class with the smallest doc_id (then
+    key), as (doc_id, k1, k2); null for rows without words or without an id."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text")
+    signed = written(source.mapInArrow(_sign, "doc_id long, k1 long, k2 long, h1 long, h2 long, sig binary"), "join-signatures")
+    copies = signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", *KEY)).alias("head"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    reps = written(copies.withColumn("rid", F.monotonically_increasing_id()), "join-representatives")  # numbers are fixed once written
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("b"), F.xxhash64(b, F.substring(F.col("sig"), b * BAND * 4 + 1, F.lit(BAND * 4))).alias("bh"))))
     bands = reps.select("rid", band.alias("e")).select("rid", "e.b", "e.bh")
     shared = bands.groupBy("b", "bh").agg(F.count("*").alias("m")).where("m > 1")
@@ -262,16 +258,19 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     tiles = tiles.select("b", "bh", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rid", "n", "block", "sig")
     tile_row = "b int, bh long, x int, y int, rid long, n long, partners array<long>"
     pruned = tiles.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(_prune(least_matches(threshold, TOLERANCE)), tile_row)
-    texts = source.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("rid"), "text")
+    pruned = written(pruned, "join-candidates")
+    # the text of a representative is that of its first row; rows that repeat id and text are one
+    firsts = pruned.select("rid").distinct().join(reps.select("rid", "head.*"), "rid").select("rid", *KEY)
+    texts = source.select(*KEY, "text").join(firsts, KEY).dropDuplicates(["rid"]).select("rid", "text")
     proof = pruned.join(texts, "rid").repartition(*_TILE).sortWithinPartitions(*_TILE)
     stars = written(proof.select(*_TILE, "rid", "n", "partners", "text").mapInArrow(_verify(threshold), "rid long, root long, links long"), "join-links")
     labels = connected_components(stars.select(F.col("rid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rid"), "component")
+    names = reps.select("rid", "head").join(labels, "rid").groupBy("component").agg(F.min("head").alias("name"))
     links = stars.groupBy("rid").agg(F.sum("links").alias("links"))
-    classes = reps.select("h1", "h2", "rid", "n").join(labels, "rid", "left").join(links, "rid", "left")
-    return signed.select("doc_id", "k", "h1", "h2").join(classes, ["h1", "h2"], "left").select(
-        "doc_id", "k", F.coalesce("component", "rid", "doc_id").alias("class_id"),
-        (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-    )
+    classes = reps.select("h1", "h2", "rid", "n", "head").join(labels.join(names, "component").select("rid", "name"), "rid", "left").join(links, "rid", "left")
+    return signed.select("doc_id", *KEY, "h1", "h2").join(classes, ["h1", "h2"], "left").select(
+        "doc_id", *KEY, F.coalesce("name", "head").alias("head"), (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links")
+    )
 
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -282,15 +281,16 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     after its smallest doc_id; n_links counts the other rows linked to a row, exact copies included.
 
     Null, empty and blank texts have no shingles and link to nothing. Null doc_ids take no part (class null,
-    no links). Repeated rows are copies of each other. Other columns are ignored; an empty table gives none."""
-    return _classes(docs, threshold).select("doc_id", "class_id", "n_links")
+    no links). Repeated rows are copies of each other; rows that share a doc_id alone are judged by their own
+    texts. Other columns are ignored; an empty table gives none."""
+    return _classes(docs, threshold).select("doc_id", F.coalesce("head.doc_id", "doc_id").alias("class_id"), "n_links")
 
 
 def keep_one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The document with the smallest doc_id of each class, in the columns of ``docs``; of repeated rows, one.
-    Rows without doc_id stay, and so do texts without words."""
+    """The row with the smallest doc_id of each class, in the columns of ``docs``; of rows that repeat id and text,
+    one. Rows without doc_id stay, and so do texts without words."""
     named = docs.where("doc_id IS NOT NULL")
-    lost = _classes(named, threshold).where("class_id <> doc_id").select("k").distinct()
-    rest = packed(named).withColumn("k", row_key()).join(lost, "k", "left_anti")
-    one = rest.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("k"))).where("n = 1")
+    lost = _classes(named, threshold).where("head IS NOT NULL AND NOT (head.k1 = k1 AND head.k2 = k2)").select(*KEY).distinct()
+    rest = packed_by_key(named).join(lost, KEY, "left_anti")
+    one = rest.withColumn("n", F.row_number().over(Window.partitionBy(*KEY).orderBy(*KEY))).where("n = 1")
     return unpacked(one, docs).unionByName(docs.where("doc_id IS NULL"))
