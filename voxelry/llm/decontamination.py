@@ -8,7 +8,9 @@ diagonal:
 * items of 18 tokens or more: 16 equal tokens within 18 consecutive places. Two substitutions spoil two of
   the three shifts at most, so one always hits;
 * items of 11 to 17 tokens: all tokens but one are equal. One substitution spoils one of two shifts;
-* shorter items can't be told from chance and take no part.
+* items of 5 to 10 tokens: all tokens are equal. Their seed is the hash of all of them, and only runs as long as
+  some such item are hashed;
+* shorter items, which any text may hold by chance: the whole text is the item.
 """
 
 from __future__ import annotations
@@ -18,81 +20,97 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, row_key, unpacked, written
+from .common import KEY, packed_by_key, row_key, unpacked, written
 
-LONG, LEAST_EQUAL, SHORT = 18, 16, 11
+LONG, LEAST_EQUAL, SHORT, PHRASE = 18, 16, 11, 5
 MASK = (0, 3, 6, 9)
 SPAN = MASK[-1] + 1
-#: Documents with a hit are broadcast up to this number (8 bytes each); beyond it they are shuffled.
+#: Documents with a hit are broadcast up to this number (16 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Benchmark text that is broadcast at once; more is done in so many blocks.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text up to which its seeds and items are broadcast; beyond it seeds are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def tokens(text: Column) -> Column:
-    """Hashes of the lower-cased runs of letters and digits. A text that begins or ends otherwise also gets the
-    hash of an empty token there."""
-    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: F.xxhash64(x))
+    """Hashes of the lower-cased runs of letters and digits."""
+    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: F.xxhash64(x))
+    return F.filter(words, lambda x: x != F.xxhash64(F.lit("")))  # a text that begins or ends otherwise
 
 
 def _seed(words: Column, at: Column) -> Column:
     return F.xxhash64(*[F.get(words, at + q) for q in MASK])
 
 
-def _places(words: Column) -> Column:
+def _run(words: Column, at: Column, n: Column) -> Column:
+    """Seed of a short item or of a run as long."""
+    return F.xxhash64(n, F.slice(words, at + 1, n))
+
+
+def _places(words: Column, span: int = SPAN) -> Column:
     """Where a seed can begin; 0 alone in a text shorter than its span."""
-    return F.sequence(F.lit(0), F.greatest(F.size(words) - SPAN, F.lit(0)))
+    return F.sequence(F.lit(0), F.greatest(F.size(words) - span, F.lit(0)))
 
 
-def _verified(docs: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(k, item_id) of the overlaps of ``docs`` (k, words)."""
-    spots = docs.select("k", "words", F.explode_outer(_places(F.col("words"))).alias("j")).withColumn("seed", _seed(F.col("words"), F.col("j")))
-    hits = spots.join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item")
-    i, j, n = F.col("i"), F.col("j"), F.col("len")
-    same = lambda p, q: F.coalesce((F.get(F.col("item_words"), p) == F.get(F.col("words"), q)).cast("int"), F.lit(0))
-    total = lambda cols: reduce(lambda a, b: a + b, cols)
-    window = lambda back: (i >= back) & (i - back + LONG <= n) & (total([same(i + q, j + q) for q in range(-back, LONG - back)]) >= LEAST_EQUAL)
-    whole = total([F.when(F.lit(p) < n, same(F.lit(p), j - i + p)).otherwise(0) for p in range(LONG - 1)]) >= n - 1
-    return hits.where(F.when(n >= LONG, window(0) | window(1) | window(2)).otherwise(whole)).select("k", "item_id").distinct()
+def _item_seeds(words: Column) -> Column:
+    """An array of (i, seed)."""
+    spaced = F.transform(_places(words), lambda i: F.struct(i.alias("i"), _seed(words, i).alias("seed")))
+    return F.when(F.size(words) >= SHORT, spaced).otherwise(F.array(F.struct(F.lit(0).alias("i"), _run(words, F.lit(0), F.size(words)).alias("seed"))))
 
 
-def _overlaps(source: DataFrame, items: DataFrame) -> DataFrame:
-    """(k, item_id) of the overlaps of ``source`` (k, text) with items that fit a broadcast."""
-    seeds = items.select("item", F.posexplode(F.transform(_places(F.col("item_words")), lambda i: _seed(F.col("item_words"), i))).alias("i", "seed"))
-    words = source.select("k", tokens(F.col("text")).alias("words"))
-    # Arrays stay behind here: of a text, only its seeds are exploded. Outer, as an inferred filter would
-    # tokenise every text once more.
-    all_seeds = words.select("k", F.explode_outer(F.transform(_places(F.col("words")), lambda j: _seed(F.col("words"), j))).alias("seed"))
-    hit = written(all_seeds.join(F.broadcast(seeds.select("seed").distinct()), "seed", "left_semi").select("k").distinct(), "seed-hits")
-    few = hit.count() <= BROADCAST_ROWS
-    near = source.join(F.broadcast(hit) if few else hit, "k", "left_semi")
-    return _verified(near.select("k", tokens(F.col("text")).alias("words")), items, seeds)
+def _text_seeds(words: Column, lengths: list[int]) -> Column:
+    """An array of (j, seed), for runs of each of the ``lengths`` of short items too."""
+    none = F.array().cast("array<struct<j:int,seed:bigint>>")
+
+    def runs(n: int) -> Column:
+        found = F.transform(_places(words, n), lambda j: F.struct(j.alias("j"), _run(words, j, F.lit(n)).alias("seed")))
+        return F.when((F.size(words) >= n) if n >= PHRASE else (F.size(words) == n), found).otherwise(none)
+
+    spaced = F.transform(_places(words), lambda j: F.struct(j.alias("j"), _seed(words, j).alias("seed")))
+    return F.concat(spaced, *map(runs, lengths)) if lengths else spaced
 
 
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(k, item_ids) of the rows that overlap an item; k is xxhash64(doc_id, text), item_ids an ascending list."""
+    """(k1, k2, item_ids) of the rows that overlap an item; item_ids is an ascending list."""
     items = (
         benchmark.where(F.col("text").isNotNull())
-        .select(F.col("item_id").cast("long").alias("item_id"), F.filter(tokens(F.col("text")), lambda x: x != F.xxhash64(F.lit(""))).alias("item_words"))
-        .select("item_id", "item_words", F.size("item_words").alias("len"), F.xxhash64("item_id", "item_words").alias("item"))
-        .where(F.col("len") >= SHORT)
-        .dropDuplicates(["item"])
+        .select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item_words"))
+        .select("item_id", "item_words", F.size("item_words").alias("len"), *[F.xxhash64(F.lit(x), "item_id", "item_words").alias(f"item{x}") for x in (1, 2)])
+        .where(F.col("len") > 0)
+        .dropDuplicates(["item1", "item2"])
     )
+    items = written(items, "benchmark-items")
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    source = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("k"), "text")
-    parts = [_overlaps(source, items.where(F.pmod(F.col("item"), F.lit(blocks)) == b) if blocks > 1 else items) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, parts).groupBy("k").agg(F.sort_array(F.collect_set(F.coalesce("item_id", F.lit(-1)))).alias("item_ids"))
+    lengths = sorted(r.len for r in items.where(F.col("len") < SHORT).select("len").distinct().collect())  # ten at most
+    small = F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)
+    seeds = items.select("item1", "item2", F.inline(_item_seeds(F.col("item_words"))))
+    source = docs.where(F.col("text").isNotNull()).select(*row_key(), "text")
+    words = source.select(*KEY, tokens(F.col("text")).alias("words"))
+    # Arrays stay behind here: of a text, only its seeds are exploded. Outer, as an inferred filter would
+    # tokenise every text once more.
+    all_seeds = words.select(*KEY, F.explode_outer(F.transform(_text_seeds(F.col("words"), lengths), lambda x: x["seed"])).alias("seed"))
+    hit = written(all_seeds.join(small(seeds.select("seed").distinct()), "seed", "left_semi").select(*KEY).distinct(), "seed-hits")
+    few = hit.count() <= BROADCAST_ROWS
+    near = source.join(F.broadcast(hit) if few else hit, KEY, "left_semi").select(*KEY, tokens(F.col("text")).alias("words"))
+    spots = near.select(*KEY, "words", F.explode_outer(_text_seeds(F.col("words"), lengths)).alias("x")).select(*KEY, "words", "x.*")
+    hits = spots.join(small(seeds), "seed").join(small(items), ["item1", "item2"])
+    i, j, n = F.col("i"), F.col("j"), F.col("len")
+    same = lambda p, q: F.coalesce((F.get(F.col("item_words"), p) == F.get(F.col("words"), q)).cast("int"), F.lit(0))
+    total = lambda cols: reduce(lambda a, b: a + b, cols)
+    window = lambda back: (i >= back) & (i - back + LONG <= n) & (total([same(i + q, j + q) for q in range(-back, LONG - back)]) >= LEAST_EQUAL)
+    whole = total([F.when(F.lit(p) < n, same(F.lit(p), j - i + p)).otherwise(0) for p in range(LONG - 1)])
+    overlap = F.when(n >= LONG, window(0) | window(1) | window(2)).when(n >= SHORT, whole >= n - 1).when(n >= PHRASE, whole >= n).otherwise((whole >= n) & (F.size("words") == n))
+    found = hits.where(overlap).select(*KEY, F.coalesce("item_id", F.lit(-1)).alias("item_id")).distinct()
+    return found.groupBy(*KEY).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (ascending, comma-joined) for every row of ``docs``.
 
-    Null or short texts are clean. Null item texts are skipped, a null item_id counts as -1. Rows are judged
+    Null texts are clean. Null item texts and those without a word are skipped, a null item_id counts as -1. Rows are judged
     by (doc_id, text), so repeated rows get the same verdict and rows that share a doc_id their own. Extra
     columns are ignored; with an empty benchmark everything is clean."""
     hit = contaminated_rows(docs, benchmark)
-    out = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k")).join(hit, "k", "left")
+    out = docs.select("doc_id", *row_key()).join(hit, KEY, "left")
     ids = F.coalesce("item_ids", F.array().cast("array<long>"))
     return out.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("item_ids").isNotNull().alias("contaminated"),
@@ -102,25 +120,25 @@ def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, in their own columns."""
-    hit = contaminated_rows(docs, benchmark).select("k")
-    return unpacked(packed(docs).withColumn("k", row_key()).join(hit, "k", "left_anti"), docs)
+    hit = contaminated_rows(docs, benchmark).select(*KEY)
+    return unpacked(packed_by_key(docs).join(hit, KEY, "left_anti"), docs)
 
 
 ORACLE = rf"""
 WITH d AS (
-  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j
+  SELECT doc_id, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS j
   FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents)
 ), b AS (
   SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i
-  FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM benchmark)
+  FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE regexp_matches(text, '[\p{{L}}\p{{N}}]'))
 ), m AS (
-  SELECT doc_id, item_id, n, j - i AS diagonal, i FROM d JOIN b USING (word) WHERE n >= {SHORT}
+  SELECT doc_id, item_id, n, j - i AS diagonal, i FROM d JOIN b USING (word) WHERE n >= {PHRASE} OR size = n
 ), c AS (
   SELECT doc_id, item_id, n,
     count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i RANGE BETWEEN CURRENT ROW AND {LONG - 1} FOLLOWING) AS equal
   FROM m
 ), h AS (
-  SELECT DISTINCT doc_id, item_id FROM c WHERE equal >= CASE WHEN n >= {LONG} THEN {LEAST_EQUAL} ELSE n - 1 END
+  SELECT DISTINCT doc_id, item_id FROM c WHERE equal >= CASE WHEN n >= {LONG} THEN {LEAST_EQUAL} WHEN n >= {SHORT} THEN n - 1 ELSE n END
 ), g AS (
   SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids FROM h GROUP BY doc_id
 )
