@@ -4,8 +4,9 @@ A source whose target is r times its size takes every document floor(r) times, a
 fractional probability. Fractional documents are paired; words of probability mass move from one to the
 other, in a random direction that keeps every expectation, until one of them is integral. Each pair keeps
 the expected number of words, so what a source takes differs from its target by less than one document.
-Pairs are made inside buckets of about 64 documents; the one residual a bucket leaves goes up to the next
-level of a reduction tree whose depth is the logarithm of the largest source.
+Fractional documents are numbered in range partitions, source by source in order of a hash, and pairs are made
+inside buckets of 64 neighbours at most, however many rows are alike; the one residual a bucket leaves goes up to
+the next level of a reduction tree whose depth is the logarithm of the number of documents.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelry.functions.ranking import global_rank
+
 from .common import written
 
 WEIGHTS, MOST = (1, 2, 3), 3
@@ -80,16 +83,18 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     their own. Other columns are ignored; an empty table gives an empty table."""
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     rnd = F.xxhash64("doc_id", "text", F.lit(seed))
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), rnd.alias("rnd")), "mix-sizes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), rnd.alias("rnd"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")  # tells equal rows apart
     targets = written(source_targets(rows), "mix-targets").select(F.col("source").alias("s"), "source_size", "n_docs", "target")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
     targets = targets.withColumn("whole", F.floor(ratio + F.lit(1e-12))).withColumn("p", ratio - F.col("whole"))
     split = (F.col("p") > 1e-9) & (F.col("size") > 0)
-    row = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", F.pmod(F.xxhash64("rnd"), F.ceil(F.col("n_docs") / FAN_IN)))
+    row = rows.join(targets, F.col("source").eqNullSafe(F.col("s")))
     done = [row.where(~split).select("source", "doc_id", "size", F.lit(0).alias("more"))]
-    units = row.where(split).select("source", "bucket", F.struct("rnd", "doc_id", "size", "p").alias("unit"))
-    largest, level = targets.agg(F.coalesce(F.max("n_docs"), F.lit(1))).first()[0], 0
-    buckets = -(-largest // FAN_IN)
+    ranked = global_rank(row.where(split).select("source", "rnd", "doc_id", "size", "p", "row"), "source", "rnd", "doc_id", "row")
+    units = ranked.select("source", F.floor((F.col("rank") - 1) / FAN_IN).alias("bucket"), F.struct("rnd", "doc_id", "size", "p").alias("unit"))
+    most, level = targets.agg(F.coalesce(F.sum("n_docs"), F.lit(1))).first()[0], 0
+    buckets = -(-most // FAN_IN)
     while True:
         folded = units.groupBy("source", "bucket").agg(F.sort_array(F.collect_list("unit")).alias("units"))
         folded = written(folded.select("source", "bucket", _fold(seed + level).alias("f")).select("source", "bucket", "f.*"), "mix-level")
