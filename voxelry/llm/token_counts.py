@@ -16,6 +16,8 @@ from .common import shared_dir, written
 _CACHE = "version string, digest binary, n_tokens long"
 #: A worker's memo of pieces is emptied when it holds so many.
 MEMO = 800_000
+#: Missing digests are broadcast up to this number (32 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: A worker process keeps its counters from task to task.
 _counters: dict[str, Counter] = {}
 
@@ -116,9 +118,10 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.jso
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row of ``docs``.
 
     ``cache`` is a folder of Parquet files (version, digest, n_tokens) that all executors see; it is made
-    if missing. Content is normalised only where counts cannot change by it: null becomes empty. Rows of a
-    repeated text are encoded once, whatever their number: one row a digest leaves each task before the
-    shuffle. A run that dies before its files are committed leaves the cache as it was.
+    if missing. Content is normalised only where counts cannot change by it: null becomes empty. Digests alone
+    are compared with the cache; texts are fetched for those it lacks, where they are read if these are few
+    enough to be broadcast. Rows of a repeated text are encoded once, whatever their number: one row a digest
+    leaves each task before the shuffle. A run that dies before its files are committed leaves the cache as it was.
 
     Null text: 0 bytes, 0 tokens. Null or repeated doc_id: a row each. Other columns are ignored. An empty
     table gives an empty table.
@@ -130,7 +133,11 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.jso
     # An empty first file makes the folder readable before anything is stored.
     spark.createDataFrame([], _CACHE).write.mode("append").parquet(cache)
     stored = spark.read.schema(_CACHE).parquet(cache).where(F.col("version") == version)
-    misses = rows.select("digest", "text").dropDuplicates(["digest"]).join(stored.select("digest"), "digest", "left_anti")
+    lacking = written(rows.select("digest").distinct().join(stored.select("digest"), "digest", "left_anti"), "token-counts-lacking")
+    few = lacking.count() <= BROADCAST_ROWS
+    misses = rows.join(F.broadcast(lacking), "digest", "left_semi") if few else rows
+    misses = misses.select("digest", "text").dropDuplicates(["digest"])
+    misses = misses if few else misses.join(lacking, "digest", "left_semi")
     misses.mapInArrow(_encode(tokenizer, version), _CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # Written: behind a plain read, Spark can split the join on a digest that very many rows have.
