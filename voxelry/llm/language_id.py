@@ -4,13 +4,13 @@ compared with each language's profile by out-of-place distance."""
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import packed, unpacked, written
@@ -18,22 +18,40 @@ from .common import packed, unpacked, written
 UNKNOWN = "und"
 _CHUNK = 1 << 20
 _not_letters = re.compile(r"[\W\d_]+")
+#: Characters of words that are neither letters, decimal digits nor underscores: number signs of other kinds.
+_SIGNS = {c: " " for c in range(0x80, sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()}
+_is_sign = np.zeros(sys.maxunicode + 1, bool)
+_is_sign[list(_SIGNS)] = True
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Keys and counts of all 1- to 3-grams of the letters of a whole text; None without letters.
 
-    Case is folded and what isn't a letter becomes one space. A key holds 21 bits a character."""
+    Case is folded and every run of characters that aren't letters (Unicode category L) is one space, as are the
+    text's ends. A key holds 21 bits a character."""
     found = []
+    tail = " "  # the last characters of what has been read
     for at in range(0, len(text or ""), _CHUNK):  # memory stays small on a very long text
-        part = text[max(0, at - 2) : at + _CHUNK] if at else " " + text[:_CHUNK]
-        part = _not_letters.sub(" ", part.lower() + (" " if at + _CHUNK >= len(text) else ""))
-        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        own = 2 if at else 0  # characters seen in the chunk before
+        part = text[at : at + _CHUNK].lower()
+        if not part.isascii():
+            part = part.replace("\u03c2", "\u03c3")  # a final sigma depends on what follows
+            if _is_sign[_codes(part)].any():
+                part = part.translate(_SIGNS)
+        part = _not_letters.sub(" ", part)
+        part = tail + (part[1:] if tail[-1] == part[0] == " " else part)
+        if at + _CHUNK >= len(text) and part[-1] != " ":
+            part += " "
+        own = len(tail)  # characters seen in the chunk before
+        tail = part[-2:]
+        c = _codes(part).astype(np.int64)
         two = (c[:-1] << 21) | c[1:]
         three = (two[:-1] << 21) | c[2:]
         one = c[own:]
-        found.append(np.unique(np.concatenate([one[one != 32], two[max(0, own - 1) :], three]), return_counts=True))
+        found.append(np.unique(np.concatenate([one[one != 32], two[max(0, own - 1) :], three[max(0, own - 2) :]]), return_counts=True))
     if not found:
         return None
     if len(found) == 1:
@@ -82,13 +100,12 @@ def fit_profiles(docs: DataFrame, size: int = 300, docs_per_language: int = 2000
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     sample = train.join(F.broadcast(share), "lang").where(drawn).select("lang", "text")
     counts = written(sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
-    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
-    if not langs:
-        return {}
-    best = reduce(DataFrame.unionByName, [counts.where(F.col("lang") == x).orderBy(F.desc("n"), "gram").limit(size) for x in langs])
-    rows = best.collect()  # languages times size
-    pick = {x: ([r.gram for r in rows if r.lang == x], [r.n for r in rows if r.lang == x]) for x in langs}
-    return {x: ranked(np.array(k, np.int64), np.array(n, np.int64), size) for x, (k, n) in pick.items()}
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    rows = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size).collect()  # languages times size
+    profiles: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r.lang, r["rank"])):
+        profiles.setdefault(r.lang, []).append(r.gram)
+    return {lang: np.array(keys, np.int64) for lang, keys in profiles.items()}
 
 
 class Model:
@@ -138,6 +155,9 @@ def language_id(docs: DataFrame, size: int = 300, docs_per_language: int = 2000)
 
 
 def keep_known(docs: DataFrame, size: int = 300, docs_per_language: int = 2000) -> DataFrame:
-    """The documents that have a language, in their own columns; ``und`` is rejected."""
+    """The documents that have a language, in their own columns: those without a letter are rejected. Where no
+    language can be learned, documents with letters stay."""
     profiles = fit_profiles(docs, size, docs_per_language)
-    return unpacked(predict_languages(docs, profiles, size).where(F.col("judged.lang") != UNKNOWN), docs)
+    judged = predict_languages(docs, profiles, size)
+    known = F.col("judged.lang") != UNKNOWN
+    return unpacked(judged.where(known if profiles else F.coalesce(F.col("doc.text").rlike(r"\p{L}"), F.lit(False))), docs)
