@@ -5,7 +5,10 @@ sibling statistics). Decoding chooses, over the whole tree, the best set of node
 in a rejected node is rejected too, so an ancestor and a descendant can't contradict each other.
 
 The trees are trained here, by Spark ML, on a bounded sample of pages: as they are, labelled by their
-semantic containers, and set anew in varied layouts whose labels are known.
+semantic containers if they have any, and set anew in varied layouts whose labels are known.
+
+Pages are read in time linear in their length, however broken: a tag, quote or comment that never ends takes
+the rest of the page, as HTML has it, and an end tag finds its element by name.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import html as entities
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +49,13 @@ TOKENS = {k: frozenset(v.split()) for k, v in TOKENS.items()}
 TAG_GROUPS = {"p": 0, "h1": 1, "h2": 1, "h3": 1, "h4": 1, "h5": 1, "h6": 1, "li": 2, "ul": 3, "ol": 3, "dl": 3, "menu": 3, "div": 4, "section": 4, "article": 5, "main": 5, "nav": 6, "header": 7, "footer": 8, "aside": 9, "form": 10, "fieldset": 10, "dialog": 10, "blockquote": 11, "pre": 11, "table": 12, "tr": 12, "td": 12, "th": 12, "figure": 13, "figcaption": 13}
 N_TAGS = 15
 
+# Quotes count as such behind an equals sign only.
 _token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([A-Za-z][^\s/>]*)[^>]*>|<([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^<]+|<)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
+    r"|<([A-Za-z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"']))|[\"'])*+)>|([^<]+|<)",
+    re.S,
 )
+_raw_end = {tag: re.compile(rf"</{tag}(?![A-Za-z0-9-])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _attr = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _name = re.compile(r"[a-z]+")
 
@@ -65,6 +72,8 @@ class Page:
 
     def _read(self, text: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # inline elements hold their block's node
+        places: dict[str, list[int]] = {"html": [0]}  # of open elements in the stack, by name
+        blocks = [0]  # of open block elements in the stack
         piece: list[str] = []
         links = linked = unseen = at = 0
 
@@ -77,20 +86,35 @@ class Page:
                 piece.clear()
             linked = 0
 
+        def push(tag: str, node: int) -> None:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            stack.append((tag, node))
+
         def pop(to: int) -> None:
             nonlocal links, unseen
-            gone = stack[to:]
-            if any(x in BLOCK for x, _ in gone):
+            if blocks[-1] >= to:
                 flush()
-            links -= sum(x == "a" for x, _ in gone)
-            unseen -= sum(x in UNSEEN for x, _ in gone)
-            del stack[to:]
+            while len(stack) > to:
+                tag, _ = stack.pop()
+                places[tag].pop()
+                links -= tag == "a"
+                unseen -= tag in UNSEEN
+                if tag in BLOCK:
+                    blocks.pop()
+
+        def top(tags: frozenset[str]) -> int:
+            """The innermost open element of these names; 0 if there is none."""
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
         while at < len(text):
             m = _token.match(text, at)
             at = m.end()
             end, start, attrs, said = m.groups()
             if said is not None:
+                if said == "<" and text[at : at + 1].isalpha() and text[at : at + 1].isascii():
+                    break  # a tag or quote that doesn't end
                 if not unseen:
                     piece.append(said)
                     if links:
@@ -99,7 +123,7 @@ class Page:
                 tag = start.lower()
                 if tag in RAW:
                     if not attrs.endswith("/"):
-                        close = re.compile(rf"</{tag}[^>]*>", re.I).search(text, at)
+                        close = _raw_end[tag].search(text, at)
                         at = close.end() if close else len(text)
                     continue
                 if tag in VOID:
@@ -108,21 +132,13 @@ class Page:
                     continue
                 if tag == "html":
                     continue
-                if tag in BLOCK:
-                    for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends before a block
-                        if stack[i][0] == "p":
-                            pop(i)
-                            break
-                        if stack[i][0] in BLOCK:
-                            break
+                if tag in BLOCK and stack[blocks[-1]][0] == "p":  # an open paragraph ends before a block
+                    pop(blocks[-1])
                 if tag in CLOSES:
                     ends, stop = CLOSES[tag]
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] in stop:
-                            break
-                        if stack[i][0] in ends:
-                            pop(i)
-                            break
+                    i = top(ends)
+                    if i > top(stop):
+                        pop(i)
                 if tag in BLOCK:
                     flush()
                     found = {k.lower(): a or b or c for k, a, b, c in _attr.findall(attrs)} if attrs else {}
@@ -130,22 +146,19 @@ class Page:
                     self.parent.append(stack[-1][1])
                     self.names.append(frozenset(_name.findall(" ".join((found.get("class") or "", found.get("id") or "", found.get("role") or "")).lower())))
                     self.label.append(found.get("data-y"))
-                    stack.append((tag, len(self.tag) - 1))
+                    push(tag, len(self.tag) - 1)
                 else:
-                    links += tag == "a"
-                    unseen += tag in UNSEEN
                     if not attrs.endswith("/"):
-                        stack.append((tag, stack[-1][1]))
+                        links += tag == "a"
+                        unseen += tag in UNSEEN
+                        push(tag, stack[-1][1])
             elif end is not None:
-                tag = end.lower()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        pop(i)
-                        break
+                if (i := top(frozenset((end.lower(),)))) > 0:
+                    pop(i)
         flush()
 
-    def features(self) -> np.ndarray:
-        """A row for each node."""
+    def features(self) -> Callable[[int, int], np.ndarray]:
+        """Rows of the nodes from one number to another; few of them are held as numbers at a time."""
         n = len(self.tag)
         chars, words, linked, stops, own, depth = (np.zeros(n) for _ in range(6))
         nodes, blocks, inner, before = np.ones(n), np.zeros(n), np.zeros(n), np.full(n, -1.0)
@@ -160,15 +173,19 @@ class Page:
             if before[node] < 0:
                 before[node] = seen
             seen += len(said)
-        flags = np.array([[bool(names & TOKENS[k]) for k in TOKENS] for names in self.names], float).reshape(n, -1)
-        tags = np.zeros((n, N_TAGS))
-        tags[np.arange(n), [TAG_GROUPS.get(t, N_TAGS - 1) for t in self.tag]] = 1
-        above = np.zeros((n, len(TOKENS) + N_TAGS))
+        flags = np.zeros((n, len(TOKENS)), bool)
+        for i, names in enumerate(self.names):
+            if names:
+                flags[i] = [bool(names & TOKENS[k]) for k in TOKENS]
+        tags = np.zeros((n, N_TAGS), bool)
+        tags[np.arange(n), [TAG_GROUPS.get(t, N_TAGS - 1) for t in self.tag]] = True
+        above = np.zeros((n, len(TOKENS) + N_TAGS), bool)
+        marks = np.column_stack([flags, tags])
         place, children = np.zeros(n), np.zeros(n)
         for i in range(1, n):
             p = self.parent[i]
             depth[i] = depth[p] + 1
-            above[i] = np.maximum(above[p], np.concatenate([flags[p], tags[p]]))
+            above[i] = above[p] | marks[p]
             place[i] = children[p]
             children[p] += 1
         for i in range(n - 1, 0, -1):
@@ -191,12 +208,15 @@ class Page:
             np.log1p(chars / nodes), words / np.maximum(1, blocks), np.log1p(nodes), depth, place, children[p], place / np.maximum(1, children[p]), same,
             chars / np.maximum(1, chars[p]), linked[p] / np.maximum(1, chars[p]), chars / total, np.maximum(0, before) / total,
         ])
-        return np.column_stack([numbers, flags, tags, above])
+        return lambda a, z: np.column_stack([numbers[a:z], marks[a:z], above[a:z]])
 
     def labels(self) -> np.ndarray:
-        """1 where most of a node's text is main text, by ``data-y`` marks or, without any, by semantic containers."""
+        """1 where most of a node's text is main text, by ``data-y`` marks or, without any, by semantic containers;
+        -1 where that isn't known: nodes without text, and pages that have neither."""
         n = len(self.tag)
         marked = any(x is not None for x in self.label)
+        if not marked and not any(t in ("article", "main") for t in self.tag):
+            return np.full(n, -1.0)
         state, main, chars = np.zeros(n), np.zeros(n), np.zeros(n)
         for i in range(1, n):
             state[i] = state[self.parent[i]]
@@ -212,7 +232,7 @@ class Page:
         for i in range(n - 1, 0, -1):
             chars[self.parent[i]] += chars[i]
             main[self.parent[i]] += main[i]
-        return np.where(chars > 0, main >= 0.5 * chars, -1).astype(float)  # -1: no text
+        return np.where(chars > 0, main >= 0.5 * chars, -1).astype(float)
 
     def decode(self, logit: np.ndarray) -> str:
         """Text of the kept nodes. A node's gain is its own score and its children's gains, if that is positive;
@@ -296,14 +316,19 @@ def _layout(rng: random.Random, main: list[str], other: list[str]) -> str:
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pages = [Page(h) for b in batches for h in b.column(1).to_pylist() if h]
-    rng = random.Random(11)
+    htmls = [h for b in batches for h in b.column(1).to_pylist()]
+    if not htmls:
+        return
+    pages, rng = [Page(h) for h in htmls if h], random.Random(11)
     main, other = [], []
     for p in pages:
         y = p.labels()
         own = [said for node, said, _ in p.blocks if y[node] == 1]
         main.append(own or [said for _, said, _ in p.blocks])
         other += [said for node, said, _ in p.blocks if y[node] == 0]
+    if not any(main):  # no text to set anew: words without a meaning
+        word = lambda: "".join(rng.choice("aeiou") if i % 2 else rng.choice("bdfklmnprst") for i in range(rng.randint(2, 9)))
+        main += [[" ".join(word() for _ in range(rng.randint(8, 60))) + "." for _ in range(4)] for _ in range(60)]
     prose = [x for m in main for x in m]
     # comments, notices and footers may well be prose, so they borrow sentences of other pages
     other = [x for x in other if x] + [". ".join(x.split(". ")[:3]) for x in prose[::3]]
@@ -314,7 +339,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 rng.shuffle(own)
                 pages.append(Page(_layout(rng, own[: rng.randint(1, 12)], other)))
     for p in pages:
-        x, y = p.features(), p.labels()
+        x, y = p.features()(0, len(p.tag)), p.labels()
         x, y = x[y >= 0], y[y >= 0]
         if len(y):
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(y)], ["x", "label"])
@@ -354,7 +379,7 @@ class Trees:
 
 
 def fit_trees(pages: DataFrame, sample: int = 250, rounds: int = 12, depth: int = 4) -> Trees | None:
-    """Trees fitted on ``sample`` pages, drawn by a hash of page_id; None if there is nothing to learn from."""
+    """Trees fitted on ``sample`` pages, drawn by a hash of page_id; None if the table has no html."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
@@ -368,17 +393,35 @@ def fit_trees(pages: DataFrame, sample: int = 250, rounds: int = 12, depth: int
         rows.unpersist()
 
 
+#: Nodes that are scored at once.
+_ROWS = 20_000
+
+
 def main_texts(htmls: list[str | None], trees: Trees | None) -> list[str]:
-    """The main text of each page."""
+    """The main text of each page; without trees there is none to find."""
     out: list[str] = []
-    for at in range(0, len(htmls), 256):
-        pages = [Page(h or "") for h in htmls[at : at + 256]]
+    held: list[tuple[Page, np.ndarray]] = []
+
+    def score() -> None:
+        if held:
+            logit = np.split(trees(np.concatenate([x for _, x in held])), np.cumsum([len(x) for _, x in held])[:-1])
+            out.extend(p.decode(s) for (p, _), s in zip(held, logit))
+            held.clear()
+
+    for h in htmls:
+        page = Page(h or "")
+        n = len(page.tag)
         if trees is None:
-            out += ["\n".join(said for _, said, _ in p.blocks) for p in pages]
-            continue
-        x = [p.features() for p in pages]
-        logit = np.split(trees(np.concatenate(x)), np.cumsum([len(f) for f in x])[:-1])
-        out += [p.decode(s) for p, s in zip(pages, logit)]
+            out.append("")
+        elif n > _ROWS:  # a page of very many elements: piece by piece
+            score()
+            rows = page.features()
+            out.append(page.decode(np.concatenate([trees(rows(a, a + _ROWS)) for a in range(0, n, _ROWS)])))
+        else:
+            held.append((page, page.features()(0, n)))
+            if sum(len(x) for _, x in held) > _ROWS:
+                score()
+    score()
     return out
 
 
@@ -386,8 +429,9 @@ def html_extraction(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``.
 
     Blocks of the main text are in page order, joined by a line feed; character references are decoded and
-    white space inside a block is one space. Null, empty or text-free html gives an empty text. Where no model
-    can be learned (no page with both kinds of text), all visible text is kept. Rows are judged one by one:
+    white space inside a block (Unicode's, so no-break spaces too) is one space. Null, empty or text-free html
+    gives an empty text. Pages without semantic containers teach nothing about their own nodes, but their text is
+    set in layouts like any other; so there is a model even if no page is labelled. Rows are judged one by one:
     null or repeated ids don't matter. Other columns are ignored; an empty table gives none."""
     trees = fit_trees(pages)
 
