@@ -4,6 +4,7 @@ empty tables, extra columns with clashing names."""
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -88,14 +89,32 @@ def test_join_against_brute_force(docs):
 
 def test_join_cases(odd):
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(odd).collect()), key=str)
-    expected = brute_classes(plain(odd))
-    assert [g for g in got if g[0] != 5] == [e for e in expected if e[0] != 5]
+    assert got == brute_classes(plain(odd))
     kept = ngram_join.keep_one_per_class(odd)
     assert kept.columns == odd.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, None, None, 4, 5, 5, 6, 7, 8])
     assert ngram_join.ngram_join(odd.limit(0)).count() == 0
 
 
+def repeated_ids(spark):
+    """Ids that stand for unlike texts: each text has its own copies, near copies and shared lines."""
+    prose = lambda seed, n=60: " ".join(f"{random.Random(seed * 1000 + i).choice('abcdefgh')}w{seed}x{i}" for i in range(n))
+    a, b = prose(1), prose(2)
+    line = "a shared line of some length"
+    texts = [(1, a), (1, b), (2, a + " tail"), (3, "tail " + b), (1, a), (4, prose(3)), (4, prose(4)), (1, b + " more of it"), (5, prose(4) + " end")]
+    lines = [(11, line), (12, line), (13, line), (11, "precious unique line of one document\nanother one that only it has"), (13, f"{line}\nown words of the last document")]
+    return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts + lines], SCHEMA)
+
+
+def test_join_of_repeated_ids(spark):
+    df = repeated_ids(spark)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(df).collect()), key=str)
+    assert got == brute_classes(plain(df)) and max(n for _, _, n in got) >= 2
+    kept = Counter((r.doc_id, r.text[:6]) for r in ngram_join.keep_one_per_class(df).collect())
+    first = {t: min(i for i, x in plain(df) if x[:6] == t) for t in {x[:6] for _, x in plain(df) if "w" in x[:6] and "x" in x[:6]}}
+    assert all(sum(n for (_, x), n in kept.items() if x == t) == 1 and kept[i, t] == 1 for t, i in first.items())
+
+
 def test_join_tiles_of_a_large_group(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
@@ -144,6 +163,28 @@ def test_html_other_layouts(spark):
     assert not any(w in text for w in ("cookies", "Related", "Nice words", "Sign up", "One", "©"))
 
 
+def test_html_in_linear_time():
+    began = time.time()
+    broken = ['<div class="x' * 80_000, "<a " * 300_000, "<b>" * 80_000 + "</i>" * 80_000, "<!x" * 300_000, "<script>" + "</script " * 100_000, "<div>" * 40_000 + "<td></td>" * 40_000, "<b>" * 40_000 + "<p></p>" * 40_000, "</p " * 200_000]
+    for h in broken:
+        html_extraction.Page("<p>before</p>" + h).features()
+    assert time.time() - began < 40  # about 1 MB each
+    page = html_extraction.Page("""<p title=it's>one <a href="x>y">two</a> don't</p><p x='a"b'>three</p>4 < 5<p>six <a href="never closed>seven</p>""")
+    assert [b[1] for b in page.blocks] == ["one two don't", "three", "4 < 5", "six"]
+
+
+def test_html_without_labelled_pages(spark):
+    """No page has an article or main element: layouts made of their texts teach the trees."""
+    menu = "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(6))
+    prose = lambda i: " ".join(f"word{(i * 7 + j) % 89}, and then" for j in range(40)) + "."
+    rows = [(i, "u", f'<html><body><div class="nav menu"><ul>{menu}</ul></div><div class="content"><p>{prose(i)}</p><p>{prose(i + 1)}</p></div><div class="footer">&copy; 2020</div></body></html>') for i in range(40)]
+    got = {r.page_id: r.text for r in html_extraction.html_extraction(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert sum(got[i] == f"{prose(i)}\n{prose(i + 1)}" for i in range(40)) >= 36
+    assert (html_extraction.Page(rows[0][2]).labels() == -1).all()
+    bare = spark.createDataFrame([(1, "u", "<p></p>")], "page_id bigint, url string, html string")
+    assert [r.text for r in html_extraction.html_extraction(bare).collect()] == [""]
+
+
 def test_html_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "   "), (3, "u", "<p>unclosed <b>bold<p>next"), (3, "u", "<p>unclosed <b>bold<p>next"), (4, "u", "<script>var a = '<p>'"), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "a < b <> & c <!-- x")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("mine"))
@@ -180,14 +221,49 @@ def test_language_cases(odd):
     assert {r.lang_pred for r in language_id.language_id(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_grams_do_not_depend_on_chunks(monkeypatch):
-    text = "Où est la 3e maison, dit-il? " * 40
-    a = language_id.grams(text)
-    monkeypatch.setattr(language_id, "_CHUNK", 100)
-    b = language_id.grams(text)
-    # chunk borders may cut a run of other characters in two; the profile stays
-    top = lambda g: set(language_id.ranked(*g, 60).tolist())
-    assert len(top(a) & top(b)) >= 58
+def brute_grams(text):
+    """1- to 3-grams of a text whose runs of other characters are one space, as are its ends."""
+    import unicodedata
+
+    low = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower().replace("\u03c2", "\u03c3"))
+    said = " " + " ".join(low.split()) + " "
+    return Counter(said[i : i + n] for n in (1, 2, 3) for i in range(len(said) - n + 1) if said[i : i + n] != " ")
+
+
+def test_language_against_brute_force(spark, docs):
+    """Out-of-place distances, worked out character by character."""
+    size = 120
+    key = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))
+    best = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], key(x[0])))][:size]
+    by_lang = defaultdict(Counter)
+    held = {r.doc_id: r.h for r in docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("h")).collect()}
+    for r in docs.collect():
+        if r.lang and not held[r.doc_id]:
+            by_lang[r.lang] += brute_grams(r.text)
+    profiles = {x: {g: i for i, g in enumerate(best(c))} for x, c in by_lang.items()}
+    got = by_id(language_id.language_id(docs, size=size, docs_per_language=10**9))
+    for r in docs.limit(120).collect():
+        own = best(brute_grams(r.text))
+        far = {x: sum(abs(i - p[g]) if g in p else size for i, g in enumerate(own)) for x, p in profiles.items()}
+        lang = min(sorted(far), key=far.get)
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == (lang, pytest.approx(1 - far[lang] / (size * len(own))))
+
+
+def test_letters(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["\u00bd\u00b2", "\u2460\u2461", "\u2167", "12 _ 3", "\u0663", "\u00e9", "\u4e2d", "\u216b a"])]
+    got = by_id(language_id.language_id(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))
+    assert {i for i, r in got.items() if r.lang_pred == "und"} == {0, 1, 2, 3, 4}
+    kept = language_id.keep_known(spark.createDataFrame([(i, t, None) for i, t, _ in rows], "doc_id bigint, text string, lang string"))
+    assert {r.doc_id for r in kept.collect()} == {5, 6, 7}  # nothing to learn from, yet no letters are lost
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 100])
+def test_grams_do_not_depend_on_chunks(monkeypatch, chunk):
+    unpack = lambda k: "".join(chr(k >> 21 * i & 0x1FFFFF) for i in (2, 1, 0) if k >> 21 * i)
+    for text in ("O\u00f9 est la 3e maison, dit-il?!  " * 9, "\u039f\u0394\u039f\u03a3 \u03a3\u0391\u03a3 \u00bd x", "...a", "a...", "a"):
+        monkeypatch.setattr(language_id, "_CHUNK", chunk)
+        keys, n = language_id.grams(text)
+        assert {unpack(k): c for k, c in zip(keys.tolist(), n.tolist())} == brute_grams(text)
 
 
 # --- 4
@@ -212,7 +288,7 @@ def brute_repeats(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most", [64, 0])
+@pytest.mark.parametrize("most", [1024, 8, 0])
 def test_suffix_dedup_against_brute_force(spark, docs, odd, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
     periodic = spark.createDataFrame([(9001, "a" * 1500, None, None, None), (9002, "ab" * 600, None, None, None), (9003, "x" * 399, None, None, None), (9004, "y" * 400, None, None, None)], SCHEMA)
@@ -221,6 +297,36 @@ def test_suffix_dedup_against_brute_force(spark, docs, odd, monkeypatch, most):
     assert sorted((tuple(r) for r in suffix_dedup.suffix_dedup_digest(table).collect()), key=str) == brute_repeats(plain(table))
 
 
+def test_suffix_dedup_of_many_unlike_segments(spark, monkeypatch):
+    """One passage in very many surroundings: more unlike segments than one suffix array takes."""
+    rng = random.Random(4)
+    prose = lambda n: "".join(rng.choice("abcdefghij klm") for _ in range(n))
+    passage, near = prose(700), prose(330)
+    rows = [(i, prose(rng.randint(0, 300)) + (passage if i % 3 else near + passage[:60] + prose(9)) + prose(rng.randint(0, 300)), None, None, None) for i in range(1800)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    made = []
+    refine = suffix_dedup._refine
+    monkeypatch.setattr(suffix_dedup, "_refine", lambda width: made.append(width) or refine(width))
+    assert sorted((tuple(r) for r in suffix_dedup.suffix_dedup_digest(table).collect()), key=str) == brute_repeats([r[:2] for r in rows])
+    assert made and made[0] == 64
+
+
+def test_refined_parts_stay_in_proportion():
+    """A segment's parts in a round hold its windows once each, and no more parts than stretches."""
+    import pyarrow as pa
+
+    data = bytes(random.Random(1).randrange(256) for _ in range(672))
+    row = {x: [1] for x in suffix_dedup._PIECE} | {"p": [5], "n": [273], "back": [272], "bytes": [data]}
+    names = [*suffix_dedup._PIECE, "bytes"]
+    parts = [pa.RecordBatch.from_pydict({x: row[x] for x in names})]
+    for width in suffix_dedup.WIDTHS:
+        parts = list(suffix_dedup._refine(width)(iter(parts)))
+        got = pa.Table.from_batches(parts).to_pydict()
+        assert sum(got["n"]) == 273 and len(got["n"]) == -(-273 // width)
+        assert sorted(p + i for p, n in zip(got["p"], got["n"]) for i in range(n)) == list(range(5, 278))
+        assert all(b == data[p - 5 : p - 5 + n + 399] for p, n, b in zip(got["p"], got["n"], got["bytes"]))
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(400):
@@ -259,6 +365,24 @@ def test_line_dedup_hot_line(spark):
     assert all(r.n_chars == len(r.text) for i, r in out.items() if i != 499)
 
 
+def brute_lines(rows, min_chars=20, min_docs=3):
+    key = lambda x: x.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+    holders = defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if i is not None and len(key(x)) >= min_chars:
+                holders[key(x)].add(i)
+    gone = lambda i, x: i is not None and len(holders.get(key(x), ())) >= min_docs and i != max(holders[key(x)])
+    return Counter((i, "\n".join(x for x in (t or "").split("\n") if not gone(i, x))) for i, t in rows)
+
+
+def test_line_dedup_of_repeated_ids(spark, odd):
+    for df in (repeated_ids(spark), odd.select("doc_id", "text", "n_chars")):
+        got = Counter((r.doc_id, r.text or "") for r in line_dedup.line_dedup(df).collect())
+        assert got == brute_lines(plain(df))
+    assert any("precious" in r.text for r in line_dedup.line_dedup(repeated_ids(spark)).collect())
+
+
 def test_line_dedup_cases(odd):
     got = line_dedup.line_dedup_digest(odd).collect()
     assert len(got) == odd.count()
@@ -373,7 +497,7 @@ def test_topk_cases(spark, monkeypatch):
 # --- 8
 
 
-def test_token_counts_and_cache(spark, docs, odd):
+def test_token_counts_and_cache(spark, docs, odd, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_counts.tokenizer_file("byte_bpe_50k.json"))
@@ -387,6 +511,14 @@ def test_token_counts_and_cache(spark, docs, odd):
     assert stored == table.select(F.coalesce("text", F.lit(""))).distinct().count()
     again = token_counts.token_counts(table, cache)
     assert again.count() == len(got) and spark.read.parquet(cache).count() == stored  # all hits: nothing was encoded or appended
+    few = table.limit(7).unionByName(spark.createDataFrame([(9003, "a text that the cache lacks", None, None, None)], SCHEMA))
+    for rows in (500_000, 0):  # a few misses by broadcast, then by shuffle
+        monkeypatch.setattr(token_counts, "BROADCAST_ROWS", rows)
+        half = token_counts.fresh_cache(docs)
+        token_counts.token_counts(table.limit(5), half).count()
+        assert token_counts.token_counts(few, half).count() == 8
+        assert spark.read.parquet(half).groupBy("version", "digest").count().where("count > 1").isEmpty()
+        assert spark.read.parquet(half).count() == table.limit(5).unionByName(few).select(F.coalesce("text", F.lit(""))).distinct().count()
     other = token_counts.token_counts(docs, cache, "piece_bpe_32k.model")
     assert other.count() == docs.count() and spark.read.parquet(cache).count() > stored  # another version is another key
     assert token_counts.token_counts(odd.limit(0), token_counts.fresh_cache(docs)).count() == 0
@@ -404,11 +536,29 @@ def test_decontamination_against_sql(spark, docs):
     assert got == expected and any(r[1] for r in got)
 
 
+def test_decontamination_short_items(spark):
+    """Items of 5 to 10 words are found whole, shorter ones as whole texts."""
+    items = [(1, "which river runs through it"), (2, "yes"), (3, "the sum of two and two is four or five"), (4, "one two three four"), (5, "..."), (6, "")]
+    texts = [
+        "Q: Which river runs through it?", "which river runs under it", "Yes!", "yes it is", "so the sum of two and two is four or five then", "the sum of two and two is four or six", "one two three four",
+        "one two three four five", "...", "", "which river runs", "through it which river runs through it it which river runs through it",
+    ]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.item_ids for r in decontamination.decontamination(rows, bench).collect()}
+    assert {i: x for i, x in got.items() if x} == {0: "1", 2: "2", 4: "3", 6: "4", 11: "1"}
+    c = duckdb.connect()
+    for name, table in (("documents", rows), ("benchmark", bench)):
+        own = table.toPandas()  # noqa: F841
+        c.execute(f"CREATE TABLE {name} AS SELECT * FROM own")
+    assert dict(c.execute("SELECT doc_id, item_ids FROM (" + decontamination.ORACLE + ")").fetchall()) == got
+
+
 def test_decontamination_substitutions(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     long_item, short_item = [word() for _ in range(24)], [word() for _ in range(12)]
-    bench = spark.createDataFrame([(1, " ".join(long_item)), (2, " ".join(short_item)), (3, "too short"), (4, None), (None, " ".join(word() for _ in range(20))), (1, " ".join(long_item))], "item_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(long_item)), (2, " ".join(short_item)), (3, "too brief"), (4, None), (None, " ".join(word() for _ in range(20))), (1, " ".join(long_item))], "item_id bigint, text string")
     rows, expected = [], {}
     for i in range(60):
         item, most = (long_item, 2) if i % 2 else (short_item, 1)
@@ -432,10 +582,10 @@ def test_decontamination_cases(spark, odd):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
-def test_decontamination_in_blocks(spark, docs, monkeypatch):
+def test_decontamination_without_broadcasts(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(map(tuple, decontamination.decontamination(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, decontamination.decontamination(docs, bench).collect())) == whole
 
@@ -487,6 +637,17 @@ def test_mixing(docs, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_of_equal_rows(spark):
+    """A source of 64,000 equal rows: buckets stay small."""
+    rows = spark.range(64_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("two words").alias("text"), F.lit("a").alias("source"))
+    rows = rows.unionByName(spark.range(9000).select("id", F.lit("some more words").alias("text"), F.lit("b").alias("source")).withColumnRenamed("id", "doc_id"))
+    began = time.time()
+    got = mixing.mix(rows).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"), F.max("taken").alias("most")).collect()
+    assert time.time() - began < 60
+    assert sorted(r.n for r in got) == [9000, 64_000]
+    assert all(abs(r.taken - r.target) <= 3 and r.most <= 9 for r in got)
+
+
 def test_mixing_targets(spark):
     for sizes in ({"a": 100, "b": 1, "c": 5, "d": 900, None: 7}, {"a": 10}, {"a": 0, "b": 4}, {"é": 3, "z": 3, "A": 3}):
         df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size bigint")

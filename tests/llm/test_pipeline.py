@@ -1,9 +1,11 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+from collections import Counter
+
 import corpus_pipeline
 from voxelry.llm import decontamination, mixing
 
-from .test_operators import SF, brute_classes, check_mix, plain
+from .test_operators import SF, brute_classes, brute_lines, check_mix, plain, repeated_ids
 
 
 def test_stages(spark):
@@ -31,3 +33,15 @@ def test_run_and_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_repeated_ids(spark):
+    """Rows that share an id with another text lose nothing by it."""
+    docs = repeated_ids(spark)
+    stage = dict(corpus_pipeline.STAGES)
+    two = stage["line_dedup"](spark, stage["language_id"](spark, docs, SF), SF)
+    assert Counter(plain(two)) == brute_lines(plain(docs)) and any("precious" in t for _, t in plain(two))
+    three = plain(stage["ngram_join"](spark, two, SF))
+    assert any("precious" in t for _, t in three) and {t for _, t in three} <= {t for _, t in plain(two)}
+    assert all(n == 0 for _, _, n in brute_classes(three))  # no two of those kept are near
+    assert stage["decontamination"](spark, stage["ngram_join"](spark, two, SF), SF).count() == len(three)
