@@ -2,9 +2,13 @@
 
 Inner product becomes distance by one more component: x gets sqrt(M2 - |x|^2), a query 0, with M2 the largest
 squared norm; then d(q, x)^2 = |q|^2 + M2 - 2 <q, x>. Every vector is keyed by its nearest pivot and its
-distance to it, which falls in one of the pivot's annuli. A query first searches the annulus nearest to it;
-its k-th score there is a bound. By the triangle inequality d(q, x) >= |d(q, p) - d(x, p)|, annuli whose
-bound shows that they hold nothing as good are never visited; all others are searched exactly.
+distance to it, which falls in one of the pivot's annuli. By the triangle inequality
+d(q, x) >= |d(q, p) - d(x, p)|, so an annulus has a best score that nothing in it can pass. A query takes its annuli
+in the order of these: first a block of the best one, whose k-th score is a bound; then the best few, which tighten
+it; then all others whose best score reaches the bound. What is visited is searched exactly.
+
+Vectors and queries meet in tiles of a block of an annulus and a block of queries, as whole numbers of two bytes a
+component where they fit.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Vectors that pivots and annuli are fitted on; the most pivots and annuli of a pivot; vectors of a block.
-SAMPLE, PIVOTS, ANNULI, BLOCK = 4096, 64, 16, 4096
+#: Vectors that pivots and annuli are fitted on; the most pivots and annuli of a pivot; vectors and queries of a block.
+SAMPLE, PIVOTS, ANNULI, BLOCK, QUERIES = 8192, 128, 32, 8192, 65_536
+#: Annuli that a query visits before the rest.
+FIRST = 4
 _EXACT = float(1 << 53)
 
 
@@ -46,7 +52,7 @@ class Index:
     """Pivots and annuli, fitted on a sample; small whatever the number of vectors."""
 
     def __init__(self, sample: np.ndarray, n: int, m2: float):
-        cells = int(np.clip(n // (BLOCK // 2), 1, PIVOTS * ANNULI))
+        cells = int(np.clip(n // 2048, 1, PIVOTS * ANNULI))
         self.m2, rng = m2, np.random.default_rng(5)
         x = self.lift(sample)
         p = min(PIVOTS, len(x), max(1, round(cells**0.5 * 2)))
@@ -75,11 +81,13 @@ class Index:
         return near * self.rings + ring, own
 
 
-def _blocks(found: dict, dim: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _numbers(rows: list[bytes], dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), kind).reshape(-1, dim).astype(np.float64)
+
+
+def _best(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Best k of a block for each query: (query, vector, score)."""
-    ids, x = np.array(found["ids"]), np.frombuffer(b"".join(found["x"]), np.float64).reshape(-1, dim)
-    q_ids, q = np.array(found["q_ids"]), np.frombuffer(b"".join(found["q"]), np.float64).reshape(-1, dim)
-    if found["exact"]:
+    if exact:
         score = (q @ x.T).astype(np.int64)
     else:  # beyond doubles: Python's integers
         score = (q.astype(np.int64).astype(object) @ x.astype(np.int64).astype(object).T).astype(np.int64)
@@ -93,29 +101,34 @@ def _blocks(found: dict, dim: int, k: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.full(len(order), q_ids[r]), v[order], s[order]
 
 
-def _search(dim: int, k: int, exact: bool):
-    """Rows sorted by (cell, sub, kind): a block's vectors come first and are kept, queries stream by."""
+_ROW = ["cell", "sub", "qb", "kind", "id", "vec"]
+
+
+def _search(dim: int, k: int, kind_of: str, exact: bool):
+    """Rows sorted by (cell, sub, qb, kind): a block's vectors come first and are kept, queries stream by."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {"ids": [], "x": []}
+        key, ids, vecs, held = None, [], [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            cell, sub, kind, ids = (b.column(i).to_numpy() for i in range(4))
-            vec = b.column(4).to_pylist()
-            new = np.append(True, (cell[1:] != cell[:-1]) | (sub[1:] != sub[:-1]) | (kind[1:] != kind[:-1]))
+            cell, sub, qb, kind, own = (b.column(i).to_numpy() for i in range(5))
+            vec = b.column(5).to_pylist()
+            new = np.append(True, (cell[1:] != cell[:-1]) | (sub[1:] != sub[:-1]) | (qb[1:] != qb[:-1]) | (kind[1:] != kind[:-1]))
             starts = np.append(np.flatnonzero(new), len(cell))
             out: list[tuple] = []
             for a, z in zip(starts, starts[1:]):
-                if key != (cell[a], sub[a]):
-                    key, held = (cell[a], sub[a]), {"ids": [], "x": []}
+                if key != (cell[a], sub[a], qb[a]):
+                    key, ids, vecs, held = (cell[a], sub[a], qb[a]), [], [], None
                 if kind[a] == 0:
-                    held["ids"] += ids[a:z].tolist()
-                    held["x"] += vec[a:z]
-                elif held["ids"]:
+                    ids += own[a:z].tolist()
+                    vecs += vec[a:z]
+                elif ids:
+                    if held is None:
+                        held, vecs = (np.array(ids), _numbers(vecs, dim, kind_of)), []
                     for at in range(a, z, 512):
                         part = slice(at, min(z, at + 512))
-                        out += _blocks(held | {"q_ids": ids[part].tolist(), "q": vec[part], "exact": exact}, dim, k)
+                        out += _best(*held, own[part], _numbers(vec[part], dim, kind_of), k, exact)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], ["query_id", "vec_id", "score"])
 
@@ -140,11 +153,13 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, quantum: int = 2
     drawn = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
     index = Index(_matrix(drawn, dim, quantum), n, m2)
 
+    kind_of = "<i2" if m2 < float(1 << 30) else "<f8"
+
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1), dim, quantum)
             cell, d = index.cells(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(d), b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["cell", "d", "id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(d), b.column(0), pa.array([r.tobytes() for r in x.astype(kind_of)], pa.binary())], ["cell", "d", "id", "vec"])
 
     keyed = written(v.select("vec_id", "embedding").mapInArrow(key, "cell int, d double, id long, vec binary"), "pivot-index")
     cells = sorted((r.cell, r.n, r.low, r.high) for r in keyed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect())
@@ -152,8 +167,9 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, quantum: int = 2
     subs = -(-size // BLOCK)
     slack = 1e-6 * (1 + m2)  # rounding of distances never hides a candidate
     block_of = F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*[F.lit(int(x)) for c, s in zip(cell_no, subs) for x in (c, s)]), F.col("cell"))).cast("int")
-    stored = keyed.select("cell", block_of.alias("sub"), F.lit(0).alias("kind"), "id", "vec")
-    asked = keyed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
+    asked = written(keyed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec")), "pivot-queries")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    stored = keyed.select("cell", block_of.alias("sub"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.lit(0).alias("kind"), "id", "vec")
 
     def best_scores(q: np.ndarray) -> np.ndarray:
         """For each query and cell, the most a score can be."""
@@ -162,36 +178,46 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, quantum: int = 2
         gap = np.maximum(0, np.maximum(d - high, low - d))
         return ((q * q).sum(axis=1)[:, None] + m2 - gap * gap) / 2
 
-    def visit(first: bool):
+    def visit(step: int):
+        """Queries (id, vec, bound) -> a row for each block to visit: in the first step a block of the best annulus, in
+        the second the best few annuli, in the third the others; of those, what the bound leaves."""
+
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows:
-                    continue
-                ids, vec = b.column(0).to_numpy(), b.column(1).to_pylist()
-                most = best_scores(np.frombuffer(b"".join(vec), np.float64).reshape(-1, dim))
-                if first:  # the nearest annulus, one of its blocks
-                    at = most.argmax(axis=1)
-                    cell, sub, r = cell_no[at], ids % subs[at], np.arange(len(ids))
-                else:
-                    r, at = np.nonzero(most >= b.column(2).to_numpy()[:, None] - slack)
-                    times = subs[at]
-                    sub = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    r, cell = np.repeat(r, times), np.repeat(cell_no[at], times)
-                for a in range(0, len(r), 20_000):
-                    z = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell[z].astype(np.int32)), pa.array(sub[z].astype(np.int32)), pa.array(np.ones(len(r[z]), np.int32)), pa.array(ids[r[z]]), pa.array([vec[i] for i in r[z]], pa.binary())],
-                        ["cell", "sub", "kind", "id", "vec"],
-                    )
+                for begin in range(0, b.num_rows, 256):
+                    part = b.slice(begin, 256)
+                    ids, vec = part.column(0).to_numpy(), part.column(1).to_pylist()
+                    most = best_scores(_numbers(vec, dim, kind_of))
+                    if step == 1:
+                        r, at = np.arange(len(ids)), most.argmax(axis=1)
+                        sub = ids % subs[at]
+                    else:
+                        place = (-most).argsort(axis=1, kind="stable").argsort(axis=1)
+                        r, at = np.nonzero((most >= part.column(2).to_numpy()[:, None] - slack) & ((place < FIRST) == (step == 2)))
+                        times = subs[at]
+                        sub = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        r, at = np.repeat(r, times), np.repeat(at, times)
+                    for a in range(0, len(r), 20_000):
+                        z = slice(a, a + 20_000)
+                        cols = [cell_no[at[z]], sub[z], ids[r[z]] // every % blocks, np.ones(len(r[z]))]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cols), pa.array(ids[r[z]]), pa.array([vec[i] for i in r[z]], pa.binary())], _ROW)
 
         return rows
 
-    row, place = "cell int, sub int, kind int, id long, vec binary", ["cell", "sub"]
-    search = lambda q: stored.unionByName(q).repartition(*place).sortWithinPartitions(*place, "kind").mapInArrow(_search(dim, k, m2 < _EXACT), "query_id long, vec_id long, score long")
-    seen = search(asked.mapInArrow(visit(True), row)).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    bound = asked.join(seen.where(F.col("n") >= k).select(F.col("query_id").alias("id"), "least"), "id", "left")
-    bound = bound.select("id", "vec", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least"))
-    found = search(bound.mapInArrow(visit(False), row))
+    row, place = "cell int, sub int, qb int, kind int, id long, vec binary", ["cell", "sub", "qb"]
+
+    def search(queries: DataFrame, step: int) -> DataFrame:
+        meet = stored.unionByName(queries.mapInArrow(visit(step), row)).repartition(*place).sortWithinPartitions(*place, "kind")
+        return meet.select(*_ROW).mapInArrow(_search(dim, k, kind_of, m2 < _EXACT), "query_id long, vec_id long, score long")
+
+    def bounded(found: DataFrame) -> DataFrame:
+        """Queries with the k-th score of what they have found, if they have found so many."""
+        first = found.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("_r") == k)
+        bound = asked.join(first.select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("least")), "id", "left")
+        return bound.select("id", "vec", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+
+    few = written(search(bounded(search(asked, 1)), 2), "pivot-first")
+    found = few.unionByName(search(bounded(few), 3))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
