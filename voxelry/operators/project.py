@@ -8,12 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("z", "y", "x")
+Triple = tuple[int, int, int]
 
 
-def crop(vol: DataFrame, **ranges: tuple[int, int, int]) -> DataFrame:
-    """start, stop, step per axis; stop 0 means the full extent. Coordinates stay."""
+def crop(vol: DataFrame, block: Triple | None = None, **ranges: tuple[int, int, int]) -> DataFrame:
+    """start, stop, step per axis; stop 0 means the full extent. Coordinates stay. Of a stored volume with its
+    ``block`` size, only the blocks that the ranges meet are opened."""
     for axis, (start, stop, step) in ranges.items():
         c = F.col(axis)
+        if block is not None:
+            n = block[AXES.index(axis)]
+            vol = vol.where(F.col(f"b{axis}") >= start // n)
+            if stop:
+                vol = vol.where(F.col(f"b{axis}") <= (stop - 1) // n)
         vol = vol.where(c >= start)
         if stop:
             vol = vol.where(c < stop)

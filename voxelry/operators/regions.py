@@ -182,7 +182,7 @@ def shuffle_labels(vol: DataFrame, seed: int = 0) -> DataFrame:
     """A seeded permutation of the labels; the same for every volume with the same label set."""
     labels = written(_fore(vol).select("label").distinct(), "labels")
     a = global_rank(labels, "label")
-    b = global_rank(labels.select(F.col("label").alias("new_label"), F.xxhash64("label", F.lit(seed)).alias("_h")), "_h", "new_label").drop("_h")
+    b = global_rank(labels.select(F.col("label").alias("new_label"), F.md5(F.concat_ws(",", "label", F.lit(seed))).alias("_h")), "_h", "new_label").drop("_h")
     return forward_map(vol, a.join(b, "rank").select("label", "new_label"))
 
 
@@ -243,6 +243,7 @@ def rasterize_segments(segments: DataFrame) -> DataFrame:
 
 
 def sample_matches(matches: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """At most n matches a pair, in the order of a hash of their points."""
-    order = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.xxhash64("sx", "sy", "dx", "dy", F.lit(seed)), "sx", "sy", "dx", "dy"))
+    """At most n matches a pair, in the order of a hash of their points, to a millionth."""
+    points = [F.round(F.col(c) * 1e6).cast("bigint") for c in ("sx", "sy", "dx", "dy")]
+    order = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.md5(F.concat_ws(",", *points, F.lit(seed))), "sx", "sy", "dx", "dy"))
     return matches.withColumn("_r", order).where(F.col("_r") <= n).drop("_r")

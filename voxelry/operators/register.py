@@ -9,10 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxelry.functions.graph import discard, written
+
 #: Neighbouring tiles of a 2 x 2 section by type of overlap (z: the same tile in another section).
 CONNECTIVITY = [("z", 0, 0), ("z", 1, 1), ("z", 2, 2), ("z", 3, 3), ("y", 0, 2), ("y", 1, 3), ("x", 0, 1), ("x", 2, 3), ("tlbr", 0, 3), ("trbl", 1, 2)]
 
 
+#: Descriptors in a block of one side; tiles on which the driver solves the joint fit itself.
+TILE, DRIVER_TILES = 1024, 2000
+
+
 def connectivity(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CONNECTIVITY, "type string, t1 int, t2 int")
 
@@ -43,11 +49,43 @@ def overlap_regions(pairs: DataFrame, height: int, width: int, overlap: int) ->
 
 def match_descriptors(a: DataFrame, b: DataFrame, max_distance: float | None = None) -> DataFrame:
     """(id_a, id_b, distance): mutual nearest neighbours of (group, id, vec) descriptors, ties to the smaller id.
-    Only descriptors of one group (an overlap region) are compared, so work stays inside regions."""
-    p = a.select("group", F.col("id").alias("id_a"), F.col("vec").alias("va")).join(b.select("group", F.col("id").alias("id_b"), F.col("vec").alias("vb")), "group")
-    d = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    p = p.select("group", "id_a", "id_b", d.cast("double").alias("distance"))
-    first = lambda key, other: p.groupBy("group", key).agg(F.min(F.struct("distance", other)).alias("m")).select("group", key, f"m.{other}", "m.distance")
+    Only descriptors of one group (an overlap region) are compared, in tiles of a block of each side, however many a
+    group has; a row a descriptor and tile leaves them, not a row a pair."""
+
+    def blocks(d: DataFrame) -> DataFrame:
+        n = d.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n"))
+        return d.select("group", "id", "vec").join(n, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+
+    both = blocks(a), blocks(b)
+    counts = [d.select("group", "n").distinct() for d in both]
+    spread = lambda d, other, own, far: d.withColumnRenamed("block", own).join(other.select("group", F.col("n").alias("_n")), "group").withColumn(far, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    left, right = spread(both[0], counts[1], "i", "j"), spread(both[1], counts[0], "j", "i")
+    tile = ["group", "i", "j"]
+
+    def nearest(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({c: [] for c in ("group", "side", "id", "other", "distance")})
+        p, q = p.sort_values("id"), q.sort_values("other")
+        x, y = np.stack(p.vec.to_list()).astype(float), np.stack(q.ovec.to_list()).astype(float)
+        d = np.zeros((len(x), len(y)))
+        for c in range(x.shape[1]):
+            d += (x[:, c, None] - y[None, :, c]) ** 2
+        ids, others = p.id.to_numpy(), q.other.to_numpy()
+        at, back = d.argmin(axis=1), d.argmin(axis=0)  # the first, so the smaller id
+        return pd.DataFrame({
+            "group": key[0], "side": np.repeat([0, 1], [len(ids), len(others)]), "id": np.concatenate([ids, others]),
+            "other": np.concatenate([others[at], ids[back]]), "distance": np.concatenate([d.min(axis=1), d.min(axis=0)]),
+        })
+
+    kind = f"group {a.schema['group'].dataType.simpleString()}, side int, id bigint, other bigint, distance double"
+    right = right.select(*[F.col(c).alias(f"_{c}") for c in tile], F.col("id").alias("other"), F.col("vec").alias("ovec"))  # names of its own: both sides may be one table
+    found = left.select(*tile, "id", "vec").groupBy(*tile).cogroup(right.groupBy(*[f"_{c}" for c in tile])).applyInPandas(nearest, kind)
+    found = found.groupBy("group", "side", "id").agg(F.min(F.struct("distance", "other")).alias("m"))
+
+    def first(key: str, other: str) -> DataFrame:
+        side = found.where(F.col("side") == int(key == "id_b"))
+        return side.select("group", F.col("id").alias(key), F.col("m.other").alias(other), "m.distance")
+
     best = first("id_a", "id_b").join(first("id_b", "id_a").drop("distance"), ["group", "id_a", "id_b"])
     best = best.withColumn("distance", F.sqrt("distance"))
     return best.where(F.col("distance") <= max_distance) if max_distance is not None else best
@@ -111,8 +149,6 @@ def initial_transforms(models: DataFrame) -> DataFrame:
     """(tile, theta, tx, ty): pair models (src, dst, theta, tx, ty: dst's frame into src's, src < dst) chained to
     tile 0. A tile's chain goes through its smallest source. Chains are halved each round, so rounds grow with the
     logarithm of the longest; tiles without a chain to 0 are left out."""
-    from voxelry.functions.graph import written
-
     best = models.where("src < dst").groupBy("dst").agg(F.min(F.struct("src", "theta", "tx", "ty")).alias("m"))
     t = best.select(F.col("dst").alias("tile"), F.col("m.src").alias("top"), "m.theta", "m.tx", "m.ty")
     while True:
@@ -143,43 +179,92 @@ def registration_error(matches: DataFrame, transforms: DataFrame) -> DataFrame:
     return j.agg(F.coalesce(F.sum(F.col("w") * ((ax - bx) * (ax - bx) + (ay - by) * (ay - by))), F.lit(0.0)).alias("error"))
 
 
-def optimize_transforms(matches: DataFrame, transforms: DataFrame, fixed: int = 0, rounds: int = 10, tolerance: float = 1e-9) -> DataFrame:
-    """Gauss-Newton on the registration error with one tile fixed. Matches are summed to a normal-equation block a
-    tile pair on Spark; the driver solves a system of three unknowns a tile."""
-    spark = matches.sparkSession
-    matches = matches.persist()
-    current = {r.tile: np.array([r.theta, r.tx, r.ty]) for r in transforms.collect()}
-    free = sorted(t for t in current if t != fixed)
+def _normal_blocks(matches: DataFrame, table: DataFrame) -> DataFrame:
+    """(t1, t2, h.., g..) sums of the normal equations over the matches of each tile pair."""
+    j = _sides(matches, table)
+    ax, ay = _apply(F.col("sx"), F.col("sy"), *[F.col(f"{c}1") for c in ("theta", "tx", "ty")])
+    bx, by = _apply(F.col("dx"), F.col("dy"), *[F.col(f"{c}2") for c in ("theta", "tx", "ty")])
+    zero, one = F.lit(0.0), F.lit(1.0)
+    # residuals rx, ry and their derivatives by (theta, tx, ty) of both tiles
+    jx = [F.col("ty1") - ay, one, zero, by - F.col("ty2"), -one, zero]
+    jy = [ax - F.col("tx1"), zero, one, F.col("tx2") - bx, zero, -one]
+    rx, ry, w = ax - bx, ay - by, F.col("w")
+    sums = [F.sum(w * (jx[p] * jx[q] + jy[p] * jy[q])).alias(f"h{p}{q}") for p in range(6) for q in range(p, 6)] + [F.sum(w * (jx[p] * rx + jy[p] * ry)).alias(f"g{p}") for p in range(6)]
+    return j.groupBy("t1", "t2").agg(*sums)
+
+
+def _solved_on_driver(blocks: DataFrame, free: list[int]) -> dict[int, np.ndarray]:
     place = {t: 3 * i for i, t in enumerate(free)}
-    try:
-        for _ in range(rounds):
-            table = spark.createDataFrame([(int(t), *map(float, v)) for t, v in current.items()], "tile bigint, theta double, tx double, ty double")
-            j = _sides(matches, table)
-            ax, ay = _apply(F.col("sx"), F.col("sy"), *[F.col(f"{c}1") for c in ("theta", "tx", "ty")])
-            bx, by = _apply(F.col("dx"), F.col("dy"), *[F.col(f"{c}2") for c in ("theta", "tx", "ty")])
-            zero, one = F.lit(0.0), F.lit(1.0)
-            # residuals rx, ry and their derivatives by (theta, tx, ty) of both tiles
-            jx = [F.col("ty1") - ay, one, zero, by - F.col("ty2"), -one, zero]
-            jy = [ax - F.col("tx1"), zero, one, F.col("tx2") - bx, zero, -one]
-            rx, ry, w = ax - bx, ay - by, F.col("w")
-            sums = [F.sum(w * (jx[p] * jx[q] + jy[p] * jy[q])).alias(f"h{p}{q}") for p in range(6) for q in range(p, 6)] + [F.sum(w * (jx[p] * rx + jy[p] * ry)).alias(f"g{p}") for p in range(6)]
-            h, g = np.zeros((3 * len(free), 3 * len(free))), np.zeros(3 * len(free))
-            for r in j.groupBy("t1", "t2").agg(*sums).collect():  # a row a tile pair
-                at = [(place[t] + i if t in place else -1) for t in (r.t1, r.t2) for i in range(3)]
-                for p in range(6):
-                    if at[p] >= 0:
-                        g[at[p]] += r[f"g{p}"]
-                        for q in range(6):
-                            if at[q] >= 0:
-                                h[at[p], at[q]] += r[f"h{min(p, q)}{max(p, q)}"]
-            step = np.linalg.lstsq(h, -g, rcond=None)[0] if len(free) else np.zeros(0)
-            for t in free:
-                current[t] = current[t] + step[place[t] : place[t] + 3]
-            if not len(step) or np.abs(step).max() < tolerance:
-                break
-    finally:
-        matches.unpersist()
-    return spark.createDataFrame([(int(t), *map(float, v)) for t, v in sorted(current.items())], "tile bigint, theta double, tx double, ty double")
+    h, g = np.zeros((3 * len(free), 3 * len(free))), np.zeros(3 * len(free))
+    for r in blocks.collect():  # a row a tile pair, of few tiles
+        at = [(place[t] + i if t in place else -1) for t in (r.t1, r.t2) for i in range(3)]
+        for p in range(6):
+            if at[p] >= 0:
+                g[at[p]] += r[f"g{p}"]
+                for q in range(6):
+                    if at[q] >= 0:
+                        h[at[p], at[q]] += r[f"h{min(p, q)}{max(p, q)}"]
+    step = np.linalg.lstsq(h, -g, rcond=None)[0]
+    return {t: step[place[t] : place[t] + 3] for t in free}
+
+
+def _solved_on_spark(blocks: DataFrame, fixed: int, tolerance: float, most: int) -> DataFrame:
+    """(tile, x array<double>): the step by conjugate gradients, preconditioned by the diagonal. A vector is a table of
+    three numbers a tile; a product with the matrix is a join with the blocks and a sum by tile."""
+    h = lambda p, q: F.col(f"h{min(p, q)}{max(p, q)}")
+    part = lambda t, o, s, z: blocks.select(F.col(t).alias("tile"), F.col(o).alias("other"), F.array(*[F.array(*[h(s + p, z + q) for q in range(3)]) for p in range(3)]).alias("m"))
+    sides = [("t1", "t1", 0, 0), ("t1", "t2", 0, 3), ("t2", "t1", 3, 0), ("t2", "t2", 3, 3)]
+    matrix = reduce(DataFrame.unionByName, [part(*x) for x in sides]).where((F.col("tile") != fixed) & (F.col("other") != fixed))
+    add3 = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(3)])
+    matrix = written(matrix.groupBy("tile", "other").agg(F.array(*[F.array(*[F.sum(F.col("m")[p][q]) for q in range(3)]) for p in range(3)]).alias("m")), "fit-matrix")
+    g = reduce(DataFrame.unionByName, [blocks.select(F.col(t).alias("tile"), F.array(*[-F.col(f"g{s + p}") for p in range(3)]).alias("r")) for t, s in (("t1", 0), ("t2", 3))])
+    diagonal = matrix.where("tile = other").select("tile", F.array(*[F.when(F.col("m")[i][i] > 0, 1 / F.col("m")[i][i]).otherwise(1.0) for i in range(3)]).alias("c"))
+    zip3 = lambda a, b, f: F.zip_with(a, b, f)
+    dot = lambda a, b: F.coalesce(F.sum(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)), F.lit(0.0))
+    s = g.where(F.col("tile") != fixed).groupBy("tile").agg(add3("r").alias("r")).join(diagonal, "tile")
+    s = s.select("tile", "c", "r", F.array(*[F.lit(0.0)] * 3).alias("x"), zip3("c", "r", lambda c, r: c * r).alias("d"))
+    s = written(s, "fit-vectors")
+    rz = first = s.agg(dot("r", zip3("c", "r", lambda c, r: c * r))).first()[0]
+    for _ in range(most):
+        if rz <= first * tolerance**2 or rz == 0:
+            return s.select("tile", "x")
+        times = matrix.join(s.select(F.col("tile").alias("other"), "d"), "other")
+        row = lambda p: F.aggregate(F.zip_with(F.col("m")[p], F.col("d"), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+        image = times.groupBy("tile").agg(F.array(*[F.sum(row(p)) for p in range(3)]).alias("q"))
+        j = written(s.join(image, "tile"), "fit-product")
+        alpha = rz / j.agg(dot("d", "q")).first()[0]
+        moved = j.select("tile", "c", "d", zip3("x", "d", lambda x, d: x + alpha * d).alias("x"), zip3("r", "q", lambda r, q: r - alpha * q).alias("r"))
+        new = moved.agg(dot("r", zip3("c", "r", lambda c, r: c * r))).first()[0]
+        beta, before = new / rz, s
+        s = written(moved.select("tile", "c", "r", "x", zip3(zip3("c", "r", lambda c, r: c * r), "d", lambda z, d: z + beta * d).alias("d")), "fit-vectors")
+        discard(before, j)
+        rz = new
+    raise RuntimeError(f"the linear system is not solved after {most} steps")
+
+
+def optimize_transforms(matches: DataFrame, transforms: DataFrame, fixed: int = 0, rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
+    """Gauss-Newton on the registration error with one tile fixed; raises if it doesn't come to rest in ``rounds``.
+    Matches are summed to a normal-equation block a tile pair. Up to ``DRIVER_TILES`` tiles the driver solves for the
+    step, beyond them Spark does by conjugate gradients; a tile without matches stays."""
+    kind = "tile bigint, theta double, tx double, ty double"
+    current = written(transforms.select(F.col("tile").cast("bigint").alias("tile"), *[F.col(c).cast("double").alias(c) for c in ("theta", "tx", "ty")]), "fit-transforms")
+    few = current.count() <= DRIVER_TILES
+    for _ in range(rounds):
+        blocks = written(_normal_blocks(matches, current), "fit-blocks")
+        if few:
+            free = sorted({t for r in blocks.select("t1", "t2").collect() for t in r} - {fixed})
+            steps = [(int(t), *map(float, x)) for t, x in _solved_on_driver(blocks, free).items()] if free else []
+            step = current.sparkSession.createDataFrame(steps, kind)
+        else:
+            step = _solved_on_spark(blocks, fixed, 1e-10, 3 * current.count() + 50).select("tile", *[F.col("x")[i].alias(c) for i, c in enumerate(("theta", "tx", "ty"))])
+        step = step.select("tile", *[F.col(c).alias(f"_{c}") for c in ("theta", "tx", "ty")])
+        moved = current.join(step, "tile", "left").select("tile", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in ("theta", "tx", "ty")], F.greatest(*[F.abs(F.coalesce(f"_{c}", F.lit(0.0))) for c in ("theta", "tx", "ty")]).alias("by"))
+        moved, before = written(moved, "fit-transforms"), current
+        current = moved.drop("by")
+        discard(before, blocks)
+        if (moved.agg(F.max("by")).first()[0] or 0.0) < tolerance:
+            return current
+    raise RuntimeError(f"transforms still move after {rounds} rounds")
 
 
 def rereference_transforms(transforms: DataFrame, tile: int) -> DataFrame:

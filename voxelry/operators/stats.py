@@ -52,7 +52,7 @@ def object_variability(stats: DataFrame, value: str) -> DataFrame:
 
 def permutation_null(stats: DataFrame, value: str, seed: int = 0) -> DataFrame:
     """Variability after a seeded shuffle of the values over all (slice, object) cells."""
-    cells = written(stats.where(F.col(value).isNotNull()).select("z", "label", value, F.xxhash64("z", "label", F.lit(seed)).alias("_h")), "cells")
+    cells = written(stats.where(F.col(value).isNotNull()).select("z", "label", value, F.md5(F.concat_ws(",", "z", "label", F.lit(seed))).alias("_h")), "cells")
     a = global_rank(cells.select("z", "label"), "z", "label")
     b = global_rank(cells, "_h", "z", "label").select(value, "rank")
     return object_variability(a.join(b, "rank"), value)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelry.functions.graph import written
+from voxelry.functions.graph import discard, written
 
 from .components import components
 from .kernels import flood, whole_watershed
@@ -165,22 +165,20 @@ def sheath_width(objects: DataFrame, sheaths: DataFrame, dims: Triple, radius: f
     return d.where("value IS NOT NULL").unionByName(far.select(*d.columns)).groupBy("label").agg(F.median("value").alias("width"))
 
 
-def sigmoid_distance(objects: DataFrame, widths: DataFrame, dims: Triple, weight: float, elsize=(1, 1, 1), reach: float | None = None) -> DataFrame:
+def sigmoid_distance(objects: DataFrame, widths: DataFrame, dims: Triple, weight: float, elsize=(1, 1, 1)) -> DataFrame:
     """(z, y, x, value, near): the least over labels of 2 (sigmoid(d / (weight width)) - 1/2); near if any label's d is
-    below 1.5 widths. For every voxel of the volume, with a distance transform for each width; a ``reach`` leaves
-    out labels beyond it, and voxels that no label reaches."""
+    below 1.5 widths. For every voxel of the volume, however far, with a distance transform for each width."""
     core = objects.where("label <> 0").select("label", *AXES)
-    if reach is None:
-        sized = core.join(widths, "label").select(F.col("width").cast("double").alias("width"), *AXES)
-        d = distance_transform(sized, dims, elsize, "width")
-    else:
-        d = near_distance(core, dims, reach, elsize).join(widths, "label")
+    sized = core.join(widths, "label").select(F.col("width").cast("double").alias("width"), *AXES)
+    d = distance_transform(sized, dims, elsize, "width")
     s = 2 * (1 / (1 + F.exp(-F.col("value") / (F.lit(weight) * F.col("width")))) - 0.5)
     return d.groupBy(*AXES).agg(F.least(F.min(s), F.lit(1.0)).alias("value"), F.max(F.col("value") < 1.5 * F.col("width")).alias("near"))
 
 
-def inner_compartment(filled: DataFrame, widths: DataFrame, dims: Triple, elsize=(1, 1, 1), reach: float = 5.0) -> DataFrame:
-    """(z, y, x, label, part): a filled object less half its median width is the inner part, the rest its sheath."""
+def inner_compartment(filled: DataFrame, widths: DataFrame, dims: Triple, elsize=(1, 1, 1)) -> DataFrame:
+    """(z, y, x, label, part): a filled object less half its median width is the inner part, the rest its sheath.
+    Distances are searched as far as half the largest width."""
+    reach = (widths.agg(F.max("width")).first()[0] or 0.0) / 2
     f = filled.where("label <> 0").select(*AXES, "label")
     outside = label_rim(f, dims)
     d = near_distance(outside.select("label", *AXES), dims, reach, elsize)
@@ -215,7 +213,8 @@ def spot_detection(vol: DataFrame, dims: Triple, element: list[Triple], threshol
 
 def supervoxels(vol: DataFrame, dims: Triple, cell: Triple, compactness: float = 10.0, rounds: int = 5, mask: DataFrame | None = None) -> DataFrame:
     """(z, y, x, label): compact k-means in space and intensity. Centres start on a grid; a voxel's candidates are
-    the centres of the 27 grid cells around its own, so no voxel meets all centres."""
+    the centres of the 27 grid cells around its own, so no voxel meets all centres. Where none of them holds a centre
+    any more, a voxel keeps its label."""
     v = vol.select(*AXES, F.col("value").cast("double").alias("value"))
     v = v.join(mask.select(*AXES), AXES, "left_semi") if mask is not None else v
     n = [-(-d // c) for d, c in zip(dims, cell)]
@@ -224,13 +223,17 @@ def supervoxels(vol: DataFrame, dims: Triple, cell: Triple, compactness: float =
     cid = F.expr(f"(gz * {n[1]} + gy) * {n[2]} + gx + 1").cast("bigint")
     centres = v.groupBy("gz", "gy", "gx").agg(*[F.avg(a).alias(f"c{a}") for a in AXES], F.avg("value").alias("cv")).withColumn("label", cid)
     spread = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    assigned = None
+    v = v.withColumn("own", cid)
+    assigned = v.withColumn("label", cid)
     for _ in range(rounds):
         o = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"o{a}") for x, a in zip(s, AXES)]) for s in spread])).alias("_o")
         near = centres.select("*", o).select("label", "cz", "cy", "cx", "cv", *[(F.col(f"g{a}") + F.col(f"_o.o{a}")).alias(f"g{a}") for a in AXES])
         d = sum(((F.col(a) - F.col(f"c{a}")) / c) ** 2 for a, c in zip(AXES, cell)) * compactness**2 + (F.col("value") - F.col("cv")) ** 2
-        best = v.join(near, ["gz", "gy", "gx"]).groupBy(*AXES, "value").agg(F.min(F.struct(d.alias("d"), "label")).alias("b"))
-        assigned = written(best.select(*AXES, "value", "b.label"), "supervoxels")
+        best = v.join(near, ["gz", "gy", "gx"], "left").groupBy(*AXES, "value", "gz", "gy", "gx", "own").agg(F.min(F.when(F.col("label").isNotNull(), F.struct(d.alias("d"), "label"))).alias("b"))
+        before = assigned
+        assigned = written(best.select(*AXES, "value", "gz", "gy", "gx", F.coalesce("b.label", "own").alias("label")), "supervoxels")
+        discard(before)
+        v = assigned.withColumnRenamed("label", "own")
         moved = assigned.groupBy("label").agg(*[F.avg(a).alias(f"c{a}") for a in AXES], F.avg("value").alias("cv"))
         centres = moved.withColumns({f"g{a}": F.floor(F.col(f"c{a}") / c).cast("int") for a, c in zip(AXES, cell)})
     return assigned.select(*AXES, "label")

@@ -88,14 +88,16 @@ def _(v):
 
 
 def _matches(v):
-    """Points from two vector elements, moved by a rotation and shift that depend on the pair; one in seven is wrong."""
-    e = v.table("embeddings").select((F.col("vec_id") % 10).alias("pair_id"), "vec_id", (F.col("embedding")[0].cast("double") * 100).alias("sx"), (F.col("embedding")[1].cast("double") * 100).alias("sy"))
-    th = F.col("pair_id") * 0.05
+    """Points from two vector elements, fifty a pair, moved by a rotation and shift that depend on the pair; one in seven
+    is wrong."""
+    e = v.table("embeddings").select(F.expr("vec_id div 50").alias("pair_id"), "vec_id", (F.col("embedding")[0].cast("double") * 100).alias("sx"), (F.col("embedding")[1].cast("double") * 100).alias("sy"))
+    k = F.col("pair_id") % 10
+    th = k * 0.05
     wrong = F.when(F.col("vec_id") % 7 == 3, 40.0).otherwise(0.0)
-    return e.select("pair_id", "sx", "sy", (F.cos(th) * F.col("sx") - F.sin(th) * F.col("sy") + F.col("pair_id") + wrong).alias("dx"), (F.sin(th) * F.col("sx") + F.cos(th) * F.col("sy") - F.col("pair_id")).alias("dy"))
+    return e.select("pair_id", "sx", "sy", (F.cos(th) * F.col("sx") - F.sin(th) * F.col("sy") + k + wrong).alias("dx"), (F.sin(th) * F.col("sx") + F.cos(th) * F.col("sy") - k).alias("dy"))
 
 
-@add("ransac_rigid", "", "SELECT vec_id % 10 AS pair_id, round((vec_id % 10) * 0.05::DOUBLE, 6) AS theta, round((vec_id % 10)::DOUBLE, 6) AS tx, round(-(vec_id % 10)::DOUBLE, 6) + 0.0 AS ty, CAST(count(*) FILTER (vec_id % 7 <> 3) AS INT) AS inliers FROM embeddings GROUP BY vec_id % 10")
+@add("ransac_rigid", "", "SELECT p AS pair_id, round(p % 10 * 0.05::DOUBLE, 6) AS theta, round((p % 10)::DOUBLE, 6) AS tx, round(-(p % 10)::DOUBLE, 6) + 0.0 AS ty, n AS inliers FROM (SELECT vec_id // 50 AS p, CAST(count(*) FILTER (vec_id % 7 <> 3) AS INT) AS n FROM embeddings GROUP BY 1)")
 def _(v):
     m = G.ransac_rigid(_matches(v), 0.5, 100)
     return m.select("pair_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("theta", "tx", "ty")], "inliers")
@@ -123,40 +125,48 @@ def _(v):
 
 
 def _joint(v):
-    """Matched points of neighbouring tiles of a chain whose true transforms are known."""
-    e = v.table("embeddings").select(F.expr("vec_id div 50 % 8").alias("t1"), (F.col("embedding")[0].cast("double") * 50).alias("x"), (F.col("embedding")[1].cast("double") * 50).alias("y"))
+    """Matched points of neighbouring tiles of a chain, fifty a pair, whose true transforms are known; they repeat every
+    16 tiles."""
+    e = v.table("embeddings").select(F.expr("vec_id div 50").alias("t1"), (F.col("embedding")[0].cast("double") * 50).alias("x"), (F.col("embedding")[1].cast("double") * 50).alias("y"))
     e = e.withColumn("t2", F.col("t1") + 1)
     for i, t in (("s", "t1"), ("d", "t2")):  # a point of the common frame, in each tile's own frame
-        th, px, py = F.col(t) * 0.02, F.col("x") - F.col(t) * 3.0, F.col("y") + F.col(t) * 1.0
+        k = F.col(t) % 16
+        th, px, py = k * 0.02, F.col("x") - k * 3.0, F.col("y") + k * 1.0
         e = e.withColumns({f"{i}x": F.cos(th) * px + F.sin(th) * py, f"{i}y": -F.sin(th) * px + F.cos(th) * py})
     return e.select("t1", "t2", F.lit(1.0).alias("w"), "sx", "sy", "dx", "dy")
 
 
 def _transforms(v, scale: float):
-    return v.table("embeddings").select(F.expr("vec_id div 50 % 9").alias("tile")).distinct().select("tile", (F.col("tile") * 0.02 * scale).alias("theta"), (F.col("tile") * 3.0 * scale).alias("tx"), (F.col("tile") * -1.0 * scale).alias("ty"))
+    tiles = v.table("embeddings").select(F.expr("vec_id div 50").alias("t")).distinct().select(F.explode(F.array("t", F.col("t") + 1)).alias("tile")).distinct()
+    k = F.col("tile") % 16
+    return tiles.select("tile", (k * 0.02 * scale).alias("theta"), (k * 3.0 * scale).alias("tx"), (k * -1.0 * scale).alias("ty"))
 
 
-@add("registration_error", "", """WITH e AS (SELECT vec_id // 50 % 8 AS t1, vec_id // 50 % 8 + 1 AS t2, embedding[1]::DOUBLE * 50 AS x, embedding[2]::DOUBLE * 50 AS y FROM embeddings),
+#: Tiles with the factor k of their pose.
+_TILES = "(SELECT DISTINCT t + o AS tile, (t + o) % 16 AS k FROM (SELECT DISTINCT vec_id // 50 AS t FROM embeddings), (VALUES (0), (1)) s(o))"
+
+
+@add("registration_error", "", """WITH e AS (SELECT vec_id // 50 % 16 AS t1, (vec_id // 50 + 1) % 16 AS t2, embedding[1]::DOUBLE * 50 AS x, embedding[2]::DOUBLE * 50 AS y FROM embeddings),
 p AS (SELECT *, cos(t1 * 0.02) * (x - t1 * 3.0) + sin(t1 * 0.02) * (y + t1) AS sx, -sin(t1 * 0.02) * (x - t1 * 3.0) + cos(t1 * 0.02) * (y + t1) AS sy, cos(t2 * 0.02) * (x - t2 * 3.0) + sin(t2 * 0.02) * (y + t2) AS dx, -sin(t2 * 0.02) * (x - t2 * 3.0) + cos(t2 * 0.02) * (y + t2) AS dy FROM e)
 SELECT round(sum(pow(cos(t1 * 0.01) * sx - sin(t1 * 0.01) * sy + t1 * 1.5 - (cos(t2 * 0.01) * dx - sin(t2 * 0.01) * dy + t2 * 1.5), 2) + pow(sin(t1 * 0.01) * sx + cos(t1 * 0.01) * sy - t1 * 0.5 - (sin(t2 * 0.01) * dx + cos(t2 * 0.01) * dy - t2 * 0.5), 2)), 4) AS error FROM p""")
 def _(v):
     return G.registration_error(_joint(v), _transforms(v, 0.5)).select(F.round("error", 4).alias("error"))
 
 
-@add("optimize_transforms", "", "SELECT DISTINCT vec_id // 50 % 9 AS tile, round((vec_id // 50 % 9) * 0.02::DOUBLE, 5) AS theta, round((vec_id // 50 % 9) * 3.0::DOUBLE, 4) AS tx, round((vec_id // 50 % 9) * -1.0::DOUBLE, 4) + 0.0 AS ty FROM embeddings")
+@add("optimize_transforms", "", f"SELECT tile, round(k * 0.02::DOUBLE, 5) AS theta, round(k * 3.0::DOUBLE, 4) AS tx, round(k * -1.0::DOUBLE, 4) + 0.0 AS ty FROM {_TILES}")
 def _(v):
     t = G.optimize_transforms(_joint(v), _transforms(v, 0.6))
     return t.select("tile", (F.round("theta", 5) + 0.0).alias("theta"), (F.round("tx", 4) + 0.0).alias("tx"), (F.round("ty", 4) + 0.0).alias("ty"))
 
 
-@add("rereference_transforms", "", """WITH t AS (SELECT DISTINCT vec_id // 50 % 9 AS tile FROM embeddings) SELECT tile, round(tile * 0.02 - 0.04::DOUBLE, 6) + 0.0 AS theta,
-round(cos(0.04) * (tile * 3.0 - 6) + sin(0.04) * (-tile + 2), 6) + 0.0 AS tx, round(-sin(0.04) * (tile * 3.0 - 6) + cos(0.04) * (-tile + 2), 6) + 0.0 AS ty FROM t""")
+@add("rereference_transforms", "", f"""SELECT tile, round(k * 0.02 - 0.04::DOUBLE, 6) + 0.0 AS theta,
+round(cos(0.04) * (k * 3.0 - 6) + sin(0.04) * (-k + 2), 6) + 0.0 AS tx, round(-sin(0.04) * (k * 3.0 - 6) + cos(0.04) * (-k + 2), 6) + 0.0 AS ty FROM {_TILES}""")
 def _(v):
     t = G.rereference_transforms(_transforms(v, 1.0), 2)
     return t.select("tile", *[(F.round(c, 6) + 0.0).alias(c) for c in ("theta", "tx", "ty")])
 
 
-@add("canvas_bounds", "", """WITH t AS (SELECT DISTINCT vec_id // 50 % 9 AS t FROM embeddings), c AS (SELECT cos(t * 0.02) * x - sin(t * 0.02) * y + t * 3.0 AS cx, sin(t * 0.02) * x + cos(t * 0.02) * y - t AS cy FROM t, (VALUES (0), (64)) a(x), (VALUES (0), (25)) b(y))
+@add("canvas_bounds", "", f"""WITH t AS (SELECT k AS t FROM {_TILES}), c AS (SELECT cos(t * 0.02) * x - sin(t * 0.02) * y + t * 3.0 AS cx, sin(t * 0.02) * x + cos(t * 0.02) * y - t AS cy FROM t, (VALUES (0), (64)) a(x), (VALUES (0), (25)) b(y))
 SELECT CAST(floor(min(cx)) AS INT) AS x0, CAST(ceil(max(cx)) AS INT) AS x1, CAST(floor(min(cy)) AS INT) AS y0, CAST(ceil(max(cy)) AS INT) AS y1 FROM c""")
 def _(v):
     return G.canvas_bounds(_transforms(v, 1.0), 25, 64)
@@ -204,7 +214,9 @@ def _(v):
     return S.object_variability(S.sheath_thickness(v.inner_seg, v.outer_seg), "thickness").select("label", *rounded("cv", "variance", "spread"))
 
 
-@add("permutation_null")
+@add("permutation_null", "inner_seg outer_seg", _THICK + """, c AS (SELECT z, label, thickness, row_number() OVER (ORDER BY z, label) AS r, row_number() OVER (ORDER BY md5(concat_ws(',', z, label, 5)), z, label) AS q FROM t WHERE thickness IS NOT NULL),
+s AS (SELECT a.label, b.thickness FROM c a JOIN c b ON b.q = a.r)
+SELECT label, round(stddev_samp(thickness) / avg(thickness), 6) AS cv, round(var_samp(thickness), 6) AS variance, round(max(thickness) - min(thickness), 6) AS spread FROM s GROUP BY label""")
 def _(v):
     return S.permutation_null(S.sheath_thickness(v.inner_seg, v.outer_seg), "thickness", 5).select("label", *rounded("cv", "variance", "spread"))
 
@@ -233,28 +245,51 @@ def _(v):
     return S.log_linear_fit(t.join(outer, ["z", "label"]), "ratio", "do").select("scope", *rounded("slope", "intercept"))
 
 
-@add("profile_peaks")
+#: Peaks of the area along z: plateaus between lower values, and how far they stand above the higher of the two valleys
+#: that part them from something higher. Two of them are never neighbours, so the distance of 2 drops none.
+_PEAKS = """WITH v AS (SELECT label, z, count(*) AS v, row_number() OVER (PARTITION BY label ORDER BY z) AS i FROM seg_b WHERE label <> 0 GROUP BY label, z),
+e AS (SELECT *, coalesce(v <> lag(v) OVER w, true) AS new FROM v WINDOW w AS (PARTITION BY label ORDER BY i)),
+g AS (SELECT *, sum(new::INT) OVER (PARTITION BY label ORDER BY i) AS run FROM e),
+r AS (SELECT label, run, v, min(i) AS a, max(i) AS b FROM g GROUP BY label, run, v),
+k AS (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM r WINDOW w AS (PARTITION BY label ORDER BY run)),
+p AS (SELECT label, v, (a + b - 2) // 2 + 1 AS i FROM k WHERE before < v AND after < v),
+q AS (SELECT p.label, p.i, p.v, (SELECT min(x.v) FROM v x WHERE x.label = p.label AND x.i <= p.i AND x.i > coalesce((SELECT max(y.i) FROM v y WHERE y.label = p.label AND y.i < p.i AND y.v > p.v), 0)) AS lo,
+  (SELECT min(x.v) FROM v x WHERE x.label = p.label AND x.i >= p.i AND x.i < coalesce((SELECT min(y.i) FROM v y WHERE y.label = p.label AND y.i > p.i AND y.v > p.v), 1000000)) AS hi FROM p)
+SELECT q.label, v.z, q.v::DOUBLE AS value FROM q JOIN v ON v.label = q.label AND v.i = q.i WHERE q.v - greatest(lo, hi) >= 1"""
+
+
+@add("profile_peaks", "seg_b", _PEAKS)
 def _(v):
     return S.profile_peaks(S.slicewise_stats(v.seg_b), "area", 2, 1.0)
 
 
-@add("sample_matches")
+_TURNED = """WITH e AS (SELECT vec_id // 50 AS pair_id, vec_id // 50 % 10 AS k, vec_id, embedding[1]::DOUBLE * 100 AS sx, embedding[2]::DOUBLE * 100 AS sy, (vec_id // 50 % 10) * 0.05::DOUBLE AS th FROM embeddings),
+m AS (SELECT pair_id, sx, sy, cos(th) * sx - sin(th) * sy + k + CASE WHEN vec_id % 7 = 3 THEN 40 ELSE 0 END AS dx, sin(th) * sx + cos(th) * sy - k AS dy FROM e)"""
+_MICRO = ", ".join(f"CAST(round({c} * 1e6::DOUBLE) AS BIGINT)" for c in ("sx", "sy", "dx", "dy"))
+
+
+@add("sample_matches", "", f"""{_TURNED}
+SELECT pair_id, round(sx, 6) AS sx, round(sy, 6) AS sy, round(dx, 6) AS dx, round(dy, 6) AS dy FROM m QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY md5(concat_ws(',', {_MICRO}, 1)), sx, sy, dx, dy) <= 5""")
 def _(v):
-    return R.sample_matches(_matches(v), 5, 1)
+    return R.sample_matches(_matches(v), 5, 1).select("pair_id", *rounded("sx", "sy", "dx", "dy"))
 
 
 @add("pipeline_2d")
 def _(v):
+    """Statistics beside what the property volumes hold."""
     from voxelry.pipelines import pipeline_2d
 
-    return pipeline_2d(v.vox, v.dims, v.mask_ds)
+    found = pipeline_2d(v.vox, v.dims, v.mask_ds)
+    painted = found["properties"].groupBy("z", "label").agg(F.sum("area").cast("bigint").alias("painted"))
+    return found["statistics"].join(painted, ["z", "label"], "left")
 
 
 @add("pipeline_3d")
 def _(v):
     from voxelry.pipelines import pipeline_3d
 
-    return pipeline_3d(v.vox, v.dims)
+    return pipeline_3d(v.vox, v.dims, v.mask_ds)["statistics"]
+
 
 
 @add("flagship", "vox", "WITH RECURSIVE " + cc_sql("SELECT z, y, x FROM vox WHERE value > 140", "dz = 0") + f""", p AS (SELECT z, label, count(*) AS area, min(y) AS y0, CAST(max(y) + 1 AS INT) AS y1, min(x) AS x0, CAST(max(x) + 1 AS INT) AS x1, avg(y) AS cy, avg(x) AS cx FROM cc GROUP BY z, label)

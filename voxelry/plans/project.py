@@ -67,19 +67,100 @@ def _(v):
     return pyramid_histogram(pyramid(v.vox, 3), 0, 256, 8)
 
 
-@add("volume_metadata", "", "SELECT * FROM (VALUES ('a', 0.05::DOUBLE, 'zyx'), ('b', 1.0::DOUBLE, 'zyxc')) t(name, ez, axlab) UNION ALL SELECT 'rows', CAST(count(*) AS DOUBLE), 'zyx' FROM embeddings")
+@add("volume_metadata", "vox prob seg_b", """WITH m(name, axlab, ez, ey, ex) AS (VALUES ('vox', 'zyx', 0.05::DOUBLE, 0.0073::DOUBLE, 0.0073::DOUBLE), ('prob', 'zyxc', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('seg_b', 'zyx', 0.05::DOUBLE, 0.0073::DOUBLE, 0.0073::DOUBLE)),
+v AS (SELECT 'vox' AS name, z, y, x FROM vox UNION ALL SELECT 'prob', z, y, x FROM prob UNION ALL SELECT 'seg_b', z, y, x FROM seg_b WHERE label <> 0),
+g AS (SELECT name, CAST(count(*) AS BIGINT) AS n, max(z) + 1 AS dz, max(y) + 1 AS dy, max(x) + 1 AS dx FROM v GROUP BY name)
+SELECT name, axlab, n, round(dz * ez, 6) AS lz, round(dy * ey, 6) AS ly, round(dx * ex, 6) AS lx, round(n * ez * ey * ex, 9) AS volume FROM g JOIN m USING (name)""")
 def _(v):
+    """Physical extents and volumes: an element size that is given, one by default, and one copied from another volume."""
     from voxelry.sources.volumes import metadata
 
-    a = metadata(v.spark, "a", (0.05, 0.0073, 0.0073), "zyx")
-    b = metadata(v.spark, "b", None, None, ndim=4)
-    n = v.table("embeddings").agg(F.lit("rows").alias("name"), F.count("*").cast("double").alias("ez"), F.lit("zyx").alias("axlab"))
-    return a.unionByName(b).select("name", F.element_at("elsize", 1).alias("ez"), "axlab").unionByName(n)
+    a = metadata(v.spark, "vox", (0.05, 0.0073, 0.0073), "zyx")
+    meta = a.unionByName(metadata(v.spark, "prob", None, None, ndim=4)).unionByName(metadata(v.spark, "seg_b", aux=a))
+    volumes = [d.select(F.lit(n).alias("name"), "z", "y", "x") for n, d in (("vox", v.vox), ("prob", v.prob), ("seg_b", v.seg_b.where("label <> 0")))]
+    g = volumes[0].unionByName(volumes[1]).unionByName(volumes[2]).groupBy("name").agg(F.count("*").alias("n"), *[(F.max(c) + 1).alias(f"d{c}") for c in "zyx"])
+    size = [F.element_at("elsize", i) for i in (1, 2, 3)]
+    return g.join(F.broadcast(meta), "name").select(
+        "name", "axlab", "n", *[F.round(F.col(f"d{c}") * s, 6).alias(f"l{c}") for c, s in zip("zyx", size)], F.round(F.col("n") * size[0] * size[1] * size[2], 9).alias("volume")
+    )  # a row a volume
+
+
+@add("scan_slice_series", "vox", "SELECT z, y, x, value::DOUBLE AS value FROM vox")
+def _(v):
+    """A volume written as a file a slice and scanned again."""
+    import uuid
+
+    from voxelry.functions.graph import shared_dir
+    from voxelry.sources.volumes import scan_slice_series, write_slice_series
+
+    folder = f"{shared_dir(v.spark)}/slices-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder else f"file://{folder}" if folder.startswith("/") else folder
+    write_slice_series(v.vox, folder).count()
+    return scan_slice_series(v.spark, folder)
+
+
+@add("output_guard", "vox", "SELECT 'WRITTEN' AS first, 'CANCELLED' AS second, z, CAST(sum(value) AS BIGINT) AS total FROM vox GROUP BY z")
+def _(v):
+    """A volume that is there is not written again if it is protected, and replaced if it isn't."""
+    import uuid
+
+    from voxelry.functions.graph import shared_dir
+    from voxelry.sources.volumes import metadata, read_volume, save_step, write_volume
+
+    path = f"{shared_dir(v.spark)}/guarded-{uuid.uuid4().hex}"
+    said = [write_volume(v.vox.withColumn("value", F.col("value") * k), metadata(v.spark, "vox"), path, (8, 25, 64), protective=True) for k in (1, 2)]
+    step = save_step(read_volume(v.spark, path)[0].select("z", "y", "x", "value"), path, "raw")
+    step = save_step(step.where("z < 0"), path, "raw", protective=True)
+    return step.groupBy("z").agg(F.sum("value").alias("total")).select(F.lit(said[0]).alias("first"), F.lit(said[1]).alias("second"), "z", "total")
+
+
+@add("labelset_files", "seg_a seg_b", "SELECT DISTINCT a.label AS key, b.label FROM seg_a a JOIN seg_b b USING (z, y, x) WHERE a.label <> 0 AND b.label <> 0")
+def _(v):
+    """The labels of one volume that each label of another meets, written as text and read again."""
+    import uuid
+
+    from voxelry.functions.graph import shared_dir
+    from voxelry.sources.labelsets import collected, exploded, read_labelsets, write_labelsets
+
+    path = f"{shared_dir(v.spark)}/labelsets-{uuid.uuid4().hex}"
+    met = v.seg_a.where("label <> 0").withColumnRenamed("label", "key").join(v.seg_b.where("label <> 0"), ["z", "y", "x"]).select("key", "label")
+    write_labelsets(collected(met), path)
+    return exploded(read_labelsets(v.spark, path))
+
+
+@add("scan_annotations", "seg_b", """WITH c AS (SELECT label AS thing, z AS node, z::DOUBLE AS z, round(avg(y), 3) AS y, round(avg(x), 3) AS x, round(sqrt(count(*)), 3) AS radius FROM seg_b WHERE label <> 0 GROUP BY label, seg_b.z)
+SELECT thing, node, z, y, x, radius, coalesce(lead(node) OVER (PARTITION BY thing ORDER BY node), -1) AS target FROM c""")
+def _(v):
+    """Skeletons of the labels, a node a slice and edges between neighbouring slices, through XML files."""
+    import uuid
+
+    from pyspark.sql import Window
+
+    from voxelry.functions.graph import shared_dir
+    from voxelry.sources.annotations import scan_annotations, write_annotations
+
+    path, offset = f"{shared_dir(v.spark)}/skeletons-{uuid.uuid4().hex}", (3, 5, 7)
+    n = v.seg_b.where("label <> 0").groupBy(F.col("label").alias("thing"), F.col("z").cast("bigint").alias("node")).agg(
+        F.avg("z").alias("z"), F.round(F.avg("y"), 3).alias("y"), F.round(F.avg("x"), 3).alias("x"), F.round(F.sqrt(F.count("*")), 3).alias("radius"))
+    e = n.select("thing", F.col("node").alias("source"), F.lead("node").over(Window.partitionBy("thing").orderBy("node")).alias("target")).where("target IS NOT NULL")
+    write_annotations(n, e, path, offset)
+    nodes, edges = scan_annotations(v.spark, path, offset)
+    out = nodes.join(edges.select("thing", F.col("source").alias("node"), "target"), ["thing", "node"], "left")
+    return out.select("thing", F.col("node").cast("int").alias("node"), "z", F.round("y", 3).alias("y"), F.round("x", 3).alias("x"), "radius", F.coalesce(F.col("target").cast("int"), F.lit(-1)).alias("target"))
 
 
 @add("crop", "vox", "SELECT * FROM vox WHERE z >= 2 AND z < 15 AND (z - 2) % 3 = 0 AND y >= 4 AND y < 20 AND x >= 10 AND (x - 10) % 2 = 0")
 def _(v):
-    return P.crop(v.vox, z=(2, 15, 3), y=(4, 20, 1), x=(10, 0, 2))
+    """From a stored volume: blocks that the ranges don't meet aren't opened."""
+    import uuid
+
+    from voxelry.functions.graph import shared_dir
+    from voxelry.sources.volumes import metadata, read_volume, write_volume
+
+    path = f"{shared_dir(v.spark)}/cropped-{uuid.uuid4().hex}"
+    write_volume(v.vox, metadata(v.spark, "vox"), path, (5, 10, 32))
+    vol, meta = read_volume(v.spark, path)
+    return P.crop(vol, tuple(meta.first().block), z=(2, 15, 3), y=(4, 20, 1), x=(10, 0, 2)).select("z", "y", "x", "value")
 
 
 @add("take_slice", "vox", "SELECT z, x, value FROM vox WHERE y = 7")

@@ -67,7 +67,15 @@ def _(v):
     return R.region_eccentricity(v.seg_a).select("z", "label", *rounded("eccentricity"))
 
 
-@add("region_solidity")
+#: Pixels inside the convex hull, column by column: the hull's edge there is the outermost chord between two columns.
+_HULL = """WITH c AS (SELECT z, label, x, min(y) AS y0, max(y) AS y1, count(*) AS n FROM seg_a WHERE label <> 0 GROUP BY 1, 2, 3),
+p AS (SELECT a.z, a.label, CAST(unnest(generate_series(a.x, b.x)) AS INT) AS x, a.x AS xa, b.x AS xb, a.y0 AS la, b.y0 AS lb, a.y1 AS ha, b.y1 AS hb FROM c a JOIN c b ON b.z = a.z AND b.label = a.label AND b.x >= a.x),
+h AS (SELECT z, label, x, max(CASE WHEN xa = xb THEN ha ELSE (ha * (xb - x) + hb * (x - xa)) // (xb - xa) END) AS top,
+  min(CASE WHEN xa = xb THEN la ELSE (la * (xb - x) + lb * (x - xa) + (xb - xa) - 1) // (xb - xa) END) AS low FROM p GROUP BY 1, 2, 3)
+SELECT z, label, round((SELECT sum(n) FROM c WHERE c.z = h.z AND c.label = h.label) / sum(greatest(top - low + 1, 0))::DOUBLE, 6) AS solidity FROM h GROUP BY z, label"""
+
+
+@add("region_solidity", "seg_a", _HULL)
 def _(v):
     return R.region_solidity(v.seg_a).select("z", "label", *rounded("solidity"))
 
@@ -131,7 +139,8 @@ def _(v):
     return R.relabel_sequential(v.seg_a, 7)
 
 
-@add("shuffle_labels")
+@add("shuffle_labels", "seg_a", """WITH d AS (SELECT DISTINCT label FROM seg_a WHERE label <> 0), a AS (SELECT label, row_number() OVER (ORDER BY label) AS r FROM d),
+b AS (SELECT label AS new, row_number() OVER (ORDER BY md5(concat_ws(',', label, 3)), label) AS r FROM d) SELECT z, y, x, coalesce(new, s.label) AS label FROM seg_a s LEFT JOIN (SELECT label, new FROM a JOIN b USING (r)) m ON m.label = s.label""")
 def _(v):
     return R.shuffle_labels(v.seg_a, 3)
 

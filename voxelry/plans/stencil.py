@@ -14,10 +14,17 @@ BOX_SQL = "(SELECT CAST(a - 1 AS INT) AS dz, CAST(b - 1 AS INT) AS dy, CAST(c -
 FACE_SQL = f"(SELECT * FROM {BOX_SQL} WHERE abs(dz) + abs(dy) + abs(dx) = 1)"
 
 
-@add("structuring_element", "dims", """SELECT CAST(a AS INT) AS dz, CAST(b AS INT) AS dy, CAST(c AS INT) AS dx, dz > 0 AS volume FROM dims, range(-1, 2) r(a), range(-3, 4) s(b), range(-3, 4) t(c)
-WHERE abs(a) / 1.0::DOUBLE + abs(b) / 3.0::DOUBLE + abs(c) / 3.0::DOUBLE <= 1 + 1e-9""".replace("dz > 0 AS volume", "true AS volume"))
+@add("structuring_element", "vox", """WITH e(kind, dz, dy, dx) AS (SELECT kind, CAST(a AS INT), CAST(b AS INT), CAST(c AS INT) FROM (VALUES ('diamond'), ('ball'), ('disk')) k(kind), range(-2, 3) r(a), range(-3, 4) s(b), range(-3, 4) t(c)
+WHERE CASE kind WHEN 'diamond' THEN abs(a) <= 1 AND abs(a) / 1.0::DOUBLE + abs(b) / 3.0::DOUBLE + abs(c) / 3.0::DOUBLE <= 1 + 1e-9 WHEN 'ball' THEN a * a + b * b + c * c <= 4 ELSE a = 0 AND b * b + c * c <= 9 END)
+SELECT kind, v.z, v.y, v.x, CAST(count(*) AS BIGINT) AS n FROM e JOIN (SELECT z, y, x FROM vox WHERE value > 170) m ON true JOIN vox v ON v.z = m.z + dz AND v.y = m.y + dy AND v.x = m.x + dx GROUP BY 1, 2, 3, 4""")
 def _(v):
-    return T.element_table(v.spark, T.structuring_element("diamond", (1, 3, 3))).withColumn("volume", F.lit(v.dims[0] > 0))
+    """Which elements around bright voxels cover a voxel, and how many."""
+    bright = v.vox.where("value > 170").select("z", "y", "x")
+    out = []
+    for kind, radius in (("diamond", (1, 3, 3)), ("ball", 2), ("disk", 3)):
+        hit = T._inside(T.shifted(bright, T.structuring_element(kind, radius)), v.dims)
+        out.append(hit.groupBy("z", "y", "x").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "z", "y", "x", "n"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @add("binary_dilate", "vox", f"SELECT DISTINCT v.z, v.y, v.x FROM vox v JOIN (SELECT CAST(z + dz AS INT) AS z, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x FROM vox, {BOX_SQL} o WHERE value > 170) m USING (z, y, x)")
@@ -112,6 +119,17 @@ def _(v):
     return T.near_distance(v.vox.where("value > 165").select("z", "y", "x"), v.dims, 2.3, (2.0, 1.0, 1.0)).select("z", "y", "x", F.round("value", 6).alias("value"))
 
 
-@add("snap_to_gradient")
+def _snap_sql(most: int) -> str:
+    """Rims peeled off one by one; the label without them whose next rim has the steepest mean gradient."""
+    steps = ["e0 AS (SELECT z, y, x, label FROM outer_seg WHERE label <> 0)"]
+    for k in range(most + 1):
+        steps.append(f"r{k} AS (SELECT a.z, a.y, a.x, a.label FROM e{k} a, {FACE_SQL} o LEFT JOIN e{k} b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND b.label = a.label GROUP BY 1, 2, 3, 4 HAVING count(b.z) < 6)")
+        steps.append(f"e{k + 1} AS (SELECT * FROM e{k} ANTI JOIN r{k} USING (z, y, x, label))")
+    rings = " UNION ALL ".join([f"SELECT *, {k} AS ring FROM r{k}" for k in range(most + 1)] + [f"SELECT *, {most + 1} FROM e{most + 1}"])
+    return "WITH " + ", ".join(steps) + f""", rings AS ({rings}), g AS (SELECT label, ring, avg(value::DOUBLE) AS g FROM rings JOIN vox USING (z, y, x) WHERE ring <= {most} GROUP BY 1, 2),
+best AS (SELECT label, ring FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY g DESC, ring) = 1) SELECT z, y, x, label FROM rings JOIN best b USING (label) WHERE rings.ring >= b.ring"""
+
+
+@add("snap_to_gradient", "outer_seg vox", _snap_sql(3))
 def _(v):
     return T.snap_to_gradient(v.outer_seg, v.vox.select("z", "y", "x", F.col("value").cast("double").alias("value")), v.dims, 3)

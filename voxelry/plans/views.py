@@ -62,7 +62,8 @@ class Views:
 
     @cached_property
     def dims(self) -> tuple[int, int, int]:
-        return (self.vox.agg(F.max("z") + 1).first()[0] or 0, Y, X)
+        last = self.table("embeddings").agg(F.max("vec_id")).first()[0]  # of one column; no voxel is made
+        return (0 if last is None else last // Y + 1, Y, X)
 
 
 #: name -> (views it needs, SQL)

@@ -10,7 +10,8 @@ from voxelry.operators import stencil as T
 from voxelry.operators import watershed as W
 from voxelry.operators.components import components, split_disconnected
 
-from .stencil import FACE_SQL
+from .components import FACE, cc_sql
+from .stencil import BOX_SQL, FACE_SQL
 from .views import registry
 
 add = registry.add
@@ -32,9 +33,17 @@ def _(v):
     return K.map_blocks(v.vox, v.dims, (5, 10, 16), (0, 0, 1), mean3).where("x BETWEEN 1 AND 62").withColumn("value", F.round("value", 6))
 
 
-@add("map_labels", "seg_a", "SELECT z, y, x, label FROM seg_a WHERE label <> 0")
+@add("map_labels", "seg_a vox", "SELECT DISTINCT v.z, v.y, v.x, s.label FROM seg_a s, (VALUES (-1), (0), (1)) o(d) JOIN vox v ON v.z = s.z AND v.y = s.y AND v.x = s.x + d WHERE s.label <> 0")
 def _(v):
-    return K.map_labels(v.seg_a, lambda label, mask, lo: mask)
+    """Labels grown along x, in blocks that cut them."""
+
+    def grow(label: int, mask: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        out = mask.copy()
+        out[:, :, 1:] |= mask[:, :, :-1]
+        out[:, :, :-1] |= mask[:, :, 1:]
+        return out
+
+    return K.map_labels(v.seg_a, grow, 1, v.dims, block=(4, 9, 13))
 
 
 @add("diffusion_smooth")
@@ -42,22 +51,56 @@ def _(v):
     return K.diffusion_smooth(v.vox, v.dims, (10, 25, 32), (4, 4, 4), 0.4, 0.1).withColumn("value", F.round("value", 4))
 
 
-@add("fill_holes_enclosed")
+_BACK = "SELECT z, y, x FROM seg_a WHERE label = 0"
+_TOP = "(SELECT label FROM cc GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)"
+
+
+@add("fill_holes_enclosed", "seg_a", "WITH RECURSIVE " + cc_sql(_BACK, FACE) + f""", h AS (SELECT z, y, x, label AS piece FROM cc WHERE label <> {_TOP}),
+m AS (SELECT piece, max(s.label) AS label FROM h, {FACE_SQL} o JOIN seg_a s ON s.z = h.z + dz AND s.y = h.y + dy AND s.x = h.x + dx AND s.label <> 0 GROUP BY piece)
+SELECT z, y, x, label FROM seg_a WHERE label <> 0 UNION ALL SELECT z, y, x, label FROM h JOIN m USING (piece)""")
 def _(v):
     return K.fill_holes_enclosed(holes(v), v.dims)
 
 
-@add("fill_holes_closing")
+def _fill_sql(closed: str, margin: int, capped: bool) -> str:
+    """Each label's box: voxels beside ``closed`` (label, z, y, x) that no face of the box can be reached from, where
+    seg_a is free. Ends of the volume don't count as faces in z if ``capped``."""
+    ends = "(z = z0 AND z0 > 0) OR (z = z1 - 1 AND z1 < dz)" if capped else "z = z0 OR z = z1 - 1"
+    low, high = [f"greatest(min({a}) - {margin}, 0) AS {a}0" for a in "zyx"], [f"least(max({a}) + {1 + margin}, d{a}) AS {a}1" for a in "zyx"]
+    box = f"SELECT label, {', '.join(low + high)} FROM seg_a, dims WHERE label <> 0 GROUP BY label, dz, dy, dx"
+    cells = "SELECT label, CAST(unnest(generate_series(z0, z1 - 1)) AS INT) AS z, y0, y1, x0, x1 FROM box"
+    for a in "yx":
+        cells = f"SELECT * EXCLUDE ({a}0, {a}1), CAST(unnest(generate_series({a}0, {a}1 - 1)) AS INT) AS {a} FROM ({cells})"
+    src = "SELECT z, y, x, label AS own FROM cells ANTI JOIN closed USING (label, z, y, x)"
+    return f"""WITH RECURSIVE closed AS ({closed}), box AS ({box}), cells AS ({cells}), {cc_sql(src, FACE, "own", "own * 10000000 + ")},
+outside AS (SELECT DISTINCT cc.label FROM cc JOIN box ON box.label = own, dims WHERE {ends} OR y = y0 OR y = y1 - 1 OR x = x0 OR x = x1 - 1),
+filled AS (SELECT z, y, x, own AS label FROM cc WHERE label NOT IN (SELECT label FROM outside) UNION ALL SELECT z, y, x, closed.label FROM closed JOIN box USING (label) WHERE z >= z0 AND z < z1 AND y >= y0 AND y < y1 AND x >= x0 AND x < x1)
+SELECT z, y, x, label FROM seg_a WHERE label <> 0 UNION ALL SELECT z, y, x, max(f.label) AS label FROM filled f JOIN (SELECT z, y, x FROM seg_a WHERE label = 0) USING (z, y, x) GROUP BY z, y, x"""
+
+
+_BALL_SQL = f"(SELECT * FROM {FACE_SQL} UNION ALL SELECT 0, 0, 0)"
+_CLOSED = f"""SELECT label, CAST(g.z + dz AS INT) AS z, CAST(g.y + dy AS INT) AS y, CAST(g.x + dx AS INT) AS x FROM (SELECT DISTINCT label, z + dz AS z, y + dy AS y, x + dx AS x FROM seg_a, {_BALL_SQL} a WHERE label <> 0) g, {_BALL_SQL} b GROUP BY 1, 2, 3, 4 HAVING count(*) = 7"""
+
+
+@add("fill_holes_closing", "seg_a dims", _fill_sql(_CLOSED, 1, False))
 def _(v):
     return K.fill_holes_closing(holes(v), v.dims, T.structuring_element("ball", 1))
 
 
-@add("fill_holes_capped")
+@add("fill_holes_capped", "seg_a dims", _fill_sql("SELECT label, z, y, x FROM seg_a WHERE label <> 0", 0, True))
 def _(v):
     return K.fill_holes_capped(holes(v), v.dims)
 
 
-@add("fill_holes_unreachable")
+#: A free voxel goes to the label that reaches it in the fewest steps, ties to the seed with the smaller index.
+_REACHED = "WITH RECURSIVE " + cc_sql(_BACK, FACE) + f""", sp AS (SELECT z, y, x FROM cc WHERE label <> {_TOP}),
+w(z, y, x, d, s) AS (SELECT sp.z, sp.y, sp.x, 1, f.z * 1600 + f.y * 64 + f.x FROM sp, {FACE_SQL} o JOIN seg_a f ON f.z = sp.z + dz AND f.y = sp.y + dy AND f.x = sp.x + dx AND f.label <> 0
+  UNION SELECT sp.z, sp.y, sp.x, w.d + 1, w.s FROM w, {FACE_SQL} o JOIN sp ON sp.z = w.z + dz AND sp.y = w.y + dy AND sp.x = w.x + dx WHERE w.d < 12),
+n AS (SELECT z, y, x, arg_min(s, d * 100000000 + s) AS s FROM w GROUP BY 1, 2, 3)
+SELECT z, y, x, label FROM seg_a WHERE label <> 0 UNION ALL SELECT n.z, n.y, n.x, f.label FROM n JOIN seg_a f ON f.z * 1600 + f.y * 64 + f.x = n.s"""
+
+
+@add("fill_holes_unreachable", "seg_a", _REACHED)
 def _(v):
     return K.fill_holes_unreachable(holes(v), v.dims, [v.vox.where("value > 150"), v.vox.where("value > 160")])
 
@@ -117,13 +160,18 @@ def _(v):
     return W.sheath_width(v.inner_seg, sheath, v.dims, 2.5).select("label", F.round("width", 6).alias("width"))
 
 
-@add("sigmoid_distance", "inner_seg vox", """WITH w AS (SELECT label, 1.0::DOUBLE + label % 3 AS width FROM (SELECT DISTINCT label FROM inner_seg WHERE label <> 0)),
-d AS (SELECT v.z, v.y, v.x, i.label, sqrt(min(pow(v.z - i.z, 2) + pow(v.y - i.y, 2) + pow(v.x - i.x, 2))) AS d FROM vox v JOIN inner_seg i ON i.label <> 0 AND abs(i.z - v.z) <= 2 AND abs(i.y - v.y) <= 2 AND abs(i.x - v.x) <= 2
-WHERE pow(v.z - i.z, 2) + pow(v.y - i.y, 2) + pow(v.x - i.x, 2) <= 4 GROUP BY 1, 2, 3, 4)
-SELECT z, y, x, round(least(min(2 * (1 / (1 + exp(-d / (0.5::DOUBLE * width))) - 0.5)), 1), 6) AS value, bool_or(d < 1.5 * width) AS near FROM d JOIN w USING (label) GROUP BY 1, 2, 3""")
+#: Squared distances axis by axis, for the objects of each width.
+_FAR = """WITH s AS (SELECT 1.0::DOUBLE + label % 3 AS width, z, y, x FROM inner_seg WHERE label <> 0),
+a AS (SELECT width, z, y, CAST(t AS INT) AS x, min((t - x) * (t - x)) AS d FROM s, range(64) r(t) GROUP BY 1, 2, 3, 4),
+b AS (SELECT width, z, CAST(t AS INT) AS y, x, min(d + (t - y) * (t - y)) AS d FROM a, range(25) r(t) GROUP BY 1, 2, 3, 4),
+c AS (SELECT width, CAST(t AS INT) AS z, y, x, sqrt(min(d + (t - z) * (t - z))) AS d FROM b, dims, range(dims.dz) r(t) GROUP BY 1, 2, 3, 4)"""
+
+
+@add("sigmoid_distance", "inner_seg dims", _FAR + """
+SELECT z, y, x, round(least(min(2 * (1 / (1 + exp(-d / (0.5::DOUBLE * width))) - 0.5)), 1), 6) AS value, bool_or(d < 1.5 * width) AS near FROM c GROUP BY 1, 2, 3""")
 def _(v):
     widths = v.inner_seg.where("label <> 0").select("label", (F.lit(1.0) + F.col("label") % 3).alias("width")).distinct()
-    return W.sigmoid_distance(v.inner_seg, widths, v.dims, 0.5, reach=2.0).withColumn("value", F.round("value", 6))
+    return W.sigmoid_distance(v.inner_seg, widths, v.dims, 0.5).withColumn("value", F.round("value", 6))
 
 
 @add("inner_compartment", "outer_seg", f"""WITH r AS (SELECT DISTINCT b.z, b.y, b.x, a.label FROM outer_seg a, {FACE_SQL} o JOIN outer_seg b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx WHERE b.label <> a.label),
@@ -132,7 +180,7 @@ WHERE pow(o.z - r.z, 2) + pow(o.y - r.y, 2) + pow(o.x - r.x, 2) <= 9 GROUP BY 1,
 SELECT o.z, o.y, o.x, o.label, CASE WHEN d IS NULL OR d > (2.0::DOUBLE + o.label % 3) / 2 THEN 'inner' ELSE 'sheath' END AS part FROM outer_seg o LEFT JOIN d USING (z, y, x, label)""")
 def _(v):
     widths = v.outer_seg.select("label", (F.lit(2.0) + F.col("label") % 3).alias("width")).distinct()
-    return W.inner_compartment(v.outer_seg, widths, v.dims, reach=3.0)
+    return W.inner_compartment(v.outer_seg, widths, v.dims)
 
 
 @add("detect_unsheathed", "outer_seg vox", f"""WITH r AS (SELECT DISTINCT b.z, b.y, b.x, a.label FROM outer_seg a, {FLAT_SQL} o JOIN outer_seg b ON b.z = a.z AND b.y = a.y + dy AND b.x = a.x + dx WHERE b.label <> a.label),
@@ -149,6 +197,26 @@ def _(v):
     return W.spot_detection(v.vox, v.dims, BOX, 160, 140)
 
 
-@add("supervoxels")
-def _(v):
-    return W.supervoxels(v.vox, v.dims, (5, 5, 8), 20.0, 3)
+def _supervoxel_sql(rounds: int, cell: tuple[int, int, int], compactness: float) -> str:
+    """Rounds of assignment to the nearest centre among those of the 27 cells around a voxel's own."""
+    at = ", ".join(f"CAST(c{a} // {n} AS INT) AS g{a}" for a, n in zip("zyx", cell))
+    space = " + ".join(f"pow((v.{a} - c.c{a}) / {n}.0::DOUBLE, 2)" for a, n in zip("zyx", cell))
+    ny, nx = -(-25 // cell[1]), -(-64 // cell[2])
+    means = "avg(z) AS cz, avg(y) AS cy, avg(x) AS cx, avg(value::DOUBLE) AS cv"
+    out = [
+        f"v0 AS (SELECT z, y, x, value, z // {cell[0]} AS gz, y // {cell[1]} AS gy, x // {cell[2]} AS gx, (z // {cell[0]} * {ny} + y // {cell[1]}) * {nx} + x // {cell[2]} + 1 AS own FROM vox WHERE value > 160)",
+        f"c0 AS (SELECT own AS label, gz, gy, gx, {means} FROM v0 GROUP BY 1, 2, 3, 4)",
+    ]
+    for k in range(rounds):
+        d = f"({space}) * {compactness**2}::DOUBLE + pow(v.value - c.cv, 2)"
+        near = f"SELECT v.z, v.y, v.x, c.label, {d} AS d FROM v{k} v, near o JOIN c{k} c ON c.gz = v.gz + dz AND c.gy = v.gy + dy AND c.gx = v.gx + dx"
+        out.append(f"b{k} AS (SELECT z, y, x, label FROM ({near}) QUALIFY row_number() OVER (PARTITION BY z, y, x ORDER BY d, label) = 1)")
+        out.append(f"v{k + 1} AS (SELECT v.z, v.y, v.x, value, gz, gy, gx, coalesce(b.label, own) AS own FROM v{k} v LEFT JOIN b{k} b USING (z, y, x))")
+        out.append(f"c{k + 1} AS (SELECT label, cz, cy, cx, cv, {at} FROM (SELECT own AS label, {means} FROM v{k + 1} GROUP BY own))")
+    return f"WITH near AS (SELECT * FROM {BOX_SQL}), {', '.join(out)} SELECT z, y, x, CAST(own AS BIGINT) AS label FROM v{rounds}"
+
+
+@add("supervoxels", "vox", _supervoxel_sql(3, (2, 3, 4), 20.0))
+def _(v):
+    """In a sparse mask, so that centres leave cells and voxels are left without a centre near them."""
+    return W.supervoxels(v.vox, v.dims, (2, 3, 4), 20.0, 3, v.vox.where("value > 160"))

@@ -41,16 +41,28 @@ def output_guard(spark: SparkSession, path: str, protective: bool = False) -> st
     return "overwrite"
 
 
+#: Columns of a stored voxel's block, by which files are laid out.
+BLOCKS = ("bz", "by", "bx")
+
+
 def write_volume(vol: DataFrame, meta: DataFrame, path: str, block: tuple[int, int, int] = (64, 256, 256), protective: bool = False) -> str:
     """Writes a volume, or replaces the blocks that ``vol`` has in one that is there (a slab). Partitioned by
-    block and sorted inside, so a crop reads the row groups it needs."""
-    mode = output_guard(vol.sparkSession, path, protective)
+    block, which ``meta`` records, and sorted inside, so a crop opens the files and row groups it needs. Metadata
+    come first: a volume without them isn't there, and those of a volume that is there stay. A slab must come in its
+    blocks."""
+    spark = vol.sparkSession
+    mode = output_guard(spark, path, protective)
     if mode == "CANCELLED":
         return mode
-    block_id = F.concat_ws("-", *[F.expr(f"{a} div {n}") for a, n in zip(AXES, block)])
-    rows = vol.withColumn("block_id", block_id).repartition("block_id").sortWithinPartitions("block_id", *AXES)
-    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("block_id").parquet(f"{path}/voxels")
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
+    if exists(spark, f"{path}/meta"):
+        there = tuple(spark.read.parquet(f"{path}/meta").first().block)
+        if there != tuple(block):
+            raise ValueError(f"the volume is in blocks of {there}, not {tuple(block)}")
+    else:
+        meta.withColumn("block", F.array(*map(F.lit, block))).write.parquet(f"{path}/meta")
+    rows = vol.withColumns({b: F.expr(f"CAST({a} div {n} AS INT)") for a, b, n in zip(AXES, BLOCKS, block)})
+    rows = rows.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS, *AXES)
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*BLOCKS).parquet(f"{path}/voxels")
     return "WRITTEN"
 
 
@@ -81,6 +93,27 @@ def _npy_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"z": z, "y": y.ravel(), "x": x.ravel(), "value": plane.ravel().astype(float)})
 
 
+def write_slice_series(vol: DataFrame, folder: str) -> DataFrame:
+    """Writes each slice of a dense volume as a 2D .npy file named by its z, where it is gathered; (z, name) of the
+    files. The folder can be in any store that its scheme names."""
+
+    def save(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        plane = np.zeros((p.y.max() + 1, p.x.max() + 1), p.value.to_numpy().dtype)
+        plane[p.y, p.x] = p.value
+        held = io.BytesIO()
+        np.save(held, plane)
+        store, where = fs.FileSystem.from_uri(folder)
+        store.create_dir(where, recursive=True)
+        name = f"slice_{key[0]:08d}.npy"
+        with store.open_output_stream(f"{where}/{name}") as f:
+            f.write(held.getvalue())
+        return pd.DataFrame({"z": [key[0]], "name": [name]})
+
+    return vol.select(*AXES, "value").groupBy("z").applyInPandas(save, "z int, name string")
+
+
 def scan_slice_series(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of 2D .npy slices as a stack; z is the rank of the file name. Only names are ranked in one place;
     contents are decoded where they are read."""
