@@ -232,9 +232,11 @@ def test_dilation_is_monotone_and_forward_map_idempotent(spark):
 def test_closing_and_peaks():
     m = np.zeros((1, 5, 7), bool)
     m[0, 2, [1, 2, 4, 5]] = True
-    assert K.closing(m, stencil.structuring_element("disk", 1))[0, 2].tolist() == [False, True, True, True, True, True, False]
+    # a cross can't close the gap in a line, as its tips beside the gap are not in the dilation; an element along it can
+    assert K.closing(m, stencil.structuring_element("disk", 1))[0, 2].tolist() == [False, True, True, False, True, True, False]
+    assert K.closing(m, [(0, 0, -1), (0, 0, 0), (0, 0, 1)])[0, 2].tolist() == [False, True, True, True, True, True, False]
     assert stats.peaks(np.array([0, 3, 1, 2, 2, 0, 5, 0.0]), 1, 1.0) == [1, 3, 6]
-    assert stats.peaks(np.array([0, 3, 1, 2, 2, 0, 5, 0.0]), 3, 1.0) == [3, 6] or stats.peaks(np.array([0, 3, 1, 2, 2, 0, 5, 0.0]), 3, 1.0) == [1, 6]
+    assert stats.peaks(np.array([0, 3, 1, 2, 2, 0, 5, 0.0]), 3, 1.0) == [1, 6]
 
 
 def test_supervoxels_cover_the_volume(spark):
