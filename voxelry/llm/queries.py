@@ -61,9 +61,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_JOIN, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_exact_topk": topk.ORACLE, "op5_line_dedup": LINE_DEDUP, "op9_decontamination": decontamination.ORACLE}
+    return {"op2_html_extraction": HTML_EXTRACTION, "op3_language_id": LANGUAGE_ID, "op1_ngram_join": NGRAM_JOIN, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_exact_topk": topk.ORACLE, "op5_line_dedup": LINE_DEDUP, "op9_decontamination": decontamination.ORACLE}
 
 
+#: For pages whose main text is an article element of headings and paragraphs.
+HTML_EXTRACTION = r"""
+WITH a AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(p|h1)>') AS parts FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]+>', '', 'g')) AS parts FROM a
+), c AS (
+  SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')) AS parts FROM b
+), d AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM c
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
+#: Where no language has more documents than are drawn, so that all that aren't held out are learned from.
+LANGUAGE_ID = r"""
+WITH d AS (
+  SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) || ' ' AS t,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: xor(v >> 1, 3988292384::BIGINT * (v & 1)) + i)), 4294967295::BIGINT) % 3 = 1 AS held_out
+  FROM documents
+), c AS (
+  SELECT doc_id, unnest(string_split(t, '')) AS a, generate_subscripts(string_split(t, ''), 1) AS i FROM d WHERE length(t) > 2
+), w AS (
+  SELECT doc_id, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), g AS (
+  SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest([a, a || b, a || b || c]) AS g FROM w) WHERE g IS NOT NULL GROUP BY 1, 2
+), own AS (
+  SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS i FROM g WHERE g <> ' ' QUALIFY i < 300
+), p AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(g), g) - 1 AS r
+  FROM (SELECT lang, g, sum(n) AS n FROM g JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL AND g <> ' ' GROUP BY 1, 2) QUALIFY r < 300
+), far AS (
+  SELECT doc_id, l.lang, sum(coalesce(abs(i - r), 300)) AS far, 300 * count(*) AS most
+  FROM own CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.g = own.g GROUP BY 1, 2
+), best AS (
+  SELECT doc_id, lang, 1 - far / most AS score FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) = 1
+)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN best USING (doc_id)
+"""
+
 LINE_DEDUP = """
 WITH l AS (
   SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
