@@ -63,8 +63,8 @@ def pipeline_3d(
 
     Objects of the 3D core that don't traverse the volume are joined anew, by slices of the wider tissue mask. Holes
     that an object encloses go to it; stretches of slices whose rim the tissue covers below ``ratio`` are nodes and
-    get no sheath. Tables by name: ``objects``, ``nodes``, ``sheaths`` (z, y, x, label) and ``statistics`` (label,
-    source, n, slices, traversing, nodes, sheath, g_ratio)."""
+    get no sheath. Tables by name: ``joined`` (before holes are filled), ``objects``, ``nodes``, ``sheaths`` (z, y, x,
+    label) and ``statistics`` (label, source, n, slices, traversing, nodes, sheath, g_ratio)."""
     labels3 = written(R.filter_small_labels(C.components(vol.where(F.col("value") > core), 26, dims), min_size).where("label <> 0"), "p3d-core")
     classes = written(L.classify_traversing(labels3, dims, min_size, 1), "p3d-classes")
     through = labels3.join(classes.where("traversing").select("label"), "label", "left_semi").select(*AXES, "label")
@@ -85,4 +85,4 @@ def pipeline_3d(
     source = F.when(F.col("label") > top, "slices").otherwise("core")
     own = F.col("n") - F.col("nodes")
     g = F.when(own > 0, F.sqrt(own / (own + F.col("sheath"))))
-    return {"objects": objects, "nodes": nodes, "sheaths": sheaths, "statistics": out.select("label", source.alias("source"), "n", "slices", "traversing", "nodes", "sheath", F.round(g, 6).alias("g_ratio"))}
+    return {"joined": both, "objects": objects, "nodes": nodes, "sheaths": sheaths, "statistics": out.select("label", source.alias("source"), "n", "slices", "traversing", "nodes", "sheath", F.round(g, 6).alias("g_ratio"))}

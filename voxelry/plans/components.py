@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from voxelry.operators import components as C
@@ -14,18 +16,19 @@ add = registry.add
 _NEAR = "(SELECT CAST(a - 1 AS INT) AS dz, CAST(b - 1 AS INT) AS dy, CAST(c - 1 AS INT) AS dx FROM range(3) r(a), range(3) s(b), range(3) t(c) WHERE NOT (a = 1 AND b = 1 AND c = 1))"
 
 
-def cc_sql(src: str, near: str, within: str = "", base: str = "") -> str:
+def cc_sql(src: str, near: str, within: str = "", base: str = "", tag: str = "") -> str:
     """Recursive labels of the foreground ``src`` (z, y, x[, own]): every voxel's smallest reachable linear index.
     Labels flow only from voxels without a smaller neighbour, so the recursion stays small. ``base`` keeps the voxels
-    of several owners at one place apart."""
+    of several owners at one place apart; ``tag`` tells the tables of two uses in one query apart."""
     same = " AND b.own = a.own" if within else ""
     own = ", own" if within else ""
     aown = ", a.own" if within else ""
-    return f"""fg AS (SELECT z, y, x{own}, {base}z * 1600 + y * 64 + x + 1 AS i FROM ({src})),
+    sql = f"""fg AS (SELECT z, y, x{own}, {base}z * 1600 + y * 64 + x + 1 AS i FROM ({src})),
 nb AS (SELECT a.i AS i, b.i AS k FROM fg a, {_NEAR} o JOIN fg b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx{same} WHERE {near}),
 sd AS (SELECT i FROM fg WHERE i NOT IN (SELECT i FROM nb WHERE k < i)),
 rc(s, i) AS (SELECT i, i FROM sd UNION SELECT rc.s, nb.k FROM rc JOIN nb ON nb.i = rc.i),
 cc AS (SELECT z, y, x{own}, CAST(l AS BIGINT) AS label FROM fg JOIN (SELECT i, min(s) AS l FROM rc GROUP BY i) USING (i))"""
+    return re.sub(r"\b(fg|nb|sd|rc|cc)\b", rf"\g<1>{tag}", sql) if tag else sql
 
 
 FACE, PLANE, FULL = "abs(dz) + abs(dy) + abs(dx) = 1", "dz = 0", "true"

@@ -11,7 +11,8 @@ from voxelry.operators import regions as R
 from voxelry.operators import stats as S
 from voxelry.operators.components import components
 
-from .components import cc_sql
+from .components import FULL, PLANE, cc_sql
+from .labels import _BEST, CLOSURE, SLICE_OVERLAP
 from .regions import ECC, PROPS, props
 from .views import registry
 
@@ -274,6 +275,43 @@ def _(v):
     return R.sample_matches(_matches(v), 5, 1).select("pair_id", *rounded("sx", "sy", "dx", "dy"))
 
 
+_NORMAL = "(SELECT z, y, x, (value - (SELECT min(value) FROM vox))::DOUBLE / ((SELECT max(value) FROM vox) - (SELECT min(value) FROM vox))::DOUBLE AS value FROM vox)"
+_FLAT_OBJECTS = "WITH RECURSIVE " + cc_sql(f"SELECT z, y, x FROM {_NORMAL} WHERE value > 0.62 AND value <= 1.0", PLANE) + f""", e AS ({ECC.format(v='cc')}), a AS (SELECT z, label, count(*) AS area FROM cc GROUP BY 1, 2)
+SELECT z, label, area, round(sqrt(area * 4 / {PI}), 6) AS diameter, round(eccentricity, 6) AS eccentricity, CAST(area * area AS BIGINT) AS painted FROM a JOIN e USING (z, label) WHERE area >= 3 AND eccentricity <= 0.99"""
+
+
+@add("pipeline_2d_objects", "vox", _FLAT_OBJECTS)
+def _(v):
+    """The 2D pipeline without sheaths."""
+    from voxelry.pipelines import pipeline_2d
+
+    found = pipeline_2d(v.vox, v.dims, v.mask_ds, steps=("normalise", "filter", "properties", "statistics"))
+    painted = found["properties"].groupBy("z", "label").agg(F.sum("area").cast("bigint").alias("painted"))
+    return found["statistics"].drop("sheath").join(painted, ["z", "label"])
+
+
+#: Core components that traverse the volume, and slices of the wider mask that are joined beside them.
+_TOUCH = """SELECT label, count(*) AS n, count(DISTINCT z) AS slices, (min(z) = 0)::INT + (max(z) = (SELECT dz FROM dims) - 1)::INT + (min(y) = 0 OR max(y) = 24 OR min(x) = 0 OR max(x) = 63)::INT = 2 AS traversing FROM {v} GROUP BY label"""
+_JOINED = (
+    "WITH RECURSIVE " + cc_sql("SELECT z, y, x FROM vox WHERE value > 158", FULL, tag="1") + ", cl AS (" + _TOUCH.format(v="cc1") + "), th AS (SELECT z, y, x, label FROM cc1 JOIN cl USING (label) WHERE n >= 4 AND traversing), "
+    + cc_sql("SELECT z, y, x FROM vox ANTI JOIN th USING (z, y, x) WHERE value > 140", PLANE, tag="2") + ", o AS (" + SLICE_OVERLAP.format(v="cc2", m=1) + ")" + _BEST.format(v="cc2", t="0.5::DOUBLE")
+    + CLOSURE.replace(" SELECT CAST(a AS BIGINT)", ", mp AS (SELECT CAST(a AS BIGINT)") + """), mg AS (SELECT z, y, x, coalesce(new_label, cc2.label) AS label FROM cc2 LEFT JOIN mp ON mp.label = cc2.label),
+j AS (SELECT z, y, x, label FROM th UNION ALL SELECT z, y, x, label + (SELECT dz * dy * dx FROM dims) FROM mg WHERE label IN (SELECT label FROM mg GROUP BY label HAVING count(*) >= 4))
+SELECT label, n, slices, traversing FROM (""" + _TOUCH.format(v="j") + ")"
+)
+
+
+@add("pipeline_3d_joined", "vox dims", _JOINED)
+def _(v):
+    """Objects of the 3D pipeline before holes, nodes and sheaths."""
+    from voxelry.operators.labels import classify_traversing
+    from voxelry.pipelines import pipeline_3d
+
+    joined = pipeline_3d(v.vox, v.dims, v.mask_ds)["joined"]
+    sizes = joined.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("z").alias("slices"))
+    return sizes.join(classify_traversing(joined, v.dims).select("label", "traversing"), "label")
+
+
 @add("pipeline_2d")
 def _(v):
     """Statistics beside what the property volumes hold."""
