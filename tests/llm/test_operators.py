@@ -311,6 +311,21 @@ def test_suffix_dedup_of_many_unlike_segments(spark, monkeypatch):
     assert made and made[0] == 64
 
 
+def test_periodic_texts_make_few_rows():
+    """A text that repeats itself has a row a kind of segment and a row a stretch of them, not a row a byte."""
+    import pyarrow as pa
+
+    for data in (b"a" * 200_000, b"abc" * 50_000, b"".join(b"%04d" % (i % 300) for i in range(40_000))):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([data])], ["k1", "k2", "data"])
+        rows = pa.Table.from_batches(suffix_dedup._run_rows(iter([batch]))).to_pydict()
+        assert len(rows["p"]) < 3000
+        covered = np.zeros(len(data), bool)
+        for times, p, n in zip(rows["times"], rows["p"], rows["n"]):
+            if not times:
+                covered[p : p + n + 399] = True
+        assert covered[2000:-2000].all()
+
+
 def test_refined_parts_stay_in_proportion():
     """A segment's parts in a round hold its windows once each, and no more parts than stretches."""
     import pyarrow as pa

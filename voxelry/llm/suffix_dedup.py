@@ -85,7 +85,8 @@ def runs(data: bytes) -> Iterator[tuple[int, int, int]]:
             yield begin + a, z - a, begin + int(least[a])
 
 
-_RUN = ["g1", "g2", "s1", "s2", *KEY, "p", "n", "back"]
+_KIND = ["g1", "g2", "s1", "s2"]
+_RUN = [*_KIND, "times", *KEY, "p", "n", "back"]
 
 
 def _digests(data: list[bytes]) -> np.ndarray:
@@ -93,21 +94,48 @@ def _digests(data: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(data), "<i8").reshape(-1, 2)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans as one."""
+    out: list[list[int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return [(a, z) for a, z in out]
+
+
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each kind of segment of a text, with its times there. Segments that a text repeats are settled: the
+    bytes they cover come as rows without a kind, however many segments a periodic text has."""
     digest = xxhash.xxh3_128_digest
+    none = bytes(32)
     for b in batches:
         hashes: list[bytes] = []
-        out: list[list[int]] = [[] for _ in range(5)]
+        out: list[list[int]] = [[] for _ in range(6)]
         for k1, k2, data in zip(*(b.column(i).to_pylist() for i in range(3))):
             if data is None or len(data) < LENGTH:
                 continue
+            kinds: dict[bytes, list[int]] = {}
+            twice: list[list[int]] = []
             for start, n, anchor in runs(data):
-                hashes += (digest(data[anchor : anchor + ANCHOR]), digest(data[start : start + n + LENGTH - 1], anchor - start))
-                for v, x in zip(out, (k1, k2, start, n, anchor - start)):
-                    v.append(x)
+                name = digest(data[anchor : anchor + ANCHOR]) + digest(data[start : start + n + LENGTH - 1], anchor - start)
+                if (seen := kinds.get(name)) is None:
+                    kinds[name] = [1, start, n, anchor - start]
+                    continue
+                seen[0] += 1
+                for at in (seen[1], start) if seen[0] == 2 else (start,):
+                    if twice and twice[-1][0] <= at <= twice[-1][1]:
+                        twice[-1][1] = max(twice[-1][1], at + n - 1 + LENGTH)
+                    else:
+                        twice.append([at, at + n - 1 + LENGTH])
+            rows = [(name, *x) for name, x in kinds.items()] + [(none, 0, a, z - a - LENGTH + 1, 0) for a, z in _merged(twice)]
+            hashes += [r[0] for r in rows]
+            for v, x in zip(out, zip(*((times, k1, k2, p, n, back) for _, times, p, n, back in rows))):
+                v.extend(x)
             if len(out[0]) > 50_000:
                 yield _run_batch(hashes, out)
-                hashes, out = [], [[] for _ in range(5)]
+                hashes, out = [], [[] for _ in range(6)]
         yield _run_batch(hashes, out)
 
 
@@ -243,8 +271,7 @@ _MARK = [*KEY, "a", "z"]
 _MARKS = ", ".join(f"{x} long" for x in _MARK)
 #: A segment, or the part of it in one stretch: its group, its own digest, the rows that are like it (times), its
 #: text, first window, windows, the anchor's place in it, and its bytes.
-_KIND = ["g1", "g2", "s1", "s2"]
-_PIECE = [*_KIND, "times", *KEY, "p", "n", "back"]
+_PIECE = _RUN
 _PIECES = ", ".join(f"{x} long" for x in _PIECE) + ", bytes binary"
 
 
@@ -319,10 +346,10 @@ def _shared(rows: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
     """The rows whose kind occurs again, and a row for each kind of a group of unlike kinds, with ``many``: whether
     the group has more than one suffix array takes."""
     one = F.min(F.struct(*KEY, "p", "n", "back", *kept)).alias("one")
-    kinds = rows.groupBy(*_KIND).agg(F.count("*").alias("rows"), F.sum("times").alias("times"), one)
-    groups = kinds.groupBy("g1", "g2").agg(F.count("*").alias("kinds"), F.sum("rows").alias("total")).where("total > 1").drop("total")
-    shared = written(kinds.join(groups, ["g1", "g2"]).select(*_KIND, "rows", "kinds", "times", "one.*"), "suffix-shared")
-    again = rows.join(shared.where("rows > 1").select(*_KIND), _KIND, "left_semi")
+    kinds = rows.groupBy(*_KIND).agg(F.sum("times").alias("times"), one)
+    groups = kinds.groupBy("g1", "g2").agg(F.count("*").alias("kinds"), F.sum("times").alias("total")).where("total > 1").drop("total")
+    shared = written(kinds.join(groups, ["g1", "g2"]).select(*_KIND, "kinds", "times", "one.*"), "suffix-shared")
+    again = rows.join(shared.where("times > 1").select(*_KIND), _KIND, "left_semi")
     return again, shared.where("kinds > 1").select(*_PIECE, *kept, (F.col("kinds") > MOST).alias("many"))
 
 
@@ -335,8 +362,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     """(k1, k2, a, z): bytes a to z of the text are covered by repeated windows."""
     source = docs.select(*row_key(), F.col("text").cast("binary").alias("data")).where(F.octet_length("data") >= LENGTH)
     found = written(source.mapInArrow(_run_rows, ", ".join(f"{x} long" for x in _RUN)), "suffix-runs")
-    copies, unlike = _shared(found.withColumn("times", F.lit(1).cast("long")))
-    marks = [_whole(copies)]
+    copies, unlike = _shared(found.where("times > 0"))
+    marks = [_whole(copies), _whole(found.where("times = 0"))]
     wanted = unlike.groupBy(*KEY).agg(F.collect_list(F.struct(*_PIECE, "many")).alias("wanted"))
     pieces = written(source.join(wanted, KEY).select(*KEY, "data", "wanted").mapInArrow(_segments, f"{_PIECES}, many boolean"), "suffix-segments")
     for width in WIDTHS:
@@ -349,18 +376,42 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, marks)
 
 
-def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, z in sorted((s["a"], s["z"]) for s in spans or ()):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks sorted by row and place -> a row's maximal spans, in order; one row's are held, merged as they come."""
+    key, held = None, []
+    out: list[list] = [[], [], []]
+
+    def flush() -> pa.RecordBatch:
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
+        batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], [*KEY, "spans"])
+        for v in out:
+            v.clear()
+        return batch
+
+    def close() -> None:
+        if key is not None:
+            for v, x in zip(out, (*key, [{"a": a, "z": z} for a, z in held])):
+                v.append(x)
+
+    for b in batches:
+        for k1, k2, a, z in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if key != (k1, k2):
+                close()
+                key, held = (k1, k2), []
+            if held and a <= held[-1][1]:
+                held[-1][1] = max(held[-1][1], z)
+            else:
+                held.append([a, z])
+        if len(out[0]) > 5000:
+            yield flush()
+    close()
+    if out[0]:
+        yield flush()
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    spans = repeated_bytes(docs).groupBy(*KEY).agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+    ends = repeated_bytes(docs).groupBy(*KEY, "a").agg(F.max("z").alias("z"))
+    spans = ends.repartition(*KEY).sortWithinPartitions(*KEY, "a").mapInArrow(_spans, "k1 long, k2 long, spans array<struct<a:bigint,z:bigint>>")
     return packed_by_key(docs).join(spans, KEY, "left")
 
 
@@ -376,7 +427,7 @@ def suffix_dedup_digest(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for data, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                data, gone = data or b"", _merged(spans)
+                data, gone = data or b"", [(x["a"], x["z"]) for x in spans or ()]
                 kept, at = hashlib.sha256(), 0
                 for a, z in gone:
                     kept.update(data[at:a])
@@ -399,7 +450,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         def one(text, found):
             if text is None or found is None or not len(found):
                 return text
-            data, gone, at = text.encode(), _merged(list(found)), 0
+            data, gone, at = text.encode(), [(x["a"], x["z"]) for x in found], 0
             parts = []
             for a, z in gone:
                 parts.append(data[at:a])
