@@ -61,7 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_html_extraction": HTML_EXTRACTION, "op3_language_id": LANGUAGE_ID, "op1_ngram_join": NGRAM_JOIN, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_exact_topk": topk.ORACLE, "op5_line_dedup": LINE_DEDUP, "op9_decontamination": decontamination.ORACLE}
+    return {"op2_html_extraction": HTML_EXTRACTION, "op3_language_id": LANGUAGE_ID, "op1_ngram_join": NGRAM_JOIN, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_exact_topk": topk.ORACLE, "op5_line_dedup": LINE_DEDUP, "op9_decontamination": decontamination.ORACLE, "op10_mixing": mixing.ORACLE}
 
 
 #: For pages whose main text is an article element of headings and paragraphs.
