@@ -527,7 +527,7 @@ def test_token_counts_and_cache(spark, docs, odd, monkeypatch):
     again = token_counts.token_counts(table, cache)
     assert again.count() == len(got) and spark.read.parquet(cache).count() == stored  # all hits: nothing was encoded or appended
     few = table.limit(7).unionByName(spark.createDataFrame([(9003, "a text that the cache lacks", None, None, None)], SCHEMA))
-    for rows in (500_000, 0):  # a few misses by broadcast, then by shuffle
+    for rows in (100_000, 0):  # a few misses by broadcast, then by shuffle
         monkeypatch.setattr(token_counts, "BROADCAST_ROWS", rows)
         half = token_counts.fresh_cache(docs)
         token_counts.token_counts(table.limit(5), half).count()

@@ -17,7 +17,7 @@ _CACHE = "version string, digest binary, n_tokens long"
 #: A worker's memo of pieces is emptied when it holds so many.
 MEMO = 800_000
 #: Missing digests are broadcast up to this number (32 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 #: A worker process keeps its counters from task to task.
 _counters: dict[str, Counter] = {}
 
