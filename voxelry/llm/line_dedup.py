@@ -147,7 +147,8 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     )  # at most two hashes a partition, so it may be broadcast
     late = edge.where(F.col("kind") == OPEN).join(F.broadcast(heads.select("h1", "h2", "top")), ["h1", "h2"]).where("d <> top")
     dropped = rows.where(F.col("kind") == DROPPED).select(*KEY, "pos").unionByName(late.select(*KEY, "pos"))
-    return dropped.repartition(*KEY).sortWithinPartitions(*KEY, "pos").mapInArrow(_bitmaps, "k1 long, k2 long, n_dropped long, keep binary")
+    # distinct: rows that repeat id and text would all meet under one key
+    return dropped.distinct().repartition(*KEY).sortWithinPartitions(*KEY, "pos").mapInArrow(_bitmaps, "k1 long, k2 long, n_dropped long, keep binary")
 
 
 def keep_lines(text: str, keep: bytes | None) -> str:
