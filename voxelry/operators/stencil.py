@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxelry.functions.graph import written
+
 from .labels import AXES, FACES, shifted
 
 Offset = tuple[int, int, int]
@@ -238,9 +240,9 @@ def snap_to_gradient(vol: DataFrame, gradient: DataFrame, dims: Triple, most: in
     v = vol.where("label <> 0").select(*AXES, "label")
     rings, left = [], v
     for k in range(most + 1):
-        rim = label_rim(left, dims, outer=False)
+        rim = written(label_rim(left, dims, outer=False), "ring")  # each ring is peeled off what the last one left
         rings.append(rim.withColumn("ring", F.lit(k)))
-        left = left.join(rim, [*AXES, "label"], "left_anti")
+        left = written(left.join(rim, [*AXES, "label"], "left_anti"), "peeled")
     ring = reduce(DataFrame.unionByName, rings).unionByName(left.withColumn("ring", F.lit(most + 1)))
     mean = ring.where(F.col("ring") <= most).join(gradient.select(*AXES, F.col("value").alias("_g")), AXES).groupBy("label", "ring").agg(F.avg("_g").alias("g"))
     best = mean.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("g"), "ring"))).where("_r = 1").select("label", F.col("ring").alias("_keep"))
