@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, language_id, line_dedup, mixing, ngram_join, pii, suffix_dedup, token_counts, topk
+from . import decontamination, html_extraction, language_id, line_dedup, merkle, mixing, ngram_join, pii, suffix_dedup, token_counts, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,13 +55,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_join, op2_html_extraction, op3_language_id, op4_suffix_dedup, op5_line_dedup, op6_pii, op7_exact_topk, op8_token_counts, op9_decontamination, op10_mixing)
+    own = (op1_ngram_join, op2_html_extraction, op3_language_id, op4_suffix_dedup, op5_line_dedup, op6_pii, op7_exact_topk, op8_token_counts, op9_decontamination, op10_mixing, op11_merkle)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_html_extraction": HTML_EXTRACTION, "op3_language_id": LANGUAGE_ID, "op1_ngram_join": NGRAM_JOIN, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_exact_topk": topk.ORACLE, "op5_line_dedup": LINE_DEDUP, "op9_decontamination": decontamination.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op2_html_extraction": HTML_EXTRACTION, "op3_language_id": LANGUAGE_ID, "op1_ngram_join": NGRAM_JOIN, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_exact_topk": topk.ORACLE, "op5_line_dedup": LINE_DEDUP, "op9_decontamination": decontamination.ORACLE, "op10_mixing": mixing.ORACLE, "op11_merkle": merkle.ORACLE}
 
 
 #: For pages whose main text is an article element of headings and paragraphs.
