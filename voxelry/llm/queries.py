@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, language_id, line_dedup, merkle, mixing, ngram_join, pii, spelling, suffix_dedup, token_counts, topk
+from . import decontamination, html_extraction, language_id, line_dedup, merkle, mixing, ngram_join, pii, secret_scan, spelling, suffix_dedup, token_counts, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,13 +63,17 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(_read(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_join, op2_html_extraction, op3_language_id, op4_suffix_dedup, op5_line_dedup, op6_pii, op7_exact_topk, op8_token_counts, op9_decontamination, op10_mixing, op11_merkle, op12_spelling)
+    own = (op1_ngram_join, op2_html_extraction, op3_language_id, op4_suffix_dedup, op5_line_dedup, op6_pii, op7_exact_topk, op8_token_counts, op9_decontamination, op10_mixing, op11_merkle, op12_spelling, op13_secret_scan)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_html_extraction": HTML_EXTRACTION, "op3_language_id": LANGUAGE_ID, "op1_ngram_join": NGRAM_JOIN, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_exact_topk": topk.ORACLE, "op5_line_dedup": LINE_DEDUP, "op9_decontamination": decontamination.ORACLE, "op10_mixing": mixing.ORACLE, "op11_merkle": merkle.ORACLE, "op12_spelling": spelling.ORACLE}
+    return {"op2_html_extraction": HTML_EXTRACTION, "op3_language_id": LANGUAGE_ID, "op1_ngram_join": NGRAM_JOIN, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_exact_topk": topk.ORACLE, "op5_line_dedup": LINE_DEDUP, "op9_decontamination": decontamination.ORACLE, "op10_mixing": mixing.ORACLE, "op11_merkle": merkle.ORACLE, "op12_spelling": spelling.ORACLE, "op13_secret_scan": secret_scan.ORACLE}
 
 
 #: For pages whose main text is an article element of headings and paragraphs.
