@@ -597,6 +597,70 @@ def test_decontamination_cases(spark, odd):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+def brute_contaminated(text, items):
+    """Item ids by comparing every diagonal."""
+    split = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    w, out = split(text), []
+    for item_id, t in items:
+        v = split(t)
+        n, hit = len(v), False
+        for d in range(1 - n, len(w)):
+            equal = [0 <= d + i < len(w) and w[d + i] == x for i, x in enumerate(v)]
+            if n >= 18:
+                hit |= any(sum(equal[i : i + 18]) >= 16 for i in range(n - 17))
+            else:
+                hit |= sum(equal) >= (n - 1 if n >= 11 else n) and (n >= 5 or len(w) == n)
+        if hit and n:
+            out.append(item_id)
+    return ",".join(map(str, sorted(out)))
+
+
+def test_decontamination_against_every_diagonal(spark, monkeypatch):
+    """Few words, so that seeds repeat; items of all lengths, copied with substitutions; texts longer than a part."""
+    monkeypatch.setattr(decontamination, "PART", 16)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(6)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([1, 3, 5, 9, 10, 11, 14, 17, 18, 19, 30])))) for i in range(40)]
+    rows = []
+    for i in range(60):
+        own = rng.choices(words, k=rng.randint(0, 30))
+        for _ in range(rng.randint(0, 2)):
+            part = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                part[rng.randrange(len(part))] = rng.choice(words)
+            own += part + rng.choices(words, k=rng.randint(0, 20))
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: r.item_ids for r in decontamination.decontamination(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {i: brute_contaminated(t, items) for i, t in rows} and len(set(got.values())) > 10
+
+
+def contexts(spark, rows, items):
+    """Places of texts, pairs of contexts that are compared, and pairs that match."""
+    near = spark.createDataFrame(rows, "doc_id bigint, text string").select(*decontamination.row_key(), decontamination.tokens(F.col("text")).alias("words")).cache()
+    bench = spark.createDataFrame(items, "item1 bigint, text string").select("item1", F.lit(0).alias("item2"), decontamination.tokens(F.col("text")).alias("item_words")).cache()
+    places = decontamination._with_contexts(decontamination._item_places(bench), ["item1", "item2"], "c", "need").cache()
+    spots = decontamination._with_contexts(decontamination._text_places(near, []), ["k1", "k2"], "t").cache()
+    compared = spots.select("seed", "t1", "t2").distinct().join(places.select("seed", "c1", "c2").distinct(), "seed").count()
+    return spots.count(), compared, decontamination.matching_contexts(spots, places).count()
+
+
+def test_decontamination_of_repeated_words_compares_few_contexts(spark):
+    some = contexts(spark, [(1, "ab " * 100)], [(1, "ab " * 500)])
+    many = contexts(spark, [(1, "ab " * 16_000), (2, "ab " * 9_000)], [(1, "ab " * 500)])
+    assert many[0] > 100 * some[0] and many[1:] == some[1:] and many[1] < 700
+
+
+def test_decontamination_of_template_items(spark):
+    """Items and texts share 40 words: pairs inside the template are compared once, not once for each item and text."""
+    template = " ".join(f"t{i}" for i in range(40))
+    own = lambda a, i: " ".join(f"{a}{i}x{k}" for k in range(20))
+    items, rows = [(i, f"{template} {own('q', i)}") for i in range(30)], [(i, f"{own('d', i)} {template} {own('e', i)}") for i in range(20)]
+    _, compared, _ = contexts(spark, rows, items)
+    assert compared <= 11 * len(items) * len(rows)  # of 31 seeds in the template
+    got = decontamination.decontamination(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {r.n_items for r in got.collect()} == {30}
+
+
 def test_decontamination_without_broadcasts(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(map(tuple, decontamination.decontamination(docs, bench).collect()))
