@@ -150,8 +150,36 @@ def test_flood_across_blocks_is_the_whole_flood(spark):
         seeds = np.where((rng.random(value.shape) > 0.97) & mask, rng.integers(1, 9, value.shape), 0)
         whole = K.flood(-value if invert else value, seeds, mask)
         vol = frame(spark, np.where(mask, value, np.nan), "value").where("NOT isnan(value)")
-        got = K.whole_watershed(vol, frame(spark, seeds, sparse=True), value.shape, (2, 3, 4), invert)
-        assert (array(got, value.shape) == whole).all()
+        for most in (1 << 20, 40, 0):  # pieces whole, some of them, none
+            got = K.whole_watershed(vol, frame(spark, seeds, sparse=True), value.shape, (2, 3, 4), invert, most)
+            assert (array(got, value.shape) == whole).all()
+
+
+def test_flood_of_ramps_and_lakes(spark):
+    """Paths that rise at every voxel, and levels that are met from two sides at once; keys are compared through all of them."""
+    rng = np.random.default_rng(8)
+    ramp = np.add.outer(np.zeros((1, 6)), np.arange(30.0)) + rng.integers(0, 2, (1, 6, 30))
+    bowl = np.abs(np.arange(30) - 14.5)[None, None, :].repeat(6, axis=1).round()
+    for value in (ramp, -bowl):
+        seeds = np.zeros(value.shape, int)
+        seeds[0, 1, [0, 29]], seeds[0, 4, [3, 20]] = (1, 2), (3, 4)
+        whole = K.flood(value, seeds, np.ones(value.shape, bool))
+        for most in (1 << 20, 0):
+            got = K.whole_watershed(frame(spark, value, "value"), frame(spark, seeds, sparse=True), value.shape, (1, 4, 5), most=most)
+            assert (array(got, value.shape) == whole).all()
+
+
+def test_flood_rounds_do_not_grow_with_blocks(spark, monkeypatch):
+    """A corridor of 16 blocks: no block is flooded twice, be it one label's or contested."""
+    named, write = [], K.written
+    monkeypatch.setattr(K, "written", lambda df, name: (named.append(name), write(df, name))[1])
+    value = np.zeros((1, 2, 64))
+    for ends in ((1, 0), (1, 2)):
+        seeds = np.zeros(value.shape, int)
+        seeds[0, 0, 0], seeds[0, 0, 1] = ends
+        got = array(K.whole_watershed(frame(spark, value, "value"), frame(spark, seeds, sparse=True), value.shape, (1, 2, 4)), value.shape)
+        assert (got == K.flood(value, seeds, np.ones(value.shape, bool))).all()
+    assert "flood-faces" not in named
 
 
 def test_flooding_operators_cross_blocks(spark):

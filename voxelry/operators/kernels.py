@@ -20,6 +20,8 @@ Triple = tuple[int, int, int]
 #: The largest bounding box (voxels) that hole filling gives to one kernel call. Larger labels go through joins, with
 #: the same result.
 MOST_VOXELS = 1 << 27
+#: The largest piece that a flood takes whole; it is about ten seconds' work.
+MOST_FLOODED = 1 << 20
 
 
 def dense(p: pd.DataFrame, column: str, fill, lo: np.ndarray, shape: tuple) -> np.ndarray:
@@ -122,6 +124,48 @@ def seeded_watershed(vol: DataFrame, seeds: DataFrame, dims: Triple, mask: DataF
     return split_blocks(v, dims, block, margin).groupBy("iz", "iy", "ix").applyInPandas(run, "z int, y int, x int, label bigint")
 
 
+class _Way:
+    """What a key was before its path rose to its present level: that level, the voxels taken at it, and the same again
+    below it, down to the seed's linear index. Paths share what lies below them, so a way costs one object a rise."""
+
+    __slots__ = ("below", "level", "steps")
+
+    def __init__(self, level: float, steps: float, below: _Way | None):
+        self.level, self.steps, self.below = level, steps, below
+
+    def _differ(self, other: _Way) -> tuple[_Way | None, _Way | None]:
+        a, b = self, other
+        while a is not b and a is not None and b is not None and a.level == b.level and a.steps == b.steps:
+            a, b = a.below, b.below
+        return a, b
+
+    def __eq__(self, other: object) -> bool:
+        a, b = self._differ(other)
+        return a is b
+
+    __hash__ = None
+
+    def __lt__(self, other: _Way) -> bool:
+        a, b = self._differ(other)
+        if a is None or b is None:
+            return a is None and b is not None
+        return (a.level, a.steps) < (b.level, b.steps)
+
+    @staticmethod
+    def read(chain: list[float]) -> _Way | None:
+        way = None
+        for i in range(len(chain) - 2, -1, -2):
+            way = _Way(chain[i], chain[i + 1], way)
+        return way
+
+    def written(self) -> list[float]:
+        out, way = [], self
+        while way is not None:
+            out += (way.level, way.steps)
+            way = way.below
+        return out
+
+
 def _flood_keys(value: np.ndarray, labels: np.ndarray, index: np.ndarray, mask: np.ndarray, sources: list[tuple]) -> tuple[np.ndarray, dict]:
     """flood() of one block of a larger volume, with what comes in from outside it, as labels and a key a voxel.
 
@@ -131,31 +175,99 @@ def _flood_keys(value: np.ndarray, labels: np.ndarray, index: np.ndarray, mask:
     ``sources`` are (place, steps, chain, label) of voxels beside the block, places counted in the block."""
     label, v = np.zeros(value.shape, np.int64), value
     key: dict[tuple, tuple] = {}
-    heap = [((float(v[p]), 1.0, -np.inf, float(index[p])), 0, p, int(labels[p])) for p in zip(*(a.tolist() for a in np.nonzero(mask & (labels != 0))))]
-    for chain, steps, p, own in heap:
-        label[p], key[p] = own, (chain, steps)
-    heap += [(chain, steps, p, own) for p, steps, chain, own in sources]
+    heap = []
+    for p in zip(*(a.tolist() for a in np.nonzero(mask & (labels != 0)))):
+        way = _Way(float(v[p]), 1.0, _Way(-np.inf, float(index[p]), None))
+        label[p], key[p] = int(labels[p]), (way, 0)
+        heap.append((way, 0, p, int(labels[p])))
+    heap += [(_Way.read(chain), steps, p, own) for p, steps, chain, own in sources]
+    # numbers first: most comparisons end there
+    heap = [(way.level, way.steps, way, steps, p, own) for way, steps, p, own in heap]
     heapq.heapify(heap)
     shape = value.shape
     while heap:
-        chain, steps, p, own = heapq.heappop(heap)
+        top, taken, way, steps, p, own = heapq.heappop(heap)
+        same = None
         for o in FACES:
             q = (p[0] + o[0], p[1] + o[1], p[2] + o[2])
             if all(0 <= a < n for a, n in zip(q, shape)) and mask[q] and not label[q]:
                 level = float(v[q])
-                up = (level, 1.0, *chain) if level > chain[0] else (level, chain[1] + 1, *chain[2:]) if level == chain[0] else chain
+                if level > top:
+                    up = _Way(level, 1.0, way)
+                elif level == top:
+                    up = same = same or _Way(level, taken + 1, way.below)
+                else:
+                    up = way
                 label[q], key[q] = own, (up, steps + 1)
-                heapq.heappush(heap, (up, steps + 1, q, own))
+                heapq.heappush(heap, (up.level, up.steps, up, steps + 1, q, own))
     return label, key
 
 
-def whole_watershed(vol: DataFrame, seeds: DataFrame, dims: Triple, block: Triple = (64, 256, 256), invert: bool = False) -> DataFrame:
+def _flood_listed(index: np.ndarray, value: np.ndarray, seeds: np.ndarray, dims: Triple) -> np.ndarray:
+    """flood() of voxels listed by linear index, in ascending order: only what is listed takes memory."""
+    n = len(index)
+    at = np.stack(np.unravel_index(index, dims))
+    beside = np.full((n, 6), -1)
+    for k, o in enumerate(FACES):
+        to = at + np.array(o)[:, None]
+        inside = ((to >= 0) & (to < np.array(dims)[:, None])).all(axis=0)
+        there = index + (o[0] * dims[1] + o[1]) * dims[2] + o[2]
+        place = np.minimum(np.searchsorted(index, there), n - 1)
+        beside[:, k] = np.where(inside & (index[place] == there), place, -1)
+    near, v, label = beside.tolist(), value.tolist(), seeds.tolist()
+    heap = [(v[i], age, i) for age, i in enumerate(np.flatnonzero(seeds).tolist())]
+    heapq.heapify(heap)
+    age = len(heap)
+    while heap:
+        _, _, i = heapq.heappop(heap)
+        for j in near[i]:
+            if j >= 0 and not label[j]:
+                label[j] = label[i]
+                heapq.heappush(heap, (v[j], age, j))
+                age += 1
+    return np.array(label, np.int64)
+
+
+def whole_watershed(vol: DataFrame, seeds: DataFrame, dims: Triple, block: Triple = (64, 256, 256), invert: bool = False, most: int = MOST_FLOODED) -> DataFrame:
     """(z, y, x, label): flood() of the whole volume from seeds, inside the voxels that ``vol`` has; the result does not
-    depend on ``block``. Blocks are flooded again as long as an earlier key reaches them over a face; only faces move."""
-    keys = ["iz", "iy", "ix"]
+    depend on ``block`` or ``most``.
+
+    Floods of face-connected pieces of that space don't meet. Pieces come from components(), in rounds that grow with the
+    logarithm of the blocks they cross. A piece whose seeds have one label is that label's and isn't flooded at all;
+    pieces of several labels are flooded whole, some to a task, up to ``most`` voxels a piece; larger ones in blocks."""
     v = vol.select(*AXES, (F.lit(-1.0 if invert else 1.0) * F.col("value").cast("double") + F.lit(0.0)).alias("value"))
     v = v.join(seeds.where("label <> 0").select(*AXES, F.col("label").alias("_s")), AXES, "left").withColumn("_s", F.coalesce("_s", F.lit(0)).cast("bigint"))
-    v = written(v.select(*[F.expr(f"CAST({a} div {n} AS INT)").alias(f"i{a}") for a, n in zip(AXES, block)], *AXES, "value", "_s"), "flood-blocks")
+    v = written(v, "flood-space")
+    pieces = components(v, 6, dims).withColumnRenamed("label", "piece")
+    v = written(v.join(pieces, AXES), "flood-pieces")
+    own = F.when(F.col("_s") != 0, F.col("_s"))
+    kinds = v.groupBy("piece").agg(F.min(own).alias("one"), F.max(own).alias("other"), F.count("*").alias("n")).where("one IS NOT NULL")
+    kinds = written(kinds, "flood-kinds")
+    single = v.join(kinds.where("one = other").select("piece", "one"), "piece").select(*AXES, F.col("one").alias("label"))
+    several = kinds.where("one <> other")
+    size = several.agg(F.coalesce(F.sum(F.when(F.col("n") <= most, F.col("n"))), F.lit(0)), F.count(F.when(F.col("n") > most, True))).first()
+    bins = 1 + size[0] // max(1, most // 4)
+
+    def together(p: pd.DataFrame) -> pd.DataFrame:
+        at = [p[a].to_numpy().astype(np.int64) for a in AXES]
+        index = (at[0] * dims[1] + at[1]) * dims[2] + at[2]
+        order = np.argsort(index)
+        label = _flood_listed(index[order], p.value.to_numpy()[order], p["_s"].to_numpy()[order], dims)
+        return pd.DataFrame({**{a: c[order] for a, c in zip(AXES, at)}, "label": label})
+
+    small = v.join(several.where(F.col("n") <= most).select("piece"), "piece").withColumn("bin", F.pmod(F.xxhash64("piece"), F.lit(bins)))
+    out = single.unionByName(small.groupBy("bin").applyInPandas(together, "z int, y int, x int, label bigint"))
+    if not size[1]:
+        return out
+    large = v.join(several.where(F.col("n") > most).select("piece"), "piece")
+    return out.unionByName(_relayed_watershed(large, dims, block))
+
+
+def _relayed_watershed(space: DataFrame, dims: Triple, block: Triple) -> DataFrame:
+    """flood() of (z, y, x, value, _s) in blocks, which are flooded again as long as an earlier key reaches them over a face;
+    only faces move. Rounds grow with the blocks that a voxel's path crosses."""
+    keys = ["iz", "iy", "ix"]
+    v = written(space.select(*[F.expr(f"CAST({a} div {n} AS INT)").alias(f"i{a}") for a, n in zip(AXES, block)], *AXES, "value", "_s"), "flood-blocks")
     kind = "iz int, iy int, ix int, z int, y int, x int, chain array<double>, steps bigint, label bigint"
     no_rows = v.sparkSession.createDataFrame([], kind)
 
@@ -168,7 +280,7 @@ def whole_watershed(vol: DataFrame, seeds: DataFrame, dims: Triple, block: Tripl
         mask = np.zeros(shape, bool)
         mask[tuple(at - lo[:, None])] = True
         places = zip(*[(came[a] - o).tolist() for a, o in zip(AXES, lo)])
-        sources = [(q, int(n), tuple(map(float, c)), int(own)) for q, n, c, own in zip(places, came.steps, came.chain, came.label)]
+        sources = [(q, int(n), c.tolist(), int(own)) for q, n, c, own in zip(places, came.steps, came.chain, came.label)]
         return lo, *_flood_keys(dense(p, "value", np.inf, lo, shape), dense(p, "_s", 0, lo, shape), index, mask, sources)
 
     def faces(key: tuple, p: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
@@ -182,7 +294,7 @@ def whole_watershed(vol: DataFrame, seeds: DataFrame, dims: Triple, block: Tripl
                     for side, end in ((-1, core[axis]), (1, core[axis] + block[axis] - 1)):
                         if at[axis] == end:
                             to = [int(k) + side * (i == axis) for i, k in enumerate(key)]
-                            rows.append((*to, *at, list(chain), steps, int(label[q])))
+                            rows.append((*to, *at, chain.written(), steps, int(label[q])))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
 
     def labels(key: tuple, p: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:

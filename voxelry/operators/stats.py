@@ -13,16 +13,19 @@ from voxelry.functions.ranking import global_rank
 from .regions import eccentricity, equivalent_diameter, region_solidity
 
 
-def slicewise_stats(vol: DataFrame, solidity: bool = False) -> DataFrame:
-    """(z, label, area, diameter, cy, cx, eccentricity[, solidity]) over all slices and labels; missing is null."""
+def slicewise_stats(vol: DataFrame, solidity: bool = False, frame: bool = True) -> DataFrame:
+    """(z, label, area, diameter, cy, cx, eccentricity[, solidity]) over all slices and labels; missing is null. Without a
+    ``frame`` only of the slices that a label is in."""
     v = vol.where("label <> 0")
     g = v.groupBy("z", "label").agg(F.count("*").alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.var_pop("y").alias("vy"), F.var_pop("x").alias("vx"), F.covar_pop("y", "x").alias("c"))
     g = g.select("z", "label", "area", equivalent_diameter(F.col("area"), 2).alias("diameter"), "cy", "cx", eccentricity(F.col("vy"), F.col("vx"), F.col("c")).alias("eccentricity"))
     if solidity:
         g = g.join(region_solidity(v), ["z", "label"], "left")
+    if not frame:
+        return g
     slices = vol.agg(F.min("z").alias("a"), F.max("z").alias("b")).where("a IS NOT NULL")  # one row
-    frame = v.select("label").distinct().crossJoin(F.broadcast(slices)).select("label", F.explode(F.sequence("a", "b")).alias("z"))
-    return frame.join(g, ["z", "label"], "left")
+    every = v.select("label").distinct().crossJoin(F.broadcast(slices)).select("label", F.explode(F.sequence("a", "b")).alias("z"))
+    return every.join(g, ["z", "label"], "left")
 
 
 def g_ratio(inner: DataFrame, outer: DataFrame, slicewise: bool = False) -> DataFrame:

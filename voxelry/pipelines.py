@@ -36,11 +36,11 @@ def pipeline_2d(
     flat = written(C.components(cores, 8, dims), "p2d-components")
     found = {"objects": flat}
     if "filter" in steps:
-        stats = S.slicewise_stats(flat).where("area IS NOT NULL")
+        stats = S.slicewise_stats(flat, frame=False)
         keep = R.property_filter(stats, min_area=min_area, max_eccentricity=max_eccentricity)
         found["objects"] = written(L.forward_map(flat, keep).where("label <> 0"), "p2d-objects")
     good = found["objects"]
-    stats = written(S.slicewise_stats(good).where("area IS NOT NULL"), "p2d-statistics")
+    stats = written(S.slicewise_stats(good, frame=False), "p2d-statistics")
     if "properties" in steps:
         area, eccentricity = (R.property_volume(good, stats, c).withColumnRenamed("value", c) for c in ("area", "eccentricity"))
         found["properties"] = written(good.select(*AXES, "label").join(area, AXES).join(eccentricity, AXES), "p2d-properties")
