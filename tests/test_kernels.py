@@ -345,11 +345,38 @@ def test_supervoxels_cover_a_sparse_mask(spark):
     assert {(r.z, r.y, r.x) for r in got} == {tuple(map(int, p)) for p in np.argwhere(value > 235)}
 
 
+def rings(spark, n, seed):
+    """Two classes on rings around one centre: no line parts them."""
+    rng = np.random.default_rng(seed)
+    turn, truth = rng.uniform(0, 2 * np.pi, n), rng.integers(0, 2, n)
+    r = 20 + 30 * truth + rng.normal(0, 3, n)
+    rows = [(i, float(a), float(b), int(t)) for i, (a, b, t) in enumerate(zip(100 + r * np.cos(turn), 80 + r * np.sin(turn), truth))]
+    return spark.createDataFrame([*rows, (n, None, 1.0, 1), (n + 1, float("nan"), 1.0, 0)], "label bigint, area double, mean double, truth int")
+
+
+def test_kernel_classifier_on_two_rings(spark, tmp_path):
+    train, test = rings(spark, 600, 1), rings(spark, 400, 2)
+    share = lambda model: model.transform(test).where("truth = prediction").count() / 400
+    assert share(classify.train_object_classifier(train, ["area", "mean"], "svc")) < 0.75
+    model = classify.train_object_classifier(train, ["area", "mean"])
+    assert share(model) > 0.95 and len(model.landmarks) <= classify.LANDMARKS
+    model.save(spark, f"file://{tmp_path}/model")
+    again = classify.KernelModel.load(spark, f"file://{tmp_path}/model")
+    key = lambda m: sorted((r.label, r.decision) for r in m.transform(test).collect())
+    assert key(again) == key(model)
+    # the decision as its formula says it
+    x = np.array([[r.area, r.mean] for r in test.orderBy("label").limit(50).collect()]) / again.scale
+    d = np.exp(-again.gamma * ((x[:, None] - again.landmarks[None]) ** 2).sum(axis=2)) @ again.weights + again.intercept
+    assert np.allclose(d, [v for _, v in key(model)[:50]])
+    with pytest.raises(ValueError):
+        classify.train_object_classifier(train.where("area IS NULL"), ["area", "mean"])
+
+
 def test_classifier_and_rules(spark):
     rng = np.random.default_rng(7)
     rows = [(i, float(a), float(m), int(a + 2 * m > 150)) for i, (a, m) in enumerate(zip(rng.uniform(0, 100, 300), rng.uniform(0, 100, 300)))]
     data = spark.createDataFrame([*rows, (999, None, 5.0, 0)], "label bigint, area double, mean double, truth int")
-    for kind in ("svc", "forest"):
+    for kind in ("kernel", "svc", "forest"):
         model = classify.train_object_classifier(data, ["area", "mean"], kind)
         got = {r.label: r.inside for r in classify.predict_objects(model, data).collect()}
         assert 999 not in got and sum(got[i] == bool(t) for i, _, _, t in rows) >= 0.93 * len(rows)

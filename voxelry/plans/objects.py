@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from voxelry.functions.graph import written
+from voxelry.functions.graph import shared_dir, written
 from voxelry.operators import classify as K
 from voxelry.operators import register as G
 from voxelry.operators import regions as R
@@ -32,20 +35,29 @@ def _labelled(v):
 
 @add("train_object_classifier")
 def _(v):
-    """Accuracy on its own training objects, by kind of classifier."""
+    """Accuracy on objects held out of the fit, by kind of classifier."""
     data = _labelled(v)
+    held_out = F.pmod(F.xxhash64("label"), F.lit(3)) == 0
     out = []
-    for kind in ("svc", "forest"):
-        model = K.train_object_classifier(data, ["area", "mean", "extent"], kind)
-        out.append(model.transform(data).groupBy(F.lit(kind).alias("kind")).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("truth")).cast("int")).alias("accuracy")))
-    return out[0].unionByName(out[1])
-
-
-@add("predict_objects")
-def _(v):
-    data = _labelled(v)
-    model = K.train_object_classifier(data, ["area", "mean", "extent"])
-    return K.predict_objects(model, data, 135, 350)
+    for kind in ("kernel", "svc", "forest"):
+        model = K.train_object_classifier(data.where(~held_out), ["area", "mean", "extent"], kind)
+        out.append(model.transform(data.where(held_out)).groupBy(F.lit(kind).alias("kind")).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("truth")).cast("int")).alias("accuracy")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@add("predict_objects", "seg_a vox mask_ds", f"""WITH p AS ({PROPS}), t AS (SELECT label, min((m.z IS NOT NULL)::INT) AS truth FROM seg_a s LEFT JOIN mask_ds m USING (z, y, x) WHERE label <> 0 GROUP BY label),
+m AS (SELECT max(area) AS ma, max(mean) AS mm, max(extent) AS me FROM p), c AS (SELECT truth, avg(area / ma) AS a, avg(mean / mm) AS b, avg(extent / me) AS e FROM p JOIN t USING (label), m GROUP BY truth),
+d AS (SELECT label, area, mean, sum((2 * truth - 1) * exp(-4.0::DOUBLE * (pow(area / ma - a, 2) + pow(mean / mm - b, 2) + pow(extent / me - e, 2)))) AS decision FROM p, m, c GROUP BY label, area, mean)
+SELECT label, CASE WHEN area > 350 THEN false WHEN mean > 135 THEN true ELSE decision > 0 END AS inside FROM d""")
+def _(v):
+    """A kernel model of the two classes' centres, stored and read back, and the rules after it."""
+    data, names = _labelled(v), ["area", "mean", "extent"]
+    scale = list(data.agg(*[F.max(c) for c in names]).first())
+    centres = data.groupBy("truth").agg(*[F.avg(F.col(c) / s).alias(c) for c, s in zip(names, scale)]).orderBy("truth").collect()  # two rows
+    model = K.KernelModel(names, scale, 4.0, np.array([[r[c] for c in names] for r in centres]), np.array([2.0 * r.truth - 1 for r in centres]), 0.0)
+    path = f"{shared_dir(v.spark)}/classifier-{uuid.uuid4().hex}"
+    model.save(v.spark, path)
+    return K.predict_objects(K.KernelModel.load(v.spark, path), data, 135, 350)
 
 
 @add("apply_object_rules", "seg_a vox", f"SELECT label, CASE WHEN area > 350 THEN false WHEN mean > 128.5 THEN true ELSE label % 2 = 1 END AS inside FROM ({PROPS})")
