@@ -11,6 +11,7 @@ from voxelry import pipelines
 from voxelry.operators import classify, register, stencil
 from voxelry.operators import kernels as K
 from voxelry.operators import watershed as W
+from voxelry.plans.all import registry
 from voxelry.plans.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -275,11 +276,30 @@ def test_diffusion_against_voxels(spark):
     u[:, :, 3:] += 200
     expected = slow_step(slow_step(u, 0.1, 1, 20.0), 0.1, 1, 20.0)
     assert np.allclose(K.diffuse(u, 0.2, 0.1, 1, 20.0), expected, atol=1e-8)
-    whole = array(K.diffusion_smooth(frame(spark, u, "value"), u.shape, u.shape, (0, 0, 0), 0.2, 0.1, 1), u.shape, "value")
-    parts = array(K.diffusion_smooth(frame(spark, u, "value"), u.shape, (2, 3, 3), (8, 8, 8), 0.2, 0.1, 1), u.shape, "value")
+    whole = array(K.diffusion_smooth(frame(spark, u, "value"), u.shape, u.shape, 0.2, 0.1, 1), u.shape, "value")
+    parts = array(K.diffusion_smooth(frame(spark, u, "value"), u.shape, (2, 3, 3), 0.2, 0.1, 1), u.shape, "value")
     assert np.allclose(whole, expected, atol=1e-8) and np.allclose(parts, expected, atol=1e-8)
 
 
+def test_diffusion_in_blocks_for_any_number_of_steps(spark):
+    """Halos smaller and larger than a block, exchanged after one step and after several; the tensor is no identity."""
+    rng = np.random.default_rng(3)
+    u = rng.normal(100, 20, (3, 21, 26))
+    u[:, :, 12:] += 60
+    assert np.abs(K.diffusion_tensor(u, 1, 4.0) - np.eye(3)).max() > 0.9
+    for steps, every, size in ((1, 4, (2, 6, 7)), (7, 1, (3, 5, 9)), (7, 3, (1, 8, 8))):
+        expected = K.diffuse(u, steps * 0.1, 0.1, 1, 4.0)
+        got = array(K.diffusion_smooth(frame(spark, u, "value"), u.shape, size, steps * 0.1, 0.1, 1, 4.0, every), u.shape, "value")
+        assert np.allclose(got, expected, atol=1e-9)
+
+
+def test_diffusion_query_smooths_along_edges_only(spark, v, vox):
+    """The registered query against the whole volume, and unlike the linear smoothing that it would be without the tensor."""
+    got = array(registry.found["diffusion_smooth"](spark, SF), v.dims, "value")
+    assert np.abs(got - K.diffuse(vox, 0.6, 0.1, 1.0, 4.0)).max() < 1e-4
+    assert np.abs(got - K.diffuse(vox, 0.6, 0.1, 1.0, 1e9)).max() > 1
+
+
 def test_diffusion_keeps_edges_and_mean():
     rng = np.random.default_rng(2)
     u = rng.normal(0, 5, (6, 16, 16))

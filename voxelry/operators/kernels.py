@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelry.functions.graph import written
+from voxelry.functions.graph import discard, written
 
 from .blocks import split_blocks
 from .components import complement, components
@@ -503,7 +503,62 @@ def diffuse(block: np.ndarray, total: float, step: float, rho: float, contrast:
     return u
 
 
-def diffusion_smooth(vol: DataFrame, dims: Triple, size: Triple, margin: Triple, total: float = 1.0, step: float = 0.1, rho: float = 1.0, contrast: float = 20.0) -> DataFrame:
-    """Tensor diffusion on halo blocks. A step looks 3 + rho voxels far; with a margin of that for every step blocks
-    agree with the whole volume."""
-    return map_blocks(vol, dims, size, margin, lambda b: diffuse(b, total, step, rho, contrast))
+def diffusion_smooth(vol: DataFrame, dims: Triple, size: Triple, total: float = 1.0, step: float = 0.1, rho: float = 1.0, contrast: float = 20.0, every: int = 4) -> DataFrame:
+    """(z, y, x, value): tensor diffusion in blocks, equal to that of the whole volume for any number of steps.
+
+    A step looks 3 + rho voxels far. Blocks are rows of bytes; before every ``every`` steps each sends the blocks around it
+    what these look at, so halos don't grow with the steps and what moves is bytes, not voxels."""
+    keys, box = ["iz", "iy", "ix"], ["z0", "y0", "x0", "dz", "dy", "dx"]
+    steps = max(1, round(total / step))
+    halo = (3 + max(0, round(rho))) * min(every, steps)
+
+    def core(key) -> tuple[np.ndarray, np.ndarray]:
+        low = np.array(key, np.int64) * size
+        return low, np.minimum(low + size, dims)
+
+    def pack(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        low, high = core(key)
+        return pd.DataFrame([(*key, dense(p.astype({"value": float}), "value", 0.0, low, tuple(high - low)).tobytes())], columns=[*keys, "data"])
+
+    def send(batches):
+        for p in batches:
+            rows = []
+            for *key, data in p[[*keys, "data"]].itertuples(index=False):
+                low, high = core(key)
+                own = np.frombuffer(data).reshape(high - low)
+                first, last = np.maximum(low - halo, 0) // size, np.minimum(high - 1 + halo, np.array(dims) - 1) // size
+                for to in np.ndindex(*(last - first + 1)):
+                    near, far = core(first + to)
+                    a, b = np.maximum(low, near - halo), np.minimum(high, far + halo)
+                    part = own[tuple(slice(x, y) for x, y in zip(a - low, b - low))]
+                    rows.append((*map(int, first + to), *map(int, a), *map(int, b - a), part.tobytes()))
+            yield pd.DataFrame(rows, columns=[*keys, *box, "data"])
+
+    def advance(count: int):
+        def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+            low, high = core(key)
+            begin = np.maximum(low - halo, 0)
+            u = np.zeros(np.minimum(high + halo, dims) - begin)
+            for *place, data in p[[*box, "data"]].itertuples(index=False):
+                at, shape = np.array(place[:3]) - begin, place[3:]
+                u[tuple(slice(x, x + n) for x, n in zip(at, shape))] = np.frombuffer(data).reshape(shape)
+            u = diffuse(u, count * step, step, rho, contrast)
+            return pd.DataFrame([(*key, u[tuple(slice(x, y) for x, y in zip(low - begin, high - begin))].tobytes())], columns=[*keys, "data"])
+
+        return run
+
+    def unpack(batches):
+        for p in batches:
+            for *key, data in p[[*keys, "data"]].itertuples(index=False):
+                low, high = core(key)
+                at = np.indices(high - low).reshape(3, -1) + low[:, None]
+                yield pd.DataFrame({**dict(zip(AXES, at)), "value": np.frombuffer(data)})
+
+    kind, moved = "iz int, iy int, ix int, data binary", "iz int, iy int, ix int, z0 int, y0 int, x0 int, dz int, dy int, dx int, data binary"
+    blocks = split_blocks(vol.select(*AXES, F.col("value").cast("double").alias("value")), dims, size, (0, 0, 0))
+    state = written(blocks.groupBy(*keys).applyInPandas(pack, kind), "diffusion")
+    for done in range(0, steps, every):
+        after = written(state.mapInPandas(send, moved).groupBy(*keys).applyInPandas(advance(min(every, steps - done)), kind), "diffusion")
+        discard(state)
+        state = after
+    return state.mapInPandas(unpack, "z int, y int, x int, value double")
