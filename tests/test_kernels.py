@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelry import pipelines
-from voxelry.operators import classify, register, stencil
+from voxelry.operators import classify, register, stencil, supervoxels
 from voxelry.operators import kernels as K
 from voxelry.operators import watershed as W
 from voxelry.plans.all import registry
@@ -357,11 +357,68 @@ def test_map_labels_in_blocks(spark):
         K.map_labels(vol, kernel, 3, block=(4, 5, 4))
 
 
+def pieces_of(label):
+    """Face-connected pieces of each label, as lists of voxels."""
+    seen, out = set(), []
+    for p in zip(*(a.tolist() for a in np.nonzero(label))):
+        if p in seen:
+            continue
+        seen.add(p)
+        piece = [p]
+        for q in piece:
+            for o in FACES:
+                r = tuple(a + b for a, b in zip(q, o))
+                if all(0 <= a < n for a, n in zip(r, label.shape)) and r not in seen and label[r] == label[p]:
+                    seen.add(r)
+                    piece.append(r)
+        out.append((int(label[p]), piece))
+    return out
+
+
+def test_join_pieces_leaves_one_piece_a_label(spark):
+    rng = np.random.default_rng(12)
+    for least in (0, 5):
+        label = rng.integers(0, 4, (4, 8, 9)).repeat(2, axis=2)
+        got = array(supervoxels.join_pieces(frame(spark, label), label.shape, least), label.shape).astype(int)
+        assert ((got > 0) == (label > 0)).all()
+        after = pieces_of(got)
+        assert len({v for v, _ in after}) == len(after)  # a piece a label
+        before = pieces_of(label)
+        largest = {v: max((p for w, p in before if w == v), key=lambda p: (len(p), [-x for x in p[0]])) for v in (1, 2, 3)}
+        for v, p in largest.items():  # stays where it was
+            assert {int(got[q]) for q in p} == {v}
+        alone = [p for _, p in after if got[p[0]] > 3]
+        for p in alone:  # touches nothing
+            assert not any(all(0 <= a + b < n for a, b, n in zip(q, o, got.shape)) and got[tuple(a + b for a, b in zip(q, o))] not in (0, got[q]) for q in p for o in FACES)
+
+
+def test_join_pieces_takes_the_longest_face(spark):
+    label = np.array([[[1, 1, 1, 3, 2, 2], [1, 1, 1, 3, 2, 2], [1, 1, 1, 1, 2, 2], [3, 3, 3, 3, 3, 3]]])
+    got = array(supervoxels.join_pieces(frame(spark, label), label.shape), label.shape)
+    assert got[0, :2, 3].tolist() == [1, 1] and (got[0, 3] == 3).all()  # three faces with 1, two with 2
+
+
+def test_supervoxels_with_channels_sigma_and_spacing(spark, v):
+    rng = np.random.default_rng(3)
+    u = rng.normal(50, 10, (4, 8, 8))
+    one = frame(spark, u, "value")
+    two = one.withColumn("other", F.col("value") * 0)
+    plain = array(supervoxels.supervoxels(one, u.shape, (2, 4, 4), 5.0, 2), u.shape)
+    assert (array(supervoxels.supervoxels(two, u.shape, (2, 4, 4), 5.0, 2, channels=("value", "other")), u.shape) == plain).all()
+    assert (array(supervoxels.supervoxels(two.withColumn("other", F.col("x") * 100.0), u.shape, (2, 4, 4), 5.0, 2, channels=("value", "other")), u.shape) != plain).any()
+    smooth = stencil.gaussian_smooth(one, u.shape, (2.0, 1.0, 1.0), (2.0, 1.0, 1.0))
+    expected = array(supervoxels.supervoxels(smooth, u.shape, (2, 4, 4), 5.0, 2, elsize=(2.0, 1.0, 1.0)), u.shape)
+    got = array(supervoxels.supervoxels(one, u.shape, (2, 4, 4), 5.0, 2, sigma=(2.0, 1.0, 1.0), elsize=(2.0, 1.0, 1.0)), u.shape)
+    assert (got == expected).all()
+    rows = registry.found["supervoxels_connected"](spark, SF).collect()
+    assert len(rows) > 5 and all(r.pieces == 1 for r in rows) and sum(r.n for r in rows) == v.dims[0] * 25 * 16
+
+
 def test_supervoxels_cover_a_sparse_mask(spark):
     rng = np.random.default_rng(6)
     value = rng.integers(0, 255, (6, 12, 12)).astype(float)
     vol, mask = frame(spark, value, "value"), frame(spark, (value > 235).astype(int)).where("label = 1")
-    got = W.supervoxels(vol, value.shape, (2, 2, 2), 1.0, 4, mask).collect()
+    got = supervoxels.supervoxels(vol, value.shape, (2, 2, 2), 1.0, 4, mask).collect()
     assert {(r.z, r.y, r.x) for r in got} == {tuple(map(int, p)) for p in np.argwhere(value > 235)}
 
 

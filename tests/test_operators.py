@@ -11,7 +11,7 @@ from voxelry.operators import kernels as K
 from voxelry.operators import labels as L
 from voxelry.operators import regions as R
 from voxelry.operators import resample as S
-from voxelry.operators import stats, stencil
+from voxelry.operators import stats, stencil, supervoxels
 from voxelry.operators import watershed as W
 
 
@@ -269,5 +269,5 @@ def test_closing_and_peaks():
 
 def test_supervoxels_cover_the_volume(spark):
     a = np.random.default_rng(3).integers(0, 255, (2, 8, 8)).astype(float)
-    got = W.supervoxels(frame(spark, a, "value"), a.shape, (2, 4, 4), rounds=2)
+    got = supervoxels.supervoxels(frame(spark, a, "value"), a.shape, (2, 4, 4), rounds=2)
     assert got.count() == a.size and got.select("label").distinct().count() <= 4

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from voxelry.functions.graph import written
 from voxelry.operators import kernels as K
 from voxelry.operators import stencil as T
+from voxelry.operators import supervoxels as V
 from voxelry.operators import watershed as W
 from voxelry.operators.components import components, split_disconnected
 
@@ -198,26 +200,60 @@ def _(v):
     return W.spot_detection(v.vox, v.dims, BOX, 160, 140)
 
 
-def _supervoxel_sql(rounds: int, cell: tuple[int, int, int], compactness: float) -> str:
-    """Rounds of assignment to the nearest centre among those of the 27 cells around a voxel's own."""
-    at = ", ".join(f"CAST(c{a} // {n} AS INT) AS g{a}" for a, n in zip("zyx", cell))
-    space = " + ".join(f"pow((v.{a} - c.c{a}) / {n}.0::DOUBLE, 2)" for a, n in zip("zyx", cell))
-    ny, nx = -(-25 // cell[1]), -(-64 // cell[2])
-    means = "avg(z) AS cz, avg(y) AS cy, avg(x) AS cx, avg(value::DOUBLE) AS cv"
+def _supervoxel_sql(src: str, channels: tuple[str, ...], rounds: int, cell: tuple[int, int, int], compactness: float, grid: tuple[int, int], units: tuple[str, str, str] | None = None) -> str:
+    """Rounds of assignment to the nearest centre among those of the 27 cells around a voxel's own; ``grid`` is cells in y and x."""
+    at = ", ".join(f"CAST(floor(c{a} / {n}) AS INT) AS g{a}" for a, n in zip("zyx", cell))
+    units = units or tuple(f"(1 / {n}.0::DOUBLE)" for n in cell)
+    space = " + ".join(f"pow((v.{a} - c.c{a}) * {u}, 2)" for a, u in zip("zyx", units))
+    colour = " + ".join(f"pow(v.{c} - c.c{c}, 2)" for c in channels)
+    ny, nx = grid
+    means = ", ".join(f"avg({a}::DOUBLE) AS c{a}" for a in ("z", "y", "x", *channels))
+    cols, centre = ", ".join(channels), ", ".join(f"c{a}" for a in ("z", "y", "x", *channels))
     out = [
-        f"v0 AS (SELECT z, y, x, value, z // {cell[0]} AS gz, y // {cell[1]} AS gy, x // {cell[2]} AS gx, (z // {cell[0]} * {ny} + y // {cell[1]}) * {nx} + x // {cell[2]} + 1 AS own FROM vox WHERE value > 160)",
+        f"v0 AS (SELECT z, y, x, {cols}, z // {cell[0]} AS gz, y // {cell[1]} AS gy, x // {cell[2]} AS gx, (z // {cell[0]} * {ny} + y // {cell[1]}) * {nx} + x // {cell[2]} + 1 AS own FROM ({src}))",
         f"c0 AS (SELECT own AS label, gz, gy, gx, {means} FROM v0 GROUP BY 1, 2, 3, 4)",
     ]
     for k in range(rounds):
-        d = f"({space}) * {compactness**2}::DOUBLE + pow(v.value - c.cv, 2)"
+        d = f"({space}) * {compactness**2}::DOUBLE + ({colour})"
         near = f"SELECT v.z, v.y, v.x, c.label, {d} AS d FROM v{k} v, near o JOIN c{k} c ON c.gz = v.gz + dz AND c.gy = v.gy + dy AND c.gx = v.gx + dx"
         out.append(f"b{k} AS (SELECT z, y, x, label FROM ({near}) QUALIFY row_number() OVER (PARTITION BY z, y, x ORDER BY d, label) = 1)")
-        out.append(f"v{k + 1} AS (SELECT v.z, v.y, v.x, value, gz, gy, gx, coalesce(b.label, own) AS own FROM v{k} v LEFT JOIN b{k} b USING (z, y, x))")
-        out.append(f"c{k + 1} AS (SELECT label, cz, cy, cx, cv, {at} FROM (SELECT own AS label, {means} FROM v{k + 1} GROUP BY own))")
+        out.append(f"v{k + 1} AS (SELECT v.z, v.y, v.x, {', '.join('v.' + c for c in channels)}, gz, gy, gx, coalesce(b.label, own) AS own FROM v{k} v LEFT JOIN b{k} b USING (z, y, x))")
+        out.append(f"c{k + 1} AS (SELECT label, {centre}, {at} FROM (SELECT own AS label, {means} FROM v{k + 1} GROUP BY own))")
     return f"WITH near AS (SELECT * FROM {BOX_SQL}), {', '.join(out)} SELECT z, y, x, CAST(own AS BIGINT) AS label FROM v{rounds}"
 
 
-@add("supervoxels", "vox", _supervoxel_sql(3, (2, 3, 4), 20.0))
+@add("supervoxels", "vox", _supervoxel_sql("SELECT * FROM vox", ("value",), 3, (5, 5, 8), 10.0, (5, 8)))
+def _(v):
+    return V.supervoxels(v.vox, v.dims, (5, 5, 8), 10.0, 3)
+
+
+@add("supervoxels_masked", "vox", _supervoxel_sql("SELECT * FROM vox WHERE value > 160", ("value",), 3, (2, 3, 4), 20.0, (9, 16)))
 def _(v):
     """In a sparse mask, so that centres leave cells and voxels are left without a centre near them."""
-    return W.supervoxels(v.vox, v.dims, (2, 3, 4), 20.0, 3, v.vox.where("value > 160"))
+    return V.supervoxels(v.vox, v.dims, (2, 3, 4), 20.0, 3, v.vox.where("value > 160"))
+
+
+_CHANNELS = ("c0", "c1", "c2", "c3")
+_FOUR = "SELECT z, y, x % 16 AS x, " + ", ".join(f"max(CASE WHEN x // 16 = {i} THEN value END) AS {c}" for i, c in enumerate(_CHANNELS)) + " FROM vox GROUP BY 1, 2, 3"
+_EDGE = "pow(5 * 5 * 4 * 2.5::DOUBLE, 1.0::DOUBLE / 3)"
+
+
+def _four(v):
+    wide = v.vox.groupBy("z", "y", F.expr("CAST(x % 16 AS INT)").alias("x"))
+    return wide.agg(*[F.max(F.when(F.expr("x div 16") == i, F.col("value"))).alias(c) for i, c in enumerate(_CHANNELS)]), (*v.dims[:2], 16)
+
+
+@add("supervoxels_channels", "vox", _supervoxel_sql(_FOUR, _CHANNELS, 3, (5, 5, 4), 10.0, (5, 4), (f"(2.5::DOUBLE / {_EDGE})", f"(1 / {_EDGE})", f"(1 / {_EDGE})")))
+def _(v):
+    """Four channels of voxels that are longer along z."""
+    vol, dims = _four(v)
+    return V.supervoxels(vol, dims, (5, 5, 4), 10.0, 3, channels=_CHANNELS, elsize=(2.5, 1.0, 1.0))
+
+
+@add("supervoxels_connected")
+def _(v):
+    """Smoothed, and every label one piece; as a check, the pieces of each label beside its voxels."""
+    vol, dims = _four(v)
+    out = written(V.supervoxels(vol, dims, (5, 5, 4), 2.0, 3, channels=_CHANNELS, sigma=(1.0, 0.5, 0.5), elsize=(2.5, 1.0, 1.0), connected=True, least=4), "connected")
+    pieces = components(out.withColumnRenamed("label", "own"), 6, dims, "own").groupBy(F.col("own").alias("label")).agg(F.countDistinct("label").alias("pieces"))
+    return out.groupBy("label").agg(F.count("*").alias("n")).join(pieces, "label")
