@@ -85,8 +85,8 @@ def _(v):
     return _pairs(v)
 
 
-@add("overlap_regions", "", _PAIRS + """ SELECT s1, t1, s2, t2, type, CAST(CASE WHEN type IN ('y', 'tlbr', 'trbl') THEN 80 ELSE 0 END AS INT) AS a_y0, CAST(CASE type WHEN 'x' THEN 30 WHEN 'tlbr' THEN 20 WHEN 'trbl' THEN 20 WHEN 'y' THEN 50 ELSE 50 END AS INT) AS b_x1,
-  CAST(CASE WHEN type IN ('y', 'tlbr', 'trbl') THEN 80 ELSE 0 END AS INT) AS shift_y, CAST(CASE WHEN type IN ('x', 'tlbr') THEN 30 WHEN type = 'trbl' THEN -30 ELSE 0 END AS INT) AS shift_x FROM p""".replace("WHEN 'x' THEN 30 WHEN", "WHEN 'x' THEN 20 WHEN").replace("'trbl' THEN 20", "'trbl' THEN 50"))
+@add("overlap_regions", "", _PAIRS + """ SELECT s1, t1, s2, t2, type, CAST(CASE WHEN type IN ('y', 'tlbr', 'trbl') THEN 80 ELSE 0 END AS INT) AS a_y0, CAST(CASE WHEN type IN ('x', 'tlbr') THEN 20 ELSE 50 END AS INT) AS b_x1,
+  CAST(CASE WHEN type IN ('y', 'tlbr', 'trbl') THEN 80 ELSE 0 END AS INT) AS shift_y, CAST(CASE WHEN type IN ('x', 'tlbr') THEN 30 WHEN type = 'trbl' THEN -30 ELSE 0 END AS INT) AS shift_x FROM p""")
 def _(v):
     return G.overlap_regions(_pairs(v), 100, 50, 20).select("s1", "t1", "s2", "t2", "type", "a_y0", "b_x1", "shift_y", "shift_x")
 
@@ -129,11 +129,15 @@ def _(v):
     return G.audit_pairs(ids, matches, ids.withColumn("theta", F.when(F.col("pair_id") % 11 == 0, float("nan")).otherwise(0.0)), 4)
 
 
-@add("initial_transforms", "", """WITH n AS (SELECT count(*) AS n FROM (SELECT DISTINCT vec_id // 25 AS t FROM embeddings)) SELECT CAST(t AS BIGINT) AS tile, round(t * 0.0::DOUBLE, 6) AS theta, round(t * 1.5::DOUBLE, 6) AS tx, round(t * -0.5::DOUBLE, 6) + 0.0 AS ty FROM n, (SELECT DISTINCT vec_id // 25 AS t FROM embeddings)""")
+@add("initial_transforms", "", """WITH t AS (SELECT DISTINCT vec_id // 25 AS tile FROM embeddings), m AS (SELECT tile, CASE WHEN tile = 0 THEN 0.0 ELSE tile % 4 * 0.1 - 0.12 END::DOUBLE AS theta, CASE WHEN tile = 0 THEN 0.0 ELSE 1.5 + tile % 2 END::DOUBLE AS tx, CASE WHEN tile = 0 THEN 0.0 ELSE -0.5 END::DOUBLE AS ty FROM t),
+a AS (SELECT *, sum(theta) OVER (ORDER BY tile) AS turned FROM m), b AS (SELECT *, turned - theta AS before FROM a)
+SELECT CAST(tile AS BIGINT) AS tile, round(turned, 6) + 0.0 AS theta, round(sum(cos(before) * tx - sin(before) * ty) OVER (ORDER BY tile), 6) + 0.0 AS tx, round(sum(sin(before) * tx + cos(before) * ty) OVER (ORDER BY tile), 6) + 0.0 AS ty FROM b""")
 def _(v):
+    """A chain of rotated tiles; models back to a smaller tile don't count."""
     tiles = v.table("embeddings").select(F.expr("vec_id div 25").alias("dst")).distinct().where("dst > 0")
-    models = tiles.select((F.col("dst") - 1).alias("src"), "dst", F.lit(0.0).alias("theta"), F.lit(1.5).alias("tx"), F.lit(-0.5).alias("ty"))
-    t = G.initial_transforms(models)
+    models = tiles.select((F.col("dst") - 1).alias("src"), "dst", (F.col("dst") % 4 * 0.1 - 0.12).alias("theta"), (1.5 + F.col("dst") % 2).alias("tx"), F.lit(-0.5).alias("ty"))
+    back = models.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[F.lit(9.0).alias(c) for c in ("theta", "tx", "ty")])
+    t = G.initial_transforms(models.unionByName(back))
     return t.select("tile", *[(F.round(c, 6) + 0.0).alias(c) for c in ("theta", "tx", "ty")])
 
 
@@ -185,10 +189,15 @@ def _(v):
     return G.canvas_bounds(_transforms(v, 1.0), 25, 64)
 
 
-@add("blend_tiles", "vox", """WITH p AS (SELECT z, y + z * 2 AS cy, x + z * 5 AS cx, value, least(x, y, 63 - x, 24 - y) + 1 AS w FROM vox) SELECT CAST(cy AS INT) AS y, CAST(cx AS INT) AS x, round(sum(w * value) / sum(w)::DOUBLE, 6) AS value FROM p GROUP BY 1, 2""")
+@add("blend_tiles", "vox", """WITH t AS (SELECT DISTINCT z AS tile, (z % 3 - 1) * 0.1::DOUBLE AS theta, z * 5.25::DOUBLE AS tx, z * 2.5::DOUBLE AS ty FROM vox),
+p AS (SELECT tile, cx, cy, round(cos(theta) * (cx - tx) + sin(theta) * (cy - ty), 9) AS u, round(-sin(theta) * (cx - tx) + cos(theta) * (cy - ty), 9) AS v FROM t, range(80) a(i), range(50) b(j), LATERAL (SELECT CAST(floor(tx) AS INT) - 8 + CAST(i AS INT) AS cx, CAST(floor(ty) AS INT) - 12 + CAST(j AS INT) AS cy)),
+q AS (SELECT *, floor(u) AS fu, floor(v) AS fv, least(u, v, 63 - u, 24 - v) + 1 AS edge FROM p WHERE u BETWEEN 0 AND 63 AND v BETWEEN 0 AND 24),
+w AS (SELECT tile, cx, cy, edge, CAST(fu AS INT) + k AS x, CAST(fv AS INT) + l AS y, (CASE k WHEN 0 THEN 1 - (u - fu) ELSE u - fu END) * (CASE l WHEN 0 THEN 1 - (v - fv) ELSE v - fv END) AS w FROM q, (VALUES (0), (1)) c(k), (VALUES (0), (1)) d(l))
+SELECT cy AS y, cx AS x, round(sum(edge * w * value) / sum(edge * w), 6) AS value FROM w JOIN vox ON vox.z = tile AND vox.y = w.y AND vox.x = w.x WHERE w > 0 GROUP BY 1, 2""")
 def _(v):
+    """Slices as tiles, turned both ways and shifted by parts of a pixel."""
     tiles = v.vox.select(F.col("z").alias("tile"), "y", "x", "value")
-    t = tiles.select("tile").distinct().select("tile", F.lit(0.0).alias("theta"), (F.col("tile") * 5.0).alias("tx"), (F.col("tile") * 2.0).alias("ty"))
+    t = tiles.select("tile").distinct().select("tile", ((F.col("tile") % 3 - 1) * 0.1).alias("theta"), (F.col("tile") * 5.25).alias("tx"), (F.col("tile") * 2.5).alias("ty"))
     return G.blend_tiles(tiles, t, 25, 64).withColumn("value", F.round("value", 6))
 
 

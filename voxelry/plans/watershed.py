@@ -95,17 +95,24 @@ def _(v):
     return K.fill_holes_capped(holes(v), v.dims)
 
 
-#: A free voxel goes to the label that reaches it in the fewest steps, ties to the seed with the smaller index.
-_REACHED = "WITH RECURSIVE " + cc_sql(_BACK, FACE) + f""", sp AS (SELECT z, y, x FROM cc WHERE label <> {_TOP}),
-w(z, y, x, d, s) AS (SELECT sp.z, sp.y, sp.x, 1, f.z * 1600 + f.y * 64 + f.x FROM sp, {FACE_SQL} o JOIN seg_a f ON f.z = sp.z + dz AND f.y = sp.y + dy AND f.x = sp.x + dx AND f.label <> 0
-  UNION SELECT sp.z, sp.y, sp.x, w.d + 1, w.s FROM w, {FACE_SQL} o JOIN sp ON sp.z = w.z + dz AND sp.y = w.y + dy AND sp.x = w.x + dx WHERE w.d < 12),
-n AS (SELECT z, y, x, arg_min(s, d * 100000000 + s) AS s FROM w GROUP BY 1, 2, 3)
-SELECT z, y, x, label FROM seg_a WHERE label <> 0 UNION ALL SELECT n.z, n.y, n.x, f.label FROM n JOIN seg_a f ON f.z * 1600 + f.y * 64 + f.x = n.s"""
+def _reached_sql(walls: str, tag: str) -> str:
+    """Free pieces but the largest: a voxel goes to the label that reaches it in the fewest steps, ties to the seed with the
+    smaller index."""
+    top = f"(SELECT label FROM cc{tag} GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)"
+    return cc_sql(f"SELECT z, y, x FROM seg_a WHERE label = 0 AND (z, y, x) NOT IN (SELECT (z, y, x) FROM vox WHERE {walls})", FACE, tag=tag) + f""", sp{tag} AS (SELECT z, y, x FROM cc{tag} WHERE label <> {top}),
+w{tag}(z, y, x, d, s) AS (SELECT sp.z, sp.y, sp.x, 1, f.z * 1600 + f.y * 64 + f.x FROM sp{tag} sp, {FACE_SQL} o JOIN seg_a f ON f.z = sp.z + dz AND f.y = sp.y + dy AND f.x = sp.x + dx AND f.label <> 0
+  UNION SELECT sp.z, sp.y, sp.x, w.d + 1, w.s FROM w{tag} w, {FACE_SQL} o JOIN sp{tag} sp ON sp.z = w.z + dz AND sp.y = w.y + dy AND sp.x = w.x + dx WHERE w.d < 12),
+n{tag} AS (SELECT z, y, x, arg_min(s, d * 100000000 + s) AS s FROM w{tag} GROUP BY 1, 2, 3)"""
 
 
-@add("fill_holes_unreachable", "seg_a", _REACHED)
+_WALLS = ("value BETWEEN 60 AND 95", "z % 5 = 2 AND value < 96")
+
+
+@add("fill_holes_unreachable", "seg_a vox", "WITH RECURSIVE " + ", ".join(_reached_sql(w, str(i)) for i, w in enumerate(_WALLS)) + """
+SELECT z, y, x, label FROM seg_a WHERE label <> 0 UNION ALL SELECT n.z, n.y, n.x, max(f.label) AS label FROM (SELECT * FROM n0 UNION ALL SELECT * FROM n1) n JOIN seg_a f ON f.z * 1600 + f.y * 64 + f.x = n.s GROUP BY 1, 2, 3""")
 def _(v):
-    return K.fill_holes_unreachable(holes(v), v.dims, [v.vox.where("value > 150"), v.vox.where("value > 160")])
+    """Walls in the background: they cut free space into pieces, and part labels that would meet."""
+    return K.fill_holes_unreachable(holes(v), v.dims, [v.vox.where(w) for w in _WALLS])
 
 
 @add("seeded_watershed")
@@ -139,10 +146,16 @@ def _(v):
     return W.extend_to_border(inner, v.vox, v.dims, 3, 2)
 
 
-@add("sheath_mask", "seg_a vox mask_ds", "SELECT z, y, x FROM vox JOIN mask_ds USING (z, y, x) WHERE value > 110 AND x % 11 <= 3")
+#: Distance to any object, axis by axis.
+_NEAR = """WITH a AS (SELECT z, y, CAST(t AS INT) AS x, min((t - x) * (t - x)) AS d FROM inner_seg, range(64) r(t) WHERE label <> 0 GROUP BY 1, 2, 3),
+b AS (SELECT z, CAST(t AS INT) AS y, x, min(d + (t - y) * (t - y)) AS d FROM a, range(25) r(t) GROUP BY 1, 2, 3),
+c AS (SELECT CAST(t AS INT) AS z, y, x, sqrt(min(d + 4 * (t - z) * (t - z))) AS d FROM b, dims, range(dims.dz) r(t) GROUP BY 1, 2, 3)"""
+
+
+@add("sheath_mask", "inner_seg vox mask_ds dims", _NEAR + " SELECT z, y, x FROM c JOIN vox USING (z, y, x) JOIN mask_ds USING (z, y, x) WHERE value > 110 AND d <= 2")
 def _(v):
-    d = v.vox.select("z", "y", "x", (F.col("x") % 11).cast("double").alias("value"))
-    return W.sheath_mask(d, v.vox.where("value > 110"), v.mask_ds, 3.0)
+    d = T.distance_transform(v.inner_seg.where("label <> 0").select("z", "y", "x", "label"), v.dims, (2.0, 1.0, 1.0))
+    return W.sheath_mask(d, v.vox.where("value > 110"), v.mask_ds, 2.0)
 
 
 @add("separate_sheaths")
