@@ -461,8 +461,8 @@ def test_classifier_and_rules(spark):
         assert all(ruled[i] == (False if a > 95 else True if m > 90 else got[i]) for i, a, m, _ in rows)
 
 
-def test_joint_fit_on_spark(spark, monkeypatch):
-    """Conjugate gradients on Spark come to the transforms that the driver's solver finds."""
+def test_joint_fit_on_spark(spark):
+    """The same transforms whatever the groups that tiles are eliminated in."""
     rng = np.random.default_rng(8)
     true = {t: (0.03 * t, 2.0 * t, -1.0 * t) for t in range(4)}
     rows = []
@@ -475,14 +475,58 @@ def test_joint_fit_on_spark(spark, monkeypatch):
             rows.append((a, b, 1.0, *own))
     matches = spark.createDataFrame(rows, "t1 bigint, t2 bigint, w double, sx double, sy double, dx double, dy double")
     start = spark.createDataFrame([(t, 0.8 * th, 0.8 * x, 0.8 * y) for t, (th, x, y) in true.items()] + [(9, 0.5, 1.0, 2.0)], "tile bigint, theta double, tx double, ty double")
-    for few in (2000, 0):
-        monkeypatch.setattr(register, "DRIVER_TILES", few)
-        got = {r.tile: (r.theta, r.tx, r.ty) for r in register.optimize_transforms(matches, start, tolerance=1e-6).collect()}
+    for group in (256, 2):
+        got = {r.tile: (r.theta, r.tx, r.ty) for r in register.optimize_transforms(matches, start, tolerance=1e-6, group=group, widen=2).collect()}
         assert all(got[t] == pytest.approx(true[t], abs=1e-4) for t in true) and got[9] == (0.5, 1.0, 2.0)
     with pytest.raises(RuntimeError):
         register.optimize_transforms(matches, start, rounds=1, tolerance=1e-12)
 
 
+def test_elimination_equals_a_dense_solve(spark):
+    """Levels of groups on a ladder of tiles with cross links, a tile that nothing holds, and one that is fixed."""
+    rng = np.random.default_rng(5)
+    n, rows = 60, []
+    pairs = [(a, a + d) for a in range(n - 4) for d in (1, 2, 3) if rng.random() < 0.8]
+    h, g = np.zeros((3 * n, 3 * n)), np.zeros(3 * n)
+    for a, b in pairs:
+        j = rng.normal(size=(8, 6))
+        m, r = j.T @ j, rng.normal(size=6)
+        at = np.r_[3 * a : 3 * a + 3, 3 * b : 3 * b + 3]
+        h[np.ix_(at, at)] += m
+        g[at] += r
+        if rng.random() < 0.5:  # pairs the other way round
+            a, b, order = b, a, np.r_[3:6, 0:3]
+            m, r = m[np.ix_(order, order)], r[order]
+        rows.append((a, b, *[float(m[p, q]) for p in range(6) for q in range(p, 6)], *map(float, r)))
+    names = [f"h{p}{q} double" for p in range(6) for q in range(p, 6)] + [f"g{p} double" for p in range(6)]
+    blocks = spark.createDataFrame(rows, "t1 bigint, t2 bigint, " + ", ".join(names))
+    free = np.repeat([t != 7 for t in range(n)], 3)
+    expected = np.zeros(3 * n)
+    expected[free] = np.linalg.lstsq(h[np.ix_(free, free)], -g[free], rcond=None)[0]
+    for group, widen in ((64, 64), (5, 3)):
+        got = np.zeros(3 * n)
+        for r in register._solved(blocks, 7, n, group, widen).collect():
+            got[3 * r.tile : 3 * r.tile + 3] = r.x
+        assert np.allclose(got, expected, atol=1e-7)
+
+
+def test_joint_fit_of_a_long_chain_takes_few_jobs(spark):
+    n = 4096
+    e = spark.range(n - 1).select(F.col("id").alias("t1"), (F.col("id") + 1).alias("t2"), F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (9.0, 1.0), (2.0, 8.0))])).alias("p"))
+    pose = lambda t: (F.col(t) % 16 * 0.02, F.col(t) % 16 * 3.0, -(F.col(t) % 16) * 1.0)
+    for i, t in (("s", "t1"), ("d", "t2")):
+        th, tx, ty = pose(t)
+        px, py = F.col("p.x") - tx, F.col("p.y") - ty
+        e = e.withColumns({f"{i}x": F.cos(th) * px + F.sin(th) * py, f"{i}y": -F.sin(th) * px + F.cos(th) * py})
+    k = F.col("tile") % 16
+    start = spark.range(n).select(F.col("id").alias("tile")).select("tile", (k * 0.0199).alias("theta"), (k * 2.99).alias("tx"), (k * -0.99).alias("ty"))
+    before = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    t = register.optimize_transforms(e.select("t1", "t2", F.lit(1.0).alias("w"), "sx", "sy", "dx", "dy"), start, tolerance=1e-5)
+    far = t.select(F.max(F.greatest(F.abs(F.col("theta") - k * 0.02), F.abs(F.col("tx") - k * 3.0), F.abs(F.col("ty") + k))).alias("far")).first().far
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - before
+    assert far < 1e-3 and jobs < 5 * 60
+
+
 def test_descriptors_in_tiles(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = [(g, i, rng.integers(0, 4, 3).astype(float).tolist()) for g in (0, 1) for i in range(60)]

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelry.functions.graph import discard, written
+from voxelry.functions.ranking import global_rank
 
 #: Neighbouring tiles of a 2 x 2 section by type of overlap (z: the same tile in another section).
 CONNECTIVITY = [("z", 0, 0), ("z", 1, 1), ("z", 2, 2), ("z", 3, 3), ("y", 0, 2), ("y", 1, 3), ("x", 0, 1), ("x", 2, 3), ("tlbr", 0, 3), ("trbl", 1, 2)]
 
 
-#: Descriptors in a block of one side; tiles on which the driver solves the joint fit itself.
-TILE, DRIVER_TILES = 1024, 2000
+#: Descriptors in a block of one side; tiles that the joint fit eliminates in one task.
+TILE, GROUP = 1024, 256
 
 
 def connectivity(spark: SparkSession) -> DataFrame:
@@ -193,72 +194,103 @@ def _normal_blocks(matches: DataFrame, table: DataFrame) -> DataFrame:
     return j.groupBy("t1", "t2").agg(*sums)
 
 
-def _solved_on_driver(blocks: DataFrame, free: list[int]) -> dict[int, np.ndarray]:
-    place = {t: 3 * i for i, t in enumerate(free)}
-    h, g = np.zeros((3 * len(free), 3 * len(free))), np.zeros(3 * len(free))
-    for r in blocks.collect():  # a row a tile pair, of few tiles
-        at = [(place[t] + i if t in place else -1) for t in (r.t1, r.t2) for i in range(3)]
-        for p in range(6):
-            if at[p] >= 0:
-                g[at[p]] += r[f"g{p}"]
-                for q in range(6):
-                    if at[q] >= 0:
-                        h[at[p], at[q]] += r[f"h{min(p, q)}{max(p, q)}"]
-    step = np.linalg.lstsq(h, -g, rcond=None)[0]
-    return {t: step[place[t] : place[t] + 3] for t in free}
-
-
-def _solved_on_spark(blocks: DataFrame, fixed: int, tolerance: float, most: int) -> DataFrame:
-    """(tile, x array<double>): the step by conjugate gradients, preconditioned by the diagonal. A vector is a table of
-    three numbers a tile; a product with the matrix is a join with the blocks and a sum by tile."""
+def _eliminate(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+    """One group's tiles: those that nothing outside the group touches are solved for in terms of the others, whose
+    equations take up what is left of theirs. Rows by kind: 0 blocks (a <= b), 1 tiles touched from outside, 2 right sides;
+    3 comes out, the solution for ``tiles``: -(c + k x) with x the steps of ``border``."""
+    tiles = np.sort(p.a[p.kind == 2].to_numpy())
+    at = {int(t): 3 * i for i, t in enumerate(tiles)}
+    h, g = np.zeros((3 * len(tiles), 3 * len(tiles))), np.zeros(3 * len(tiles))
+    for a, b, m in p.loc[p.kind == 0, ["a", "b", "m"]].itertuples(index=False):
+        i, j, m = at[a], at[b], np.asarray(m).reshape(3, 3)
+        h[i : i + 3, j : j + 3] += m
+        if a != b:
+            h[j : j + 3, i : i + 3] += m.T
+    for a, m in p.loc[p.kind == 2, ["a", "m"]].itertuples(index=False):
+        g[at[a] : at[a] + 3] += m
+    edge = np.isin(tiles, p.a[p.kind == 1].to_numpy())
+    out, inn = np.repeat(edge, 3), np.repeat(~edge, 3)
+    inverse = np.linalg.pinv(h[np.ix_(inn, inn)], rcond=1e-12, hermitian=True)  # a tile that nothing holds stays
+    k, c = inverse @ h[np.ix_(inn, out)], inverse @ g[inn]
+    left, right = h[np.ix_(out, out)] - h[np.ix_(out, inn)] @ k, g[out] - h[np.ix_(out, inn)] @ c
+    border = tiles[edge]
+    rows = [(3, -1, -1, None, tiles[~edge].tolist(), border.tolist(), k.tobytes(), c.tobytes(), int(key[0]))]
+    for i, a in enumerate(border.tolist()):
+        rows.append((2, a, -1, right[3 * i : 3 * i + 3].tolist(), None, None, None, None, -1))
+        for j in range(i, len(border)):
+            m = left[3 * i : 3 * i + 3, 3 * j : 3 * j + 3]
+            if m.any():
+                rows.append((0, a, int(border[j]), m.ravel().tolist(), None, None, None, None, -1))
+    return pd.DataFrame(rows, columns=["kind", "a", "b", "m", "tiles", "border", "k", "c", "g"])
+
+
+def _back(batches):
+    """Records with ``x``, the steps of their border in order -> (tile, x)."""
+    for p in batches:
+        rows = []
+        for tiles, k, c, x in p[["tiles", "k", "c", "x"]].itertuples(index=False):
+            c, known = np.frombuffer(c), np.concatenate([np.asarray(v) for v in x]) if x is not None and len(x) else np.zeros(0)
+            step = -(c + np.frombuffer(k).reshape(len(c), len(known)) @ known) if len(c) else c
+            rows += [(int(t), step[3 * i : 3 * i + 3].tolist()) for i, t in enumerate(tiles)]
+        yield pd.DataFrame(rows, columns=["tile", "x"])
+
+
+def _solved(blocks: DataFrame, fixed: int, n: int, group: int, widen: int) -> DataFrame:
+    """(tile, x array<double>): the Gauss-Newton step, by elimination in groups of tiles that follow each other. What a level
+    of groups leaves, the tiles at their borders, is eliminated in groups ``widen`` times as wide, until one holds all."""
+    kind = "kind int, a bigint, b bigint, m array<double>, tiles array<bigint>, border array<bigint>, k binary, c binary, g bigint"
     h = lambda p, q: F.col(f"h{min(p, q)}{max(p, q)}")
-    part = lambda t, o, s, z: blocks.select(F.col(t).alias("tile"), F.col(o).alias("other"), F.array(*[F.array(*[h(s + p, z + q) for q in range(3)]) for p in range(3)]).alias("m"))
-    sides = [("t1", "t1", 0, 0), ("t1", "t2", 0, 3), ("t2", "t1", 3, 0), ("t2", "t2", 3, 3)]
-    matrix = reduce(DataFrame.unionByName, [part(*x) for x in sides]).where((F.col("tile") != fixed) & (F.col("other") != fixed))
-    add3 = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(3)])
-    matrix = written(matrix.groupBy("tile", "other").agg(F.array(*[F.array(*[F.sum(F.col("m")[p][q]) for q in range(3)]) for p in range(3)]).alias("m")), "fit-matrix")
-    g = reduce(DataFrame.unionByName, [blocks.select(F.col(t).alias("tile"), F.array(*[-F.col(f"g{s + p}") for p in range(3)]).alias("r")) for t, s in (("t1", 0), ("t2", 3))])
-    diagonal = matrix.where("tile = other").select("tile", F.array(*[F.when(F.col("m")[i][i] > 0, 1 / F.col("m")[i][i]).otherwise(1.0) for i in range(3)]).alias("c"))
-    zip3 = lambda a, b, f: F.zip_with(a, b, f)
-    dot = lambda a, b: F.coalesce(F.sum(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)), F.lit(0.0))
-    s = g.where(F.col("tile") != fixed).groupBy("tile").agg(add3("r").alias("r")).join(diagonal, "tile")
-    s = s.select("tile", "c", "r", F.array(*[F.lit(0.0)] * 3).alias("x"), zip3("c", "r", lambda c, r: c * r).alias("d"))
-    s = written(s, "fit-vectors")
-    rz = first = s.agg(dot("r", zip3("c", "r", lambda c, r: c * r))).first()[0]
-    for _ in range(most):
-        if rz <= first * tolerance**2 or rz == 0:
-            return s.select("tile", "x")
-        times = matrix.join(s.select(F.col("tile").alias("other"), "d"), "other")
-        row = lambda p: F.aggregate(F.zip_with(F.col("m")[p], F.col("d"), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-        image = times.groupBy("tile").agg(F.array(*[F.sum(row(p)) for p in range(3)]).alias("q"))
-        j = written(s.join(image, "tile"), "fit-product")
-        alpha = rz / j.agg(dot("d", "q")).first()[0]
-        moved = j.select("tile", "c", "d", zip3("x", "d", lambda x, d: x + alpha * d).alias("x"), zip3("r", "q", lambda r, q: r - alpha * q).alias("r"))
-        new = moved.agg(dot("r", zip3("c", "r", lambda c, r: c * r))).first()[0]
-        beta, before = new / rz, s
-        s = written(moved.select("tile", "c", "r", "x", zip3(zip3("c", "r", lambda c, r: c * r), "d", lambda z, d: z + beta * d).alias("d")), "fit-vectors")
-        discard(before, j)
-        rz = new
-    raise RuntimeError(f"the linear system is not solved after {most} steps")
-
-
-def optimize_transforms(matches: DataFrame, transforms: DataFrame, fixed: int = 0, rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
+    part = lambda a, b, s, z: blocks.select(F.col(a).alias("a"), F.col(b).alias("b"), F.array(*[h(s + p, z + q) for p in range(3) for q in range(3)]).alias("m"))
+    turned = F.when(F.col("a") > F.col("b"), F.array(*[F.col("m")[3 * q + p] for p in range(3) for q in range(3)])).otherwise(F.col("m"))
+    matrix = reduce(DataFrame.unionByName, [part("t1", "t1", 0, 0), part("t2", "t2", 3, 3), part("t1", "t2", 0, 3)]).where((F.col("a") != fixed) & (F.col("b") != fixed))
+    matrix = matrix.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), turned.alias("m")).groupBy("a", "b").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(9)]).alias("m"))
+    right = reduce(DataFrame.unionByName, [blocks.select(F.col(t).alias("a"), F.array(*[F.col(f"g{s + p}") for p in range(3)]).alias("m")) for t, s in (("t1", 0), ("t2", 3))])
+    right = right.where(F.col("a") != fixed).groupBy("a").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(3)]).alias("m"))
+    levels, width = [], group
+    while True:
+        of = lambda c: F.floor(F.col(c) / width)  # noqa: E731, B023
+        row = lambda df, code, g, b, m: df.select(F.lit(code).alias("kind"), g.alias("g"), "a", b.cast("bigint").alias("b"), m.alias("m"))
+        none, empty = F.lit(None), F.lit(None).cast("array<double>")
+        cross = matrix.where(of("a") != of("b"))
+        touched = cross.select("a").unionByName(cross.select(F.col("b").alias("a"))).distinct()
+        asked = [row(matrix.where(of("a") == of("b")), 0, of("a"), F.col("b"), F.col("m")), row(touched, 1, of("a"), none, empty), row(right, 2, of("a"), none, F.col("m"))]
+        done = written(reduce(DataFrame.unionByName, asked).groupBy("g").applyInPandas(_eliminate, kind), "fit-level")
+        levels.append(done)
+        if n <= width:
+            break
+        matrix, right = cross.unionByName(done.where("kind = 0").select("a", "b", "m")), done.where("kind = 2").select("a", "m")
+        width *= widen
+    steps = None
+    for level in reversed(levels):
+        records = level.where("kind = 3").select("g", "tiles", "border", "k", "c")
+        if steps is None:
+            steps = written(records.withColumn("x", F.lit(None).cast("array<array<double>>")).mapInPandas(_back, "tile bigint, x array<double>"), "fit-steps")
+            continue
+        known = records.select("g", F.posexplode("border").alias("i", "tile")).join(steps, "tile")
+        known = known.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("x"))  # a group's border
+        steps = steps.unionByName(written(records.join(known, "g", "left").mapInPandas(_back, "tile bigint, x array<double>"), "fit-steps"))
+    return steps
+
+
+def optimize_transforms(matches: DataFrame, transforms: DataFrame, fixed: int = 0, rounds: int = 20, tolerance: float = 1e-9, group: int = GROUP, widen: int = 64) -> DataFrame:
     """Gauss-Newton on the registration error with one tile fixed; raises if it doesn't come to rest in ``rounds``.
-    Matches are summed to a normal-equation block a tile pair. Up to ``DRIVER_TILES`` tiles the driver solves for the
-    step, beyond them Spark does by conjugate gradients; a tile without matches stays."""
-    kind = "tile bigint, theta double, tx double, ty double"
-    current = written(transforms.select(F.col("tile").cast("bigint").alias("tile"), *[F.col(c).cast("double").alias(c) for c in ("theta", "tx", "ty")]), "fit-transforms")
-    few = current.count() <= DRIVER_TILES
+    Matches are summed to a normal-equation block a tile pair, and the blocks are solved by nested elimination: ``group``
+    tiles that follow each other by number are one task's, then the tiles at the borders of ``widen`` groups, and so on, so
+    that Spark jobs grow with the logarithm of the tiles. That is small work if tiles that overlap have near numbers, as
+    those of a stack do. A tile without matches stays."""
+    names = ("theta", "tx", "ty")
+    current = transforms.select(F.col("tile").cast("bigint").alias("tile"), *[F.col(c).cast("double").alias(c) for c in names])
+    place = written(global_rank(current.select("tile").distinct(), "tile", name="place"), "fit-places")
+    n = place.count()
+    own = place.where(F.col("tile") == fixed).first()
+    current = written(current, "fit-transforms")
+    at = lambda t: place.select(F.col("tile").alias(t), F.col("place").alias(f"p{t}"))
     for _ in range(rounds):
-        blocks = written(_normal_blocks(matches, current), "fit-blocks")
-        if few:
-            free = sorted({t for r in blocks.select("t1", "t2").collect() for t in r} - {fixed})
-            steps = [(int(t), *map(float, x)) for t, x in _solved_on_driver(blocks, free).items()] if free else []
-            step = current.sparkSession.createDataFrame(steps, kind)
-        else:
-            step = _solved_on_spark(blocks, fixed, 1e-10, 3 * current.count() + 50).select("tile", *[F.col("x")[i].alias(c) for i, c in enumerate(("theta", "tx", "ty"))])
-        step = step.select("tile", *[F.col(c).alias(f"_{c}") for c in ("theta", "tx", "ty")])
-        moved = current.join(step, "tile", "left").select("tile", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in ("theta", "tx", "ty")], F.greatest(*[F.abs(F.coalesce(f"_{c}", F.lit(0.0))) for c in ("theta", "tx", "ty")]).alias("by"))
+        blocks = _normal_blocks(matches, current).join(at("t1"), "t1").join(at("t2"), "t2").drop("t1", "t2").withColumnsRenamed({"pt1": "t1", "pt2": "t2"})
+        blocks = written(blocks, "fit-blocks")
+        step = _solved(blocks, own.place if own else -1, n + 1, group, widen).withColumnRenamed("tile", "place").join(place, "place")
+        step = step.select("tile", *[F.col("x")[i].alias(f"_{c}") for i, c in enumerate(names)])
+        moved = current.join(step, "tile", "left").select("tile", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in names], F.greatest(*[F.abs(F.coalesce(f"_{c}", F.lit(0.0))) for c in names]).alias("by"))
         moved, before = written(moved, "fit-transforms"), current
         current = moved.drop("by")
         discard(before, blocks)
