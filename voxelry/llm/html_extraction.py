@@ -18,6 +18,7 @@ import math
 import random
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 #: Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math canvas object select button textarea".split())
-UNSEEN = frozenset("head title option datalist audio video".split())
+RAW = frozenset("script style noscript template iframe svg canvas select button textarea".split())
+NESTED = frozenset("svg canvas".split())  # of the raw ones, those that can hold their like
+UNSEEN = frozenset("head title option datalist audio video annotation annotation-xml".split())
 BLOCK = frozenset(
     "html body article main section div nav header footer aside form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 "
     "blockquote pre table caption thead tbody tfoot tr td th figure figcaption address details summary hr dialog center menu".split()
@@ -56,10 +58,24 @@ _token = re.compile(
     re.S,
 )
 _raw_end = {tag: re.compile(rf"</{tag}(?![A-Za-z0-9-])[^>]*(?:>|\Z)", re.I) for tag in RAW}
+_nested = {tag: re.compile(rf"<(/?){tag}(?![A-Za-z0-9-])[^>]*?(/?)(?:>|\Z)", re.I) for tag in NESTED}
 _attr = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _name = re.compile(r"[a-z]+")
 
 
+def _raw_until(tag: str, text: str, at: int) -> int:
+    """Where a raw element that begins before ``at`` ends; elements of its own kind inside it are counted."""
+    if tag not in NESTED:
+        close = _raw_end[tag].search(text, at)
+        return close.end() if close else len(text)
+    open_ = 1
+    for m in _nested[tag].finditer(text, at):
+        open_ += -1 if m[1] else not m[2]
+        if not open_:
+            return m.end()
+    return len(text)
+
+
 class Page:
     """The block elements of a page, each with its parent, and the text blocks in page order.
 
@@ -123,8 +139,7 @@ class Page:
                 tag = start.lower()
                 if tag in RAW:
                     if not attrs.endswith("/"):
-                        close = _raw_end[tag].search(text, at)
-                        at = close.end() if close else len(text)
+                        at = _raw_until(tag, text, at)
                     continue
                 if tag in VOID:
                     if tag in ("br", "hr"):
@@ -261,7 +276,13 @@ class Page:
         return "\n".join(said for node, said, _ in self.blocks if kept[node] and own[node])
 
 
-def _layout(rng: random.Random, main: list[str], other: list[str]) -> str:
+#: Elements that hold the main text in the layouts that training sets pages in.
+CONTAINERS = (
+    ("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="post-body"'), ("section", 'class="entry"'), ("div", 'class="article-text"'), ("div", ""), ("td", ""), ("article", 'class="post"'), ("div", 'role="main"'),
+)
+
+
+def _layout(rng: random.Random, main: list[str], other: list[str], containers: tuple = CONTAINERS) -> str:
     """A page with known labels (``data-y``), in one of many layouts."""
     pick = rng.choice
     few = lambda a, b: [pick(other) for _ in range(rng.randint(a, b))]
@@ -290,7 +311,7 @@ def _layout(rng: random.Random, main: list[str], other: list[str]) -> str:
     if rng.random() < 0.3:
         body.append(box(["share", "social-buttons", "share-bar"], ["div", "ul"], links("", "") if rng.random() < 0.5 else esc(short())))
     inner = head + "".join(body)
-    tag, attr = pick([("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="post-body"'), ("section", 'class="entry"'), ("div", 'class="article-text"'), ("div", ""), ("td", ""), ("article", 'class="post"'), ("div", 'role="main"')])
+    tag, attr = pick(containers)
     article = f'<{tag} data-y="1" {attr}>{inner}</{tag}>'
     if tag == "td":
         article = f"<table><tr>{article}</tr></table>"
@@ -315,7 +336,7 @@ def _layout(rng: random.Random, main: list[str], other: list[str]) -> str:
     return f'<html><body>{"".join(keep(top))}{article}{"".join(keep(bottom))}</body></html>'
 
 
-def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _training_rows(batches: Iterator[pa.RecordBatch], containers: tuple = CONTAINERS) -> Iterator[pa.RecordBatch]:
     htmls = [h for b in batches for h in b.column(1).to_pylist()]
     if not htmls:
         return
@@ -337,7 +358,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for _ in range(3):
                 own = [x for x in m if x] or [rng.choice(other)]
                 rng.shuffle(own)
-                pages.append(Page(_layout(rng, own[: rng.randint(1, 12)], other)))
+                pages.append(Page(_layout(rng, own[: rng.randint(1, 12)], other, containers)))
     for p in pages:
         x, y = p.features()(0, len(p.tag)), p.labels()
         x, y = x[y >= 0], y[y >= 0]
@@ -378,13 +399,13 @@ class Trees:
         return out
 
 
-def fit_trees(pages: DataFrame, sample: int = 250, rounds: int = 12, depth: int = 4) -> Trees | None:
+def fit_trees(pages: DataFrame, sample: int = 250, rounds: int = 12, depth: int = 4, containers: tuple = CONTAINERS) -> Trees | None:
     """Trees fitted on ``sample`` pages, drawn by a hash of page_id; None if the table has no html."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     drawn = pages.where("html IS NOT NULL").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample)
-    rows = drawn.mapInArrow(_training_rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").persist()
+    rows = drawn.mapInArrow(partial(_training_rows, containers=containers), "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").persist()
     try:
         if rows.select("label").distinct().count() < 2:
             return None
