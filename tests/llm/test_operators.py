@@ -578,6 +578,30 @@ def test_token_counts_and_cache(spark, docs, odd, monkeypatch):
     assert token_counts.token_counts(odd.limit(0), token_counts.fresh_cache(docs)).count() == 0
 
 
+def test_topk_of_empty_vectors(spark):
+    df = spark.createDataFrame([(0, []), (50, []), (7, []), (8, None)], "vec_id bigint, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.exact_topk(df).collect()) == [(0, 1, 7, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 7, 0)]
+
+
+def test_topk_ships_visited_annuli_alone(spark, monkeypatch):
+    """Clusters, so that most annuli are out of reach; several blocks of queries; with and without broadcasts."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (12, 8)) * 3
+    x = centres[rng.integers(0, 12, 6000)] + rng.normal(0, 0.05, (6000, 8))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    q = np.floor(256 * x)
+    expected = []
+    for i in range(0, 6000, 50):
+        score = q @ q[i]
+        score[i] = -np.inf
+        order = np.lexsort((np.arange(6000), -score))[:5]
+        expected += [(i, r, int(j), int(score[j])) for r, j in enumerate(order, 1)]
+    monkeypatch.setattr(topk, "QUERIES", 40)
+    for small in (1_000_000, 0):
+        monkeypatch.setattr(topk, "SMALL", small)
+        assert sorted(tuple(r) for r in topk.exact_topk(df).collect()) == expected
+
+
 # --- 9
 
 

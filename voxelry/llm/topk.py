@@ -26,6 +26,8 @@ from .common import written
 SAMPLE, PIVOTS, ANNULI, BLOCK, QUERIES = 8192, 128, 32, 8192, 65_536
 #: Annuli that a query visits before the rest.
 FIRST = 4
+#: Pairs of an annulus and a block of queries (8 bytes each) up to which they are broadcast.
+SMALL = 1_000_000
 _EXACT = float(1 << 53)
 
 
@@ -141,15 +143,15 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, quantum: int = 2
 
     Components are floor(quantum * x). Rows with a null vec_id, a null vector or a null or non-finite component
     take no part; shorter vectors count as ending in zeros. Rows that repeat a vec_id are candidates each, but
-    never of their own id, and ask once. Scores must fit 64 bits; beyond 2^53 they are computed with Python's
+    never of their own id, and ask once. A vector without components is zero. Scores must fit 64 bits; beyond 2^53 they are computed with Python's
     integers. Extra columns are ignored; an empty table gives none."""
     spark = vectors.sparkSession
     v = vectors.where(F.col("vec_id").isNotNull() & _usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.floor(quantum * x).cast("double") * F.floor(quantum * x).cast("double"))
     n, dim, m2 = v.agg(F.count("*"), F.max(F.size("embedding")), F.max(square)).first()
-    if not n or not dim:
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    m2 = float(m2)
+    dim, m2 = max(1, dim), float(m2)  # vectors without components are zeros
     drawn = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
     index = Index(_matrix(drawn, dim, quantum), n, m2)
 
@@ -166,10 +168,10 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, quantum: int = 2
     cell_no, size, low, high = (np.array(c) for c in zip(*cells))
     subs = -(-size // BLOCK)
     slack = 1e-6 * (1 + m2)  # rounding of distances never hides a candidate
-    block_of = F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*[F.lit(int(x)) for c, s in zip(cell_no, subs) for x in (c, s)]), F.col("cell"))).cast("int")
+    of_cell = F.broadcast(spark.createDataFrame([(int(c), int(s)) for c, s in zip(cell_no, subs)], "cell int, subs int"))  # PIVOTS * ANNULI rows at most
     asked = written(keyed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec")), "pivot-queries")
     blocks = max(1, -(-asked.count() // QUERIES))
-    stored = keyed.select("cell", block_of.alias("sub"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.lit(0).alias("kind"), "id", "vec")
+    placed = keyed.join(of_cell, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int").alias("sub"), F.lit(0).alias("kind"), "id", "vec")
 
     def best_scores(q: np.ndarray) -> np.ndarray:
         """For each query and cell, the most a score can be."""
@@ -178,22 +180,40 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, quantum: int = 2
         gap = np.maximum(0, np.maximum(d - high, low - d))
         return ((q * q).sum(axis=1)[:, None] + m2 - gap * gap) / 2
 
+    def chosen(vec: list[bytes], least: np.ndarray | None, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) places to visit: in the first step the best annulus, in the second the best few, in the third the
+        others; of those, what the bound leaves."""
+        most = best_scores(_numbers(vec, dim, kind_of))
+        if step == 1:
+            return np.arange(len(vec)), most.argmax(axis=1)
+        place = (-most).argsort(axis=1, kind="stable").argsort(axis=1)
+        return np.nonzero((most >= least[:, None] - slack) & ((place < FIRST) == (step == 2)))
+
+    def parts(b: pa.RecordBatch, step: int):
+        for begin in range(0, b.num_rows, 256):
+            part = b.slice(begin, 256)
+            ids, vec = part.column(0).to_numpy(), part.column(1).to_pylist()
+            yield ids, vec, *chosen(vec, part.column(2).to_numpy() if step > 1 else None, step)
+
+    def visited(step: int):
+        """Queries -> the annuli that a block of queries visits; only these are shipped to it."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                pairs = {(int(c), int(q)) for ids, _, r, at in parts(b, step) for c, q in np.unique(np.column_stack([cell_no[at], ids[r] // every % blocks]), axis=0)}
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in pairs], pa.int32()), pa.array([q for _, q in pairs], pa.int32())], ["cell", "qb"])
+
+        return rows
+
     def visit(step: int):
-        """Queries (id, vec, bound) -> a row for each block to visit: in the first step a block of the best annulus, in
-        the second the best few annuli, in the third the others; of those, what the bound leaves."""
+        """Queries -> a row for each block of vectors to visit: one of the best annulus in the first step, else all of each."""
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for begin in range(0, b.num_rows, 256):
-                    part = b.slice(begin, 256)
-                    ids, vec = part.column(0).to_numpy(), part.column(1).to_pylist()
-                    most = best_scores(_numbers(vec, dim, kind_of))
+                for ids, vec, r, at in parts(b, step):
                     if step == 1:
-                        r, at = np.arange(len(ids)), most.argmax(axis=1)
                         sub = ids % subs[at]
                     else:
-                        place = (-most).argsort(axis=1, kind="stable").argsort(axis=1)
-                        r, at = np.nonzero((most >= part.column(2).to_numpy()[:, None] - slack) & ((place < FIRST) == (step == 2)))
                         times = subs[at]
                         sub = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                         r, at = np.repeat(r, times), np.repeat(at, times)
@@ -207,7 +227,10 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, quantum: int = 2
     row, place = "cell int, sub int, qb int, kind int, id long, vec binary", ["cell", "sub", "qb"]
 
     def search(queries: DataFrame, step: int) -> DataFrame:
-        meet = stored.unionByName(queries.mapInArrow(visit(step), row)).repartition(*place).sortWithinPartitions(*place, "kind")
+        pairs = queries.mapInArrow(visited(step), "cell int, qb int").distinct()
+        # at most a row an annulus and block of queries; beyond what is known to be small, a shuffle
+        stored = placed.join(F.broadcast(pairs) if len(cells) * blocks <= SMALL else pairs, "cell")
+        meet = stored.select(*_ROW).unionByName(queries.mapInArrow(visit(step), row)).repartition(*place).sortWithinPartitions(*place, "kind")
         return meet.select(*_ROW).mapInArrow(_search(dim, k, kind_of, m2 < _EXACT), "query_id long, vec_id long, score long")
 
     def bounded(found: DataFrame) -> DataFrame:
@@ -216,8 +239,8 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, quantum: int = 2
         bound = asked.join(first.select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("least")), "id", "left")
         return bound.select("id", "vec", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
 
-    few = written(search(bounded(search(asked, 1)), 2), "pivot-first")
-    found = few.unionByName(search(bounded(few), 3))
+    few = written(search(written(bounded(search(asked, 1)), "pivot-bounds"), 2), "pivot-first")
+    found = few.unionByName(search(written(bounded(few), "pivot-bounds"), 3))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
