@@ -566,8 +566,8 @@ def test_token_counts_and_cache(spark, docs, odd, monkeypatch):
     again = token_counts.token_counts(table, cache)
     assert again.count() == len(got) and spark.read.parquet(cache).count() == stored  # all hits: nothing was encoded or appended
     few = table.limit(7).unionByName(spark.createDataFrame([(9003, "a text that the cache lacks", None, None, None)], SCHEMA))
-    for rows in (100_000, 0):  # a few misses by broadcast, then by shuffle
-        monkeypatch.setattr(token_counts, "BROADCAST_ROWS", rows)
+    for bits in (1 << 25, 64):  # a filter that tells all misses, and one that passes nearly everything
+        monkeypatch.setattr(token_counts, "MOST_BITS", bits)
         half = token_counts.fresh_cache(docs)
         token_counts.token_counts(table.limit(5), half).count()
         assert token_counts.token_counts(few, half).count() == 8
@@ -578,6 +578,16 @@ def test_token_counts_and_cache(spark, docs, odd, monkeypatch):
     assert token_counts.token_counts(odd.limit(0), token_counts.fresh_cache(docs)).count() == 0
 
 
+def test_token_counts_of_a_warm_cache_move_missing_texts_alone(spark):
+    """Many misses beside many hits: the filter passes all misses and few others."""
+    rows = spark.range(20_000).select(F.concat(F.lit("text "), "id").alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    lacking = rows.limit(4_000).select("digest").cache()
+    passed = token_counts._likely(rows, lacking, 1 << 16).select("digest").cache()
+    assert passed.join(lacking, "digest", "left_semi").count() == lacking.count()
+    assert passed.count() - lacking.count() < 0.1 * 16_000
+    assert token_counts._likely(rows, lacking.limit(0), 1 << 10).isEmpty()
+
+
 def test_topk_of_empty_vectors(spark):
     df = spark.createDataFrame([(0, []), (50, []), (7, []), (8, None)], "vec_id bigint, embedding array<float>")
     assert sorted(tuple(r) for r in topk.exact_topk(df).collect()) == [(0, 1, 7, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 7, 0)]

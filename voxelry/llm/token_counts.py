@@ -16,8 +16,8 @@ from .common import shared_dir, written
 _CACHE = "version string, digest binary, n_tokens long"
 #: A worker's memo of pieces is emptied when it holds so many.
 MEMO = 800_000
-#: Missing digests are broadcast up to this number (32 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Bits of the filter of missing digests for each of them, and at most: 2^19 words of 64 bits, whatever is missing.
+BITS_EACH, MOST_BITS = 16, 1 << 25
 #: A worker process keeps its counters from task to task.
 _counters: dict[str, Counter] = {}
 
@@ -114,13 +114,22 @@ def _encode(tokenizer: str, version: str):
     return encode
 
 
+def _likely(rows: DataFrame, lacking: DataFrame, bits: int) -> DataFrame:
+    """The ``rows`` whose digest may be among the ``lacking``: all that are, and of the others a share that gets smaller
+    with more bits. The filter is a bit for each hash of a digest, in words that are broadcast."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(digest), {bits}L) % 64 AS INT))")
+    words = lacking.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("set"))
+    return rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(words), "word").where(F.col("set").bitwiseAND(F.col("bit")) != 0)
+
+
 def token_counts(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row of ``docs``.
 
     ``cache`` is a folder of Parquet files (version, digest, n_tokens) that all executors see; it is made
     if missing. Content is normalised only where counts cannot change by it: null becomes empty. Digests alone
-    are compared with the cache; texts are fetched for those it lacks, where they are read if these are few
-    enough to be broadcast. Rows of a repeated text are encoded once, whatever their number: one row a digest
+    are compared with the cache; of the texts, only those move that a small filter of the missing digests lets pass where
+    they are read, so a warm cache costs a scan however many misses there are. Rows of a repeated text are encoded once, whatever their number: one row a digest
     leaves each task before the shuffle. A run that dies before its files are committed leaves the cache as it was.
 
     Null text: 0 bytes, 0 tokens. Null or repeated doc_id: a row each. Other columns are ignored. An empty
@@ -134,10 +143,8 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.jso
     spark.createDataFrame([], _CACHE).write.mode("append").parquet(cache)
     stored = spark.read.schema(_CACHE).parquet(cache).where(F.col("version") == version)
     lacking = written(rows.select("digest").distinct().join(stored.select("digest"), "digest", "left_anti"), "token-counts-lacking")
-    few = lacking.count() <= BROADCAST_ROWS
-    misses = rows.join(F.broadcast(lacking), "digest", "left_semi") if few else rows
-    misses = misses.select("digest", "text").dropDuplicates(["digest"])
-    misses = misses if few else misses.join(lacking, "digest", "left_semi")
+    bits = min(MOST_BITS, 1 << max(10, (BITS_EACH * lacking.count()).bit_length()))
+    misses = _likely(rows, lacking, bits).select("digest", "text").dropDuplicates(["digest"]).join(lacking, "digest", "left_semi")
     misses.mapInArrow(_encode(tokenizer, version), _CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # Written: behind a plain read, Spark can split the join on a digest that very many rows have.
