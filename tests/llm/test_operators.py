@@ -468,6 +468,28 @@ def brute_spans(text):
     return out
 
 
+def test_pii_pairs_of_entities_and_terms(spark, monkeypatch):
+    """Counts of what can be disclosed equal those of all pairs; a directory of very many entities and terms pairs few."""
+    rng = random.Random(4)
+    total = 5_000
+    held, said = [(k, c) for k in range(60) for c in rng.sample(range(30), 6)], [(k, t) for k in range(60) for t in rng.sample(range(80), 20)]
+    n_c, n_t = Counter(c for _, c in held), {t: n + (0 if t % 3 else 900) for t, n in Counter(t for _, t in said).items()}
+    kept = spark.createDataFrame([(k, c, n_c[c]) for k, c in held], "k bigint, c bigint, n_c bigint")
+    terms = spark.createDataFrame([(k, t, n_t[t]) for k, t in said], "k bigint, t bigint, n_t bigint")
+    docs = spark.createDataFrame([(total,)], "total bigint")
+    d = lambda n, c, t: np.log2(n * total / (n_c[c] * max(n_t[t], n))) / -np.log2(n_c[c] / total)
+    every = Counter((c, t) for k, c in held for q, t in said if k == q)
+    for split in (64, 1):
+        monkeypatch.setattr(pii, "SPLIT", split)
+        got = {(r.c, r.t): r.n_ct for r in pii._together(kept, terms, docs, 0.7).collect()}
+        assert all(every[x] == n for x, n in got.items())
+        assert {x for x, n in every.items() if d(n, *x) >= 0.7} <= set(got) and len(got) < len(every)
+    # one page with 400 entities, each in two other documents, and 400 terms that half of all documents have
+    kept = spark.range(400).select(F.lit(0).cast("bigint").alias("k"), F.col("id").alias("c"), F.lit(3).cast("bigint").alias("n_c"))
+    terms = spark.range(400).select(F.lit(0).cast("bigint").alias("k"), F.col("id").alias("t"), F.lit(total // 2).cast("bigint").alias("n_t"))
+    assert pii._together(kept, terms, docs, 0.9).isEmpty()
+
+
 def test_pii_against_brute_force(spark, docs, odd):
     tricky = [
         "a@b.c.d@e.f.g x@y", "a@b.c_d@e.fg", "1.2.3.4.5.6.7.8 256.1.1.1 000255.0.0.01", "4111 1111 1111 1111, 4111-1111-1111-1112 1  23", "+49 (0) 30 123-456 +1 2 3 +12345678901234567", "é" * 50 + " me@x.org é 10.0.0.1",
