@@ -12,7 +12,7 @@ from voxelry.operators import supervoxels as V
 from voxelry.operators import watershed as W
 from voxelry.operators.components import components, split_disconnected
 
-from .components import FACE, cc_sql
+from .components import FACE, FULL, cc_sql
 from .stencil import BOX_SQL, FACE_SQL
 from .views import registry
 
@@ -115,9 +115,23 @@ def _(v):
     return K.fill_holes_unreachable(holes(v), v.dims, [v.vox.where(w) for w in _WALLS])
 
 
-@add("seeded_watershed")
+def flood_sql(src: str) -> str:
+    """fl (own, z, y, x, label): the flood of ``src`` (own, z, y, x, value, seed), in which voxels of one owner that share a
+    face are neighbours. A voxel has the label of the path with the least key: the levels it rose to, the last one first,
+    each with the voxels taken at it, then the seed's place, then its length."""
+    return f"""fv AS (SELECT own, z, y, x, value::DOUBLE AS value, seed, row_number() OVER (ORDER BY own, z, y, x) AS i FROM ({src})),
+fn AS (SELECT a.i, b.i AS j, b.value AS v FROM fv a, {FACE_SQL} o JOIN fv b ON b.own = a.own AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx WHERE b.seed = 0),
+fk(i, k, n, label) USING KEY (i) AS (SELECT i, [value, 1, '-infinity'::DOUBLE, i::DOUBLE], 0, seed FROM fv WHERE seed <> 0
+  UNION SELECT j, min(c).k AS k, min(c).n AS n, arg_min(from_, c) AS label FROM (
+    SELECT fn.j, {{'k': CASE WHEN v > k[1] THEN list_concat([v, 1], k) WHEN v = k[1] THEN list_concat([v, k[2] + 1], k[3:]) ELSE k END, 'n': n + 1}} AS c, label AS from_ FROM fk JOIN fn USING (i)
+  ) LEFT JOIN recurring.fk r ON r.i = j WHERE r.i IS NULL OR c < {{'k': r.k, 'n': r.n}} GROUP BY j),
+fl AS (SELECT own, z, y, x, CAST(label AS BIGINT) AS label FROM fv JOIN fk USING (i))"""
+
+
+@add("seeded_watershed", "vox", "WITH RECURSIVE " + cc_sql("SELECT z, y, x FROM vox WHERE value > 0 AND value <= 96", FACE) + """, n AS (SELECT label, dense_rank() OVER (ORDER BY label) AS new FROM cc GROUP BY label HAVING count(*) >= 2),
+""" + flood_sql("SELECT (v.z // 4 * 4 + v.y // 8) * 4 + v.x // 16 AS own, v.z, v.y, v.x, value, coalesce(new, 0) AS seed FROM vox v LEFT JOIN (SELECT z, y, x, new FROM cc JOIN n USING (label)) s ON s.z = v.z AND s.y = v.y AND s.x = v.x") + " SELECT z, y, x, label FROM fl")
 def _(v):
-    return K.seeded_watershed(v.vox, W.threshold_seeds(v.vox, v.dims, 0, 96, 2), v.dims, block=(10, 25, 32))
+    return K.seeded_watershed(v.vox, W.threshold_seeds(v.vox, v.dims, 0, 96, 2), v.dims, block=(4, 8, 16))
 
 
 @add("end_slice_seeds", "seg_b", """WITH m AS (SELECT label, max(z) AS tip FROM seg_b WHERE label <> 0 GROUP BY 1),
@@ -134,13 +148,23 @@ def _(v):
     return W.merge_by_watershed(alternate, v.vox, 2, 1, 20, 12)
 
 
-@add("bridge_label_gaps")
+_CELLS = """c AS (SELECT e.*, CAST(e.a + i AS INT) AS z, CAST(j AS INT) AS y, CAST(k AS INT) AS x FROM e, range(8) r(i), range(25) s(j), range(64) t(k) WHERE e.a + i BETWEEN greatest(e.a, 0) AND e.b AND j BETWEEN y0 - 2 AND y1 + 2 AND k BETWEEN x0 - 2 AND x1 + 2)"""
+
+
+@add("bridge_label_gaps", "outer_seg vox", """WITH RECURSIVE p AS (SELECT z, y, x, label, label * 2 + (z % 5 > 2)::INT AS piece FROM outer_seg WHERE z % 5 <> 2),
+g AS (SELECT label, piece, max(z) AS z1, lead(piece) OVER w AS next, lead(min(z)) OVER w AS until FROM p GROUP BY label, piece WINDOW w AS (PARTITION BY label ORDER BY min(z), piece)),
+e AS (SELECT p.label, g.piece, z1 AS a, until AS b, next, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM p JOIN g ON g.piece = p.piece AND p.z = z1 WHERE until > z1 + 1 GROUP BY ALL), """ + _CELLS + ",\n" + flood_sql("SELECT c.piece AS own, c.z, c.y, c.x, value, CASE WHEN c.z > a THEN 0 WHEN p.piece IS NULL THEN -1 ELSE c.piece END AS seed FROM c JOIN vox v ON v.z = c.z AND v.y = c.y AND v.x = c.x LEFT JOIN p ON p.piece = c.piece AND p.z = c.z AND p.y = c.y AND p.x = c.x") + """,
+o AS (SELECT e.label, fl.* EXCLUDE (label), a, b, next FROM fl JOIN e ON e.piece = own WHERE fl.label = own)
+SELECT label, z, y, x FROM o WHERE z > a AND z < b AND own IN (SELECT own FROM o JOIN p ON p.piece = o.next AND p.z = o.z AND p.y = o.y AND p.x = o.x)""")
 def _(v):
     cut = v.outer_seg.where("z % 5 NOT IN (2)").withColumn("piece", (F.col("label") * 2 + (F.col("z") % 5 > 2).cast("int")).cast("bigint"))
     return W.bridge_label_gaps(cut, v.vox, 2)
 
 
-@add("extend_to_border")
+@add("extend_to_border", "outer_seg vox dims", """WITH RECURSIVE s AS (SELECT o.* FROM outer_seg o, dims WHERE z >= 2 AND z < dz - 2), b AS (SELECT label, min(z) AS z0, max(z) AS z1 FROM s GROUP BY label),
+t AS (SELECT label, 0 AS up, z0 AS tip, z0 - 3 AS a, z0 AS b FROM b WHERE z0 > 0 AND z0 <= 3 UNION ALL SELECT label, 1, z1, z1, least(z1 + 3, dz - 1) FROM b, dims WHERE z1 + 1 < dz AND z1 + 1 >= dz - 3),
+e AS (SELECT s.label, up, tip, a, b, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM s JOIN t ON t.label = s.label AND s.z = tip GROUP BY ALL), """ + _CELLS + ",\n" + flood_sql("SELECT c.label * 2 + up AS own, c.z, c.y, c.x, value, CASE WHEN c.z <> tip THEN 0 WHEN s.label IS NULL THEN -1 ELSE c.label END AS seed FROM c JOIN vox v ON v.z = c.z AND v.y = c.y AND v.x = c.x LEFT JOIN s ON s.label = c.label AND s.z = c.z AND s.y = c.y AND s.x = c.x") + """
+SELECT DISTINCT label, z, y, x FROM fl ANTI JOIN s USING (z, y, x) WHERE label = own // 2""")
 def _(v):
     inner = v.outer_seg.where(f"z >= 2 AND z < {v.dims[0] - 2}")
     return W.extend_to_border(inner, v.vox, v.dims, 3, 2)
@@ -158,7 +182,8 @@ def _(v):
     return W.sheath_mask(d, v.vox.where("value > 110"), v.mask_ds, 2.0)
 
 
-@add("separate_sheaths")
+@add("separate_sheaths", "inner_seg vox mask_ds dims", "WITH RECURSIVE" + _NEAR[4:].replace("4 * (t - z)", "(t - z)") + """, h AS (SELECT z, y, x FROM c JOIN vox USING (z, y, x) JOIN mask_ds USING (z, y, x) WHERE value > 60 AND d <= 2.5 AND (z, y, x) NOT IN (SELECT (z, y, x) FROM inner_seg WHERE label <> 0)),
+""" + flood_sql("SELECT 0 AS own, c.z, c.y, c.x, d AS value, label AS seed FROM c JOIN inner_seg USING (z, y, x) WHERE label <> 0 OR (c.z, c.y, c.x) IN (SELECT (z, y, x) FROM h)") + " SELECT z, y, x, label FROM fl SEMI JOIN h USING (z, y, x)")
 def _(v):
     return W.separate_sheaths(v.inner_seg, v.vox.where("value > 60"), v.mask_ds, v.dims, 2.5)
 
@@ -208,7 +233,9 @@ def _(v):
     return nodes.withColumn("node", F.lit(True)).unionByName(rest.withColumn("node", F.lit(False)))
 
 
-@add("spot_detection")
+@add("spot_detection", "vox", "WITH RECURSIVE p AS (" + f"SELECT a.z, a.y, a.x FROM vox a, {BOX_SQL} o JOIN vox b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.value > 160 GROUP BY a.z, a.y, a.x, a.value HAVING a.value = max(b.value)), "
+     + cc_sql("SELECT * FROM p", FULL) + ",\n" + flood_sql("SELECT 0 AS own, v.z, v.y, v.x, -value AS value, coalesce(label, 0) AS seed FROM vox v LEFT JOIN cc USING (z, y, x) WHERE value > 140") + """
+SELECT z, y, x, label FROM fl WHERE label IN (SELECT label FROM fl GROUP BY label HAVING count(*) >= 3)""")
 def _(v):
     return W.spot_detection(v.vox, v.dims, BOX, 160, 140)
 
