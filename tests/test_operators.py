@@ -267,6 +267,21 @@ def test_closing_and_peaks():
     assert stats.peaks(np.array([0, 3, 1, 2, 2, 0, 5, 0.0]), 3, 1.0) == [1, 6]
 
 
+def test_inward_distance_is_what_erosions_leave(spark):
+    rng = np.random.default_rng(6)
+    label = np.where(rng.random((5, 11, 13)) > 0.03, np.arange(13) // 7 + 1, 0)
+    expected = np.zeros(label.shape, int)
+    for own in (1, 2):
+        left, k = np.pad(label == own, 1), 0
+        while left.any():
+            k += 1
+            expected[left[1:-1, 1:-1, 1:-1]] = k
+            left = left & np.logical_and.reduce([np.roll(left, s, axis) for axis in range(3) for s in (-1, 1)])
+    for most in (9, 2):
+        got = array(stencil.inward_distance(frame(spark, label), most), label.shape, "d")
+        assert (got == np.minimum(expected, most)).all()
+
+
 def test_supervoxels_cover_the_volume(spark):
     a = np.random.default_rng(3).integers(0, 255, (2, 8, 8)).astype(float)
     got = supervoxels.supervoxels(frame(spark, a, "value"), a.shape, (2, 4, 4), rounds=2)

@@ -234,16 +234,26 @@ def near_distance(mask: DataFrame, dims: Triple, radius: float, elsize: tuple[fl
     return d.withColumn("value", F.sqrt("value"))
 
 
+def inward_distance(vol: DataFrame, most: int) -> DataFrame:
+    """(z, y, x, label, d): steps over faces from each label voxel to the first one that isn't of its label, or beyond the
+    volume; ``most`` stands for that and more. One pass over the lines of each axis: how far the voxel's run goes on, and
+    the least of what the lines before gave along it. Windows hold ``most`` rows on either side."""
+    v = vol.where("label <> 0").select(*AXES, "label").distinct().withColumn("d", F.lit(most))
+    for axis in reversed(AXES):
+        line = Window.partitionBy("label", *[a for a in AXES if a != axis]).orderBy(axis)
+        at = F.col(axis)
+        v = v.withColumn("_run", at - F.row_number().over(line))
+        run = Window.partitionBy("label", *[a for a in AXES if a != axis], "_run")
+        left = F.min(F.col("d") - at).over(line.rangeBetween(-most, 0)) + at
+        right = F.min(F.col("d") + at).over(line.rangeBetween(0, most)) - at
+        v = v.withColumn("d", F.least("d", left, right, at - F.min(axis).over(run) + 1, F.max(axis).over(run) - at + 1)).drop("_run")
+    return v
+
+
 def snap_to_gradient(vol: DataFrame, gradient: DataFrame, dims: Triple, most: int = 6) -> DataFrame:
     """Erodes each label 0 to ``most`` times and keeps the erosion whose outermost ring has the highest mean
     gradient (ties: the fewest erosions). Ring k holds voxels whose distance to the outside is k by faces."""
-    v = vol.where("label <> 0").select(*AXES, "label")
-    rings, left = [], v
-    for k in range(most + 1):
-        rim = written(label_rim(left, dims, outer=False), "ring")  # each ring is peeled off what the last one left
-        rings.append(rim.withColumn("ring", F.lit(k)))
-        left = written(left.join(rim, [*AXES, "label"], "left_anti"), "peeled")
-    ring = reduce(DataFrame.unionByName, rings).unionByName(left.withColumn("ring", F.lit(most + 1)))
+    ring = written(inward_distance(vol, most + 2).withColumn("ring", F.col("d") - 1), "rings")
     mean = ring.where(F.col("ring") <= most).join(gradient.select(*AXES, F.col("value").alias("_g")), AXES).groupBy("label", "ring").agg(F.avg("_g").alias("g"))
     best = mean.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("g"), "ring"))).where("_r = 1").select("label", F.col("ring").alias("_keep"))
     return ring.join(best, "label").where("ring >= _keep").select(*AXES, "label")
