@@ -542,6 +542,28 @@ def test_descriptors_in_tiles(spark, monkeypatch):
         assert {(r.id_a, r.id_b, round(r.distance, 9)) for r in register.match_descriptors(a, b).collect()} == expected
 
 
+def test_descriptors_in_clusters_compare_few_pairs(spark):
+    """Exact, with repeated vectors and ties, at a tenth of all pairs."""
+    rng = np.random.default_rng(10)
+    centres = rng.normal(0, 100, (30, 6))
+    x = np.round(10 * (centres[rng.integers(0, 30, 1600)] + rng.normal(0, 1, (1600, 6))))  # whole, so that ties are
+    x[100:140] = x[:40]
+    rows = [(i % 2, i, v) for i, v in enumerate(x.tolist())]
+    d = spark.createDataFrame(rows, "group int, id bigint, vec array<double>")
+    a, b = d.where("id % 4 < 2"), d.where("id % 4 >= 2")
+    compared = 0
+    for found, own, other in zip(register.nearest_descriptors(a, b), ((0, 1), (2, 3)), ((2, 3), (0, 1))):
+        got = {r.id: (r.other, r.distance) for r in found.collect()}
+        compared += found.agg(F.sum("pairs")).first()[0]
+        for i in range(1600):
+            if i % 4 in own:
+                near = [j for j in range(1600) if j % 4 in other and j % 2 == i % 2]
+                far = ((x[near] - x[i]) ** 2).sum(axis=1)
+                assert got[i] == (near[int(far.argmin())], far.min())
+    assert compared < 0.1 * 2 * 2 * 400 * 400
+    assert register.match_descriptors(a.limit(0), b).isEmpty() and register.match_descriptors(a, b.limit(0)).isEmpty()
+
+
 def test_crop_opens_only_its_blocks(v, tmp_path):
     from voxelry.operators.project import crop
     from voxelry.sources.volumes import metadata, read_volume, write_volume

@@ -18,6 +18,8 @@ CONNECTIVITY = [("z", 0, 0), ("z", 1, 1), ("z", 2, 2), ("z", 3, 3), ("y", 0, 2),
 
 #: Descriptors in a block of one side; tiles that the joint fit eliminates in one task.
 TILE, GROUP = 1024, 256
+#: Pivots of the descriptor index, and descriptors that they are drawn from.
+PIVOTS, SAMPLE = 48, 4096
 
 
 def connectivity(spark: SparkSession) -> DataFrame:
@@ -48,46 +50,121 @@ def overlap_regions(pairs: DataFrame, height: int, width: int, overlap: int) ->
     return out.withColumns({"shift_y": F.col("a_y0") - F.col("b_y0"), "shift_x": F.col("a_x0") - F.col("b_x0")})
 
 
+def _pivots(vecs: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` pivots of a sample: each next one is farthest from those before."""
+    picked = [vecs[0]]
+    far = ((vecs - vecs[0]) ** 2).sum(axis=1)
+    while len(picked) < most and far.max() > 0:
+        picked.append(vecs[int(far.argmax())])
+        far = np.minimum(far, ((vecs - picked[-1]) ** 2).sum(axis=1))
+    return np.array(picked)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, component by component, so that equal differences give equal sums."""
+    d = np.zeros((len(x), len(y)))
+    for c in range(x.shape[1]):
+        d += (x[:, c, None] - y[None, :, c]) ** 2
+    return d
+
+
+class _Nearest:
+    """Directed nearest neighbours of (group, id, vec) rows among others of their group, by an index of pivots."""
+
+    def __init__(self, group: str, pivots: np.ndarray):
+        self.group, self.pivots = group, pivots
+
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        """Rows with the nearest pivot, the distance to it, and their place among the rows of group and pivot."""
+        pivots = self.pivots
+
+        def key(batches):
+            for p in batches:
+                if len(p):
+                    d = np.sqrt(_apart(np.stack(p.vec.to_list()).astype(float), pivots))
+                    yield p.assign(cell=d.argmin(axis=1).astype(np.int32), d=d.min(axis=1))
+
+        out = written(rows.select("group", "id", "vec").mapInPandas(key, f"group {self.group}, id bigint, vec array<double>, cell int, d double"), "descriptors")
+        sizes = out.groupBy("group", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n"))
+        return out.join(sizes, ["group", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+
+    def visits(self, asked: DataFrame, cells: DataFrame, first: bool) -> DataFrame:
+        """A row for each (asked row, cell) to be searched: in the ``first`` step the cell with the least bound, afterwards all
+        others whose bound is no more than ``best``. By the triangle inequality nothing of a cell is nearer than its bound."""
+        pivots, kind = self.pivots, f"group {self.group}, id bigint, vec array<double>, cell int"
+
+        def choose(batches):
+            for p in batches:
+                if not len(p):
+                    continue
+                to = np.sqrt(_apart(np.stack(p.vec.to_list()).astype(float), pivots))
+                rows = []
+                for i, own in enumerate(p.cells):
+                    cell, low, high = (np.array([c[k] for c in own]) for k in ("cell", "low", "high"))
+                    bound = np.maximum(0, np.maximum(low - to[i, cell], to[i, cell] - high))
+                    order = np.lexsort((to[i, cell], bound))
+                    if first:
+                        rows.append((i, cell[order[0]]))
+                    else:
+                        best = p.best.iat[i]
+                        rows += [(i, cell[o]) for o in order[1:] if bound[o] <= best * (1 + 1e-9) + 1e-9]
+                at = [r for r, _ in rows]
+                yield pd.DataFrame({"group": p.group.to_numpy()[at], "id": p.id.to_numpy()[at], "vec": p.vec.to_numpy()[at], "cell": np.array([c for _, c in rows], np.int32)})
+
+        return asked.join(cells, "group").mapInPandas(choose, kind)
+
+    def search(self, visits: DataFrame, stored: DataFrame) -> DataFrame:
+        """(group, id, distance, other): the nearest of each visited cell, ties to the smaller id; tiles of bounded size."""
+        tile = ["group", "cell", "sub", "part"]
+        n = visits.groupBy("group", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+        subs = stored.select("group", "cell", "n").distinct()
+        left = visits.join(n, ["group", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(subs, ["group", "cell"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        right = stored.join(n, ["group", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = right.select(*[F.col(c).alias(f"_{c}") for c in tile], F.col("id").alias("other"), F.col("vec").alias("ovec"))
+
+        def nearest(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            if not len(p) or not len(q):
+                return pd.DataFrame({c: [] for c in ("group", "id", "distance", "other", "pairs")})
+            q = q.sort_values("other")
+            d = _apart(np.stack(p.vec.to_list()).astype(float), np.stack(q.ovec.to_list()).astype(float))
+            return pd.DataFrame({"group": key[0], "id": p.id.to_numpy(), "distance": d.min(axis=1), "other": q.other.to_numpy()[d.argmin(axis=1)], "pairs": len(q)})
+
+        kind = f"group {self.group}, id bigint, distance double, other bigint, pairs bigint"
+        found = left.select(*tile, "id", "vec").groupBy(*tile).cogroup(right.groupBy(*[f"_{c}" for c in tile])).applyInPandas(nearest, kind)
+        return found.groupBy("group", "id").agg(F.min(F.struct("distance", "other")).alias("m"), F.sum("pairs").alias("pairs")).select("group", "id", "m.*", "pairs")
+
+    def nearest(self, asked: DataFrame, stored: DataFrame) -> DataFrame:
+        """(group, id, distance, other, pairs) with the squared distance; pairs is how many others were compared."""
+        cells = stored.groupBy("group", "cell").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+        cells = written(cells.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("cell", "low", "high"))).alias("cells")), "descriptor-cells")  # a row a pivot at most
+        own = asked.select("group", "id", "vec")
+        first = written(self.search(self.visits(own, cells, True), stored), "descriptors-first")
+        bounded = own.join(first.select("group", "id", F.sqrt("distance").alias("best")), ["group", "id"])
+        found = first.unionByName(self.search(self.visits(bounded, cells, False), stored))
+        return found.groupBy("group", "id").agg(F.min(F.struct("distance", "other")).alias("m"), F.sum("pairs").alias("pairs")).select("group", "id", "m.*", "pairs")
+
+
+def nearest_descriptors(a: DataFrame, b: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """The nearest of ``b`` to each of ``a`` and the nearest of ``a`` to each of ``b`` among (group, id, vec) descriptors of one
+    group: (group, id, distance, other, pairs), distances squared, ties to the smaller id.
+
+    Both sides are keyed by the nearest of a few pivots of a sample. A descriptor is compared with one cell of the other side
+    first, then with those that may hold a nearer one; on clustered descriptors these are few. Tiles bound what a task
+    holds, whatever the size of a group or cell."""
+    kind = a.schema["group"].dataType.simpleString()
+    a, b = (d.select("group", "id", F.col("vec").cast("array<double>").alias("vec")) for d in (a, b))
+    drawn = a.unionByName(b).select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()
+    index = _Nearest(kind, _pivots(np.array([r.vec for r in drawn], float), pivots) if drawn else np.zeros((1, 1)))
+    both = index.keyed(a), index.keyed(b)
+    return index.nearest(*both), index.nearest(*both[::-1])
+
+
 def match_descriptors(a: DataFrame, b: DataFrame, max_distance: float | None = None) -> DataFrame:
-    """(id_a, id_b, distance): mutual nearest neighbours of (group, id, vec) descriptors, ties to the smaller id.
-    Only descriptors of one group (an overlap region) are compared, in tiles of a block of each side, however many a
-    group has; a row a descriptor and tile leaves them, not a row a pair."""
-
-    def blocks(d: DataFrame) -> DataFrame:
-        n = d.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n"))
-        return d.select("group", "id", "vec").join(n, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-
-    both = blocks(a), blocks(b)
-    counts = [d.select("group", "n").distinct() for d in both]
-    spread = lambda d, other, own, far: d.withColumnRenamed("block", own).join(other.select("group", F.col("n").alias("_n")), "group").withColumn(far, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    left, right = spread(both[0], counts[1], "i", "j"), spread(both[1], counts[0], "j", "i")
-    tile = ["group", "i", "j"]
-
-    def nearest(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame({c: [] for c in ("group", "side", "id", "other", "distance")})
-        p, q = p.sort_values("id"), q.sort_values("other")
-        x, y = np.stack(p.vec.to_list()).astype(float), np.stack(q.ovec.to_list()).astype(float)
-        d = np.zeros((len(x), len(y)))
-        for c in range(x.shape[1]):
-            d += (x[:, c, None] - y[None, :, c]) ** 2
-        ids, others = p.id.to_numpy(), q.other.to_numpy()
-        at, back = d.argmin(axis=1), d.argmin(axis=0)  # the first, so the smaller id
-        return pd.DataFrame({
-            "group": key[0], "side": np.repeat([0, 1], [len(ids), len(others)]), "id": np.concatenate([ids, others]),
-            "other": np.concatenate([others[at], ids[back]]), "distance": np.concatenate([d.min(axis=1), d.min(axis=0)]),
-        })
-
-    kind = f"group {a.schema['group'].dataType.simpleString()}, side int, id bigint, other bigint, distance double"
-    right = right.select(*[F.col(c).alias(f"_{c}") for c in tile], F.col("id").alias("other"), F.col("vec").alias("ovec"))  # names of its own: both sides may be one table
-    found = left.select(*tile, "id", "vec").groupBy(*tile).cogroup(right.groupBy(*[f"_{c}" for c in tile])).applyInPandas(nearest, kind)
-    found = found.groupBy("group", "side", "id").agg(F.min(F.struct("distance", "other")).alias("m"))
-
-    def first(key: str, other: str) -> DataFrame:
-        side = found.where(F.col("side") == int(key == "id_b"))
-        return side.select("group", F.col("id").alias(key), F.col("m.other").alias(other), "m.distance")
-
-    best = first("id_a", "id_b").join(first("id_b", "id_a").drop("distance"), ["group", "id_a", "id_b"])
+    """(group, id_a, id_b, distance): mutual nearest neighbours of (group, id, vec) descriptors, ties to the smaller id; found
+    by nearest_descriptors(). Only descriptors of one group (an overlap region) are compared."""
+    there, back = nearest_descriptors(a, b)
+    best = there.select("group", F.col("id").alias("id_a"), F.col("other").alias("id_b"), "distance")
+    best = best.join(back.select("group", F.col("id").alias("id_b"), F.col("other").alias("id_a")), ["group", "id_a", "id_b"])
     best = best.withColumn("distance", F.sqrt("distance"))
     return best.where(F.col("distance") <= max_distance) if max_distance is not None else best
 
