@@ -18,6 +18,7 @@ from .components import FULL, PLANE, cc_sql
 from .labels import _BEST, CLOSURE, SLICE_OVERLAP
 from .regions import ECC, PROPS, props
 from .views import registry
+from .watershed import flood_sql
 
 add = registry.add
 PI = "3.141592653589793::DOUBLE"
@@ -333,7 +334,19 @@ def _(v):
     return sizes.join(classify_traversing(joined, v.dims).select("label", "traversing"), "label")
 
 
-@add("pipeline_2d")
+_FLAT_SHEATHS = _FLAT_OBJECTS.replace("""
+SELECT z, label, area,""", """, st AS (
+SELECT z, label, area,""") + f"""), ob AS (SELECT z, y, x, label FROM cc SEMI JOIN st USING (z, label)),
+dx AS (SELECT z, y, CAST(t AS INT) AS x, min((t - x) * (t - x)) AS d FROM ob, range(64) r(t) GROUP BY 1, 2, 3),
+dy AS (SELECT z, CAST(t AS INT) AS y, x, min(d + (t - y) * (t - y)) AS d FROM dx, range(25) r(t) GROUP BY 1, 2, 3),
+ds AS (SELECT CAST(t AS INT) AS z, y, x, sqrt(min(d + (t - z) * (t - z))) AS d FROM dy, dims, range(dims.dz) r(t) GROUP BY 1, 2, 3),
+h AS (SELECT z, y, x FROM ds JOIN {_NORMAL} n USING (z, y, x) JOIN mask_ds USING (z, y, x) ANTI JOIN ob USING (z, y, x) WHERE value > 0.52 AND value <= 1.0 AND d <= 2),
+""" + flood_sql("SELECT 0 AS own, z, y, x, d AS value, coalesce(label, 0) AS seed FROM ds LEFT JOIN ob USING (z, y, x) WHERE label IS NOT NULL OR (z, y, x) IN (SELECT (z, y, x) FROM h)") + """,
+sh AS (SELECT z, label, count(*) AS sheath FROM fl SEMI JOIN h USING (z, y, x) GROUP BY 1, 2)
+SELECT st.*, coalesce(sheath, 0) AS sheath FROM st LEFT JOIN sh USING (z, label)"""
+
+
+@add("pipeline_2d", "vox mask_ds dims", _FLAT_SHEATHS)
 def _(v):
     """Statistics beside what the property volumes hold."""
     from voxelry.pipelines import pipeline_2d
