@@ -5,10 +5,13 @@ Every stage takes (spark, docs, sf_dir). All but the last return the columns of
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelry.llm import decontamination, language_id, line_dedup, mixing, ngram_join
 from voxelry.llm.common import written
+from voxelry.llm.queries import LINES, NGRAM_JOIN
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +47,18 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Profiles, MinHash and pivotal rounding have no SQL form; tests compare with brute force.
-ORACLE_SQL = None
+def _on(table: str, sql: str) -> str:
+    return re.sub(r"\bdocuments\b", table, sql)
+
+
+#: Each stage's SQL on the rows of the stage before; for tables with languages to learn and distinct doc_ids.
+ORACLE_SQL = rf"""
+WITH d1 AS MATERIALIZED (SELECT doc_id, text, source FROM documents WHERE regexp_matches(coalesce(text, ''), '\p{{L}}')),
+d2 AS MATERIALIZED (SELECT doc_id, coalesce(kept, '') AS text, source FROM d1 JOIN ({_on("d1", LINES)} SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped) AS kept FROM r GROUP BY doc_id) USING (doc_id)),
+d3 AS MATERIALIZED (SELECT * FROM d2 WHERE doc_id IN (SELECT doc_id FROM ({_on("d2", NGRAM_JOIN)}) WHERE class_id = doc_id)),
+d4 AS MATERIALIZED (SELECT * FROM d3 WHERE doc_id NOT IN (SELECT doc_id FROM ({_on("d3", decontamination.ORACLE)}) WHERE contaminated))
+SELECT * FROM ({_on("d4", mixing.ORACLE)})
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,7 +117,8 @@ WITH d AS (
 SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN best USING (doc_id)
 """
 
-LINE_DEDUP = """
+#: Every line with its verdict.
+LINES = """
 WITH l AS (
   SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
@@ -128,6 +129,9 @@ WITH l AS (
 ), r AS (
   SELECT doc_id, pos, line, coalesce(top <> doc_id, false) AS dropped FROM k LEFT JOIN g USING (key)
 )
+"""
+
+LINE_DEDUP = LINES + """
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM r GROUP BY doc_id
