@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -115,17 +117,18 @@ def _(v):
     return K.fill_holes_unreachable(holes(v), v.dims, [v.vox.where(w) for w in _WALLS])
 
 
-def flood_sql(src: str) -> str:
+def flood_sql(src: str, tag: str = "") -> str:
     """fl (own, z, y, x, label): the flood of ``src`` (own, z, y, x, value, seed), in which voxels of one owner that share a
     face are neighbours. A voxel has the label of the path with the least key: the levels it rose to, the last one first,
-    each with the voxels taken at it, then the seed's place, then its length."""
-    return f"""fv AS (SELECT own, z, y, x, value::DOUBLE AS value, seed, row_number() OVER (ORDER BY own, z, y, x) AS i FROM ({src})),
+    each with the voxels taken at it, then the seed's place, then its length. ``tag`` tells two floods in one query apart."""
+    sql = f"""fv AS (SELECT own, z, y, x, value::DOUBLE AS value, seed, row_number() OVER (ORDER BY own, z, y, x) AS i FROM ({src})),
 fn AS (SELECT a.i, b.i AS j, b.value AS v FROM fv a, {FACE_SQL} o JOIN fv b ON b.own = a.own AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx WHERE b.seed = 0),
 fk(i, k, n, label) USING KEY (i) AS (SELECT i, [value, 1, '-infinity'::DOUBLE, i::DOUBLE], 0, seed FROM fv WHERE seed <> 0
   UNION SELECT j, min(c).k AS k, min(c).n AS n, arg_min(from_, c) AS label FROM (
     SELECT fn.j, {{'k': CASE WHEN v > k[1] THEN list_concat([v, 1], k) WHEN v = k[1] THEN list_concat([v, k[2] + 1], k[3:]) ELSE k END, 'n': n + 1}} AS c, label AS from_ FROM fk JOIN fn USING (i)
   ) LEFT JOIN recurring.fk r ON r.i = j WHERE r.i IS NULL OR c < {{'k': r.k, 'n': r.n}} GROUP BY j),
 fl AS (SELECT own, z, y, x, CAST(label AS BIGINT) AS label FROM fv JOIN fk USING (i))"""
+    return re.sub(r"\b(fv|fn|fk|fl)\b", rf"\g<1>{tag}", sql) if tag else sql
 
 
 @add("seeded_watershed", "vox", "WITH RECURSIVE " + cc_sql("SELECT z, y, x FROM vox WHERE value > 0 AND value <= 96", FACE) + """, n AS (SELECT label, dense_rank() OVER (ORDER BY label) AS new FROM cc GROUP BY label HAVING count(*) >= 2),
@@ -142,8 +145,25 @@ def _(v):
     return W.end_slice_seeds(v.seg_b, "last", 3, 2)
 
 
-@add("merge_by_watershed")
+def _merging_round(k: int) -> str:
+    """From the labels s<k> and the map m<k> to the next: both ends of each label flooded, its best partner, what they join."""
+    flood = flood_sql(f"SELECT c.label * 2 + up AS own, c.z, c.y, c.x, value, CASE WHEN c.z <> tip THEN 0 WHEN s.label IS NULL THEN -1 ELSE c.label END AS seed FROM c{k} c JOIN vox v ON v.z = c.z AND v.y = c.y AND v.x = c.x LEFT JOIN s{k} s ON s.label = c.label AND s.z = c.z AND s.y = c.y AND s.x = c.x", str(k))
+    return f"""b{k} AS (SELECT label, min(z) AS z0, max(z) AS z1 FROM s{k} GROUP BY label),
+t{k} AS (SELECT label, 0 AS up, z0 AS tip, greatest(z0 - 2, 0) AS a, z0 AS b FROM b{k} UNION ALL SELECT label, 1, z1, z1, z1 + 2 FROM b{k}),
+e{k} AS (SELECT s.label, up, tip, a, b, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM s{k} s JOIN t{k} t ON t.label = s.label AND s.z = tip GROUP BY ALL),
+c{k} AS (SELECT label, up, tip, CAST(a + i AS INT) AS z, CAST(j AS INT) AS y, CAST(k AS INT) AS x FROM e{k}, range(3) r(i), range(25) q(j), range(64) p(k) WHERE a + i <= b AND j BETWEEN y0 - 1 AND y1 + 1 AND k BETWEEN x0 - 1 AND x1 + 1),
+{flood},
+h{k} AS (SELECT f.label, s.label AS other, count(*) AS n FROM fl{k} f JOIN s{k} s USING (z, y, x) WHERE f.label = own // 2 AND s.label <> f.label GROUP BY f.own, f.label, s.label HAVING count(*) >= 20),
+j{k} AS (SELECT h.label AS a, other AS b FROM h{k} h JOIN b{k} p ON p.label = h.label JOIN b{k} o ON o.label = other WHERE o.z0 > p.z1 OR o.z1 < p.z0 QUALIFY row_number() OVER (PARTITION BY h.label ORDER BY n DESC, other) = 1),
+u{k}(a, b) AS (SELECT a, a FROM j{k} UNION SELECT b, b FROM j{k} UNION SELECT u.a, g.b FROM u{k} u JOIN (SELECT a, b FROM j{k} UNION ALL SELECT b, a FROM j{k}) g ON g.a = u.b),
+n{k} AS (SELECT a AS label, min(b) AS top FROM u{k} GROUP BY a),
+s{k + 1} AS (SELECT z, y, x, coalesce(top, s.label) AS label FROM s{k} s LEFT JOIN n{k} USING (label)),
+m{k + 1} AS (SELECT m.label, coalesce(top, new_label) AS new_label FROM m{k} m LEFT JOIN n{k} n ON n.label = new_label)"""
+
+
+@add("merge_by_watershed", "seg_b vox", "WITH RECURSIVE s0 AS (SELECT * FROM seg_b WHERE label % 2 = 1), m0 AS (SELECT DISTINCT label, label AS new_label FROM s0),\n" + ",\n".join(map(_merging_round, range(4))) + "\nSELECT label, new_label FROM m4")
 def _(v):
+    """At rest after two rounds on these tables; the SQL has four."""
     alternate = v.seg_b.withColumn("label", F.when(F.col("label") % 2 == 0, F.lit(0)).otherwise(F.col("label")).cast("bigint"))
     return W.merge_by_watershed(alternate, v.vox, 2, 1, 20, 12)
 
