@@ -18,7 +18,7 @@ from .components import FULL, PLANE, cc_sql
 from .labels import _BEST, CLOSURE, SLICE_OVERLAP
 from .regions import ECC, PROPS, props
 from .views import registry
-from .watershed import flood_sql
+from .watershed import FLAT_SQL, fill_sql, flood_sql
 
 add = registry.add
 PI = "3.141592653589793::DOUBLE"
@@ -356,7 +356,22 @@ def _(v):
     return found["statistics"].join(painted, ["z", "label"], "left")
 
 
-@add("pipeline_3d")
+_WHOLE_3D = _JOINED[: _JOINED.rindex("\nSELECT label, n")] + ", jz AS (SELECT z, y, x, coalesce(label, 0) AS label FROM vox LEFT JOIN j USING (z, y, x)), ob AS MATERIALIZED (" + fill_sql("SELECT label, z, y, x FROM jz WHERE label <> 0", 0, True).replace("seg_a", "jz") + f"""),
+rim AS (SELECT DISTINCT b.z, b.y, b.x, a.label FROM ob a, {FLAT_SQL} o JOIN vox b ON b.z = a.z AND b.y = a.y + dy AND b.x = a.x + dx LEFT JOIN ob c ON c.z = b.z AND c.y = b.y AND c.x = b.x WHERE c.label IS DISTINCT FROM a.label),
+bare AS (SELECT r.label, r.z FROM rim r JOIN vox v USING (z, y, x) LEFT JOIN ob USING (z, y, x) GROUP BY r.label, r.z HAVING avg((v.value > 140 OR ob.label IS NOT NULL)::INT) < 0.5),
+runs AS (SELECT label, z, count(*) OVER (PARTITION BY label, i) AS n FROM (SELECT *, z - row_number() OVER (PARTITION BY label ORDER BY z) AS i FROM bare)),
+node AS (SELECT z, y, x, label FROM ob SEMI JOIN (SELECT * FROM runs WHERE n > 1) USING (label, z)), rest AS (SELECT z, y, x, label FROM ob ANTI JOIN node USING (z, y, x)),
+dx AS (SELECT z, y, CAST(t AS INT) AS x, min((t - x) * (t - x)) AS d FROM rest, range(64) r(t) GROUP BY 1, 2, 3),
+dy AS (SELECT z, CAST(t AS INT) AS y, x, min(d + (t - y) * (t - y)) AS d FROM dx, range(25) r(t) GROUP BY 1, 2, 3),
+ds AS (SELECT CAST(t AS INT) AS z, y, x, sqrt(min(d + (t - z) * (t - z))) AS d FROM dy, dims, range(dims.dz) r(t) GROUP BY 1, 2, 3),
+h AS (SELECT z, y, x FROM ds JOIN vox USING (z, y, x) JOIN mask_ds USING (z, y, x) ANTI JOIN ob USING (z, y, x) WHERE value > 140 AND d <= 1.5),
+""" + flood_sql("SELECT 0 AS own, z, y, x, d AS value, coalesce(label, 0) AS seed FROM ds LEFT JOIN rest USING (z, y, x) WHERE label IS NOT NULL OR (z, y, x) IN (SELECT (z, y, x) FROM h)", "3") + """,
+st AS (""" + _TOUCH.format(v="ob") + """), nn AS (SELECT label, count(*) AS nodes FROM node GROUP BY label), sh AS (SELECT label, count(*) AS sheath FROM fl3 SEMI JOIN h USING (z, y, x) GROUP BY label),
+al AS (SELECT st.*, coalesce(nodes, 0) AS nodes, coalesce(sheath, 0) AS sheath FROM st LEFT JOIN nn USING (label) LEFT JOIN sh USING (label))
+SELECT label, CASE WHEN label > (SELECT dz * dy * dx FROM dims) THEN 'slices' ELSE 'core' END AS source, n, slices, traversing, nodes, sheath, round(CASE WHEN n > nodes THEN sqrt((n - nodes) / (n - nodes + sheath)) END, 6) AS g_ratio FROM al"""
+
+
+@add("pipeline_3d", "vox mask_ds dims", _WHOLE_3D)
 def _(v):
     from voxelry.pipelines import pipeline_3d
 

@@ -67,7 +67,7 @@ def _(v):
     return K.fill_holes_enclosed(holes(v), v.dims)
 
 
-def _fill_sql(closed: str, margin: int, capped: bool) -> str:
+def fill_sql(closed: str, margin: int, capped: bool) -> str:
     """Each label's box: voxels beside ``closed`` (label, z, y, x) that no face of the box can be reached from, where
     seg_a is free. Ends of the volume don't count as faces in z if ``capped``."""
     ends = "(z = z0 AND z0 > 0) OR (z = z1 - 1 AND z1 < dz)" if capped else "z = z0 OR z = z1 - 1"
@@ -87,12 +87,12 @@ _BALL_SQL = f"(SELECT * FROM {FACE_SQL} UNION ALL SELECT 0, 0, 0)"
 _CLOSED = f"""SELECT label, CAST(g.z + dz AS INT) AS z, CAST(g.y + dy AS INT) AS y, CAST(g.x + dx AS INT) AS x FROM (SELECT DISTINCT label, z + dz AS z, y + dy AS y, x + dx AS x FROM seg_a, {_BALL_SQL} a WHERE label <> 0) g, {_BALL_SQL} b GROUP BY 1, 2, 3, 4 HAVING count(*) = 7"""
 
 
-@add("fill_holes_closing", "seg_a dims", _fill_sql(_CLOSED, 1, False))
+@add("fill_holes_closing", "seg_a dims", fill_sql(_CLOSED, 1, False))
 def _(v):
     return K.fill_holes_closing(holes(v), v.dims, T.structuring_element("ball", 1))
 
 
-@add("fill_holes_capped", "seg_a dims", _fill_sql("SELECT label, z, y, x FROM seg_a WHERE label <> 0", 0, True))
+@add("fill_holes_capped", "seg_a dims", fill_sql("SELECT label, z, y, x FROM seg_a WHERE label <> 0", 0, True))
 def _(v):
     return K.fill_holes_capped(holes(v), v.dims)
 
