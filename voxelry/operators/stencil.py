@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxelry.functions.graph import written
 
-from .labels import AXES, FACES, shifted
+from .labels import AXES, FACES, Held, held, shifted
 
 Offset = tuple[int, int, int]
 Triple = tuple[int, int, int]
@@ -43,8 +43,8 @@ def _inside(v: DataFrame, dims: Triple) -> DataFrame:
     return v.where(" AND ".join(f"{a} >= 0 AND {a} < {d}" for a, d in zip(AXES, dims)))
 
 
-def binary_dilate(mask: DataFrame, element: list[Offset], dims: Triple) -> DataFrame:
-    return _inside(shifted(mask.select(*AXES), element), dims).distinct()
+def binary_dilate(mask: DataFrame, element: list[Offset], dims: Triple, inside: Held = None) -> DataFrame:
+    return held(_inside(shifted(mask.select(*AXES), element), dims).distinct(), inside)
 
 
 def binary_erode(mask: DataFrame, element: list[Offset], dims: Triple, border: bool = False) -> DataFrame:
@@ -66,23 +66,23 @@ def boundary_mask(dataset: DataFrame, dims: Triple, element: list[Offset], erode
     return binary_dilate(complement(dataset, dims), element, dims).where((F.col("z") >= z_margin) & (F.col("z") < dims[0] - z_margin))
 
 
-def grey_dilate(vol: DataFrame, element: list[Offset], dims: Triple, column: str = "label") -> DataFrame:
-    """Maximum over the window."""
+def grey_dilate(vol: DataFrame, element: list[Offset], dims: Triple, column: str = "label", inside: Held = None) -> DataFrame:
+    """Maximum over the window, at the voxels that the volume holds."""
     moved = _inside(shifted(vol.select(*AXES, column), [(-a, -b, -c) for a, b, c in element]), dims)
-    return moved.groupBy(*AXES).agg(F.max(column).alias(column))
+    return held(moved.groupBy(*AXES).agg(F.max(column).alias(column)), inside)
 
 
-def grey_erode(vol: DataFrame, element: list[Offset], dims: Triple, column: str = "label") -> DataFrame:
+def grey_erode(vol: DataFrame, element: list[Offset], dims: Triple, column: str = "label", inside: Held = None) -> DataFrame:
     """Minimum over the window of a dense volume; outside voxels don't count."""
     moved = _inside(shifted(vol.select(*AXES, column), [(-a, -b, -c) for a, b, c in element]), dims)
-    return moved.groupBy(*AXES).agg(F.min(column).alias(column))
+    return held(moved.groupBy(*AXES).agg(F.min(column).alias(column)), inside)
 
 
-def close_labels(vol: DataFrame, element: list[Offset], dims: Triple, mask: DataFrame | None = None, min_size: int = 0, relabel: bool = False) -> DataFrame:
+def close_labels(vol: DataFrame, element: list[Offset], dims: Triple, mask: DataFrame | None = None, min_size: int = 0, relabel: bool = False, inside: Held = None) -> DataFrame:
     """Grey closing of a dense label volume, then a mask, a size filter and renumbering, as asked."""
     from .regions import filter_small_labels, relabel_sequential
 
-    out = grey_erode(grey_dilate(vol, element, dims), element, dims)
+    out = grey_erode(grey_dilate(vol, element, dims, inside=inside), element, dims, inside=inside)
     if mask is not None:
         out = out.join(mask.select(*AXES), AXES, "left_semi")
     if min_size:
@@ -90,11 +90,11 @@ def close_labels(vol: DataFrame, element: list[Offset], dims: Triple, mask: Data
     return relabel_sequential(out) if relabel else out
 
 
-def label_rim(vol: DataFrame, dims: Triple, outer: bool = True, element: list[Offset] | None = None) -> DataFrame:
+def label_rim(vol: DataFrame, dims: Triple, outer: bool = True, element: list[Offset] | None = None, inside: Held = None) -> DataFrame:
     """(z, y, x, label): one-voxel rim of each label, outside it (in any other voxel) or inside it."""
     v = vol.where("label <> 0").select(*AXES, "label")
     if outer:
-        return _inside(shifted(v, element or FACES), dims).distinct().join(v, [*AXES, "label"], "left_anti")
+        return held(_inside(shifted(v, element or FACES), dims).distinct(), inside).join(v, [*AXES, "label"], "left_anti")
     hit = _inside(shifted(v, element or FACES), dims).groupBy(*AXES, "label").agg(F.count("*").alias("_n"))
     return v.join(hit, [*AXES, "label"], "left").where(F.coalesce("_n", F.lit(0)) < len(element or FACES)).select(*AXES, "label")
 
@@ -110,7 +110,8 @@ def gaussian_kernel(sigma: float, order: int = 0, truncate: float = 4.0) -> list
 
 
 def _convolve(vol: DataFrame, axis: str, size: int, kernel: list[tuple[int, float]]) -> DataFrame:
-    """1-D weighted scatter with the border reflected (edge voxel repeated)."""
+    """1-D weighted scatter with the border reflected (edge voxel repeated). Voxels that ``vol`` lacks add nothing and get
+    no value."""
     taps = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(float(w)).alias("w")) for o, w in kernel])).alias("_k")
     # output p takes input reflect(p + o): an input at i feeds p = i - o, and mirrored outputs at the borders
     i = F.col(axis)
@@ -119,7 +120,8 @@ def _convolve(vol: DataFrame, axis: str, size: int, kernel: list[tuple[int, floa
     feeds = F.array_distinct(F.array(F.pmod(i - F.col("_k.o"), F.lit(period)), F.pmod(-i - 1 - F.col("_k.o"), F.lit(period))))
     v = v.withColumn("_p", F.explode(feeds)).where(F.col("_p") < size)
     rest = [a for a in AXES if a != axis]
-    return v.groupBy(*rest, F.col("_p").cast("int").alias(axis)).agg(F.sum(F.col("value") * F.col("_k.w")).alias("value")).select(*AXES, "value")
+    out = v.groupBy(*rest, F.col("_p").cast("int").alias(axis)).agg(F.sum(F.col("value") * F.col("_k.w")).alias("value"), F.max(F.col("_k.o") == 0).alias("_held"))
+    return out.where("_held").select(*AXES, "value")
 
 
 def gaussian_smooth(vol: DataFrame, dims: Triple, sigma: tuple[float, float, float], elsize: tuple[float, float, float] = (1, 1, 1), orders: Triple = (0, 0, 0)) -> DataFrame:
@@ -203,7 +205,7 @@ def _sweep(axis: str, rest: list[str], n: int, step: float, by: str | None = Non
     return sweep
 
 
-def distance_transform(mask: DataFrame, dims: Triple, elsize: tuple[float, float, float] = (1, 1, 1), by: str | None = None) -> DataFrame:
+def distance_transform(mask: DataFrame, dims: Triple, elsize: tuple[float, float, float] = (1, 1, 1), by: str | None = None, inside: Held = None) -> DataFrame:
     """(z, y, x, value): Euclidean distance of every voxel to the nearest mask voxel, on an anisotropic grid; null
     if there is none. One pass an axis, a group a bundle of lines; lines without any source have no rows until a
     later pass reaches them. ``by`` (a double column) gives one transform for each of its values."""
@@ -214,10 +216,10 @@ def distance_transform(mask: DataFrame, dims: Triple, elsize: tuple[float, float
         rest = [a for a in AXES if a != axis]
 
         d = d.groupBy(rest[0], F.expr(f"{rest[1]} div {LINES}"), *keys).applyInPandas(_sweep(axis, rest, n, e, by), kind)
-    return d.select(*keys, *AXES, F.sqrt("value").alias("value"))
+    return held(d, inside).select(*keys, *AXES, F.sqrt("value").alias("value"))
 
 
-def near_distance(mask: DataFrame, dims: Triple, radius: float, elsize: tuple[float, float, float] = (1, 1, 1)) -> DataFrame:
+def near_distance(mask: DataFrame, dims: Triple, radius: float, elsize: tuple[float, float, float] = (1, 1, 1), inside: Held = None) -> DataFrame:
     """The same up to a radius, for each value of the columns besides the axes: one scatter and minimum an axis, so
     that a voxel makes a row a step along an axis, not a row a voxel of a ball."""
     keys = [c for c in mask.columns if c not in AXES]
@@ -231,7 +233,7 @@ def near_distance(mask: DataFrame, dims: Triple, radius: float, elsize: tuple[fl
         rest = [a for a in AXES if a != axis]
         d = moved.select(*keys, *rest, F.col("_to").cast("int").alias(axis), far.alias("value")).where(F.col("value") <= most)
         d = d.groupBy(*keys, *AXES).agg(F.min("value").alias("value"))
-    return d.withColumn("value", F.sqrt("value"))
+    return held(d, inside).withColumn("value", F.sqrt("value"))
 
 
 def inward_distance(vol: DataFrame, most: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelry.operators import stencil as T
+from voxelry.operators.labels import held
 
 from .views import registry
 
@@ -22,14 +23,14 @@ def _(v):
     bright = v.vox.where("value > 170").select("z", "y", "x")
     out = []
     for kind, radius in (("diamond", (1, 3, 3)), ("ball", 2), ("disk", 3)):
-        hit = T._inside(T.shifted(bright, T.structuring_element(kind, radius)), v.dims)
-        out.append(hit.groupBy("z", "y", "x").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "z", "y", "x", "n"))
+        hit = T._inside(T.shifted(bright, T.structuring_element(kind, radius)), v.dims).groupBy("z", "y", "x").agg(F.count("*").alias("n"))
+        out.append(held(hit, v.inside).select(F.lit(kind).alias("kind"), "z", "y", "x", "n"))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @add("binary_dilate", "vox", f"SELECT DISTINCT v.z, v.y, v.x FROM vox v JOIN (SELECT CAST(z + dz AS INT) AS z, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x FROM vox, {BOX_SQL} o WHERE value > 170) m USING (z, y, x)")
 def _(v):
-    return T.binary_dilate(v.vox.where("value > 170"), BOX, v.dims)
+    return T.binary_dilate(v.vox.where("value > 170"), BOX, v.dims, v.inside)
 
 
 @add("binary_erode", "vox", f"""WITH m AS (SELECT z, y, x FROM vox WHERE value > 90)
@@ -48,18 +49,18 @@ def _(v):
 
 @add("grey_dilate", "seg_a", f"SELECT a.z, a.y, a.x, max(b.label) AS label FROM seg_a a, {BOX_SQL} o JOIN seg_a b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3")
 def _(v):
-    return T.grey_dilate(v.seg_a, BOX, v.dims)
+    return T.grey_dilate(v.seg_a, BOX, v.dims, inside=v.inside)
 
 
 @add("close_labels", "seg_a", f"""WITH d AS (SELECT a.z, a.y, a.x, max(b.label) AS label FROM seg_a a, {BOX_SQL} o JOIN seg_a b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3)
 SELECT a.z, a.y, a.x, min(b.label) AS label FROM d a, {BOX_SQL} o JOIN d b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3""")
 def _(v):
-    return T.close_labels(v.seg_a, BOX, v.dims)
+    return T.close_labels(v.seg_a, BOX, v.dims, inside=v.inside)
 
 
 @add("label_rim_outer", "seg_a", f"SELECT DISTINCT b.z, b.y, b.x, a.label FROM seg_a a, {FACE_SQL} o JOIN seg_a b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.label <> 0 AND b.label <> a.label")
 def _(v):
-    return T.label_rim(v.seg_a, v.dims)
+    return T.label_rim(v.seg_a, v.dims, inside=v.inside)
 
 
 @add("label_rim_inner", "seg_a", f"SELECT a.z, a.y, a.x, a.label FROM seg_a a, {FACE_SQL} o LEFT JOIN seg_a b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND b.label = a.label WHERE a.label <> 0 GROUP BY 1, 2, 3, 4 HAVING count(b.z) < 6")
@@ -111,12 +112,12 @@ def _(v):
 
 @add("distance_transform", "vox", "SELECT a.z, a.y, a.x, round(sqrt(min(pow((a.z - b.z) * 2.0::DOUBLE, 2) + pow(a.y - b.y, 2) + pow(a.x - b.x, 2))), 6) AS value FROM vox a, vox b WHERE b.value > 172 GROUP BY 1, 2, 3")
 def _(v):
-    return T.distance_transform(v.vox.where("value > 172"), v.dims, (2.0, 1.0, 1.0)).withColumn("value", F.round("value", 6))
+    return T.distance_transform(v.vox.where("value > 172"), v.dims, (2.0, 1.0, 1.0), inside=v.inside).withColumn("value", F.round("value", 6))
 
 
 @add("near_distance", "vox", "SELECT a.z, a.y, a.x, round(sqrt(min(pow((a.z - b.z) * 2.0::DOUBLE, 2) + pow(a.y - b.y, 2) + pow(a.x - b.x, 2))), 6) AS value FROM vox a JOIN vox b ON b.value > 165 AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 WHERE pow((a.z - b.z) * 2, 2) + pow(a.y - b.y, 2) + pow(a.x - b.x, 2) <= 5.29 GROUP BY 1, 2, 3")
 def _(v):
-    return T.near_distance(v.vox.where("value > 165").select("z", "y", "x"), v.dims, 2.3, (2.0, 1.0, 1.0)).select("z", "y", "x", F.round("value", 6).alias("value"))
+    return T.near_distance(v.vox.where("value > 165").select("z", "y", "x"), v.dims, 2.3, (2.0, 1.0, 1.0), v.inside).select("z", "y", "x", F.round("value", 6).alias("value"))
 
 
 def _snap_sql(most: int) -> str:
