@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voxelry.functions.graph import written
 from voxelry.functions.ranking import global_rank
 
-from .labels import AXES, forward_map, label_union, shifted
+from .labels import AXES, Held, forward_map, held, label_union, shifted
 
 BLOCK = (32, 128, 128)
 _BITS = 21
@@ -86,17 +86,18 @@ def remove_small_components(mask: DataFrame, size: int, connectivity: int = 26,
     return c.join(big, "label", "left_semi").select(*AXES), c.join(big, "label", "left_anti").select(*AXES)
 
 
-def complement(mask: DataFrame, dims: tuple[int, int, int], inside: DataFrame | None = None) -> DataFrame:
+def complement(mask: DataFrame, dims: tuple[int, int, int], inside: Held = None) -> DataFrame:
     """Voxels of the volume (or of a second mask) that aren't in ``mask``."""
-    if inside is None:
+    if not isinstance(inside, DataFrame) or not set(AXES) <= set(inside.columns):
         spark = mask.sparkSession
-        inside = spark.range(dims[0] * dims[1] * dims[2]).select(
+        grid = spark.range(dims[0] * dims[1] * dims[2]).select(
             F.expr(f"CAST(id div {dims[1] * dims[2]} AS INT)").alias("z"), F.expr(f"CAST(id div {dims[2]} % {dims[1]} AS INT)").alias("y"), F.expr(f"CAST(id % {dims[2]} AS INT)").alias("x")
         )
+        inside = held(grid, inside)
     return inside.select(*AXES).join(mask.select(*AXES), AXES, "left_anti")
 
 
-def components_2d(mask: DataFrame, dims: tuple[int, int, int], inside: DataFrame | None = None, axis: str = "z") -> DataFrame:
+def components_2d(mask: DataFrame, dims: tuple[int, int, int], inside: Held = None, axis: str = "z") -> DataFrame:
     """8-connected components of the complement of a mask, slice by slice along any axis; unique over slices."""
     free = complement(mask, dims, inside)
     names = {"z": AXES, "y": ["y", "z", "x"], "x": ["x", "z", "y"]}[axis]
@@ -106,7 +107,7 @@ def components_2d(mask: DataFrame, dims: tuple[int, int, int], inside: DataFrame
     return out.select(*[F.col(AXES[names.index(a)]).alias(a) for a in AXES], "label")
 
 
-def components_3d(mask: DataFrame, dims: tuple[int, int, int], min_size: int = 0, drop_largest: bool = True, relabel: bool = True, inside: DataFrame | None = None) -> DataFrame:
+def components_3d(mask: DataFrame, dims: tuple[int, int, int], min_size: int = 0, drop_largest: bool = True, relabel: bool = True, inside: Held = None) -> DataFrame:
     """26-connected components of the complement of a mask, without small ones and the largest, renumbered."""
     from .regions import filter_small_labels, relabel_sequential, remove_largest
 

@@ -42,14 +42,14 @@ def _(v):
 
 @add("components_2d", "vox", "WITH RECURSIVE " + cc_sql("SELECT z, y, x FROM vox WHERE value > 140", PLANE) + " SELECT * FROM cc")
 def _(v):
-    return C.components_2d(v.vox.where("value <= 140"), v.dims)
+    return C.components_2d(v.vox.where("value <= 140"), v.dims, v.inside)
 
 
 @add("components_3d", "vox dims", "WITH RECURSIVE " + cc_sql("SELECT z, y, x FROM vox WHERE value > 158", FULL) + """,
 n AS (SELECT label, count(*) AS n FROM cc GROUP BY 1 HAVING count(*) >= 3), r AS (SELECT label, row_number() OVER (ORDER BY label) AS new FROM n WHERE label <> (SELECT label FROM n ORDER BY n DESC, label LIMIT 1))
 SELECT z, y, x, new AS label FROM cc JOIN r USING (label)""")
 def _(v):
-    return C.components_3d(v.vox.where("value <= 158"), v.dims, 3)
+    return C.components_3d(v.vox.where("value <= 158"), v.dims, 3, inside=v.inside)
 
 
 @add("components_2d_to_3d", "vox", "WITH RECURSIVE " + cc_sql("SELECT z, y, x FROM vox WHERE value > 160", FULL) + " SELECT * FROM cc")
