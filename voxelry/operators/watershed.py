@@ -13,7 +13,7 @@ from voxelry.functions.graph import written
 
 from .components import components
 from .kernels import flood, whole_watershed
-from .labels import AXES, FACES, forward_map, label_union
+from .labels import AXES, FACES, Held, forward_map, label_union
 from .regions import consecutive_runs, filter_small_labels, region_bbox, relabel_sequential
 from .stencil import binary_dilate, distance_transform, label_rim, local_maxima, near_distance
 
@@ -175,26 +175,26 @@ def sigmoid_distance(objects: DataFrame, widths: DataFrame, dims: Triple, weight
     return d.groupBy(*AXES).agg(F.least(F.min(s), F.lit(1.0)).alias("value"), F.max(F.col("value") < 1.5 * F.col("width")).alias("near"))
 
 
-def inner_compartment(filled: DataFrame, widths: DataFrame, dims: Triple, elsize=(1, 1, 1)) -> DataFrame:
+def inner_compartment(filled: DataFrame, widths: DataFrame, dims: Triple, elsize=(1, 1, 1), inside: Held = None) -> DataFrame:
     """(z, y, x, label, part): a filled object less half its median width is the inner part, the rest its sheath.
     Distances are searched as far as half the largest width."""
     reach = (widths.agg(F.max("width")).first()[0] or 0.0) / 2
     f = filled.where("label <> 0").select(*AXES, "label")
-    outside = label_rim(f, dims)
+    outside = label_rim(f, dims, inside=inside)
     d = near_distance(outside.select("label", *AXES), dims, reach, elsize)
     j = f.join(d, ["label", *AXES], "left").join(widths, "label")
     return j.select(*AXES, "label", F.when(F.coalesce("value", F.lit(float("inf"))) > F.col("width") / 2, "inner").otherwise("sheath").alias("part"))
 
 
-def rim_coverage(vol: DataFrame, mask: DataFrame, dims: Triple) -> DataFrame:
+def rim_coverage(vol: DataFrame, mask: DataFrame, dims: Triple, inside: Held = None) -> DataFrame:
     """(label, z, ratio): share of a label's outer in-plane rim, per slice, that a mask covers."""
-    rim = label_rim(vol, dims, element=[o for o in FACES if o[0] == 0])
+    rim = label_rim(vol, dims, element=[o for o in FACES if o[0] == 0], inside=inside)
     return rim.join(mask.select(*AXES, F.lit(1).alias("_m")), AXES, "left").groupBy("label", "z").agg(F.avg(F.coalesce("_m", F.lit(0))).alias("ratio"))
 
 
-def detect_unsheathed(vol: DataFrame, mask: DataFrame, dims: Triple, ratio: float, longer_than: int) -> tuple[DataFrame, DataFrame]:
+def detect_unsheathed(vol: DataFrame, mask: DataFrame, dims: Triple, ratio: float, longer_than: int, inside: Held = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and the rest: slices where the rim is covered below a ratio, in runs longer than asked."""
-    bare = rim_coverage(vol, mask, dims).where(F.col("ratio") < ratio)
+    bare = rim_coverage(vol, mask, dims, inside).where(F.col("ratio") < ratio)
     runs = consecutive_runs(bare, longer_than)
     slices = runs.select("label", F.explode(F.sequence("z0", "z1")).alias("z"))
     v = vol.where("label <> 0")

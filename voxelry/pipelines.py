@@ -57,14 +57,15 @@ def pipeline_2d(
 
 
 def pipeline_3d(
-    vol: DataFrame, dims: Triple, dataset: DataFrame, core: float = 158, tissue: float = 140, dice: float = 0.5, min_size: int = 4, ratio: float = 0.5, longer_than: int = 1, threshold: float = 1.5, block: Triple = (8, 32, 32)
+    vol: DataFrame, dims: Triple, dataset: DataFrame, core: float = 158, tissue: float = 140, dice: float = 0.5, min_size: int = 4, ratio: float = 0.5, longer_than: int = 1, threshold: float = 1.5, block: Triple = (8, 32, 32), inside: L.Held = None
 ) -> dict[str, DataFrame]:
     """masks -> 3D core -> traversing split -> 2D aggregation -> merge -> hole filling -> nodes -> sheaths -> statistics.
 
     Objects of the 3D core that don't traverse the volume are joined anew, by slices of the wider tissue mask. Holes
     that an object encloses go to it; stretches of slices whose rim the tissue covers below ``ratio`` are nodes and
     get no sheath. Tables by name: ``joined`` (before holes are filled), ``objects``, ``nodes``, ``sheaths`` (z, y, x,
-    label) and ``statistics`` (label, source, n, slices, traversing, nodes, sheath, g_ratio)."""
+    label) and ``statistics`` (label, source, n, slices, traversing, nodes, sheath, g_ratio). ``inside`` tells what the
+    volume holds of ``dims``, if not all."""
     labels3 = written(R.filter_small_labels(C.components(vol.where(F.col("value") > core), 26, dims), min_size).where("label <> 0"), "p3d-core")
     classes = written(L.classify_traversing(labels3, dims, min_size, 1), "p3d-classes")
     through = labels3.join(classes.where("traversing").select("label"), "label", "left_semi").select(*AXES, "label")
@@ -76,7 +77,7 @@ def pipeline_3d(
     both = written(through.unionByName(merged.select(*AXES, (F.col("label") + top).alias("label"))), "p3d-joined")
     objects = written(K.fill_holes_capped(both, dims), "p3d-objects")
     cover = wide.unionByName(objects.select(*AXES)).distinct()
-    nodes, rest = (written(x.select(*AXES, "label"), "p3d-nodes") for x in W.detect_unsheathed(objects, cover, dims, ratio, longer_than))
+    nodes, rest = (written(x.select(*AXES, "label"), "p3d-nodes") for x in W.detect_unsheathed(objects, cover, dims, ratio, longer_than, inside))
     sheaths = written(W.separate_sheaths(rest, wide.join(objects.select(*AXES), AXES, "left_anti"), dataset, dims, threshold, block=block), "p3d-sheaths")
     count = lambda t, name: t.groupBy("label").agg(F.count("*").alias(name))
     sizes = objects.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("z").alias("slices"))

@@ -375,7 +375,7 @@ SELECT label, CASE WHEN label > (SELECT dz * dy * dx FROM dims) THEN 'slices' EL
 def _(v):
     from voxelry.pipelines import pipeline_3d
 
-    return pipeline_3d(v.vox, v.dims, v.mask_ds)["statistics"]
+    return pipeline_3d(v.vox, v.dims, v.mask_ds, inside=v.inside)["statistics"]
 
 
 

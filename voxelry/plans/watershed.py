@@ -241,7 +241,7 @@ WHERE pow(o.z - r.z, 2) + pow(o.y - r.y, 2) + pow(o.x - r.x, 2) <= 9 GROUP BY 1,
 SELECT o.z, o.y, o.x, o.label, CASE WHEN d IS NULL OR d > (2.0::DOUBLE + o.label % 3) / 2 THEN 'inner' ELSE 'sheath' END AS part FROM outer_seg o LEFT JOIN d USING (z, y, x, label)""")
 def _(v):
     widths = v.outer_seg.select("label", (F.lit(2.0) + F.col("label") % 3).alias("width")).distinct()
-    return W.inner_compartment(v.outer_seg, widths, v.dims)
+    return W.inner_compartment(v.outer_seg, widths, v.dims, inside=v.inside)
 
 
 @add("detect_unsheathed", "outer_seg vox", f"""WITH r AS (SELECT DISTINCT b.z, b.y, b.x, a.label FROM outer_seg a, {FLAT_SQL} o JOIN outer_seg b ON b.z = a.z AND b.y = a.y + dy AND b.x = a.x + dx WHERE b.label <> a.label),
@@ -249,7 +249,7 @@ c AS (SELECT label, z FROM r JOIN vox USING (z, y, x) GROUP BY 1, 2 HAVING avg((
 n AS (SELECT label, min(z) AS z0, max(z) AS z1 FROM i GROUP BY label, i HAVING count(*) > 1)
 SELECT z, y, x, label, EXISTS (SELECT 1 FROM n WHERE n.label = o.label AND o.z BETWEEN z0 AND z1) AS node FROM outer_seg o""")
 def _(v):
-    nodes, rest = W.detect_unsheathed(v.outer_seg, v.vox.where("value > 127"), v.dims, 0.5, 1)
+    nodes, rest = W.detect_unsheathed(v.outer_seg, v.vox.where("value > 127"), v.dims, 0.5, 1, v.inside)
     return nodes.withColumn("node", F.lit(True)).unionByName(rest.withColumn("node", F.lit(False)))
 
 
