@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .labels import Held, held
+
 AXES = ("z", "y", "x")
 Triple = tuple[int, int, int]
 #: Reducers by name; user code is never evaluated.
@@ -49,11 +51,11 @@ def block_mode(vol: DataFrame, size: Triple) -> DataFrame:
     return best.select(*AXES, F.when(zero_wins, F.lit(0).cast("bigint")).otherwise(F.col("label")).alias("label"))
 
 
-def expand_blocks(vol: DataFrame, size: Triple, dims: Triple) -> DataFrame:
-    """Nearest-neighbour upsampling, clipped to the full size."""
+def expand_blocks(vol: DataFrame, size: Triple, dims: Triple, inside: Held = None) -> DataFrame:
+    """Nearest-neighbour upsampling, clipped to the full size and to what the full volume holds."""
     for a, n, d in zip(AXES, size, dims):
         vol = vol.withColumn(a, F.explode(F.sequence(F.col(a) * n, F.least((F.col(a) + 1) * n, F.lit(d)) - 1)))
-    return vol
+    return held(vol, inside)
 
 
 def resample_inplane(vol: DataFrame, dims: Triple, factor: int) -> DataFrame:
