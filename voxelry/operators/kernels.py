@@ -14,7 +14,7 @@ from voxelry.functions.graph import discard, written
 
 from .blocks import split_blocks
 from .components import complement, components
-from .labels import AXES, FACES, forward_map, shifted
+from .labels import AXES, FACES, Held, forward_map, held, shifted
 
 Triple = tuple[int, int, int]
 #: The largest bounding box (voxels) that hole filling gives to one kernel call. Larger labels go through joins, with
@@ -30,8 +30,9 @@ def dense(p: pd.DataFrame, column: str, fill, lo: np.ndarray, shape: tuple) -> n
     return out
 
 
-def map_blocks(vol: DataFrame, dims: Triple, size: Triple, margin: Triple, kernel: Callable[[np.ndarray], np.ndarray], out: str = "double", column: str = "value", fill=0) -> DataFrame:
-    """A kernel on each block with its halo, clipped to the volume; the core comes back as (z, y, x, value)."""
+def map_blocks(vol: DataFrame, dims: Triple, size: Triple, margin: Triple, kernel: Callable[[np.ndarray], np.ndarray], out: str = "double", column: str = "value", fill=0, inside: Held = None) -> DataFrame:
+    """A kernel on each block with its halo, clipped to the volume; the core comes back as (z, y, x, value), at the voxels
+    that the volume holds."""
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         core0 = np.array([k * s for k, s in zip(key, size)])
@@ -42,7 +43,7 @@ def map_blocks(vol: DataFrame, dims: Triple, size: Triple, margin: Triple, kerne
         z, y, x = np.indices(part.shape)
         return pd.DataFrame({"z": z.ravel() + core0[0], "y": y.ravel() + core0[1], "x": x.ravel() + core0[2], "value": part.ravel()})
 
-    return split_blocks(vol.select(*AXES, column), dims, size, margin).groupBy("iz", "iy", "ix").applyInPandas(run, f"z int, y int, x int, value {out}")
+    return held(split_blocks(vol.select(*AXES, column), dims, size, margin).groupBy("iz", "iy", "ix").applyInPandas(run, f"z int, y int, x int, value {out}"), inside)
 
 
 def map_labels(vol: DataFrame, kernel: Callable[[int, np.ndarray, np.ndarray], np.ndarray], margin: int = 0, dims: Triple | None = None, block: Triple | None = None) -> DataFrame:
@@ -350,10 +351,10 @@ def fill(mask: np.ndarray) -> np.ndarray:
         reach = new
 
 
-def fill_holes_enclosed(vol: DataFrame, dims: Triple) -> DataFrame:
+def fill_holes_enclosed(vol: DataFrame, dims: Triple, inside: Held = None) -> DataFrame:
     """Face-connected background pieces, except the largest, get the largest label next to them."""
     fore = vol.where("label <> 0").select(*AXES, "label")
-    holes = written(components(complement(fore, dims), 6, dims).withColumnRenamed("label", "piece"), "holes")
+    holes = written(components(complement(fore, dims, inside), 6, dims).withColumnRenamed("label", "piece"), "holes")
     top = holes.groupBy("piece").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "piece").limit(1)
     holes = holes.join(top, "piece", "left_anti")
     beside = shifted(fore, FACES).join(holes, AXES).groupBy("piece").agg(F.max("label").alias("label"))
@@ -427,14 +428,14 @@ def fill_holes_capped(vol: DataFrame, dims: Triple) -> DataFrame:
     return _fill_each(vol, dims, lambda label, mask, lo: _capped(mask, lo, dims, fill), 0, None, True)
 
 
-def fill_holes_unreachable(vol: DataFrame, dims: Triple, masks: list[DataFrame], block: Triple = (64, 256, 256)) -> DataFrame:
+def fill_holes_unreachable(vol: DataFrame, dims: Triple, masks: list[DataFrame], block: Triple = (64, 256, 256), inside: Held = None) -> DataFrame:
     """Labels grow into space that can't be reached from the largest free component, for each mask of walls; the
     largest label wins."""
     fore = vol.where("label <> 0").select(*AXES, "label")
     grown = []
     for walls in masks:
         blocked = fore.select(*AXES).unionByName(walls.select(*AXES)).distinct()
-        free = written(components(complement(blocked, dims), 6, dims), "free")
+        free = written(components(complement(blocked, dims, inside), 6, dims), "free")
         top = free.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)
         space = free.join(top, "label", "left_anti").select(*AXES).unionByName(fore.select(*AXES))
         grown.append(whole_watershed(space.withColumn("value", F.lit(0.0)), fore, dims, block))

@@ -34,7 +34,7 @@ def _(v):
         p = np.pad(b.astype(float), [(0, 0), (0, 0), (1, 1)])
         return (p[:, :, :-2] + p[:, :, 1:-1] + p[:, :, 2:]) / 3
 
-    return K.map_blocks(v.vox, v.dims, (5, 10, 16), (0, 0, 1), mean3).where("x BETWEEN 1 AND 62").withColumn("value", F.round("value", 6))
+    return K.map_blocks(v.vox, v.dims, (5, 10, 16), (0, 0, 1), mean3, inside=v.inside).where("x BETWEEN 1 AND 62").withColumn("value", F.round("value", 6))
 
 
 @add("map_labels", "seg_a vox", "SELECT DISTINCT v.z, v.y, v.x, s.label FROM seg_a s, (VALUES (-1), (0), (1)) o(d) JOIN vox v ON v.z = s.z AND v.y = s.y AND v.x = s.x + d WHERE s.label <> 0")
@@ -64,7 +64,7 @@ _TOP = "(SELECT label FROM cc GROUP BY label ORDER BY count(*) DESC, label LIMIT
 m AS (SELECT piece, max(s.label) AS label FROM h, {FACE_SQL} o JOIN seg_a s ON s.z = h.z + dz AND s.y = h.y + dy AND s.x = h.x + dx AND s.label <> 0 GROUP BY piece)
 SELECT z, y, x, label FROM seg_a WHERE label <> 0 UNION ALL SELECT z, y, x, label FROM h JOIN m USING (piece)""")
 def _(v):
-    return K.fill_holes_enclosed(holes(v), v.dims)
+    return K.fill_holes_enclosed(holes(v), v.dims, v.inside)
 
 
 def fill_sql(closed: str, margin: int, capped: bool) -> str:
@@ -114,7 +114,7 @@ _WALLS = ("value BETWEEN 60 AND 95", "z % 5 = 2 AND value < 96")
 SELECT z, y, x, label FROM seg_a WHERE label <> 0 UNION ALL SELECT n.z, n.y, n.x, max(f.label) AS label FROM (SELECT * FROM n0 UNION ALL SELECT * FROM n1) n JOIN seg_a f ON f.z * 1600 + f.y * 64 + f.x = n.s GROUP BY 1, 2, 3""")
 def _(v):
     """Walls in the background: they cut free space into pieces, and part labels that would meet."""
-    return K.fill_holes_unreachable(holes(v), v.dims, [v.vox.where(w) for w in _WALLS])
+    return K.fill_holes_unreachable(holes(v), v.dims, [v.vox.where(w) for w in _WALLS], inside=v.inside)
 
 
 def flood_sql(src: str, tag: str = "") -> str:
