@@ -65,3 +65,11 @@ def test_results_lie_in_the_voxels_that_a_volume_holds(spark, ragged, name):
     assert ca == cb and len(a) == len(b)
     for x, y in zip(a, b):
         assert all(u == v or abs(u - v) < 1e-4 * (1 + abs(v)) for u, v in zip(x, y)), (x, y)
+
+
+@pytest.mark.parametrize("name", ["split_blocks", "merge_block_overlap"])
+def test_blocks_beyond_the_two_hundredth(spark, tmp_path, name):
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (vec_id + CASE WHEN vec_id < 100 THEN 0 ELSE 25000 END AS vec_id) FROM '{SF}/embeddings.parquet') TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    assert rows(registry.found[name](spark, str(tmp_path)).toPandas()) == rows(c.execute(registry.sql[name]).df())

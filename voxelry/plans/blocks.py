@@ -32,8 +32,8 @@ def _(v):
 
 
 _SPLIT = """WITH s AS (SELECT v.*, CAST(iz AS INT) AS iz, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix FROM {vol} v, dims,
-  (SELECT unnest(generate_series(0, 200)) AS iz), (SELECT unnest(generate_series(0, 2)) AS iy), (SELECT unnest(generate_series(0, 3)) AS ix)
-  WHERE iz < (dz + 4) // 5 AND z >= iz * 5 - 1 AND z < iz * 5 + 6 AND y >= iy * 10 - 2 AND y < iy * 10 + 12 AND x >= ix * 16 - 3 AND x < ix * 16 + 19)
+  LATERAL (SELECT unnest([z // 5 - 1, z // 5, z // 5 + 1]) AS iz), (SELECT unnest(generate_series(0, 2)) AS iy), (SELECT unnest(generate_series(0, 3)) AS ix)
+  WHERE iz >= 0 AND iz < (dz + 4) // 5 AND z >= iz * 5 - 1 AND z < iz * 5 + 6 AND y >= iy * 10 - 2 AND y < iy * 10 + 12 AND x >= ix * 16 - 3 AND x < ix * 16 + 19)
 """
 
 
