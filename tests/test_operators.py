@@ -300,3 +300,33 @@ def test_supervoxels_move_a_voxel_not_its_candidates(spark, monkeypatch):
     out = V.supervoxels(vol.withColumnRenamed("label", "value"), (6, 8, 8), (3, 4, 4), 10.0, 2)
     assert out.count() == 384 and len(plans) == 2
     assert not any(re.search(r"Aggregate \[z#", p) for p in plans)
+
+
+def test_blended_tiles_join_no_pixels(spark):
+    """Beside the transforms, one row a tile, nothing is joined, whatever Spark holds for small."""
+    from voxelry.operators import register
+
+    a = np.arange(3 * 5 * 6).reshape(3, 5, 6)
+    tiles = frame(spark, a).withColumnsRenamed({"z": "tile", "label": "value"})
+    t = spark.createDataFrame([(k, 0.1 * k, 2.25 * k, 1.5 * k) for k in range(3)], "tile int, theta double, tx double, ty double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = register.blend_tiles(tiles, t, 5, 6)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+    got = {(r.y, r.x): r.value for r in out.collect()}
+    sums = {}
+    for k in range(3):
+        c, s = math.cos(0.1 * k), math.sin(0.1 * k)
+        for y in range(-5, 15):
+            for x in range(-5, 20):
+                u, v = (round(w, 9) for w in (c * (x - 2.25 * k) + s * (y - 1.5 * k), -s * (x - 2.25 * k) + c * (y - 1.5 * k)))
+                if 0 <= u <= 5 and 0 <= v <= 4:
+                    i, j, edge = min(int(u), 4), min(int(v), 3), min(u, v, 5 - u, 4 - v) + 1
+                    value = sum(a[k, j + q, i + p] * (u - i if p else 1 - u + i) * (v - j if q else 1 - v + j) for p in (0, 1) for q in (0, 1))
+                    old = sums.get((y, x), (0.0, 0.0))
+                    sums[y, x] = (old[0] + edge * value, old[1] + edge)
+    assert got.keys() == sums.keys()
+    assert all(abs(got[p] - n / d) < 1e-9 for p, (n, d) in sums.items())

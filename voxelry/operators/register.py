@@ -394,21 +394,20 @@ def canvas_bounds(transforms: DataFrame, height: int, width: int) -> DataFrame:
 
 def blend_tiles(tiles: DataFrame, transforms: DataFrame, height: int, width: int) -> DataFrame:
     """(y, x, value) of canvas pixels: the tiles (tile, y, x, value) sampled bilinearly through the inverse
-    transforms, weighted by the distance to the tile's edge. A tile meets only the pixels of its own bounds."""
-    corner = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x in (0, width - 1) for y in (0, height - 1)])).alias("c")
-    t = transforms.select("*", corner)
-    cx, cy = _apply(F.col("c.x"), F.col("c.y"), F.col("theta"), F.col("tx"), F.col("ty"))
-    box = t.groupBy("tile", "theta", "tx", "ty").agg(F.floor(F.min(cx)).cast("int").alias("x0"), F.ceil(F.max(cx)).cast("int").alias("x1"), F.floor(F.min(cy)).cast("int").alias("y0"), F.ceil(F.max(cy)).cast("int").alias("y1"))
-    px = box.withColumn("cy", F.explode(F.sequence("y0", "y1"))).withColumn("cx", F.explode(F.sequence("x0", "x1")))
-    dx, dy, c, s = F.col("cx") - F.col("tx"), F.col("cy") - F.col("ty"), F.cos("theta"), F.sin("theta")
-    px = px.select("tile", "cy", "cx", F.round(c * dx + s * dy, 9).alias("u"), F.round(-s * dx + c * dy, 9).alias("v"))
-    px = px.where((F.col("u") >= 0) & (F.col("u") <= width - 1) & (F.col("v") >= 0) & (F.col("v") <= height - 1))
+    transforms, weighted by the distance to the tile's edge. A tile's pixel is sent to the canvas pixels that it weighs
+    in, which lie less than the root of 2 from its place on the canvas, and is summed there; no pixels are joined."""
+    c, s = F.col("c"), F.col("s")
+    once = transforms.select("tile", F.cos("theta").alias("c"), F.sin("theta").alias("s"), "tx", "ty")
+    j = tiles.join(F.broadcast(once), "tile")  # a row an image, so that voxels are spread as they are read
+    px, py = c * F.col("x") - s * F.col("y") + F.col("tx"), s * F.col("x") + c * F.col("y") + F.col("ty")
+    for at, place in (("cy", py), ("cx", px)):
+        low = F.floor(place).cast("int")
+        j = j.withColumn(at, F.explode(F.sequence(low - 1, low + 2)))
+    dx, dy = F.col("cx") - F.col("tx"), F.col("cy") - F.col("ty")
+    j = j.select("cy", "cx", "y", "x", "value", F.round(c * dx + s * dy, 9).alias("u"), F.round(-s * dx + c * dy, 9).alias("v"))
+    j = j.where((F.col("u") >= 0) & (F.col("u") <= width - 1) & (F.col("v") >= 0) & (F.col("v") <= height - 1) & (F.abs(F.col("u") - F.col("x")) < 1) & (F.abs(F.col("v") - F.col("y")) < 1))
     edge = F.least(F.col("u"), F.col("v"), F.lit(width - 1) - F.col("u"), F.lit(height - 1) - F.col("v")) + 1
-    taps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("k")
-    n = px.withColumn("edge", edge).select("*", taps)
-    fx, fy = F.floor("u"), F.floor("v")
-    wx = F.when(F.col("k.a") == 0, 1 - (F.col("u") - fx)).otherwise(F.col("u") - fx)
-    wy = F.when(F.col("k.b") == 0, 1 - (F.col("v") - fy)).otherwise(F.col("v") - fy)
-    n = n.select("tile", "cy", "cx", "edge", (fx + F.col("k.a")).cast("int").alias("x"), (fy + F.col("k.b")).cast("int").alias("y"), (wx * wy).alias("w")).where("w > 0")
-    j = n.join(tiles, ["tile", "y", "x"])
-    return j.groupBy(F.col("cy").alias("y"), F.col("cx").alias("x")).agg((F.sum(F.col("edge") * F.col("w") * F.col("value")) / F.sum(F.col("edge") * F.col("w"))).alias("value"))
+    part = lambda u, x: F.when(x <= u, 1 - (u - x)).otherwise(u - (x - 1))
+    w = edge * (part(F.col("u"), F.col("x")) * part(F.col("v"), F.col("y")))
+    n = j.select("cy", "cx", "value", w.alias("w")).where("w > 0")
+    return n.groupBy(F.col("cy").alias("y"), F.col("cx").alias("x")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
