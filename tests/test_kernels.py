@@ -564,6 +564,19 @@ def test_descriptors_in_clusters_compare_few_pairs(spark):
     assert register.match_descriptors(a.limit(0), b).isEmpty() and register.match_descriptors(a, b.limit(0)).isEmpty()
 
 
+def test_descriptors_leave_python_once(spark, monkeypatch):
+    """A row an asked descriptor, whatever the number of cells it visits."""
+    rng, tables = np.random.default_rng(12), []
+    rows = [(0, i, vec) for i, vec in enumerate(rng.normal(0, 1, (200, 16)).tolist())]
+    d = spark.createDataFrame(rows, "group int, id bigint, vec array<double>")
+    keep = register.written
+    monkeypatch.setattr(register, "written", lambda df, name: tables.append((name, keep(df, name))) or tables[-1][1])
+    register.match_descriptors(d.where("id % 2 = 0"), d.where("id % 2 = 1")).count()
+    visits = [t for name, t in tables if name == "descriptor-visits"]
+    assert len(visits) == 4 and all(t.count() == t.select("id").distinct().count() == 100 for t in visits)
+    assert max(t.agg(F.max(F.size("visited"))).first()[0] for t in visits) > 10
+
+
 def test_crop_opens_only_its_blocks(v, tmp_path):
     from voxelry.operators.project import crop
     from voxelry.sources.volumes import metadata, read_volume, write_volume

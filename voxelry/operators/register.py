@@ -90,28 +90,26 @@ class _Nearest:
 
     def visits(self, asked: DataFrame, cells: DataFrame, first: bool) -> DataFrame:
         """A row for each (asked row, cell) to be searched: in the ``first`` step the cell with the least bound, afterwards all
-        others whose bound is no more than ``best``. By the triangle inequality nothing of a cell is nearer than its bound."""
-        pivots, kind = self.pivots, f"group {self.group}, id bigint, vec array<double>, cell int"
+        others whose bound is no more than ``best``. By the triangle inequality nothing of a cell is nearer than its bound.
+        Python gives a row an asked row, with the cells' numbers; its vector is copied for each cell after that."""
+        pivots, kind = self.pivots, f"group {self.group}, id bigint, vec array<double>, visited array<int>"
 
         def choose(batches):
             for p in batches:
-                if not len(p):
-                    continue
-                to = np.sqrt(_apart(np.stack(p.vec.to_list()).astype(float), pivots))
-                rows = []
-                for i, own in enumerate(p.cells):
-                    cell, low, high = (np.array([c[k] for c in own]) for k in ("cell", "low", "high"))
-                    bound = np.maximum(0, np.maximum(low - to[i, cell], to[i, cell] - high))
-                    order = np.lexsort((to[i, cell], bound))
+                for _, own in p.groupby("group", sort=False):
+                    cell, low, high = (own[c].iat[0] for c in ("cell", "low", "high"))
+                    to = np.sqrt(_apart(np.stack(own.vec.to_list()).astype(float), pivots))[:, cell]
+                    bound = np.maximum(0, np.maximum(low - to, to - high))
+                    order = np.lexsort((to, bound), axis=-1)
                     if first:
-                        rows.append((i, cell[order[0]]))
+                        visited = [cell[o[:1]] for o in order]
                     else:
-                        best = p.best.iat[i]
-                        rows += [(i, cell[o]) for o in order[1:] if bound[o] <= best * (1 + 1e-9) + 1e-9]
-                at = [r for r, _ in rows]
-                yield pd.DataFrame({"group": p.group.to_numpy()[at], "id": p.id.to_numpy()[at], "vec": p.vec.to_numpy()[at], "cell": np.array([c for _, c in rows], np.int32)})
+                        most = own.best.to_numpy() * (1 + 1e-9) + 1e-9
+                        visited = [cell[o[1:]][b[o[1:]] <= m] for o, b, m in zip(order, bound, most)]
+                    yield own[["group", "id", "vec"]].assign(visited=visited)
 
-        return asked.join(cells, "group").mapInPandas(choose, kind)
+        chosen = written(asked.join(cells, "group").mapInPandas(choose, kind), "descriptor-visits")
+        return chosen.select("group", "id", "vec", F.explode("visited").alias("cell"))
 
     def search(self, visits: DataFrame, stored: DataFrame) -> DataFrame:
         """(group, id, distance, other): the nearest of each visited cell, ties to the smaller id; tiles of bounded size."""
@@ -136,7 +134,8 @@ class _Nearest:
     def nearest(self, asked: DataFrame, stored: DataFrame) -> DataFrame:
         """(group, id, distance, other, pairs) with the squared distance; pairs is how many others were compared."""
         cells = stored.groupBy("group", "cell").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-        cells = written(cells.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("cell", "low", "high"))).alias("cells")), "descriptor-cells")  # a row a pivot at most
+        cells = cells.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("cell", "low", "high"))).alias("c"))  # an entry a pivot at most
+        cells = written(cells.select("group", *[F.col(f"c.{c}").alias(c) for c in ("cell", "low", "high")]), "descriptor-cells")
         own = asked.select("group", "id", "vec")
         first = written(self.search(self.visits(own, cells, True), stored), "descriptors-first")
         bounded = own.join(first.select("group", "id", F.sqrt("distance").alias("best")), ["group", "id"])
