@@ -1,5 +1,6 @@
 """Hand-built volumes with known results."""
 
+import itertools
 import math
 
 import numpy as np
@@ -182,6 +183,33 @@ def test_flood_rounds_do_not_grow_with_blocks(spark, monkeypatch):
     assert "flood-faces" not in named
 
 
+def test_sheath_distances_stay_within_the_threshold(spark, monkeypatch):
+    """The distances that are written are those of voxels within the threshold of an object, not of the whole volume."""
+    a = np.zeros((40, 12, 40), int)
+    a[3, 4, 5], a[30, 9, 33] = 1, 2
+    tables, write = {}, W.written
+    monkeypatch.setattr(W, "written", lambda df, name: tables.setdefault(name, write(df, name)))
+    all_ = frame(spark, np.ones_like(a), "value")
+    got = array(W.separate_sheaths(frame(spark, a, sparse=True), all_, all_, a.shape, 2.5, (2.0, 1.0, 1.0)), a.shape)
+    z, y, x = np.indices(a.shape)
+    near = lambda p: np.sqrt(4.0 * (z - p[0]) ** 2 + (y - p[1]) ** 2 + (x - p[2]) ** 2) <= 2.5
+    one, two = near((3, 4, 5)), near((30, 9, 33))
+    assert (got == np.where(a > 0, 0, one + 2 * two)).all()
+    assert tables["distance"].count() == (one | two).sum()
+
+
+def test_block_floods_with_deep_chains():
+    """Two equal ramps of more rises than nested tuples hold, and what a face would send of them."""
+    n = 3 * K.MOST_RISES
+    value = np.stack([np.arange(n), np.full(n, 1e9), np.arange(n)]).astype(float)[None]
+    seeds = np.zeros(value.shape, int)
+    seeds[0, 0, 0], seeds[0, 2, 0] = 1, 2
+    label, keys = K._flood_keys(value, seeds, np.arange(value.size).reshape(value.shape), value < 1e8, [])
+    assert (label[0, 0] == 1).all() and (label[0, 2] == 2).all() and not label[0, 1].any()
+    (chain, steps), *_ = keys(np.array([[0], [2], [n - 1]]))
+    assert steps == n - 1 and chain[0] == n - 1 and len(chain) == 2 * n + 2 and chain[-1] == 2 * n
+
+
 def test_flooding_operators_cross_blocks(spark):
     a = np.zeros((1, 3, 12), int)
     a[0, 1, 1] = 1  # an object whose tissue runs on into the next blocks

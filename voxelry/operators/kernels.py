@@ -22,6 +22,8 @@ Triple = tuple[int, int, int]
 MOST_VOXELS = 1 << 27
 #: The largest piece that a flood takes whole; it is about ten seconds' work.
 MOST_FLOODED = 1 << 20
+#: The most rises of a path that a flood keeps as nested tuples.
+MOST_RISES = 32
 
 
 def dense(p: pd.DataFrame, column: str, fill, lo: np.ndarray, shape: tuple) -> np.ndarray:
@@ -46,6 +48,33 @@ def map_blocks(vol: DataFrame, dims: Triple, size: Triple, margin: Triple, kerne
     return held(split_blocks(vol.select(*AXES, column), dims, size, margin).groupBy("iz", "iy", "ix").applyInPandas(run, f"z int, y int, x int, value {out}"), inside)
 
 
+def block_distance(mask: DataFrame, dims: Triple, radius: float, elsize=(1, 1, 1), block: Triple = (32, 128, 128)) -> DataFrame:
+    """(z, y, x, value): Euclidean distance to the nearest mask voxel, of the voxels within ``radius`` of one. Blocks with a
+    halo of the radius, so that a voxel moves once for each block that it may reach; a task holds one block."""
+    steps = [abs(float(e)) for e in elsize]
+    reach = tuple(min(n - 1, int(radius / e + 1e-9)) for n, e in zip(dims, steps))
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        core0 = np.array([k * s for k, s in zip(key, block)])
+        core1 = np.minimum(core0 + block, dims)
+        lo, hi = np.maximum(core0 - reach, 0), np.minimum(core1 + reach, dims)
+        f = np.full(tuple(hi - lo), np.inf)
+        f[tuple(p[a].to_numpy() - o for a, o in zip(AXES, lo))] = 0.0
+        for axis in (2, 1, 0):
+            g, n = f.copy(), f.shape[axis]
+            to, at = np.moveaxis(g, axis, 0), np.moveaxis(f, axis, 0)
+            for d in range(1, min(reach[axis], n - 1) + 1):
+                far = steps[axis] * steps[axis] * (d * d)
+                np.minimum(to[d:], at[:-d] + far, out=to[d:])
+                np.minimum(to[:-d], at[d:] + far, out=to[:-d])
+            f = g
+        value = np.sqrt(f[tuple(slice(a - o, b - o) for a, b, o in zip(core0, core1, lo))])
+        z, y, x = np.nonzero(value <= radius)
+        return pd.DataFrame({"z": z + core0[0], "y": y + core0[1], "x": x + core0[2], "value": value[z, y, x]})
+
+    return split_blocks(mask.select(*AXES), dims, block, reach).groupBy("iz", "iy", "ix").applyInPandas(run, "z int, y int, x int, value double")
+
+
 def map_labels(vol: DataFrame, kernel: Callable[[int, np.ndarray, np.ndarray], np.ndarray], margin: int = 0, dims: Triple | None = None, block: Triple | None = None) -> DataFrame:
     """(z, y, x, label): a kernel (label, mask, origin) -> mask on each label's bounding box with a margin.
 
@@ -125,6 +154,18 @@ def seeded_watershed(vol: DataFrame, seeds: DataFrame, dims: Triple, mask: DataF
     return split_blocks(v, dims, block, margin).groupBy("iz", "iy", "ix").applyInPandas(run, "z int, y int, x int, label bigint")
 
 
+class _TooDeep(Exception):
+    """A chain has more rises than nested tuples should have."""
+
+
+def _rise(level: float, steps: float, below: tuple) -> tuple:
+    """As a _Way, but compared by tuples, which is faster while chains are short and grows with their square."""
+    depth = below[3] + 1 if below else 1
+    if depth > MOST_RISES:
+        raise _TooDeep
+    return level, steps, below, depth
+
+
 class _Way:
     """What a key was before its path rose to its present level: that level, the voxels taken at it, and the same again
     below it, down to the seed's linear index. Paths share what lies below them, so a way costs one object a rise."""
@@ -152,56 +193,86 @@ class _Way:
             return a is None and b is not None
         return (a.level, a.steps) < (b.level, b.steps)
 
-    @staticmethod
-    def read(chain: list[float]) -> _Way | None:
-        way = None
-        for i in range(len(chain) - 2, -1, -2):
-            way = _Way(chain[i], chain[i + 1], way)
-        return way
-
-    def written(self) -> list[float]:
-        out, way = [], self
-        while way is not None:
-            out += (way.level, way.steps)
-            way = way.below
-        return out
-
 
-def _flood_keys(value: np.ndarray, labels: np.ndarray, index: np.ndarray, mask: np.ndarray, sources: list[tuple]) -> tuple[np.ndarray, dict]:
-    """flood() of one block of a larger volume, with what comes in from outside it, as labels and a key a voxel.
+def _flood_keys(value: np.ndarray, labels: np.ndarray, index: np.ndarray, mask: np.ndarray, sources: list[tuple], deep: bool = False) -> tuple[np.ndarray, Callable[[np.ndarray], list[tuple]]]:
+    """flood() of one block of a larger volume, with what comes in from outside it, as labels and a function that gives the
+    (chain, steps) of labelled voxels, whose places are the columns of its argument.
 
     A voxel's key is its place in the order of the flood of the whole volume: the levels its path rose to, the last
     one first, each with the number of voxels taken at it, then the seed's linear index. Keys of different seeds never
     tie, and a longer path never has a smaller key, so blocks agree on keys by exchanging their faces alone.
-    ``sources`` are (place, steps, chain, label) of voxels beside the block, places counted in the block."""
-    label, v = np.zeros(value.shape, np.int64), value
-    key: dict[tuple, tuple] = {}
-    heap = []
-    for p in zip(*(a.tolist() for a in np.nonzero(mask & (labels != 0)))):
-        way = _Way(float(v[p]), 1.0, _Way(-np.inf, float(index[p]), None))
-        label[p], key[p] = int(labels[p]), (way, 0)
-        heap.append((way, 0, p, int(labels[p])))
-    heap += [(_Way.read(chain), steps, p, own) for p, steps, chain, own in sources]
-    # numbers first: most comparisons end there
-    heap = [(way.level, way.steps, way, steps, p, own) for way, steps, p, own in heap]
-    heapq.heapify(heap)
-    shape = value.shape
-    while heap:
-        top, taken, way, steps, p, own = heapq.heappop(heap)
-        same = None
-        for o in FACES:
-            q = (p[0] + o[0], p[1] + o[1], p[2] + o[2])
-            if all(0 <= a < n for a, n in zip(q, shape)) and mask[q] and not label[q]:
-                level = float(v[q])
-                if level > top:
-                    up = _Way(level, 1.0, way)
-                elif level == top:
-                    up = same = same or _Way(level, taken + 1, way.below)
-                else:
-                    up = way
-                label[q], key[q] = own, (up, steps + 1)
-                heapq.heappush(heap, (up.level, up.steps, up, steps + 1, q, own))
-    return label, key
+    ``sources`` are (place, steps, chain, label) of voxels beside the block, places counted in the block. Places are flat
+    in a frame one voxel wider, so that neighbours need no bounds; seeds with nothing to flood beside them don't queue.
+    What lies below a key is nested tuples, or _Way objects where chains are too ``deep`` for them."""
+    size = tuple(n + 2 for n in value.shape)
+    strides = (size[1] * size[2], size[2], 1)
+    near = [sum(d * s for d, s in zip(o, strides)) for o in FACES]
+    wide = lambda a, fill: np.pad(a, 1, constant_values=fill)
+    seeded, v = wide(np.where(mask, labels, 0), 0), wide(value.astype(float), np.inf).ravel()
+    unlabelled = wide(mask, False) & (seeded == 0)
+    beside = np.flatnonzero(_shift_any(unlabelled, np.array(FACES)) & (seeded != 0)).tolist()
+    ids, seeded = wide(index, 0).ravel(), seeded.ravel().astype(np.int64)
+    free = bytearray(unlabelled.astype(np.uint8).tobytes()) + bytes(strides[0])  # past the end: beyond the last frame
+    step_up = _Way if deep else _rise
+    ways: dict[bytes, tuple | _Way] = {}
+
+    def read(chain: np.ndarray) -> tuple | _Way:
+        name = chain.tobytes()
+        if name not in ways:
+            way = None if deep else ()
+            for level, count in chain.reshape(-1, 2)[::-1].tolist():
+                way = step_up(level, count, way)
+            ways[name] = way
+        return ways[name]
+
+    level_of, taken = v.tolist(), []
+    try:
+        # numbers first: most comparisons end there
+        heap = [(float(v[p]), 1.0, read(np.array([-np.inf, ids[p]])), 0, p, int(seeded[p])) for p in beside]
+        for place, steps, chain, own in sources:
+            if all(-1 <= a <= n for a, n in zip(place, value.shape)):
+                heap.append((float(chain[0]), float(chain[1]), read(chain[2:]), steps, sum((a + 1) * s for a, s in zip(place, strides)), own))
+        heapq.heapify(heap)
+        while heap:
+            top, count, below, steps, p, own = heapq.heappop(heap)
+            way = None
+            for step in near:
+                q = p + step
+                if free[q]:
+                    free[q] = 0
+                    level = level_of[q]
+                    if level > top:
+                        way = way or step_up(top, count, below)
+                        entry = (level, 1.0, way, steps + 1, q, own)
+                    elif level == top:
+                        entry = (level, count + 1, below, steps + 1, q, own)
+                    else:
+                        entry = (top, count, below, steps + 1, q, own)
+                    taken.append(entry)
+                    heapq.heappush(heap, entry)
+    except _TooDeep:
+        return _flood_keys(value, labels, index, mask, sources, True)
+    flooded = np.array([e[4] for e in taken], np.int64)
+    got = seeded.copy()
+    got[flooded] = np.array([e[5] for e in taken], np.int64)
+    order = np.argsort(flooded)
+
+    def written_key(p: int, i: int) -> tuple[list[float], int]:
+        if seeded[p]:
+            return [float(v[p]), 1.0, -np.inf, float(ids[p])], 0
+        level, count, below, steps = taken[i][:4]
+        chain = [level, count]
+        while below:
+            above, number, below = (below.level, below.steps, below.below) if deep else below[:3]
+            chain += (above, number)
+        return chain, steps
+
+    def keys(places: np.ndarray) -> list[tuple]:
+        flat = np.ravel_multi_index(tuple(places + 1), size)
+        at = order[np.minimum(np.searchsorted(flooded[order], flat), len(order) - 1)] if len(order) else np.zeros(len(flat), int)
+        return [written_key(p, i) for p, i in zip(flat.tolist(), at.tolist())]
+
+    return got.reshape(size)[1:-1, 1:-1, 1:-1], keys
 
 
 def _flood_listed(index: np.ndarray, value: np.ndarray, seeds: np.ndarray, dims: Triple) -> np.ndarray:
@@ -281,21 +352,22 @@ def _relayed_watershed(space: DataFrame, dims: Triple, block: Triple) -> DataFra
         mask = np.zeros(shape, bool)
         mask[tuple(at - lo[:, None])] = True
         places = zip(*[(came[a] - o).tolist() for a, o in zip(AXES, lo)])
-        sources = [(q, int(n), c.tolist(), int(own)) for q, n, c, own in zip(places, came.steps, came.chain, came.label)]
+        sources = [(q, int(n), np.asarray(c, float), int(own)) for q, n, c, own in zip(places, came.steps, came.chain, came.label)]
         return lo, *_flood_keys(dense(p, "value", np.inf, lo, shape), dense(p, "_s", 0, lo, shape), index, mask, sources)
 
     def faces(key: tuple, p: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(p):
             lo, label, found = solve(p, came)
-            core = [k * s for k, s in zip(key, block)]
-            for q, (chain, steps) in found.items():
-                at = [int(a + o) for a, o in zip(q, lo)]
-                for axis in range(3):
-                    for side, end in ((-1, core[axis]), (1, core[axis] + block[axis] - 1)):
-                        if at[axis] == end:
-                            to = [int(k) + side * (i == axis) for i, k in enumerate(key)]
-                            rows.append((*to, *at, chain.written(), steps, int(label[q])))
+            places = np.stack(np.nonzero(label))
+            at = places + lo[:, None]
+            for axis in range(3):
+                for side in (-1, 1):
+                    to = [int(k) + side * (i == axis) for i, k in enumerate(key)]
+                    if 0 <= to[axis] * block[axis] < dims[axis]:
+                        on = at[axis] == int(key[axis]) * block[axis] + (0 if side < 0 else block[axis] - 1)
+                        for q, own, (chain, steps) in zip(at[:, on].T.tolist(), label[tuple(places[:, on])].tolist(), found(places[:, on])):
+                            rows.append((*to, *q, chain, steps, own))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
 
     def labels(key: tuple, p: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxelry.functions.graph import written
 
 from .components import components
-from .kernels import flood, whole_watershed
+from .kernels import block_distance, flood, whole_watershed
 from .labels import AXES, FACES, Held, forward_map, label_union
 from .regions import consecutive_runs, filter_small_labels, region_bbox, relabel_sequential
 from .stencil import binary_dilate, distance_transform, label_rim, local_maxima, near_distance
@@ -128,10 +128,12 @@ def sheath_mask(distance: DataFrame, tissue: DataFrame, dataset: DataFrame, thre
 def separate_sheaths(objects: DataFrame, tissue: DataFrame, dataset: DataFrame, dims: Triple, threshold: float, elsize=(1, 1, 1), block: Triple = (64, 256, 256)) -> DataFrame:
     """(z, y, x, label): each sheath voxel goes to the object whose flood over the distance map reaches it first."""
     core = objects.where("label <> 0").select(*AXES, "label")
-    d = written(distance_transform(core, dims, elsize), "distance")
-    sheath = sheath_mask(d, tissue, dataset, threshold).join(core.select(*AXES), AXES, "left_anti")
-    space = sheath.unionByName(core.select(*AXES))
-    grown = whole_watershed(d.join(space, AXES, "left_semi"), core, dims, block)
+    # nothing farther than the threshold takes part; where it is wider than a block, lines are cheaper than halos
+    near = threshold <= 16 * min(map(abs, elsize))
+    d = written(block_distance(core, dims, threshold, elsize) if near else distance_transform(core, dims, elsize), "distance")
+    sheath = sheath_mask(d.where("value > 0"), tissue, dataset, threshold)
+    space = d.where("value = 0").unionByName(d.join(sheath, AXES, "left_semi"))
+    grown = whole_watershed(space, core, dims, block)
     return grown.join(sheath, AXES, "left_semi")
 
 
