@@ -183,6 +183,17 @@ def test_flood_rounds_do_not_grow_with_blocks(spark, monkeypatch):
     assert "flood-faces" not in named
 
 
+def test_slicewise_frame_is_not_joined(spark):
+    """Labels by slices, each cell there once, without a join of the frame; slices are counted from the volume's first."""
+    from voxelry.operators.stats import slicewise_stats
+
+    rows = [(3, 0, 0, 0), (4, 0, 0, 7), (4, 0, 1, 7), (6, 1, 1, 7), (5, 2, 2, 9), (8, 3, 3, 0)]
+    got = slicewise_stats(spark.createDataFrame(rows, "z int, y int, x int, label bigint"))
+    assert {(r.z, r.label): r.area for r in got.collect()} == {(z, n): {(4, 7): 2, (6, 7): 1, (5, 9): 1}.get((z, n)) for z in range(3, 9) for n in (7, 9)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 12 and "SortMergeJoin" not in plan and "HashJoin" not in plan
+
+
 def test_sheath_distances_stay_within_the_threshold(spark, monkeypatch):
     """The distances that are written are those of voxels within the threshold of an object, not of the whole volume."""
     a = np.zeros((40, 12, 40), int)

@@ -24,8 +24,14 @@ def slicewise_stats(vol: DataFrame, solidity: bool = False, frame: bool = True)
     if not frame:
         return g
     slices = vol.agg(F.min("z").alias("a"), F.max("z").alias("b")).where("a IS NOT NULL")  # one row
-    every = v.select("label").distinct().crossJoin(F.broadcast(slices)).select("label", F.explode(F.sequence("a", "b")).alias("z"))
-    return every.join(g, ["z", "label"], "left")
+    # a label's row stands for the slices up to its next one, so the frame is spun out where the row is: it is neither
+    # shuffled nor joined
+    along = Window.partitionBy("label").orderBy("z")
+    parts = int(vol.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = g.repartition(parts, "label").withColumn("_first", F.row_number().over(along) == 1).withColumn("_next", F.lead("z").over(along)).crossJoin(F.broadcast(slices))
+    start, end = F.when(F.col("_first"), F.col("a")).otherwise(F.col("z")), F.coalesce(F.col("_next") - 1, F.col("b"))
+    rows = rows.withColumn("_z", F.explode(F.when(start <= end, F.sequence(start, end))))
+    return rows.select(F.col("_z").alias("z"), "label", *[F.when(F.col("z") == F.col("_z"), F.col(c)).alias(c) for c in g.columns if c not in ("z", "label")])
 
 
 def g_ratio(inner: DataFrame, outer: DataFrame, slicewise: bool = False) -> DataFrame:
