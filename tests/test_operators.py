@@ -194,6 +194,28 @@ def test_slicewise_frame_is_not_joined(spark):
     assert got.count() == 12 and "SortMergeJoin" not in plan and "HashJoin" not in plan
 
 
+def test_grey_windows_by_block(spark, monkeypatch):
+    """Windows over block borders, an uneven element, doubles with nulls and NaN, voxels given twice; each voxel moves once for
+    each block that it may reach, not once an offset."""
+    monkeypatch.setattr(stencil, "BLOCK", (2, 3, 4))
+    rng = np.random.default_rng(4)
+    dims, element = (5, 7, 9), [(0, 0, 0), (0, 0, 1), (0, -2, 0), (1, 1, -1)]
+    rows = [(*map(int, p), [None, float("nan"), float(rng.integers(0, 9))][min(2, int(rng.integers(0, 8)))]) for p in np.argwhere(rng.random(dims) < 0.5)]
+    rows += [(*r[:3], float(rng.integers(0, 9))) for r in rows[::5]]
+    v = spark.createDataFrame(rows, "z int, y int, x int, value double")
+    above = lambda c: (c != c, c)
+    for run, pick in ((stencil.grey_dilate, max), (stencil.grey_erode, min)):
+        expected = {}
+        for q in itertools.product(*map(range, dims)):
+            own = [r[3] for r in rows if tuple(a - b for a, b in zip(r[:3], q)) in element]
+            if own:
+                real = [c for c in own if c is not None]
+                expected[q] = str(pick(real, key=above)) if real else "None"
+        moved = run(v, element, dims, "value")
+        assert {(r.z, r.y, r.x): str(r.value) for r in moved.collect()} == expected
+        assert "applyInPandas" in str(moved._jdf.queryExecution().analyzed()) or "FlatMapGroupsInPandas" in str(moved._jdf.queryExecution().analyzed())
+
+
 def test_sheath_distances_stay_within_the_threshold(spark, monkeypatch):
     """The distances that are written are those of voxels within the threshold of an object, not of the whole volume."""
     a = np.zeros((40, 12, 40), int)

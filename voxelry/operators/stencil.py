@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from voxelry.functions.graph import written
 
+from .blocks import split_blocks
 from .labels import AXES, FACES, Held, held, shifted
 
 Offset = tuple[int, int, int]
 Triple = tuple[int, int, int]
+#: Blocks that windows are taken in.
+BLOCK = (32, 128, 128)
 
 
 def structuring_element(shape: str, radius: Triple | int) -> list[Offset]:
@@ -66,16 +69,54 @@ def boundary_mask(dataset: DataFrame, dims: Triple, element: list[Offset], erode
     return binary_dilate(complement(dataset, dims), element, dims).where((F.col("z") >= z_margin) & (F.col("z") < dims[0] - z_margin))
 
 
+def _window(vol: DataFrame, element: list[Offset], dims: Triple, column: str, largest: bool) -> DataFrame:
+    """The largest or smallest value of the window of each voxel that it reaches. Halo blocks, so that a voxel moves once for
+    each block that it may reach, not once an offset, and a task holds one block; nulls don't count, NaN is above all."""
+    margin = tuple(max(abs(o[i]) for o in element) for i in range(3))
+    kind = vol.schema[column].dataType.simpleString()
+    near = reduce(lambda p, q: p & q, [F.col(a).between(-m, d - 1 + m) for a, d, m in zip(AXES, dims, margin)])
+    v = vol.where(near).select(*AXES, F.coalesce(column, F.lit(0).cast(kind)).alias("_v"), F.col(column).isNotNull().alias("_ok"))
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        core = np.array([k * s for k, s in zip(key, BLOCK)])
+        size = np.minimum(core + BLOCK, dims) - core
+        shape = tuple(size + 2 * np.array(margin))
+        order = np.argsort(p["_v"].to_numpy(), kind="stable")
+        p = p.iloc[order if largest else order[::-1]]  # of voxels given twice, the last one holds
+        place = lambda q: tuple(q[a].to_numpy() - c + m for a, c, m in zip(AXES, core, margin))
+        there, ok, value = np.zeros(shape, bool), np.zeros(shape, bool), np.zeros(shape, p["_v"].to_numpy().dtype)
+        there[place(p)] = True
+        q = p[p["_ok"]]
+        ok[place(q)], value[place(q)] = True, q["_v"].to_numpy()
+        best, has, touched = np.zeros(tuple(size), value.dtype), np.zeros(tuple(size), bool), np.zeros(tuple(size), bool)
+        for o in element:
+            part = tuple(slice(m + d, m + d + n) for m, d, n in zip(margin, o, size))
+            touched |= there[part]
+            new = value[part]
+            better = new > best if largest else new < best
+            if value.dtype.kind == "f":
+                better |= np.isnan(new) if largest else np.isnan(best) & ~np.isnan(new)
+            best = np.where(ok[part] & (~has | better), new, best)
+            has |= ok[part]
+        z, y, x = np.nonzero(touched)
+        got, known = best[z, y, x], has[z, y, x].astype(np.int32)
+        if value.dtype.kind == "f":
+            known += known * np.isnan(got)  # on its way back NaN would turn to null
+        return pd.DataFrame({"z": z + core[0], "y": y + core[1], "x": x + core[2], "_v": got, "_ok": known})
+
+    out = split_blocks(v, dims, BLOCK, margin).groupBy("iz", "iy", "ix").applyInPandas(run, f"z int, y int, x int, _v {kind}, _ok int")
+    back = F.when(F.col("_ok") == 1, F.col("_v"))
+    return out.select(*AXES, (back.when(F.col("_ok") == 2, F.lit("NaN").cast(kind)) if kind in ("float", "double") else back).alias(column))
+
+
 def grey_dilate(vol: DataFrame, element: list[Offset], dims: Triple, column: str = "label", inside: Held = None) -> DataFrame:
     """Maximum over the window, at the voxels that the volume holds."""
-    moved = _inside(shifted(vol.select(*AXES, column), [(-a, -b, -c) for a, b, c in element]), dims)
-    return held(moved.groupBy(*AXES).agg(F.max(column).alias(column)), inside)
+    return held(_window(vol, element, dims, column, True), inside)
 
 
 def grey_erode(vol: DataFrame, element: list[Offset], dims: Triple, column: str = "label", inside: Held = None) -> DataFrame:
     """Minimum over the window of a dense volume; outside voxels don't count."""
-    moved = _inside(shifted(vol.select(*AXES, column), [(-a, -b, -c) for a, b, c in element]), dims)
-    return held(moved.groupBy(*AXES).agg(F.min(column).alias(column)), inside)
+    return held(_window(vol, element, dims, column, False), inside)
 
 
 def close_labels(vol: DataFrame, element: list[Offset], dims: Triple, mask: DataFrame | None = None, min_size: int = 0, relabel: bool = False, inside: Held = None) -> DataFrame:
