@@ -350,6 +350,24 @@ def test_suffix_dedup_of_many_unlike_segments(spark, monkeypatch):
     assert made and made[0] == 64
 
 
+def test_copies_of_one_segment_do_not_meet_in_one_task(spark):
+    """Rows of a frequent kind are found without a shuffle by kind, rare kinds with one; singles are left out."""
+    kind = F.when(F.col("id") < 4000, 0).when(F.col("id") < 8000, F.floor(F.col("id") / 2)).otherwise(F.col("id"))
+    rows = spark.range(0, 9000, 1, 20).select(kind.alias("g1"), *(F.lit(0).cast("long").alias(x) for x in ("g2", "s1", "s2")), F.lit(1).cast("long").alias("times"), F.col("id").alias("k1"), *(F.lit(0).cast("long").alias(x) for x in ("k2", "p", "n", "back")))
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        again, _ = suffix_dedup._shared(rows)
+        got = again.select("k1", F.spark_partition_id().alias("at")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(r.k1 for r in got) == list(range(8000))
+    assert max(Counter(r.at for r in got if r.k1 < 4000).values()) == 450
+
+
 def test_periodic_texts_make_few_rows():
     """A text that repeats itself has a row a kind of segment and a row a stretch of them, not a row a byte."""
     import pyarrow as pa
