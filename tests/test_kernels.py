@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -232,6 +233,24 @@ def test_merge_by_watershed(spark, gap, joined):
     assert covers == joined and (got[1] == got[2]) == joined
 
 
+def test_merge_by_watershed_broadcasts_no_voxels(spark, tmp_path, monkeypatch):
+    """A volume in small files is a large table: joins by voxel have no side that is gathered on the driver."""
+    value, label = tube(3, (20, 9, 9))
+    frame(spark, label).write.parquet(f"{tmp_path}/label")
+    frame(spark, value, "value").write.parquet(f"{tmp_path}/value")
+    vol, over = spark.read.parquet(f"{tmp_path}/label"), spark.read.parquet(f"{tmp_path}/value")
+    plans, write = [], W.written
+    monkeypatch.setattr(W, "written", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    run = lambda: {r.label: r.new_label for r in W.merge_by_watershed(vol, over, 4, 1, 3, 5).collect()}
+    got = run()
+    assert got[1] == got[2]
+    keys = [re.findall(r"input\[", x) for plan in plans for x in re.findall(r"HashedRelationBroadcastMode\(List\((.*)\),", plan)]
+    assert keys and all(len(k) < 3 for k in keys)
+    # tables of labels are broadcast as long as these are few
+    monkeypatch.setattr(W, "FEW_LABELS", 0)
+    assert run() == got
+
+
 def slow_step(u, step, rho, contrast):
     """One step of tensor diffusion, a voxel at a time."""
     shape = u.shape

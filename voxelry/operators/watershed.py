@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelry.functions.graph import written
+from voxelry.functions.graph import discard, written
 
 from .components import components
 from .kernels import block_distance, flood, whole_watershed
@@ -18,6 +18,19 @@ from .regions import consecutive_runs, filter_small_labels, region_bbox, relabel
 from .stencil import binary_dilate, distance_transform, label_rim, local_maxima, near_distance
 
 Triple = tuple[int, int, int]
+#: Labels up to which a table with a row a label is broadcast to voxels; with more of them, voxels are shuffled to it.
+FEW_LABELS = 1 << 17
+
+
+def by_voxel(v: DataFrame) -> DataFrame:
+    """A table of voxels that joins must not broadcast: its files are so small beside its rows (a byte for eight voxels) that
+    Spark takes a volume for a small table and gathers it on the driver."""
+    return v.hint("merge")
+
+
+def label_ends(vol: DataFrame) -> DataFrame:
+    """(label, z0, z1): each label's first and last slice, written."""
+    return written(vol.where("label <> 0").groupBy("label").agg(F.min("z").alias("z0"), F.max("z").alias("z1")), "label-ends")
 
 
 def threshold_seeds(vol: DataFrame, dims: Triple, lower: float, upper: float, min_size: int = 0) -> DataFrame:
@@ -27,16 +40,15 @@ def threshold_seeds(vol: DataFrame, dims: Triple, lower: float, upper: float, mi
     return relabel_sequential(c.where("label <> 0"))
 
 
-def end_slice_seeds(vol: DataFrame, end: str = "last", reach: int = 5, margin: int = 5, cylinder: int | None = None) -> DataFrame:
+def end_slice_seeds(vol: DataFrame, end: str = "last", reach: int = 5, margin: int = 5, cylinder: int | None = None, span: DataFrame | None = None) -> DataFrame:
     """(label, z, y, x, seed) in each label's search box beyond its end: the label on its end slice, -1 around it
-    there, 0 elsewhere; within ``cylinder`` of the end's centroid, if given."""
-    box = region_bbox(vol)
-    first = F.col("z1") - 1 if end == "last" else F.col("z0") - reach
-    last = F.col("z1") - 1 + reach if end == "last" else F.col("z0")
-    tip = F.col("z1") - 1 if end == "last" else F.col("z0")
+    there, 0 elsewhere; within ``cylinder`` of the end's centroid, if given. ``span`` is the volume's label_ends(), if at hand."""
+    span = label_ends(vol) if span is None else span
+    tip = F.col("z1") if end == "last" else F.col("z0")
+    first, last = (tip, tip + reach) if end == "last" else (tip - reach, tip)
     own = vol.where("label <> 0").select("label", *AXES)
-    ends = box.select("label", first.alias("a"), last.alias("b"), tip.alias("tip"))
-    on_tip = own.join(ends, "label").where("z = tip")
+    ends = span.select("label", first.alias("a"), last.alias("b"), tip.alias("tip"))
+    on_tip = own.join(F.broadcast(ends) if span.count() <= FEW_LABELS else by_voxel(ends), "label").where("z = tip")
     frame = on_tip.groupBy("label", "a", "b", "tip").agg(*[f(c).alias(f"{c}{i}") for c in ("y", "x") for i, f in ((0, F.min), (1, F.max))], F.avg("y").alias("cy"), F.avg("x").alias("cx"))
     cells = frame.withColumn("z", F.explode(F.sequence(F.greatest("a", F.lit(0)), "b")))
     for c in ("y", "x"):
@@ -45,14 +57,15 @@ def end_slice_seeds(vol: DataFrame, end: str = "last", reach: int = 5, margin: i
         cells = cells.where((F.col("y") - F.col("cy")) ** 2 + (F.col("x") - F.col("cx")) ** 2 <= cylinder**2)
     hit = on_tip.select("label", *AXES, F.lit(True).alias("_own"))
     seed = F.when(F.col("_own"), F.col("label")).when(F.col("z") == F.col("tip"), F.lit(-1)).otherwise(F.lit(0))
-    return cells.join(hit, ["label", *AXES], "left").select("label", *AXES, seed.cast("bigint").alias("seed"))
+    return cells.join(by_voxel(hit), ["label", *AXES], "left").select("label", *AXES, seed.cast("bigint").alias("seed"))
 
 
-def flood_boxes(boxes: DataFrame, value: DataFrame, mask: DataFrame | None = None) -> DataFrame:
+def flood_boxes(boxes: DataFrame, value: DataFrame, mask: DataFrame | None = None, part: str | None = None) -> DataFrame:
     """(label, z, y, x): each label's box (label, z, y, x, seed) flooded from its seeds over ``value``; what the
-    label itself reached."""
-    b = boxes.join(value.select(*AXES, F.col("value").cast("double").alias("value")), AXES)
-    b = b.join(mask.select(*AXES), AXES, "left_semi") if mask is not None else b
+    label itself reached. If a label has several boxes, the int column ``part`` tells them apart, in the result too."""
+    keys = ["label", part] if part else ["label"]
+    b = boxes.join(by_voxel(value.select(*AXES, F.col("value").cast("double").alias("value"))), AXES)
+    b = b.join(by_voxel(mask.select(*AXES)), AXES, "left_semi") if mask is not None else b
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         lo = np.array([p[a].min() for a in AXES])
@@ -61,9 +74,9 @@ def flood_boxes(boxes: DataFrame, value: DataFrame, mask: DataFrame | None = Non
         v, s, m = np.full(shape, np.inf), np.zeros(shape, np.int64), np.zeros(shape, bool)
         v[at], s[at], m[at] = p.value, p.seed, True
         z, y, x = np.nonzero(flood(v, s, m) == key[0])
-        return pd.DataFrame({"label": key[0], "z": z + lo[0], "y": y + lo[1], "x": x + lo[2]})
+        return pd.DataFrame({**dict(zip(keys, key)), "z": z + lo[0], "y": y + lo[1], "x": x + lo[2]})
 
-    return b.groupBy("label").applyInPandas(run, "label bigint, z int, y int, x int")
+    return b.groupBy(*keys).applyInPandas(run, f"label bigint, {part + ' int, ' if part else ''}z int, y int, x int")
 
 
 def merge_by_watershed(vol: DataFrame, value: DataFrame, reach: int = 5, margin: int = 5, min_size: int = 1, rounds: int = 5) -> DataFrame:
@@ -71,22 +84,24 @@ def merge_by_watershed(vol: DataFrame, value: DataFrame, reach: int = 5, margin:
     covers most (not itself, at least ``min_size`` voxels, disjoint in z) joins it; then all joins at once, until
     nothing changes. ``rounds`` is a bound; reaching it without rest raises."""
     total = vol.where("label <> 0").select("label").distinct().withColumn("new_label", F.col("label"))
-    current = vol
+    current, made = vol, []
     for _ in range(rounds):
-        span = current.where("label <> 0").groupBy("label").agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
-        found = []
-        for end in ("first", "last"):
-            grown = flood_boxes(end_slice_seeds(current, end, reach, margin), value)
-            hit = grown.join(current.where("label <> 0").select(*AXES, F.col("label").alias("other")), AXES).where("label <> other")
-            found.append(hit.groupBy("label", "other").agg(F.count("*").alias("n")).where(F.col("n") >= min_size))
-        pairs = reduce(DataFrame.unionByName, found).join(span, "label").join(span.select(F.col("label").alias("other"), F.col("z0").alias("o0"), F.col("z1").alias("o1")), "other")
+        span = label_ends(current)
+        boxes = [end_slice_seeds(current, end, reach, margin, span=span).withColumn("up", F.lit(up)) for up, end in enumerate(("first", "last"))]
+        grown = flood_boxes(reduce(DataFrame.unionByName, boxes), value, part="up")
+        there = by_voxel(current.where("label <> 0").select(*AXES, F.col("label").alias("other")))
+        hit = grown.join(there, AXES).where("label <> other").groupBy("label", "up", "other").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
+        pairs = hit.join(span, "label").join(span.select(F.col("label").alias("other"), F.col("z0").alias("o0"), F.col("z1").alias("o1")), "other")
         pairs = pairs.where("o0 > z1 OR o1 < z0").withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "other"))).where("_r = 1")
         joined = written(pairs.select(F.col("label").alias("a"), F.col("other").alias("b")), "merge-pairs")
         if joined.isEmpty():
+            discard(span, joined, *made[:1])
             return total
         m = label_union(joined)
         total = written(total.join(m.select(F.col("label").alias("new_label"), F.col("new_label").alias("_n")), "new_label", "left").select("label", F.coalesce("_n", "new_label").alias("new_label")), "merge-map")
         current = written(forward_map(current, m), "merge-volume")
+        discard(span, joined, *made)
+        made = [current, total]
     raise RuntimeError(f"labels still join after {rounds} rounds")
 
 
