@@ -550,6 +550,75 @@ def test_pii_disclosing_terms_far_from_the_entity(spark):
     assert not any(re.search("zorblatt|quuxington", clean[i].text, re.I) for i, _ in near + far)
 
 
+def plain_terms(rows):
+    """Term spans of each row, by the rule as worded: texts hold an email at most."""
+    word = lambda text: [(m.group().lower(), *m.span()) for m in re.finditer(r"[^\W_'-]*(?:['-]*[^\W_'-]+)+['-]*|['-]+", text)]
+    n_t, docs, total = Counter(), Counter(), len(rows)
+    near, both, holds, like_near, like_both, like = Counter(), Counter(), Counter(), defaultdict(set), defaultdict(set), defaultdict(set)
+    for (doc_id, text), times in Counter(rows).items():
+        said = [w for w, _, _ in word(text)]
+        n_t.update({w: n * times for w, n in Counter(said).items()})
+        docs.update(dict.fromkeys(said, times))
+        if not (m := re.search(PLAIN["email"], text)):
+            continue
+        c, left, right = m.group().lower(), text[: m.start()][-120:], text[m.end() :][:120]
+        around = (left, m.group(), right)
+        holds[c] += times
+        like[c].add(around)
+        beside = [w for w, a, _ in word(left) if a > 0 or len(left) < 120][-8:] + [w for w, _, b in word(right) if b < 120 or len(right) < 120][:8]
+        for seen, at, counts in ((beside, like_near, near), (set(said), like_both, both)):
+            for t in seen:
+                if re.search(r"[^\W_]", t):
+                    counts[c, t] += times
+                    at[c, t].add(around)
+    words, by_c, told = sum(n_t.values()), Counter(), set()
+    for (c, _), n in near.items():
+        by_c[c] += n
+    for counts, at, n_c, n_all, of in ((near, like_near, by_c, words, n_t), (both, like_both, holds, total, docs)):
+        for (c, t), n in counts.items():
+            if len(at[c, t]) >= 3 and n_c[c] < n_all and np.log2(n * n_all / (n_c[c] * max(of[t], n))) / -np.log2(n_c[c] / n_all) >= 0.9:
+                told.add((c, t))
+    out = {}
+    for doc_id, text in set(rows):
+        m = re.search(PLAIN["email"], text)
+        free = [(a, b) for w, a, b in word(text) if m and (m.group().lower(), w) in told and (b <= m.start() or a >= m.end())]
+        out[doc_id, text] = [f"term:{a}:{b}" for a, b in free]
+    return out
+
+
+def test_pii_terms_against_brute_force(spark):
+    """Copies that differ far from the entity, copies under other ids, repeated rows, short terms and numbers."""
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice("the of and to in is was that for on with as by at 12 7 a".split()) for _ in range(n))
+    rows = [(1000 + i, some(60)) for i in range(300)]
+    head = [f"{some(60)} writes to one@corp.org {some(60)}" for _ in range(3)]
+    # of the four that are alike, one alone has the term
+    rows += [(i, head[0] + (" Quuxington" if i == 2 else "")) for i in range(4)] + [(10 + i, f"{head[1 + i]} quuxington") for i in range(2)]
+    rows += [(20 + 3 * i + j, f"{text} Copied") for i, text in enumerate(f"{some(60)} via two@corp.org {some(60)}" for _ in range(3)) for j in range(3)]
+    rows += [(40 + i, text) for i, text in enumerate(f"{some(60)} via three@corp.org {some(60)} again" for _ in range(3)) for _ in range(5)]
+    rows += [(50 + i, f"{some(30)} Bo 77123 four@corp.org {some(60)}") for i in range(4)]
+    # two unlike ones are too few, however many copies they have
+    rows += [(60 + i, f"{text} seldom") for i, text in enumerate([f"{some(60)} five@corp.org {some(60)}" for _ in range(2)] * 3)]
+    expected = plain_terms(rows)
+    got = pii.pii_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    text = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert [x for x in r.spans.split(",") if x.startswith("term")] == expected[r.doc_id, text[r.doc_id]], text[r.doc_id]
+    found = {(r.doc_id, text[r.doc_id][slice(*map(int, x.split(":")[1:]))].lower()) for r in got for x in r.spans.split(",") if x.startswith("term")}
+    assert {(2, "quuxington"), (10, "quuxington"), (20, "copied"), (40, "again"), (50, "bo"), (50, "77123")} <= found and not any(t == "seldom" for _, t in found)
+
+
+def test_pii_terms_that_fall_apart_in_lower_case(spark):
+    rng = random.Random(9)
+    some = lambda n: " ".join(rng.choice("the of and to in is was that for on with as by at".split()) for _ in range(n))
+    rows = [(i, f"{some(9)} \u0130skender isk@corp.org {some(9)}") for i in range(4)] + [(100 + i, some(60)) for i in range(300)]
+    got = by_id(pii.pii_spans(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    for i, text in rows[:4]:
+        at = text.index("\u0130")
+        assert f"term:{at}:{at + 8}" in got[i].spans.split(",")
+
+
 def test_pii_cases(odd):
     assert pii.pii_spans(odd).count() == odd.count() and pii.pii_spans(odd.limit(0)).count() == 0
     assert pii.sanitise(odd).columns == odd.columns
